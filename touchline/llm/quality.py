@@ -126,6 +126,8 @@ def boundary(keys: DataFrame, k: int, bins: int = 4096, few: int = 50_000) -> tu
     low, high, n = keys.agg(F.min("key"), F.max("key"), F.count("*")).first()
     if k >= n or n == 0:
         return float("-inf"), None
+    if k <= 0:
+        return float("inf"), None
     above = 0
     while True:
         inside = keys.where((F.col("key") >= low) & (F.col("key") <= high))
@@ -149,27 +151,47 @@ def boundary(keys: DataFrame, k: int, bins: int = 4096, few: int = 50_000) -> tu
     return row["key"], row["doc_id"]
 
 
+def split_point(scores: np.ndarray, good: np.ndarray) -> float:
+    """The log weight that parts good and bad labelled documents best: the
+    share of good ones at or above it less that of bad ones is largest. Halfway
+    to the next document below it, so that clean text has some room."""
+    order = np.argsort(-scores, kind="stable")
+    scores, good = scores[order], good[order].astype(bool)
+    gain = np.cumsum(np.where(good, 1 / max(1, good.sum()), -1 / max(1, (~good).sum())))
+    # a cut is between different scores only
+    ends = np.append(scores[1:] < scores[:-1], True)
+    at = int(np.flatnonzero(ends)[np.argmax(gain[ends])])
+    return float(scores[at] + scores[at + 1]) / 2 if at + 1 < len(scores) else float("-inf")
+
+
 def select(docs: DataFrame, labels: DataFrame, keep: float | None = None, sample: int = 20_000, seed: int = 11) -> DataFrame:
     """The documents that importance resampling selects: docs' rows and
     columns, with _score (log importance weight) and _key (with Gumbel noise).
 
     The target is a sample of at most `sample` documents of quality 1, by hash
-    of doc_id. `keep` is the share of the corpus to select; by default the
-    share of good documents among the labelled ones. Exactly that many rows are
+    of doc_id. `keep` is the share of the corpus to select; by default it is
+    the share whose weight is above the point that parts a labelled sample best
+    (at most `sample` documents of either label). Exactly that many rows are
     selected (more only where rows tie in key and doc_id), those of the largest
     keys, ties to the smaller doc_id. Null texts count as empty and have weight
-    one. Without labels nothing is known and every document is kept; an empty
-    table gives no rows. Columns named _score and _key are replaced.
+    one. Without labels of both kinds nothing is known and every document is
+    kept; an empty table gives no rows. Columns named _score and _key are
+    replaced.
     """
     prepare(docs.sparkSession)
     docs = docs.select([c for c in docs.columns if c not in ("_score", "_key")])
-    share, known = labels.agg(F.avg("quality"), F.count("quality")).first()
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed))).limit(sample)
-    ratios = log_ratios(counted(docs.select("doc_id", "text"), good)) if known else np.zeros(WORDS + PAIRS)
+    marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    drawn = [marked.where(F.col("quality") == v).orderBy(F.xxhash64("doc_id", F.lit(seed))).limit(sample) for v in (0, 1)]
+    ratios = log_ratios(counted(docs.select("doc_id", "text"), drawn[1]))
     key = F.col("_score") + gumbel(seed, "doc_id")
     keys = written(scored(docs.select("doc_id", "text"), ratios).select("doc_id", "_score", key.alias("key")), "keys")
     n = keys.count()
-    k = n if not known else int(round(n * (share if keep is None else keep)))
+    k = n if keep is None else int(round(n * keep))
+    if keep is None:
+        # at most 2 * sample ids
+        known = keys.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").select("_score", "quality").toPandas()
+        if known["quality"].nunique() == 2:
+            k = keys.where(F.col("_score") >= split_point(known["_score"].to_numpy(), known["quality"].to_numpy())).count()
     least, last = boundary(keys, k)
     tied = F.lit(True) if last is None else F.coalesce(F.col("doc_id") <= last, F.lit(False))
     out = scored(docs, ratios).withColumn("_key", key)

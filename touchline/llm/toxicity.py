@@ -55,11 +55,15 @@ class Weights(dict):
 
 def sentence_logits(words: list[str], weights: Weights, bias: float) -> tuple[np.ndarray, np.ndarray]:
     """(logit of each sentence, its first word); a text has one sentence at
-    least, which may be empty."""
+    least, which may be empty. A word that repeats the one before it counts
+    once, so a long run of one word is no evidence."""
+    if not words:
+        return np.full(1, bias), np.zeros(1, np.int64)
     values = np.fromiter(map(weights.__getitem__, words), complex, len(words))
-    starts = np.concatenate([[0], np.flatnonzero(values.imag[:-1]) + 1]) if len(words) else np.zeros(1, np.int64)
-    sums = np.add.reduceat(values.real, starts) if len(words) else np.zeros(1)
-    return sums + bias, starts.astype(np.int64)
+    starts = np.concatenate([[0], np.flatnonzero(values.imag[:-1]) + 1])
+    own = values.real.copy()
+    own[1:][values[1:] == values[:-1]] = 0
+    return np.add.reduceat(own, starts) + bias, starts.astype(np.int64)
 
 
 def noisy_or(logits: np.ndarray) -> float:
@@ -77,64 +81,87 @@ class Model:
         return Weights(w)
 
 
-def fit(texts: list[str], toxic: np.ndarray, importance: np.ndarray, rounds: int = 80, rate: float = 0.3, l1: float = 2e-6) -> Model:
-    """Full-batch Adagrad on the documents' log-likelihood, with an L1 penalty
-    that keeps weights of rare features at zero."""
-    words: dict[str, int] = {}
-    tokens, sentences, docs = [], [], []
-    n_sentences = 0
-    for d, text in enumerate(texts):
-        own = text.split()
-        stops = np.fromiter(map(ends, own), bool, len(own))
-        sentence = np.concatenate([[0], np.cumsum(stops)[:-1]]) if len(own) else np.zeros(0, np.int64)
-        tokens.append(np.fromiter((words.setdefault(w, len(words)) for w in own), np.int64, len(own)))
-        sentences.append(sentence.astype(np.int64) + n_sentences)
-        count = int(sentence[-1]) + 1 if len(own) else 1
-        docs.append(np.full(count, d))
-        n_sentences += count
-    token, sentence, doc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tokens, sentences, docs))
-    pairs = [(i, f) for w, i in words.items() for f in features(w)]
-    word_of, bucket = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-    w, bias = np.zeros(BUCKETS), -6.0
-    seen, seen_bias = np.full(BUCKETS, 1e-8), 1e-8
-    y, total = toxic.astype(bool), importance.sum()
+class Bags:
+    """Training documents as arrays: the words (token), sentence and document
+    of each occurrence, and the feature buckets of each distinct word."""
+
+    def __init__(self, texts: list[str]):
+        self.words: dict[str, int] = {}
+        tokens, sentences, docs, count = [], [], [], 0
+        for d, text in enumerate(texts):
+            own = text.split()
+            token = np.fromiter((self.words.setdefault(w, len(self.words)) for w in own), np.int64, len(own))
+            stops = np.fromiter(map(ends, own), bool, len(own))
+            sentence = np.zeros(len(own), np.int64)
+            sentence[1:] = np.cumsum(stops[:-1])
+            fresh = np.ones(len(own), bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (sentence[1:] != sentence[:-1])
+            tokens.append(token[fresh])
+            sentences.append(sentence[fresh] + count)
+            n = int(sentence[-1]) + 1 if len(own) else 1
+            docs.append(np.full(n, d))
+            count += n
+        self.token, self.sentence, self.doc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tokens, sentences, docs))
+        self.n_sentences, self.n_docs = count, len(texts)
+        pairs = [(i, f) for w, i in self.words.items() for f in features(w)]
+        self.word, self.bucket = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+
+    def document_counts(self, of: np.ndarray) -> np.ndarray:
+        """In how many documents of the mask `of` each bucket occurs."""
+        first = np.searchsorted(self.word, np.arange(len(self.words) + 1))
+        doc = self.doc[self.sentence]
+        pairs = np.unique(self.token[of[doc]] * self.n_docs + doc[of[doc]])
+        token, doc = pairs // max(1, self.n_docs), pairs % max(1, self.n_docs)
+        n = first[token + 1] - first[token]
+        at = np.repeat(first[token] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        both = np.unique(self.bucket[at] * self.n_docs + np.repeat(doc, n))
+        return np.bincount(both // max(1, self.n_docs), minlength=BUCKETS).astype(float)
+
+
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = 100, rate: float = 0.3, least: int = 3) -> Model:
+    """Gradient descent on the documents' log-likelihood, either label with
+    half of the weight. It starts at smoothed log-odds of the features' document
+    counts; features that fewer than `least` toxic documents share (and few
+    clean ones) stay at zero, so no document is explained by words of its own."""
+    bags, y = Bags(texts), toxic.astype(bool)
+    if not y.any() or y.all():
+        return Model(np.zeros(BUCKETS), -20.0 if not y.any() else 20.0)
+    hot, cold = bags.document_counts(y), bags.document_counts(~y)
+    used = (hot >= least) | (cold >= 20)
+    share = np.array([y.mean(), 1 - y.mean()])
+    odds = np.log((hot + 2 * share[0]) / y.sum()) - np.log((cold + 2 * share[1]) / (~y).sum())
+    w, bias = np.where(used, np.maximum(odds, -1) * 0.7, 0), -6.0
+    weight = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
+    # large first sums: weak gradients take small steps
+    seen, seen_bias = np.full(BUCKETS, 1e-4), 1e-4
     for _ in range(rounds):
-        value = np.bincount(word_of, w[bucket], len(words))
-        z = np.bincount(sentence, value[token], n_sentences) + bias
-        log_clean = -np.bincount(doc, np.logaddexp(0, z), len(y))
-        p_doc = np.maximum(-np.expm1(log_clean), 1e-12)
-        pull = np.where(y, -np.exp(log_clean) / p_doc, 1.0) * importance / total
-        grad_z = pull[doc] / (1 + np.exp(-z))
-        by_word = np.bincount(token, grad_z[sentence], len(words))
-        grad = np.bincount(bucket, by_word[word_of], BUCKETS)
+        value = np.bincount(bags.word, w[bags.bucket], len(bags.words))
+        z = np.bincount(bags.sentence, value[bags.token], bags.n_sentences) + bias
+        log_clean = -np.bincount(bags.doc, np.logaddexp(0, z), len(y))
+        pull = np.where(y, -np.exp(log_clean) / np.maximum(-np.expm1(log_clean), 1e-12), 1.0) * weight
+        grad_z = pull[bags.doc] * 0.5 * (1 + np.tanh(z / 2))
+        by_word = np.bincount(bags.token, grad_z[bags.sentence], len(bags.words))
+        grad = np.where(used, np.bincount(bags.bucket, by_word[bags.word], BUCKETS), 0)
         seen += grad**2
-        step = rate / np.sqrt(seen)
-        w -= step * grad
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+        w -= rate * grad / np.sqrt(seen)
         g = float(grad_z.sum())
         seen_bias += g * g
-        bias -= 0.1 * g / np.sqrt(seen_bias)
+        bias -= rate * g / np.sqrt(seen_bias)
     return Model(w, bias)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, each: int, longest: int, seed: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """At most `each` documents of either label with at most `longest`
-    characters, by hash of doc_id, and each one's weight in the whole."""
+def training_sample(docs: DataFrame, labels: DataFrame, each: int, longest: int, seed: int) -> tuple[list[str], np.ndarray]:
+    """At most `each` documents of either label, by hash of doc_id, of which
+    those with at most `longest` characters are used."""
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = None
-    for label in (0, 1):
-        own = marked.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(seed))).limit(each)
-        ids = own if ids is None else ids.unionByName(own)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where((F.length("text") <= longest)).join(F.broadcast(ids), "doc_id").select("text", "toxic").collect()
-    counts = dict(marked.groupBy("toxic").count().collect())
-    toxic = np.array([r["toxic"] for r in rows], np.int64)
-    drawn = {v: max(1, int((toxic == v).sum())) for v in (0, 1)}
-    # long clean documents are rarer in the sample than toxic ones are: even odds for both
-    weight = np.array([counts.get(v, 0) / drawn[v] for v in toxic.tolist()]) if len(toxic) else np.zeros(0)
-    return [r["text"] for r in rows], toxic, weight
-
-
-def score(docs: DataFrame, labels: DataFrame, each: int = 3_000, longest: int = 8_000, threshold: float = 0.7, seed: int = 5) -> DataFrame:
+    drawn = [marked.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id", F.lit(seed))).limit(each) for v in (0, 1)]
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= longest)
+    # at most 2 * each ids
+    rows = found.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64)
+
+
+def score(docs: DataFrame, labels: DataFrame, each: int = 3_000, longest: int = 20_000, threshold: float = 0.7, seed: int = 5) -> DataFrame:
     """doc_id, score, predicted, offending for each row of docs.
 
     score is the noisy-or over all sentences of the whole text; predicted is 1
@@ -143,7 +170,7 @@ def score(docs: DataFrame, labels: DataFrame, each: int = 3_000, longest: int =
     `labels` (doc_id, toxic) are the rows to learn from; the caller leaves out
     held-out ones. At most `each` documents of either label are used, of at most
     `longest` characters each, so training is bounded. Null texts count as
-    empty; with no labels the score is the model's prior. Scores use the text
+    empty; without toxic labels every score is about 0. Scores use the text
     alone. Further columns are ignored.
     """
     spark = prepare(docs.sparkSession)
