@@ -118,7 +118,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, kind: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(kind, tokenizer), np.uint32(end_id).tobytes()
         sent: set[bytes] = set()
-        packer = zstandard.ZstdCompressor(3)
+        packer = zstandard.ZstdCompressor(1)
         for batch in batches:
             fresh: dict[int, list[bytes]] = {}
             docs_out: list[tuple] = []

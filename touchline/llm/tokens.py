@@ -9,12 +9,12 @@ blanks don't allow safe cuts is encoded at once.
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: A memo is emptied beyond so many pieces; longer pieces aren't kept.
-MEMO, LONGEST = 1_200_000, 64
+MEMO, LONGEST = 1_000_000, 64
 
 
 class Encoder:
@@ -28,10 +28,10 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
 
     def raw(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def learn(self, stems: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.batch(stems, add_special_tokens=False)]
+        return [packed(e.ids) for e in self.batch(stems, add_special_tokens=False)]
 
     def stem(self, piece: str) -> tuple[str, bytes]:
         """A piece without the one comma or stop that ends it after a letter,
@@ -40,14 +40,22 @@ class Encoder:
             return piece[:-1], self.marks[piece[-1]]
         return piece, b""
 
-    def joined(self, pieces: list[str]) -> bytes:
+    def apart(self, piece: str) -> bool:
+        """Whether the tokenizer joins nothing across the ends of a piece."""
+        raise NotImplementedError
+
+    def joined(self, pieces: list[str]) -> bytes | None:
+        """The ids of pieces, None if one isn't apart. The memo holds only
+        pieces that are, so only new ones are looked at."""
         memo = self.memo
         got = list(map(memo.get, pieces))
         try:
             return b"".join(got)
         except TypeError:  # None: some pieces are new
             at = [i for i, x in enumerate(got) if x is None]
-            stems = {pieces[i]: self.stem(pieces[i]) for i in at}
+            stems = {p: self.stem(p) for p in {pieces[i] for i in at}}
+            if not all(map(self.apart, stems)):
+                return None
             new = list({s for s, _ in stems.values() if s not in memo})
             known = dict(zip(new, self.learn(new), strict=True)) if new else {}
             known |= {p: (known[s] if s in known else memo[s]) + end for p, (s, end) in stems.items()}
@@ -63,6 +71,13 @@ class Encoder:
         return self.raw(text)
 
 
+def packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Words(Encoder):
     """For a tokenizer that drops blanks and case: cuts at spaces and line ends."""
 
@@ -70,10 +85,12 @@ class Words(Encoder):
         stem, end = super().stem(piece)
         return (stem.lower() if stem.isascii() else stem), end
 
+    def apart(self, piece: str) -> bool:
+        return "<|" not in piece
+
     def ids(self, text: str) -> bytes:
-        if "<|" in text:
-            return self.raw(text)
-        return self.joined(text.replace("\n", " ").split(" "))
+        found = self.joined(text.replace("\n", " ").split(" "))
+        return self.raw(text) if found is None else found
 
 
 class Bytes(Encoder):
@@ -87,13 +104,15 @@ class Bytes(Encoder):
         turned = super().learn([p[1:] if p[0] in "\n\x00" else " " + p for p in stems])
         return [line + v if p[0] == "\n" else v for p, v in zip(stems, turned, strict=True)]
 
+    def apart(self, piece: str) -> bool:
+        own = piece[1:] if piece[:1] in ("\n", "\x00") else piece
+        return own.split() == [own] and "<|" not in own
+
     def ids(self, text: str) -> bytes:
-        words = text.split()
-        gaps = len(words) - 1
-        # else a run of blanks is longer than one, or has other blanks than these two, or stands at an end
-        if not text or "<|" in text or "\x00" in text or len(text) - sum(map(len, words)) != gaps or text.count(" ") + text.count("\n") != gaps:
-            return super().ids(text)
-        return self.joined(("\x00" + text).replace("\n", " \n").split(" "))
+        if "\x00" in text:
+            return self.raw(text)
+        found = self.joined(("\x00" + text).replace("\n", " \n").split(" ")) if text else b""
+        return self.raw(text) if found is None else found
 
 
 @lru_cache(maxsize=4)
