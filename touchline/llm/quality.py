@@ -27,23 +27,26 @@ from touchline.llm.common import prepare, written
 
 #: Buckets of words and of shape pairs.
 WORDS, PAIRS = 1 << 13, 1 << 12
-MEMO = 300_000
-_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+|[0-9]+|(.)\1+|.", re.S)
+MEMO = 1_000_000
+#: Bytes to their kind: letters of either case, digits, others themselves.
+#: Bytes beyond ASCII are parts of letters.
+_KIND = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
+_RUNS = re.compile(rb"(.)\1+", re.S)
+_MARKS = b".,;:!?'\"()[]{}*#$%&|"
 
 
-def shape(word: str) -> str:
-    """The word with each run of letters of one case, of digits or of one
-    other character written as one a, A, 0 or that character."""
-    return "".join("a" if r[0].islower() else "A" if r[0].isupper() else "0" if r[0].isdigit() else r[0] for r in (m[0] for m in _RUNS.finditer(word[:200])))[:24]
+def shape(word: bytes) -> bytes:
+    """The word with each run of one kind of character written once."""
+    return _RUNS.sub(rb"\1", word[:200].translate(_KIND))[:24]
 
 
 class Grams(dict):
     """word -> word bucket, a hash of its shape and a hash of the word, packed."""
 
     def __missing__(self, word: bytes) -> int:
-        text = word.decode()
-        bare = text.lower().strip(".,;:!?'\"()[]{}*#$%&|") or text
-        packed = zlib.crc32(bare.encode()) % WORDS << 48 | (zlib.crc32(shape(text).encode()) & 0xFFFF) << 32 | zlib.crc32(text.lower().encode())
+        low = word.lower()
+        bare = low.strip(_MARKS) or low
+        packed = zlib.crc32(bare) % WORDS << 48 | (zlib.crc32(shape(word)) & 0xFFFF) << 32 | zlib.crc32(low)
         if len(self) > MEMO:
             self.clear()
         self[word] = packed
@@ -167,6 +170,7 @@ def split_point(scores: np.ndarray, good: np.ndarray) -> float:
 def select(docs: DataFrame, labels: DataFrame, keep: float | None = None, sample: int = 20_000, seed: int = 11) -> DataFrame:
     """The documents that importance resampling selects: docs' rows and
     columns, with _score (log importance weight) and _key (with Gumbel noise).
+    Rows are scored again on their way, so texts are never shuffled.
 
     The target is a sample of at most `sample` documents of quality 1, by hash
     of doc_id. `keep` is the share of the corpus to select; by default it is
@@ -178,8 +182,20 @@ def select(docs: DataFrame, labels: DataFrame, keep: float | None = None, sample
     kept; an empty table gives no rows. Columns named _score and _key are
     replaced.
     """
-    prepare(docs.sparkSession)
     docs = docs.select([c for c in docs.columns if c not in ("_score", "_key")])
+    ratios, _, chosen = decide(docs, labels, keep, sample, seed)
+    return scored(docs, ratios).withColumn("_key", F.col("_score") + gumbel(seed, "doc_id")).where(chosen)
+
+
+def selected(docs: DataFrame, labels: DataFrame, keep: float | None = None, sample: int = 20_000, seed: int = 11) -> DataFrame:
+    """doc_id, _score, _key of the documents that select() selects."""
+    _, keys, chosen = decide(docs, labels, keep, sample, seed)
+    return keys.withColumnRenamed("key", "_key").where(chosen)
+
+
+def decide(docs: DataFrame, labels: DataFrame, keep: float | None, sample: int, seed: int) -> tuple[np.ndarray, DataFrame, Column]:
+    """(log ratios, keys of all documents, the condition of a selected row)."""
+    prepare(docs.sparkSession)
     marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     drawn = [marked.where(F.col("quality") == v).orderBy(F.xxhash64("doc_id", F.lit(seed))).limit(sample) for v in (0, 1)]
     ratios = log_ratios(counted(docs.select("doc_id", "text"), drawn[1]))
@@ -194,5 +210,4 @@ def select(docs: DataFrame, labels: DataFrame, keep: float | None = None, sample
             k = keys.where(F.col("_score") >= split_point(known["_score"].to_numpy(), known["quality"].to_numpy())).count()
     least, last = boundary(keys, k)
     tied = F.lit(True) if last is None else F.coalesce(F.col("doc_id") <= last, F.lit(False))
-    out = scored(docs, ratios).withColumn("_key", key)
-    return out.where((F.col("_key") > least) | ((F.col("_key") == least) & tied))
+    return ratios, keys, (F.col("_key") > least) | ((F.col("_key") == least) & tied)

@@ -29,7 +29,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = quality.select(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    kept = quality.selected(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return kept.select("doc_id", F.col("_score").alias("log_weight"), F.col("_key").alias("gumbel_key"))
 
 
