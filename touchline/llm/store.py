@@ -21,6 +21,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +39,26 @@ KEY = 16
 SENT = 200_000
 
 
+@lru_cache(maxsize=1)
+def _drawn() -> np.ndarray:
+    """A 64-bit number for each id (its low 16 bits), by a mixing function."""
+    with np.errstate(over="ignore"):
+        x = np.arange(1, 65_537, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Where the chunks of an id stream end."""
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
     with np.errstate(over="ignore"):
-        mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        sums = np.cumsum(mixed)
+        sums = np.cumsum(_drawn()[ids & np.uint32(0xFFFF)])
         rolled = sums.copy()
         rolled[SPAN:] -= sums[:-SPAN]
-        rolled = (rolled * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - (USUAL - LEAST).bit_length())
+        rolled >>= np.uint64(64 - (USUAL - LEAST).bit_length())
     marks = (np.flatnonzero(rolled == 0) + 1).tolist()
     out, last = [], 0
     for m in [*marks, n]:

@@ -11,7 +11,9 @@ from __future__ import annotations
 import os
 import sys
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
+
+import numpy as np
 
 #: A memo is emptied beyond so many pieces; longer pieces aren't kept.
 MEMO, LONGEST = 1_000_000, 64
@@ -53,18 +55,18 @@ class Encoder:
             return b"".join(got)
         except TypeError:  # None: some pieces are new
             at = [i for i, x in enumerate(got) if x is None]
-            stems = {p: self.stem(p) for p in {pieces[i] for i in at}}
-            if not all(map(self.apart, stems)):
-                return None
-            new = list({s for s, _ in stems.values() if s not in memo})
-            known = dict(zip(new, self.learn(new), strict=True)) if new else {}
-            known |= {p: (known[s] if s in known else memo[s]) + end for p, (s, end) in stems.items()}
-            for i in at:
-                got[i] = known[pieces[i]]
-            if len(memo) > MEMO:
-                memo.clear()
-            memo.update({p: v for p, v in known.items() if len(p) <= LONGEST})
-            return b"".join(got)
+        stems = {p: self.stem(p) for p in {pieces[i] for i in at}}
+        if not all(map(self.apart, stems)):
+            return None
+        new = list({s for s, _ in stems.values() if s not in memo})
+        known = dict(zip(new, self.learn(new), strict=True)) if new else {}
+        known |= {p: (known[s] if s in known else memo[s]) + end for p, (s, end) in stems.items()}
+        for i in at:
+            got[i] = known[pieces[i]]
+        if len(memo) > MEMO:
+            memo.clear()
+        memo.update({p: v for p, v in known.items() if len(p) <= LONGEST})
+        return b"".join(got)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""
@@ -99,10 +101,32 @@ class Bytes(Encoder):
     A piece that starts with a line end stands for the two; others, but the
     first of a text, for a space and themselves."""
 
+    @cached_property
+    def begins(self) -> np.ndarray:
+        """Whether a token starts with a space, for each id."""
+        vocabulary = self.tokenizer.get_vocab()
+        out = np.zeros(max(vocabulary.values()) + 1, bool)
+        # byte-level vocabularies write the space as this letter
+        out[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        return out
+
     def learn(self, stems: list[str]) -> list[bytes]:
-        line = self.raw("\n")
-        turned = super().learn([p[1:] if p[0] in "\n\x00" else " " + p for p in stems])
-        return [line + v if p[0] == "\n" else v for p, v in zip(stems, turned, strict=True)]
+        out = dict.fromkeys(stems, b"")
+        # pieces after a space: encoded in one text, where each starts with a token that has the space
+        spaced = [p for p in stems if p[0] not in "\n\x00"]
+        if spaced:
+            ids = np.array(self.batch([" " + " ".join(spaced)], add_special_tokens=False)[0].ids, "<u4")
+            at = (np.flatnonzero(self.begins[ids]) * 4).tolist()
+            if len(at) == len(spaced) and at[0] == 0:
+                data = ids.tobytes()
+                out.update((p, data[a:b]) for p, a, b in zip(spaced, at, [*at[1:], len(data)], strict=True))
+            else:  # a vocabulary that doesn't mark spaces so
+                out.update(zip(spaced, super().learn([" " + p for p in spaced]), strict=True))
+        first = [p for p in stems if p[0] in "\n\x00"]
+        if first:
+            line = self.raw("\n")
+            out.update((p, line + v if p[0] == "\n" else v) for p, v in zip(first, super().learn([p[1:] for p in first]), strict=True))
+        return list(out.values())
 
     def apart(self, piece: str) -> bool:
         own = piece[1:] if piece[:1] in ("\n", "\x00") else piece
