@@ -88,7 +88,7 @@ def apportioned(parties: DataFrame, within: list[str], tie: list[str], votes: st
     return rows.join(won, condition, "left").select(*parties.columns, (F.col("_sure") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: int = 2, block: int = 256, shard_rows: int = 20_000, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: int = 2, block: int = 256, shard_rows: int = 4_000, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs.
 
     size is the text's number of words (null: 0); target is the source's; taken
@@ -130,7 +130,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, block: int = 256, sh
     on = placed.join(F.broadcast(tape) if quotas.count() <= 100_000 else tape, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard"))).select("_row", "source", "shard", "_from", "size", "cell_size")
     copies = on.where("size > 0").select("_row", "source", "shard", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda c: F.col("_from") + c * F.col("cell_size"))).alias("_from"))
     touched = copies.select("_row", "source", "shard", "_from", (F.col("_from") + F.col("size")).alias("_to"), F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_from") + F.col("size") - 1) / block))).alias("block"))
-    met = touched.join(chosen, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")) & (F.col("block") == F.col("_block")), "left_semi")
+    # blocks are many times their shards' rows, which Spark's estimate misses: never broadcast them
+    met = touched.join(chosen.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")) & (F.col("block") == F.col("_block")), "left_semi")
     inside = F.least("_to", (F.col("block") + 1) * block) - F.greatest("_from", F.col("block") * block)
     taken = met.groupBy("_row").agg(F.sum(inside).cast("long").alias("taken"))
     return placed.join(taken, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
