@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _load() -> None:
-    from touchline.plans import aggregates, identity, joins, motion, reports, scalars, scans, teams  # noqa: F401
+    from touchline.plans import aggregates, identity, joins, motion, reports, scalars, scans, streams, teams  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -61,10 +61,10 @@ def _(v):
 @query("e3_team_hull", """WITH p AS (SELECT DISTINCT seq, frame_id, team_id, x_m AS x, y_m AS y FROM v_outfield WHERE frame_id % 4 = 0),
 e AS (SELECT a.seq, a.frame_id, a.team_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS ty FROM p a JOIN p b ON a.seq = b.seq AND a.frame_id = b.frame_id AND a.team_id = b.team_id AND (a.x, a.y) <> (b.x, b.y)
   WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.seq = a.seq AND c.frame_id = a.frame_id AND c.team_id = a.team_id AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < -1e-9 OR (abs((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) <= 1e-9 AND ((b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) > (b.x - a.x)^2 + (b.y - a.y)^2 + 1e-9 OR (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) < -1e-9)))))
-SELECT seq, frame_id, team_id, round(sum(ax * ty - bx * ay) / 2, 3) AS convex_hull_area_m2 FROM e GROUP BY ALL HAVING sum(ax * ty - bx * ay) / 2 > 1e-6""")
+SELECT seq, frame_id, team_id, round(sum(ax * ty - bx * ay) / 2, 6) AS convex_hull_area_m2 FROM e GROUP BY ALL HAVING sum(ax * ty - bx * ay) / 2 > 1e-6""")
 def _(v):
     h = K.team_hull(v.track.where(X.outfield()).where("frame_id % 4 = 0"))
-    return h.where("convex_hull_area_m2 IS NOT NULL").select("seq", "frame_id", "team_id", F.round("convex_hull_area_m2", 3).alias("convex_hull_area_m2"))
+    return h.where("convex_hull_area_m2 IS NOT NULL").select("seq", "frame_id", "team_id", F.round("convex_hull_area_m2", 6).alias("convex_hull_area_m2"))
 
 
 @query("g1_farthest_players", f"WITH {STEP} SELECT seq, track_id, distance_m FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY distance_m DESC, track_id) AS r FROM (SELECT seq, track_id, round(sum(distance_m), 2) AS distance_m FROM s GROUP BY seq, track_id)) WHERE r <= 5")
