@@ -69,4 +69,5 @@ def _(v):
 
 @query("k7_hourly_events", "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL")
 def _(v):
-    return O.drained(O.hourly(O.replayed(v.spark, v.table("events").select("ts", "event_type"), "ts")))
+    rows = v.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return O.drained(O.hourly(O.replayed(v.spark, rows, "ts"))).withColumn("hour", F.col("hour").cast("timestamp_ntz"))

@@ -109,10 +109,10 @@ def telemetry(stream: DataFrame) -> DataFrame:
 
 
 def sliding_counts(stream: DataFrame, frames: int = 220, every: int = 40) -> DataFrame:
-    """Rows of each track in sliding windows of frames, a frame counted as a
-    second of event time."""
+    """Rows of each track in sliding windows [end - frames, end), ends at
+    multiples of `every`; a frame counts as a second of event time."""
     timed = stream.withColumn("ts", F.timestamp_seconds(F.col("frame_id")))
-    w = timed.withWatermark("ts", f"{frames} seconds").groupBy("seq", "track_id", F.window("ts", f"{frames} seconds", f"{every} seconds").alias("w"))
+    w = timed.withWatermark("ts", f"{frames} seconds").groupBy("seq", "track_id", F.window("ts", f"{frames} seconds", f"{every} seconds", f"{frames % every} seconds").alias("w"))
     return w.agg(F.count("*").alias("n")).select("seq", "track_id", F.unix_timestamp("w.end").alias("end"), "n")
 
 
