@@ -98,7 +98,9 @@ class Part:
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct, the place of each, whether it occurs twice here)."""
-    hashes = hashes.reshape(len(hashes), -1)
+    hashes = hashes if hashes.ndim == 2 else hashes[:, None]
+    if not len(hashes):
+        return hashes, np.zeros(0, np.int64), np.zeros(0, bool)
     order = np.lexsort(hashes.T[::-1])
     own = hashes[order]
     first = np.ones(len(own), bool)
@@ -167,16 +169,19 @@ def remove_repeats(docs: DataFrame, window: int = 35, part_bytes: int = 4 << 20,
     kept = docs.select([c for c in docs.columns if c not in added])
     total = kept.agg(F.sum(F.octet_length(text))).first()[0]
     n = parts_for(total, part_bytes)
-    dealt = kept.withColumn("_part", F.pmod(F.xxhash64(*[c for c in kept.columns if c in ("doc_id", text)]), F.lit(n)).cast("long"))
+    mine = "_part"
+    while mine in kept.columns:
+        mine += "_"
+    dealt = kept.withColumn(mine, F.pmod(F.xxhash64(*[c for c in kept.columns if c in ("doc_id", text)]), F.lit(n)).cast("long"))
 
     def first(table: pa.Table) -> pa.Table:
         part = Part(table.column(text), window)
-        return _send(table.column("_part")[0].as_py(), part.anchors()[1], n)
+        return _send(table.column(mine)[0].as_py(), part.anchors()[1], n)
 
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
         part = Part(left.column(text), window)
         where, hashes = part.anchors()
-        return _send(left.column("_part")[0].as_py(), part.windows(where[_seen(right, 0, hashes, n)])[1], n)
+        return _send(left.column(mine)[0].as_py(), part.windows(where[_seen(right, 0, hashes, n)])[1], n)
 
     names = list(kept.columns)
     schema = T.StructType([*kept.schema.fields, *T._parse_datatype_string("n_words long, n_removed long, removed array<struct<begin:long,end:long>>, kept_sha256 string, kept_text string").fields])
@@ -212,9 +217,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, part_bytes: int = 4 << 20,
     def asked(sent: DataFrame, kind: int, wide: int) -> DataFrame:
         return sent.groupBy("bucket").applyInArrow(_answers(kind, wide), ANSWER)
 
-    anchors = asked(dealt.groupBy("_part").applyInArrow(first, SENT), 0, 1).withColumnRenamed("part", "_part")
-    windows = asked(dealt.groupBy("_part").cogroup(anchors.groupBy("_part")).applyInArrow(second, SENT), 1, 2).withColumnRenamed("part", "_part")
-    return dealt.groupBy("_part").cogroup(anchors.unionByName(windows).groupBy("_part")).applyInArrow(third, schema)
+    anchors = asked(dealt.groupBy(mine).applyInArrow(first, SENT), 0, 1).withColumnRenamed("part", mine)
+    windows = asked(dealt.groupBy(mine).cogroup(anchors.groupBy(mine)).applyInArrow(second, SENT), 1, 2).withColumnRenamed("part", mine)
+    return dealt.groupBy(mine).cogroup(anchors.unionByName(windows).groupBy(mine)).applyInArrow(third, schema)
 
 
 def without(text: str, ranges: list[tuple[int, int]]) -> str:

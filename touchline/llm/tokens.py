@@ -38,7 +38,7 @@ class Encoder:
     def stem(self, piece: str) -> tuple[str, bytes]:
         """A piece without the one comma or stop that ends it after a letter,
         and that mark's ids: no token holds letters and other marks."""
-        if piece[-1:] in self.marks and piece[-2:-1].isalpha():
+        if piece[-1:] in self.marks and piece[-2:-1].lower().isalpha():
             return piece[:-1], self.marks[piece[-1]]
         return piece, b""
 
