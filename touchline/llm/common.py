@@ -64,7 +64,7 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     spark = df.sparkSession
     path = table_path(spark, name)
     schema = df.schema
-    writer = df.write.option("compression", "zstd")
+    writer = df.write
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     for f in schema:
         f.nullable = True
