@@ -142,6 +142,52 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 FROM d LEFT JOIN g USING (doc_id)
 """
 
+OP9 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source,
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 2 AS most FROM s
+), c AS (
+  SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS total,
+         coalesce(sum(most) OVER b, 0) AS used, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS weights
+  FROM w WINDOW b AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT total, used, weights FROM c WHERE weight * (total - used) / weights <= most ORDER BY most / weight, source NULLS LAST LIMIT 1
+), t AS (
+  SELECT c.source, source_size, n, coalesce(least(weight * (l.total - l.used) / l.weights, most::DOUBLE), most::DOUBLE) AS target FROM c LEFT JOIN l ON true
+), q AS (
+  SELECT source, seat, row_number() OVER (ORDER BY target / (2 * seat - 1) DESC, source NULLS LAST) AS r
+  FROM (SELECT source, target, unnest(range(1, ceil(source_size * 2 / 256)::BIGINT + 1)) AS seat FROM t) WHERE target > 0
+), p AS (
+  SELECT t.*, (SELECT count(*) FROM q WHERE q.source IS NOT DISTINCT FROM t.source AND r <= (SELECT round(sum(target) / 256) FROM t)) AS quota FROM t
+), x AS (
+  SELECT rid, doc_id, d.source, size, source_size, target, quota, h, h % ceil(n / 4000)::BIGINT AS shard
+  FROM (SELECT *, ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null') || '|' || size), 1, 15))::BIGINT AS h FROM d) d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), k AS (
+  SELECT source, shard, sum(size)::BIGINT AS cell, any_value(quota) AS source_quota FROM x GROUP BY source, shard
+), ks AS (
+  SELECT source, shard, source_quota, row_number() OVER (PARTITION BY source ORDER BY cell::DOUBLE / (2 * seat - 1) DESC, shard) AS r
+  FROM (SELECT *, unnest(range(1, ceil(cell * 2 / 256)::BIGINT + 1)) AS seat FROM k) WHERE cell > 0
+), kq AS (
+  SELECT k.*, (SELECT count(*) FROM ks WHERE ks.source IS NOT DISTINCT FROM k.source AND ks.shard = k.shard AND r <= ks.source_quota) AS quota FROM k
+), b AS (
+  SELECT source, shard, quota, block, row_number() OVER (PARTITION BY source, shard ORDER BY ('0x' || substr(md5('mix-blocks|' || coalesce(source, 'null') || '|' || shard || '|' || block), 1, 15))::BIGINT, block) AS r
+  FROM (SELECT *, unnest(range(0, ceil(cell * 2 / 256)::BIGINT)) AS block FROM kq)
+), o AS (
+  SELECT rid, x.source, x.shard, size, coalesce(sum(size) OVER (PARTITION BY x.source, x.shard ORDER BY h, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM x
+), y AS (
+  SELECT rid, o.source, o.shard, size, pos + copy * cell AS a FROM o JOIN k ON o.source IS NOT DISTINCT FROM k.source AND o.shard = k.shard CROSS JOIN range(0, 2) r(copy) WHERE size > 0
+), g AS (
+  SELECT rid, sum(least(a + size, (y.block + 1) * 256) - greatest(a, y.block * 256))::BIGINT AS taken
+  FROM (SELECT *, unnest(range((a // 256)::BIGINT, ((a + size - 1) // 256)::BIGINT + 1)) AS block FROM y) y JOIN b ON y.source IS NOT DISTINCT FROM b.source AND y.shard = b.shard AND y.block = b.block AND b.r <= b.quota
+  GROUP BY rid
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM x LEFT JOIN g USING (rid)
+"""
+
 OP10 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
@@ -164,4 +210,4 @@ FROM v JOIN m USING (vec_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": OP3, "op4_extendible_sharding": op4_sql(SHARD_BYTES), "op7_substring_dedup": OP7, "op10_embedding_near_dedup": OP10}
+    return {"op3_exact_top_k": OP3, "op4_extendible_sharding": op4_sql(SHARD_BYTES), "op7_substring_dedup": OP7, "op9_source_mixing": OP9, "op10_embedding_near_dedup": OP10}
