@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,15 +123,20 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
 
+def let(v: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once: a lambda's variable is bound, where
+    an expression used twice would run twice for each element."""
+    return F.get(F.transform(F.array(v), f), F.lit(0))
+
+
 def softmax(v: Column) -> Column:
-    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(e, lambda x: x / total(e))
+    e = let(v, lambda a: let(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m))))
+    return let(e, lambda a: let(total(a), lambda s: F.transform(a, lambda x: x / s)))
 
 
 def renormalised(v: Column, least: float = 1e-8) -> Column:
     """v over its sum; zeros where the sum is at most `least`."""
-    s = total(v)
-    return F.transform(v, lambda x: F.when(s > least, x / F.when(s > least, s)).otherwise(F.lit(0.0)))
+    return let(v, lambda a: let(total(a), lambda s: F.transform(a, lambda x: F.when(s > least, x / F.when(s > least, s)).otherwise(F.lit(0.0)))))
 
 
 def number_vector(length: Column, tens: Column, ones: Column) -> Column:

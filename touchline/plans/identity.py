@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from touchline.functions import exprs as X
 from touchline.operators import identity as I
@@ -51,9 +52,10 @@ def _(v):
     return s.select("track_id", F.explode("scores").alias("number", "score")).select("track_id", "number", F.round("score", 6).alias("score"))
 
 
-@query("f11_mode_switch", """SELECT DISTINCT seq, track_id, 20 AS split, 14 AS left_mode, 9 AS right_mode FROM v_num WHERE track_id % 3 = 0""")
+@query("f11_mode_switch", """SELECT seq, track_id, CAST(count(*) // 2 AS INT) AS split, 14 AS left_mode, 9 AS right_mode FROM v_num GROUP BY seq, track_id""")
 def _(v):
-    t = v.num.where("track_id % 3 = 0 AND frame_id <= 40").select("seq", "track_id", "frame_id", F.when(F.col("frame_id") <= 20, 14).otherwise(9).alias("number"))
+    half = F.floor(F.count("*").over(Window.partitionBy("seq", "track_id")) / 2)
+    t = v.num.select("seq", "track_id", "frame_id", F.when(F.col("frame_id") <= half, 14).otherwise(9).alias("number"))
     s = I.mode_switch(t)
     return s.select("seq", "track_id", *[F.col(c).cast("int").alias(c) for c in ("split", "left_mode", "right_mode")])
 

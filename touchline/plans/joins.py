@@ -67,10 +67,11 @@ def _(v):
     return rows.where(F.col("_f") == F.col("frame_id") - 1).select("event_id", F.round(F.col("x_m") - F.col("_x"), 6).alias("dx"))
 
 
-@query("d7_frame_overlap", "SELECT a.seq, a.track_id AS a, b.track_id AS b, len(list_intersect(a.f, b.f)) > 0 AS overlap FROM (SELECT seq, track_id, list(frame_id) FILTER (WHERE frame_id % 9 = track_id % 9) AS f FROM v_num GROUP BY 1, 2) a JOIN (SELECT seq, track_id, list(frame_id) FILTER (WHERE frame_id % 9 = track_id % 9) AS f FROM v_num GROUP BY 1, 2) b ON a.seq = b.seq AND b.track_id = a.track_id + 7")
+@query("d7_frame_overlap", "SELECT a.seq, a.track_id AS a, b.track_id AS b, len(list_intersect(a.f, b.f)) > 0 AS overlap FROM (SELECT seq, track_id, list(frame_id * 9 + track_id % 2) AS f FROM v_num GROUP BY 1, 2) a JOIN (SELECT seq, track_id, list(frame_id * 9 + track_id % 3) AS f FROM v_num GROUP BY 1, 2) b ON a.seq = b.seq AND b.track_id = a.track_id + 7")
 def _(v):
-    f = v.num.groupBy("seq", "track_id").agg(F.collect_list(F.when(F.col("frame_id") % 9 == F.col("track_id") % 9, F.col("frame_id"))).alias("f"))
-    b = f.select("seq", F.col("track_id").alias("b"), (F.col("track_id") - 7).alias("a"), F.col("f").alias("g"))
+    f = v.num.groupBy("seq", "track_id").agg(F.collect_list(F.col("frame_id") * 9 + F.col("track_id") % 2).alias("f"), F.collect_list(F.col("frame_id") * 9 + F.col("track_id") % 3).alias("g"))
+    b = f.select("seq", F.col("track_id").alias("b"), (F.col("track_id") - 7).alias("a"), "g")
+    f = f.drop("g")
     return f.withColumnRenamed("track_id", "a").join(b, ["seq", "a"]).select("seq", "a", "b", F.arrays_overlap("f", "g").alias("overlap"))
 
 
@@ -98,16 +99,17 @@ def _(v):
     return v.num.join(F.broadcast(allowed), "seq", "left_semi").select("event_id")
 
 
-@query("d11_first_player_at_ball", "SELECT b.seq, b.frame_id, min(p.track_id) AS holder FROM (SELECT seq, frame_id, x + w / 2 AS bx, y + h * 0.9 AS cy FROM v_box WHERE track_id BETWEEN 7 AND 13) b JOIN v_box p ON p.seq = b.seq AND p.frame_id = b.frame_id AND bx BETWEEN p.x AND p.x + p.w AND cy BETWEEN p.y + p.h * 0.7 AND p.y + p.h GROUP BY 1, 2")
+@query("d11_first_player_at_ball", "SELECT b.event_id, min(p.track_id) AS holder FROM (SELECT event_id, seq, frame_id, x + w / 2 AS bx, y + h * 0.9 AS cy FROM v_box) b JOIN v_box p ON p.seq = b.seq AND p.frame_id = b.frame_id AND bx BETWEEN p.x AND p.x + p.w AND cy BETWEEN p.y + p.h * 0.7 AND p.y + p.h GROUP BY 1")
 def _(v):
-    ball = v.box.where("track_id BETWEEN 7 AND 13").select("seq", "frame_id", (F.col("x") + F.col("w") / 2).alias("bx"), (F.col("y") + F.col("h") * 0.9).alias("by"))
-    return v.box.join(ball, M.FRAME).where(X.foot_zone(F.col("bx"), F.col("by"), X.box(), 0.3)).groupBy("seq", "frame_id").agg(F.min_by("track_id", "track_id").alias("holder"))
+    """A ball at each box's feet."""
+    ball = v.box.select("seq", "frame_id", F.col("event_id").alias("ball"), (F.col("x") + F.col("w") / 2).alias("bx"), (F.col("y") + F.col("h") * 0.9).alias("by"))
+    return v.box.join(ball, M.FRAME).where(X.foot_zone(F.col("bx"), F.col("by"), X.box(), 0.3)).groupBy(F.col("ball").alias("event_id")).agg(F.min("track_id").alias("holder"))
 
 
-@query("d12_best_candidate", "SELECT seq, frame_id, g_id, max_by(p_id, iou) AS p_id, count(*) - 1 AS extra FROM (SELECT g.seq, g.frame_id, g.track_id AS g_id, p.track_id AS p_id, -abs(p.x - g.x) AS iou FROM v_gtbox g JOIN v_box p ON p.seq = g.seq AND p.frame_id = g.frame_id AND p.cls = g.cls AND p.track_id <= 40 WHERE g.track_id BETWEEN 7 AND 13) GROUP BY 1, 2, 3")
+@query("d12_best_candidate", "SELECT seq, frame_id, g_id, max_by(p_id, iou) AS p_id, count(*) - 1 AS extra FROM (SELECT g.seq, g.frame_id, g.track_id AS g_id, p.track_id AS p_id, -abs(p.x - g.x) AS iou FROM v_gtbox g JOIN v_box p ON p.seq = g.seq AND p.frame_id = g.frame_id AND p.cls = g.cls) GROUP BY 1, 2, 3")
 def _(v):
-    g = v.gtbox.where("track_id BETWEEN 7 AND 13").select("seq", "frame_id", "cls", F.col("track_id").alias("g_id"), F.col("x").alias("gx"))
-    both = v.box.where("track_id <= 40").join(g, ["seq", "frame_id", "cls"])
+    g = v.gtbox.select("seq", "frame_id", "cls", F.col("track_id").alias("g_id"), F.col("x").alias("gx"))
+    both = v.box.join(g, ["seq", "frame_id", "cls"])
     return both.groupBy("seq", "frame_id", "g_id").agg(F.max_by("track_id", -F.abs(F.col("x") - F.col("gx"))).alias("p_id"), (F.count("*") - 1).alias("extra"))
 
 

@@ -58,12 +58,12 @@ def _(v):
 
 #: Another form of the hull's area: a sum over the directed pairs that have every
 #: other point on their left.
-@query("e3_team_hull", """WITH p AS (SELECT DISTINCT seq, frame_id, team_id, x_m AS x, y_m AS y FROM v_outfield WHERE frame_id % 4 = 0),
+@query("e3_team_hull", """WITH p AS (SELECT DISTINCT seq, frame_id, team_id, x_m AS x, y_m AS y FROM v_outfield),
 e AS (SELECT a.seq, a.frame_id, a.team_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS ty FROM p a JOIN p b ON a.seq = b.seq AND a.frame_id = b.frame_id AND a.team_id = b.team_id AND (a.x, a.y) <> (b.x, b.y)
   WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.seq = a.seq AND c.frame_id = a.frame_id AND c.team_id = a.team_id AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < -1e-9 OR (abs((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) <= 1e-9 AND ((b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) > (b.x - a.x)^2 + (b.y - a.y)^2 + 1e-9 OR (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) < -1e-9)))))
 SELECT seq, frame_id, team_id, round(sum(ax * ty - bx * ay) / 2, 6) AS convex_hull_area_m2 FROM e GROUP BY ALL HAVING sum(ax * ty - bx * ay) / 2 > 1e-6""")
 def _(v):
-    h = K.team_hull(v.track.where(X.outfield()).where("frame_id % 4 = 0"))
+    h = K.team_hull(v.track.where(X.outfield()))
     return h.where("convex_hull_area_m2 IS NOT NULL").select("seq", "frame_id", "team_id", F.round("convex_hull_area_m2", 6).alias("convex_hull_area_m2"))
 
 
@@ -77,7 +77,7 @@ def _(v):
     return v.track.where("frame_id % 5 = 0").select("event_id")
 
 
-@query("f5_gap_interpolation", """WITH t AS (SELECT seq, track_id, frame_id, CASE WHEN event_type <> 'click' THEN x_m END AS x FROM v_num WHERE track_id < 7),
+@query("f5_gap_interpolation", """WITH t AS (SELECT track_id AS seq, frame_id, CASE WHEN event_type <> 'click' THEN x_m END AS x FROM v_num),
 n AS (SELECT *, max(CASE WHEN x IS NOT NULL THEN frame_id END) OVER (PARTITION BY seq ORDER BY frame_id) AS f0, min(CASE WHEN x IS NOT NULL THEN frame_id END) OVER (PARTITION BY seq ORDER BY frame_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f1 FROM t)
 SELECT n.seq, n.frame_id, round(CASE WHEN n.x IS NOT NULL THEN n.x WHEN f0 IS NULL THEN b.x WHEN f1 IS NULL THEN a.x ELSE a.x + (n.frame_id - f0) / (f1 - f0)::DOUBLE * (b.x - a.x) END, 6) AS x
 FROM n LEFT JOIN t a ON a.seq = n.seq AND a.frame_id = f0 LEFT JOIN t b ON b.seq = n.seq AND b.frame_id = f1""")
@@ -98,15 +98,16 @@ def _(v):
     balls = F.struct((F.col("x") + 5).alias("x"), (F.col("y") + 60).alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"), "score", "track_id")
     players = F.struct(F.col("track_id").alias("track"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
     by_track = lambda c, k: F.transform(F.array_sort(F.collect_list(F.struct(F.col("track_id").alias("k"), c.alias("v")))), lambda s: s["v"])
-    frames = v.box.groupBy("seq", "frame_id").agg(F.filter(by_track(F.when(F.col("track_id") < 14, balls), "b"), lambda b: b.isNotNull()).alias("balls"), by_track(players, "p").alias("players"))
+    frames = v.box.groupBy("seq", "frame_id").agg(F.filter(by_track(balls, "b"), lambda b: b.isNotNull()).alias("balls"), by_track(players, "p").alias("players"))
     m = F.array(*[F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0)])
     return J.ball_trajectory(frames.withColumn("m", m)).select("seq", "frame_id")
 
 
-@query("f12_ball_viterbi_single", "SELECT seq, frame_id, round(x_m * 18, 4) AS x FROM v_num WHERE track_id BETWEEN 7 AND 13")
+@query("f12_ball_viterbi_single", "SELECT track_id AS seq, frame_id, round(x_m * 18, 4) AS x FROM v_num")
 def _(v):
-    """With one sure candidate in each frame, the path is that candidate."""
-    one = v.box.where("track_id BETWEEN 7 AND 13")
+    """With one sure candidate in each frame, the path is that candidate; each
+    track is a sequence of its own."""
+    one = v.box.withColumn("seq", F.col("track_id"))
     ball = F.array(F.struct("x", "y", F.lit(10.0).alias("w"), F.lit(10.0).alias("h"), F.lit(1.0).alias("score")))
     none = F.array().cast("array<struct<track:bigint,x1:double,y1:double,x2:double,y2:double>>")
     m = F.array(*[F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0)])
@@ -123,11 +124,11 @@ def _(v):
     return J.cameras(cams).select("seq", "frame_id", F.round("fx", 6).alias("fx"))
 
 
-@query("d16_non_maximum_suppression", """SELECT seq, frame_id, track_id FROM v_box a WHERE frame_id % 6 = 0 AND NOT EXISTS (SELECT 1 FROM v_box b WHERE b.seq = a.seq AND b.frame_id = a.frame_id AND (b.score, -b.track_id) > (a.score, -a.track_id)
+@query("d16_non_maximum_suppression", """SELECT seq, frame_id, track_id FROM v_box a WHERE NOT EXISTS (SELECT 1 FROM v_box b WHERE b.seq = a.seq AND b.frame_id = a.frame_id AND (b.score, -b.track_id) > (a.score, -a.track_id)
   AND greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) > 0.5 * (a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))))""")
 def _(v):
     """Boxes of the view don't overlap in chains, so the SQL's one step is exact."""
-    return J.suppressed(v.box.where("frame_id % 6 = 0")).select("seq", "frame_id", "track_id")
+    return J.suppressed(v.box).select("seq", "frame_id", "track_id")
 
 
 @query("d17_reassociation", """SELECT b.seq, b.frame_id, b.track_id, p.track_id AS matched FROM v_box b LEFT JOIN v_box p ON p.seq = b.seq AND p.track_id = b.track_id AND p.frame_id = b.frame_id - 1

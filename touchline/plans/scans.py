@@ -194,14 +194,14 @@ def _(v):
     return S.every_sequence(v.num.select("seq").distinct(), v.num.where("seq <> 3").groupBy("seq").agg(F.count("*").alias("n")))
 
 
-@query("b4_mot_export", "SELECT seq, frame_id, track_id, printf('%d,%d,%.2f,%.2f,%.2f,%.2f,1,-1,-1,-1', frame_id, track_id, x, y, w, h) AS line FROM v_gtbox WHERE frame_id % 5 = 0")
+@query("b4_mot_export", "SELECT seq, frame_id, track_id, printf('%d,%d,%.2f,%.2f,%.2f,%.2f,1,-1,-1,-1', frame_id, track_id, x, y, w, h) AS line FROM v_gtbox")
 def _(v):
-    return S.mot_lines(v.gtbox.where("frame_id % 5 = 0"))
+    return S.mot_lines(v.gtbox)
 
 
-@query("b5_yolo_export", "SELECT seq, frame_id, string_agg(printf('%d %.9f %.9f %.9f %.9f %d', cls, (x + w / 2) / 1920, (y + h / 2) / 1080, w / 1920, h / 1080, track_id), chr(10) ORDER BY track_id) AS text FROM v_box WHERE frame_id % 10 = 0 GROUP BY seq, frame_id")
+@query("b5_yolo_export", "SELECT seq, frame_id, string_agg(printf('%d %.9f %.9f %.9f %.9f %d', cls, (x + w / 2) / 1920, (y + h / 2) / 1080, w / 1920, h / 1080, track_id), chr(10) ORDER BY track_id) AS text FROM v_box GROUP BY seq, frame_id")
 def _(v):
-    n = v.box.where("frame_id % 10 = 0").select("seq", "frame_id", "track_id", "cls", X.normalised(F.col("x"), F.col("y"), F.col("w"), F.col("h"), 1920, 1080).alias("n")).select("seq", "frame_id", "track_id", "cls", "n.*")
+    n = v.box.select("seq", "frame_id", "track_id", "cls", X.normalised(F.col("x"), F.col("y"), F.col("w"), F.col("h"), 1920, 1080).alias("n")).select("seq", "frame_id", "track_id", "cls", "n.*")
     return S.yolo_lines(n, F.col("cls"), 9)
 
 

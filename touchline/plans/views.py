@@ -53,7 +53,7 @@ SQL = {
     "v_soft": "SELECT CAST(label % 2 AS INT) AS seq, CAST(label AS BIGINT) AS track_id, vec_id AS frame_id, CAST(vec_id % 97 AS DOUBLE) / 97 AS quality, CAST(vec_id % 89 AS DOUBLE) / 89 AS legibility, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) * 12)) AS e FROM embeddings",
     "v_post": "SELECT seq, track_id, frame_id, quality, legibility, list_transform(e, lambda x: x / list_sum(e)) AS probs FROM v_soft",
     "v_report": f"SELECT {', '.join(REPORT)} FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey",
-    "v_ball": "SELECT seq, frame_id, x_m AS x, y_m AS y, 0.4::DOUBLE AS w, event_type FROM v_num WHERE track_id < 7",
+    "v_ball": "SELECT track_id AS seq, frame_id, x_m AS x, y_m AS y, event_type FROM v_num",
 }
 
 
@@ -100,7 +100,8 @@ class Views:
 
     @cached_property
     def ball(self) -> DataFrame:
-        return self.num.where("track_id < 7").selectExpr("seq", "frame_id", "x_m AS x", "y_m AS y", "CAST(0.4 AS DOUBLE) AS w", "event_type")
+        """Each track as the ball of a sequence of its own."""
+        return self.num.selectExpr("track_id AS seq", "frame_id", "x_m AS x", "y_m AS y", "event_type")
 
     @cached_property
     def post(self) -> DataFrame:
