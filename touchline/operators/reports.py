@@ -8,11 +8,11 @@ from pyspark.sql.window import Window
 
 
 def composite(rows: DataFrame) -> DataFrame:
-    """Composite score of each sequence. The largest RMSE is aggregated and
-    joined as one row, so no window gathers the table."""
-    top = rows.agg(F.max("rmse").alias("_top"))
-    s = 0.30 * F.col("f1") + 0.25 * F.col("mota") + 0.20 * F.col("team_accuracy") + 0.15 * (1 - F.col("rmse") / F.col("_top")) + 0.10 * F.col("idf1")
-    return rows.crossJoin(F.broadcast(top)).withColumn("composite", s).drop("_top")
+    """Composite score of each sequence. The largest RMSE is a scalar subquery,
+    so no window gathers the table."""
+    top = rows.agg(F.max("rmse")).scalar()
+    s = 0.30 * F.col("f1") + 0.25 * F.col("mota") + 0.20 * F.col("team_accuracy") + 0.15 * (1 - F.col("rmse") / top) + 0.10 * F.col("idf1")
+    return rows.withColumn("composite", s)
 
 
 def best(rows: DataFrame, metric: str, k: int) -> DataFrame:

@@ -72,6 +72,6 @@ def _(v):
 def _(v):
     s = v.num.select("seq").distinct()
     h = F.md5(F.concat_ws("|", F.lit("7"), F.col("seq").cast("string")))
-    n = s.agg(F.count("*").alias("n"))
-    ranked = s.withColumn("r", F.row_number().over(Window.orderBy(h, "seq"))).crossJoin(F.broadcast(n))
-    return ranked.select("seq", (F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.2))).alias("is_val"))
+    n = s.agg(F.count("*")).scalar()
+    ranked = s.withColumn("r", F.row_number().over(Window.orderBy(h, "seq")))
+    return ranked.select("seq", (F.col("r") <= F.greatest(F.lit(1), F.floor(n * 0.2))).alias("is_val"))

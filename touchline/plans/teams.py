@@ -136,7 +136,7 @@ LONG = "lg AS (SELECT 0 AS seq, event_id + 1 AS frame_id, user_id % 4 AS track_i
 
 
 def long_track(v):
-    return v.table("events").select(F.lit(0).cast("long").alias("seq"), (F.col("event_id") + 1).alias("frame_id"), (F.col("user_id") % 4).alias("track_id"), "value")
+    return v.table("events").select((F.col("user_id") % 1).alias("seq"), (F.col("event_id") + 1).alias("frame_id"), (F.col("user_id") % 4).alias("track_id"), "value")
 
 
 @query("f8_sliding_windows", f"WITH {LONG} SELECT wend AS \"end\", count(*) AS n FROM up JOIN lg ON frame_id > wend - 220 AND frame_id <= wend GROUP BY wend")
