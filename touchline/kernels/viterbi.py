@@ -35,23 +35,23 @@ def ball_path(frames: list[dict], w1: float = 0.6, w2: float = 0.2, w3: float =
         feet = {p["track"]: ((p["x1"] + p["x2"]) / 2, (p["y1"] + p["y2"]) / 2) for p in now["players"]}
         old, old_cost = states[-1], costs[-1]
         carried = [_moved(m, s["x"], s["y"]) if s["x"] is not None else None for s in old]
-        row, row_cost, row_link = [], [], []
-        for b in now["balls"]:
-            least, link = np.inf, -1
-            for i, (s, c) in enumerate(zip(old, old_cost, strict=True)):
-                step = 0.0
-                if carried[i] is not None:
-                    d = float(np.hypot(carried[i][0] - b["x"], carried[i][1] - b["y"]))
-                    if d > delta_P:
-                        continue
-                    step = (d / delta_P) ** 2
-                area = abs(np.log(s["w"] * s["h"] / (b["w"] * b["h"]))) if s["w"] and s["h"] and b["w"] and b["h"] and not s["is_dummy"] else 0.0
-                cost = c + w1 * step + w2 * area + w3 * (lambda_cost if s["is_dummy"] else 0.0) - score_reward * b["score"]
-                if cost < least:
-                    least, link = cost, i
-            row.append(seen(b))
-            row_cost.append(least)
-            row_link.append(link)
+        row, row_cost, row_link = [seen(b) for b in now["balls"]], [], []
+        if row:
+            # costs of all steps from old states (rows) to candidates (columns)
+            known = np.array([c is not None for c in carried])
+            place = np.array([c or (0.0, 0.0) for c in carried])
+            dark = np.array([s["is_dummy"] for s in old])
+            was = np.array([0.0 if s["is_dummy"] else (s["w"] or 0.0) * (s["h"] or 0.0) for s in old])
+            is_ = np.array([b["w"] * b["h"] for b in row])
+            d = np.hypot(place[:, :1] - [[b["x"] for b in row]], place[:, 1:] - [[b["y"] for b in row]])
+            step = np.where(known[:, None], (d / delta_P) ** 2, 0.0)
+            both = (was > 0)[:, None] & (is_ > 0)[None]
+            area = np.abs(np.log(np.where(both, was[:, None], 1.0) / np.where(both, is_[None], 1.0)))
+            cost = np.array(old_cost)[:, None] + w1 * step + w2 * area + w3 * np.where(dark, lambda_cost, 0.0)[:, None] - score_reward * np.array([b["score"] for b in now["balls"]])
+            cost[known[:, None] & (d > delta_P)] = np.inf
+            best = cost.argmin(axis=0)
+            row_cost = cost[best, np.arange(len(row))].tolist()
+            row_link = [int(i) if np.isfinite(c) else -1 for i, c in zip(best, row_cost, strict=True)]
         least, link, chosen = np.inf, -1, dict(hidden)
         for i, (s, c) in enumerate(zip(old, old_cost, strict=True)):
             own = hidden | {"w": s["w"], "h": s["h"]}
