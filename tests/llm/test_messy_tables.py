@@ -185,6 +185,30 @@ def test_similar_groups(spark, docs, empty):
     assert simhash.similar_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("part", [4, 1024])
+def test_bucket_links_connect_all_that_is_near(spark, part):
+    rng = random.Random(8)
+    # 0 is a stranger of smaller id in every bucket; 1-2-3 is a chain; a bucket of many strangers holds one pair
+    flip = lambda x, bits: x ^ sum(1 << b for b in bits)
+    base = rng.getrandbits(128)
+    rows = [(0, rng.getrandbits(128), 5), (1, base, 5), (2, flip(base, range(8)), 5), (3, flip(base, range(16)), 5)]
+    many = [(i, rng.getrandbits(128), 6) for i in range(10, 70)]
+    rows += [*many, (70, flip(many[30][1], [3]), 6), (71, flip(many[30][1], [3]), 7), (72, flip(many[30][1], [4]), 8)]
+    split = [(i, [simhash.signed(x & (1 << 64) - 1), simhash.signed(x >> 64)], k) for i, x, k in rows]
+    got = simhash.bucket_links(spark.createDataFrame(split, "rep long, fp array<long>, key long").repartition(3), 2, 8, part)
+    assert {(r.src, r.dst) for r in got.collect()} == {(2, 1), (3, 2), (70, 40)}
+
+
+def test_similar_groups_beside_strangers_in_every_bucket(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(30)]
+    rows = [*enumerate(texts), (30, texts[20] + " and more"), (31, texts[25] + " and more")]
+    # one bucket for all: masks that hold no bits
+    monkeypatch.setattr(simhash, "masks", lambda *_: [0])
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: i for i in range(30)}, 30: 20, 31: 25}
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs, block=16, shard_rows=10).collect()
     again = mixing.mix(docs.repartition(5), block=16, shard_rows=10).collect()

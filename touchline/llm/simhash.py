@@ -24,6 +24,8 @@ from touchline.llm.common import components, prepare, texts, written
 
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 14
+#: Classes in a block of a large bucket; rows of a small one, whose pairs are compared side by side with those of others.
+PART, FEW = 1024, 32
 
 
 def masks(radius: int, low: int = 0, high: int = 64) -> list[int]:
@@ -124,6 +126,91 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints; a fingerprint is a column of words."""
+    return np.bitwise_count(a ^ b).sum(axis=0, dtype=np.int32)
+
+
+def forest(fp: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
+    """(node, nodes) whose edges connect just what the links connect, those of
+    all pairs at most `most` bits apart. A node is compared with all that no
+    node before it has reached: an edge between two that were reached changes
+    nothing."""
+    out = []
+    left = np.arange(fp.shape[1])
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            node = queue.pop()
+            near = apart(fp[:, node, None], fp[:, left]) <= most
+            if near.any():
+                out.append((node, left[near]))
+                queue.extend(left[near])
+                left = left[~near]
+    return out
+
+
+def linked(cell: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of edges that connect just what the links within cells
+    connect. Rows of one cell stand together."""
+    start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    size = np.diff(np.r_[start, len(cell)])
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    at = np.flatnonzero(np.repeat(size <= FEW, size))
+    end = np.repeat(start + size, size)
+    for step in range(1, FEW):  # each with the step-th after it
+        at = at[at + step < end[at]]
+        near = at[apart(fp[:, at], fp[:, at + step]) <= most]
+        a.append(near)
+        b.append(near + step)
+    for k in np.flatnonzero(size > FEW):
+        for node, others in forest(fp[:, start[k] : start[k] + size[k]], most):
+            a.append(np.full(len(others), start[k] + node))
+            b.append(start[k] + others)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def bucket_links(keyed: DataFrame, words64: int, most: int, part: int = PART) -> DataFrame:
+    """Edges (src, dst) that connect just what links connect: pairs of rows of
+    keyed (rep, fp, key) with one key and fingerprints at most `most` bits apart.
+
+    A bucket of more than `part` rows is cut into blocks by hash, and each two
+    blocks are a cell; other buckets are a cell each. Rows come sorted by cell,
+    so a worker holds a batch and one cell.
+    """
+    large = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > part), "large")
+    # counted first: a row for more than `part` rows of keyed
+    near = F.broadcast(large) if large.count() <= 100_000 else large
+    cut = keyed.join(near, "key", "left").withColumn("blocks", F.ceil(F.col("n") / part).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("own"))
+    cells = F.transform(others, lambda o: F.xxhash64("key", F.least(o, F.col("own")), F.greatest(o, F.col("own"))))
+    dealt = cut.select("rep", "fp", F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(cells)).alias("cell"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(cell: np.ndarray, rep: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            a, b = linked(cell, fp, most)
+            pairs = np.unique(np.stack([np.maximum(rep[a], rep[b]), np.minimum(rep[a], rep[b])]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["src", "dst"])
+
+        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((words64, 0), np.uint64)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, words64).T
+            kept = [np.concatenate(both, axis=-1) for both in zip(kept, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), fp), strict=True)]
+            # the last cell may go on in the next batch
+            last = int(np.searchsorted(kept[0], kept[0][-1]))
+            if last:
+                yield edges(*[x[..., :last] for x in kept])
+                kept = [x[..., last:] for x in kept]
+        if len(kept[0]):
+            yield edges(*kept)
+
+    prepare(keyed.sparkSession)
+    ordered = dealt.select("cell", "rep", "fp").repartition("cell").sortWithinPartitions("cell")
+    return ordered.mapInArrow(run, "src long, dst long").distinct()
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words64: int = 8, narrow: int = 42, radius: int = 2) -> DataFrame:
     """(doc_id, component_id) of documents whose shingles are alike.
 
@@ -135,10 +222,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, w
     fingerprints are as close as the similarity asks. With 512 bits the
     estimate's standard error is about 0.03 of similarity.
 
-    In a bucket each member is compared with the smallest only; members of one
-    group of copies meet in many of the tables. Minima are found with map-side
-    combining, so a large group is no large task. Null texts count as empty and
-    empty texts are alike. Rows without doc_id take no part.
+    In a bucket all distinct fingerprints are compared with each other, large
+    buckets in blocks. Null texts count as empty and empty texts are alike.
+    Rows without doc_id take no part.
     """
     bits = words64 * 64
     # cosine of the shingle sets of two documents of equal size
@@ -151,11 +237,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, w
             own = [(w, (m >> 64 * w) & ((1 << 64) - 1)) for w in range(words64)]
             keys.append(F.xxhash64(F.lit(len(keys)), *[F.col("fp")[w].bitwiseAND(F.lit(signed(x))) for w, x in own if x]))
     keyed = classes.select("rep", "fp", F.explode(F.array(*keys)).alias("key"))
-    low = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
-    met = keyed.select("rep", "key").join(low, "key").where("rep <> low").select("rep", "low").distinct()
-    both = met.join(classes, "rep").join(classes.select(F.col("rep").alias("low"), F.col("fp").alias("fp2")), "low")
-    apart = sum((F.bit_count(F.col("fp")[w].bitwiseXOR(F.col("fp2")[w])) for w in range(words64)), F.lit(0))
-    links = both.where(apart <= most).select(F.col("rep").alias("src"), F.col("low").alias("dst"))
+    links = bucket_links(keyed, words64, most).select("src", "dst")
     found = components(links)
     named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
