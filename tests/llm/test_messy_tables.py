@@ -333,6 +333,16 @@ def test_near_vectors(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], VECTOR_COLUMNS)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 2, 1024])
+def test_near_vectors_keeps_chains_whole(spark, block):
+    # links 1-3, 3-4, 4-2 only: 10 degrees apart in this order
+    rows = [(i, [float(np.cos(np.radians(10 * at))), float(np.sin(np.radians(10 * at)))], 1) for at, i in enumerate((1, 3, 4, 2))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    # one wide cell in one table: all four meet
+    got = embeddings.near_vectors(table, tables=1, width=1, w=1e6, block=block).collect()
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(1, 1, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False)}
+
+
 def labels(spark):
     return spark.createDataFrame([(i, int(i % 5 > 0), int(i % 7 == 0)) for i in range(60)] + [(None, 1, 1), (3, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")
 

@@ -48,7 +48,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, tables: int = 20, wid
     rows. A bucket is cut into blocks of about `block` classes by hash, and a
     task compares two blocks: no bucket is gathered whole. A pair that shares
     several keys is counted in the first of them, and a task returns counts
-    and one edge for each class, so pairs aren't written out. Rows with the
+    and edges that connect what its links connect, fewer than it has classes,
+    so pairs aren't written out. Rows with the
     same vec_id are different vectors; rows of null vec_id take part in counts
     and get no component. Further columns are ignored.
     """
@@ -91,7 +92,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, tables: int = 20, wid
 
     ready = dealt.join(classes, "class").withColumn("_g", group)
     found = written(ready.groupBy("_g").applyInPandas(compare, "class string, links long, src long, dst long"), "links")
-    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+    links = found.where("class IS NOT NULL").groupBy("class").agg(F.sum("links").alias("links"))
     linked = components(found.where("src <> dst").select("src", "dst"))
     named = classes.select("class", "rep", "n").join(links, "class", "left").join(linked, F.col("rep") == F.col("node"), "left")
     named = named.select("class", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
@@ -100,9 +101,26 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, tables: int = 20, wid
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))
 
 
+def forest(met: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links in a symmetric grid."""
+    out: list[tuple[int, int]] = []
+    left = np.flatnonzero(met.any(axis=1))
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            node = queue.pop()
+            near = met[node, left]
+            if near.any():
+                out += [(int(node), int(k)) for k in left[near]]
+                queue.extend(left[near])
+                left = left[~near]
+    return out
+
+
 def compared(own: pd.DataFrame, i: int, j: int, cosine: float) -> list[tuple]:
-    """Links of one task: (class, rows it links with, rep, smallest rep it
-    links with), for the classes of blocks i and j."""
+    """Links of one task, for the classes of blocks i and j: rows (class, rows
+    it links with, null, null) and edges (null, 0, rep, rep) that connect the
+    reps just as the links between them do."""
     lengths = own["v"].map(len)
     if lengths.nunique() > 1:
         return [r for _, part in own.groupby(lengths) if len(part) > 1 for r in compared(part, i, j, cosine)]
@@ -126,9 +144,12 @@ def compared(own: pd.DataFrame, i: int, j: int, cosine: float) -> list[tuple]:
     out: list[tuple] = []
     for here, there, grid in ((left, right, met), *(() if i == j else ((right, left, met.T),))):
         counts = grid @ there["n"].to_numpy()
-        reps = np.where(grid, there["rep"].fillna(np.iinfo(np.int64).max).to_numpy(np.int64)[None, :], np.iinfo(np.int64).max).min(axis=1)
-        for name, count, rep, low in zip(here["class"], counts.tolist(), here["rep"], reps.tolist(), strict=True):
-            if count:
-                known = not pd.isna(rep) and low != np.iinfo(np.int64).max
-                out.append((name, count, int(rep) if known else None, low if known else None))
+        out += [(name, count, None, None) for name, count in zip(here["class"], counts.tolist(), strict=True) if count]
+    if i != j:
+        empty = [np.zeros((n, n), bool) for n in met.shape]
+        met = np.block([[empty[0], met], [met.T, empty[1]]])
+    reps = left["rep"] if i == j else pd.concat([left["rep"], right["rep"]])
+    known = reps.notna().to_numpy()
+    named = reps[known].astype("int64").tolist()
+    out += [(None, 0, named[a], named[b]) for a, b in forest(met[np.ix_(known, known)])]
     return out
