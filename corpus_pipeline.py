@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from touchline.llm import mixing, packing, quality, simhash, substring
-from touchline.llm.common import table_path
+from touchline.llm.common import table_path, written
 from touchline.llm.queries import table, tokenizer
 
 #: No SQL: tokenizers, hashed models and SimHash can't be written in it.
@@ -38,13 +39,35 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: a document of which it takes
-    t of n words stands round(t / n) times, at most twice."""
-    mixed = mixing.mix(docs, share=1.5, most=2).where("size > 0").groupBy("doc_id").agg((F.round(F.sum("taken") / F.sum("size"))).cast("int").alias("_times"))
-    times = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    taken = mixed.where("_times > 0").withColumnRenamed("doc_id", "_doc_id")
+    """Documents as often as the mix takes them: one of which it takes t of n
+    words stands floor(t / n) times or once more, t / n times on average, and
+    at most twice."""
+    return copied(docs, mixing.mix(docs, share=1.5, most=2))
+
+
+def copied(docs: DataFrame, mixed: DataFrame, shard_rows: int = 4_000) -> DataFrame:
+    """docs with whole copies of what `mixed` (doc_id, size, source_size,
+    target, taken) takes. Shares of copies are summed in shards of a source,
+    documents of like size in a row, and a copy falls where the sum passes a
+    whole number: a shard's words differ from those taken by about its longest
+    document. Rows without doc_id draw by their text, each for itself."""
+    one = 1 << 32
+    rate = F.floor(F.sum("taken") / F.sum("size") * one).cast("long").alias("_rate")
+    rates = mixed.where("size > 0").groupBy("doc_id").agg(rate, F.max("size").alias("_size"), F.min(F.struct("source_size", "target")).alias("_source"))
+    rates = written(rates, "rates").withColumnRenamed("doc_id", "_doc_id")
+    # a row for each source; beyond this many, Spark may shuffle it instead
+    counts = rates.groupBy("_source").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("_shards"))
+    counts = F.broadcast(counts) if counts.count() <= 100_000 else counts
+    shard = F.pmod(F.xxhash64(F.lit("shard"), "_doc_id"), F.col("_shards"))
+    by_size = Window.partitionBy("_source", "_shard").orderBy("_size", F.xxhash64("_doc_id"), "_doc_id")
+    start = F.pmod(F.xxhash64(F.lit("start"), "_source", "_shard"), F.lit(one))
+    end = start + F.sum("_rate").over(by_size)
+    whole = F.floor(end / one) - F.floor((end - F.col("_rate")) / one)
+    planned = rates.join(counts, "_source").withColumn("_shard", shard).select("_doc_id", "_rate", whole.cast("int").alias("_times"))
+    drawn = F.floor((F.col("_rate") + F.pmod(F.xxhash64(F.lit("copy"), "text"), F.lit(one))) / one).cast("int")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id"))
-    return docs.join(taken, same).withColumn("_copy", times).select(docs.columns)
+    found = docs.join(planned.where("_rate > 0"), same).withColumn("_times", F.when(F.col("_doc_id").isNull(), drawn).otherwise(F.col("_times")))
+    return found.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -243,6 +243,28 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.2, 0.33, 0.6, 1.4])
+def test_copies_hold_what_the_mix_takes(spark, share):
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    sizes = [rng.choice([rng.randint(1, 100), rng.randint(3000, 9000)]) for _ in range(2000)]
+    total = sum(sizes)
+    # long documents have the source's ratio, short ones all or nothing
+    taken = [round(n * share) if n >= 3000 else n * (rng.random() < share) for n in sizes]
+    mixed = spark.createDataFrame([(i, n, total, total * share, t) for i, (n, t) in enumerate(zip(sizes, taken, strict=True))], "doc_id long, size long, source_size long, target double, taken long")
+    docs = spark.createDataFrame([(i, "x") for i in range(2000)], "doc_id long, text string")
+    times = Counter(r.doc_id for r in corpus_pipeline.copied(docs, mixed, shard_rows=500).collect())
+    assert all(taken[i] // n <= times[i] <= -(-taken[i] // n) for i, n in enumerate(sizes))
+    for part in (range(0, 3000), range(3000, 9001)):
+        want = sum(t for n, t in zip(sizes, taken, strict=True) if n in part)
+        assert abs(sum(sizes[i] * k for i, k in times.items() if sizes[i] in part) - want) <= 6 * 9000
+    # rows without doc_id draw one by one
+    lost = spark.createDataFrame([(None, f"text {i}") for i in range(400)], docs.schema)
+    gone = spark.createDataFrame([(None, 100, 40_000, 40_000 * share, int(100 * share))] * 400, mixed.schema)
+    assert abs(corpus_pipeline.copied(lost, gone).count() - 400 * share) < 60
+
+
 def test_apportionment_by_highest_quotients(spark):
     votes = {"a": 53.0, "b": 24.0, "c": 23.0, "d": 0.0, "e": 24.0}
     for seats in (0, 1, 7, 23, 100):
