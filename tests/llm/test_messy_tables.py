@@ -209,6 +209,25 @@ def test_similar_groups_beside_strangers_in_every_bucket(spark, monkeypatch):
     assert got == {**{i: i for i in range(30)}, 30: 20, 31: 25}
 
 
+@pytest.mark.parametrize("few", [2, 32])
+def test_similar_groups_are_exact_about_the_similarity(spark, monkeypatch, few):
+    rng = random.Random(11)
+    monkeypatch.setattr(simhash, "FEW", few)
+    rows, want = [], {}
+    for i in range(240):
+        words = [f"w{rng.randrange(50_000)}" for _ in range(304)]
+        other = list(words)
+        # k words changed at the end leave 300 - k shingles: 300 - k of 300 + k are common
+        k = (24, 33, 34, 50)[i % 4]
+        other[-k:] = [f"v{rng.randrange(50_000)}" for _ in range(k)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        want[2 * i + 1] = (300 - k) / (300 + k) >= 0.8
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not [d for d, near in want.items() if not near and got[d] != d]
+    assert sum(near and got[d] != d - 1 for d, near in want.items()) <= 3
+    assert all(got[d - 1] == d - 1 for d in want)
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs, block=16, shard_rows=10).collect()
     again = mixing.mix(docs.repartition(5), block=16, shard_rows=10).collect()
