@@ -411,6 +411,11 @@ def test_quality_keeps_text_and_rejects_junk(spark):
     assert sum(i in kept for i in range(600) if i % 6) >= 490
 
 
+def test_shapes_are_of_whole_words():
+    assert quality.shape(b"a" * 300 + b"1") == b"a0"
+    assert quality.shape(b"a1" * 300) == b"a0" * 300
+
+
 def test_boundary_is_exact(spark):
     rng = random.Random(4)
     rows = [(i, float(rng.choice([1.5, 2.5, rng.random()]))) for i in range(500)]

@@ -37,7 +37,7 @@ _MARKS = b".,;:!?'\"()[]{}*#$%&|"
 
 def shape(word: bytes) -> bytes:
     """The word with each run of one kind of character written once."""
-    return _RUNS.sub(rb"\1", word[:200].translate(_KIND))[:24]
+    return _RUNS.sub(rb"\1", word.translate(_KIND))
 
 
 class Grams(dict):
