@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Words are runs of characters other than these ASCII blanks.
@@ -33,16 +35,20 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. spark.checkpoint.dir names it on a
-    cluster; where it is unset (tests, one machine) one is made and set."""
+    cluster; where it is unset and all runs in one process (tests), one is made
+    and set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="touchline-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -54,16 +60,18 @@ def _remove(spark: SparkSession, path: str) -> None:
 def table_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the program ends."""
     path = f"{shared_dir(spark)}/touchline/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(removed, spark, path)
     return path
 
 
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a
     lost executor costs only the tasks it ran."""
-    spark = df.sparkSession
-    path = table_path(spark, name)
-    schema = df.schema
+    return written_at(df, table_path(df.sparkSession, name), partition_by)
+
+
+def written_at(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    spark, schema = df.sparkSession, df.schema
     writer = df.write
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     for f in schema:
@@ -80,8 +88,9 @@ def parts_for(total: int, each: int) -> int:
     return max(1, -(-int(total or 0) // each))
 
 
-def running_start(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
-    """df with `start`: the sum of `value` over all rows before it in `order`.
+def running_start(df: DataFrame, order: list[Column], value: str, name: str, row: str | None = None) -> DataFrame:
+    """df with `start`: the sum of `value` over all rows before it in `order`,
+    and with their number, if `row` names a column for it.
 
     Ranges of rows go to tasks (repartitionByRange) and each is summed on its
     own; what is gathered is one total for each range. The ranged table is
@@ -91,36 +100,80 @@ def running_start(df: DataFrame, order: list[Column], value: str, name: str) ->
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = written(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), name)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = ranged.groupBy("part").agg(F.sum(value).alias("_total")).select("part", F.coalesce(F.sum("_total").over(before), F.lit(0)).cast("long").alias("_base"))
     within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)).cast("long"))
+    sums = {"start": F.sum(value), **({row: F.count("*")} if row else {})}
+    totals = ranged.groupBy("part").agg(*[s.alias(f"_{c}_total") for c, s in sums.items()])
+    bases = totals.select("part", *[F.coalesce(F.sum(f"_{c}_total").over(before), F.lit(0)).cast("long").alias(f"_{c}_base") for c in sums])
+    summed = ranged.withColumns({f"_{c}": F.coalesce(s.over(within), F.lit(0)).cast("long") for c, s in sums.items()})
     # one row for each range: its number is the shuffle's partition count
-    return summed.join(F.broadcast(bases), "part").withColumn("start", F.col("_base") + F.col("_within")).drop("_base", "_within")
+    placed = summed.join(F.broadcast(bases), "part").withColumns({c: F.col(f"_{c}_base") + F.col(f"_{c}") for c in sums})
+    return placed.drop(*[f"_{c}{end}" for c in sums for end in ("", "_base")])
+
+
+def attached(rows: DataFrame, sums: DataFrame, keys: list[str], most: int = 100_000) -> DataFrame:
+    """rows with the other columns of sums (a row for each value of the keys),
+    nulls equal. Up to `most` rows are broadcast, so a hot key is no hot task."""
+    own = sums.select(*[F.col(c).alias(f"_{c}_own") for c in keys], *[c for c in sums.columns if c not in keys])
+    own = F.broadcast(own) if sums.count() <= most else own
+    return rows.join(own, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}_own")) for c in keys]), "left").drop(*[f"_{c}_own" for c in keys])
+
+
+#: Edges of a node beyond which its rows are joined by broadcast.
+LEAST_HUB = 1_000
+
 
+def _hubs(low: DataFrame, most: int) -> DataFrame | None:
+    """The nodes with so many edges that the rows that join them are a task of
+    their own, as a table of at most `most` rows to broadcast; None without."""
+    steps = [LEAST_HUB * 10**k for k in range(7)]
+    found = low.agg(*[F.count_if(F.col("n") > s) for s in steps]).first()
+    at = next(i for i, n in enumerate([*found, 0]) if n <= most)
+    return low.where(F.col("n") > steps[at]).select("a") if at < len(steps) and found[at] else None
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+
+def _with_low(rows: DataFrame, low: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """rows (a, ...) with the minimum m of a. Rows of hubs meet a broadcast
+    table where they are; the others are shuffled."""
+    if hubs is None:
+        return rows.join(low, "a")
+    near = F.broadcast(low.join(F.broadcast(hubs), "a", "left_semi"))
+    return rows.join(near, "a").unionByName(rows.join(F.broadcast(hubs), "a", "left_anti").join(low, "a"))
+
+
+def components(edges: DataFrame, name: str = "components", most_rounds: int = 60, most_hubs: int = 200_000) -> DataFrame:
     """(node, component): the smallest node reachable from each node of the
     undirected edges (src, dst).
 
     Alternating large-star and small-star rounds (Kiveris et al., "Connected
     components in MapReduce and beyond", 2014): every round points nodes at the
     smallest neighbour known, so the number of rounds follows the logarithm of
-    a component's diameter. Minima are found with map-side combining and joined
-    back, so a node with many neighbours is never gathered in one place. Nodes
-    without an edge to another node are absent.
+    a component's diameter. Minima are found with map-side combining; nodes of
+    over a thousand edges are joined with theirs by a broadcast of such nodes
+    (counted first), so a node with many neighbours is never gathered in one
+    place. Only the last round's table is kept. Nodes without an edge to
+    another node are absent.
     """
-    pairs = edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct()
-    pairs = written(pairs, name)
+    spark = edges.sparkSession
+
+    def stored(df: DataFrame) -> tuple[DataFrame, str]:
+        path = table_path(spark, name)
+        return written_at(df, path), path
+
+    pairs, path = stored(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct())
     state = None
     for _ in range(most_rounds):
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        # no node has more edges than there are
+        hubs, low = _hubs(low, most_hubs) if state is None or state[0] > LEAST_HUB else None, low.select("a", "m")
         # large star: neighbours above a node point to its minimum
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _with_low(both.where("b > a"), low, hubs).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        # small star: neighbours below a node, and the node, point to the minimum
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        pairs = written(small.where("a <> b").distinct(), name)
+        # small star: neighbours below a node, and the node, point to the minimum; a node has no more of them than edges before
+        small = _with_low(large, low, hubs).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        done = path
+        pairs, path = stored(small.where("a <> b").distinct())
+        removed(spark, done)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -128,6 +181,3 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select(F.col("b"), F.col("b")).distinct())
-
-
-LONG = T.LongType()

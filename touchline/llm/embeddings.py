@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,15 +44,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, tables: int = 20, wid
     that are null, zero or not finite, or have no label, link with nothing.
 
     Equal vectors form one class, compared once and counted with its number of
-    rows. A bucket is cut into blocks of about `block` classes by hash, and a
-    task compares two blocks: no bucket is gathered whole. A pair that shares
-    several keys is counted in the first of them, and a task returns counts
-    and edges that connect what its links connect, fewer than it has classes,
-    so pairs aren't written out. Rows with the
-    same vec_id are different vectors; rows of null vec_id take part in counts
-    and get no component. Further columns are ignored.
+    rows. A bucket is cut into blocks of about `block` classes by hash; each two
+    blocks are a cell. Cells come sorted, so a task holds a batch and one cell,
+    and no bucket is gathered whole. A pair that shares several keys is counted
+    in the first of them, and a cell returns counts and edges that connect what
+    its links connect, fewer than it has classes, so pairs aren't written out.
+    Rows with the same vec_id are different vectors; rows of null vec_id take
+    part in counts and get no component. An empty table gives no rows. Further
+    columns are ignored.
     """
-    spark = prepare(vectors.sparkSession)
+    prepare(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
     # 0.0 and -0.0 are the same component
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
@@ -80,18 +80,25 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, tables: int = 20, wid
     # a task for each two blocks i <= j of a bucket: block `own` stands in the tasks (own, j) and (i, own)
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
     dealt = met.select("class", "t", "key", "own", F.explode(cells).alias("c")).select("class", "t", "key", "own", "c.i", "c.j")
-    # small buckets share tasks: a group holds the whole buckets of a hash
-    group = F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.col("key"), F.lit(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)))).otherwise(F.xxhash64("key", "i", "j"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (_, i, j), own in pdf.groupby(["key", "i", "j"], sort=False):
-            if len(own) > 1:
-                out += compared(own, int(i), int(j), cosine)
-        return pd.DataFrame(out, columns=["class", "links", "src", "dst"]).astype({"links": "int64", "src": "Int64", "dst": "Int64"})
-
-    ready = dealt.join(classes, "class").withColumn("_g", group)
-    found = written(ready.groupBy("_g").applyInPandas(compare, "class string, links long, src long, dst long"), "links")
+    columns = ("key", "i", "j", "t", "own", "class", "rep", "n", "label", "v", "keys")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows of a cell stand together; the last cell of a batch may go on in the next
+        kept: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+            if not table.num_rows:
+                continue
+            cell = [table.column(c).to_numpy() for c in ("key", "i", "j")]
+            ends = np.append(np.flatnonzero(np.any([c[1:] != c[:-1] for c in cell], axis=0)) + 1, len(cell[0]))
+            yield links_of(table.combine_chunks(), ends[:-1], cosine)
+            kept = table.slice(int(ends[-2])) if len(ends) > 1 else table
+        if kept is not None:
+            yield links_of(kept.combine_chunks(), np.array([kept.num_rows]), cosine)
+
+    ready = dealt.join(classes, "class").select(*columns)
+    ordered = ready.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = written(ordered.mapInArrow(compare, "class string, links long, src long, dst long"), "links")
     links = found.where("class IS NOT NULL").groupBy("class").agg(F.sum("links").alias("links"))
     linked = components(found.where("src <> dst").select("src", "dst"))
     named = classes.select("class", "rep", "n").join(links, "class", "left").join(linked, F.col("rep") == F.col("node"), "left")
@@ -117,39 +124,57 @@ def forest(met: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def compared(own: pd.DataFrame, i: int, j: int, cosine: float) -> list[tuple]:
-    """Links of one task, for the classes of blocks i and j: rows (class, rows
+def links_of(table: pa.Table, ends: np.ndarray, cosine: float) -> pa.RecordBatch:
+    """What compared() finds in the cells that end at `ends`."""
+    out: list[tuple] = []
+    start = 0
+    for end in ends.tolist():
+        if end - start > 1:
+            own = table.slice(start, end - start)
+            out += compared(own, own.column("i")[0].as_py(), own.column("j")[0].as_py(), cosine)
+        start = end
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 4, types, strict=True)], names=["class", "links", "src", "dst"])
+
+
+def compared(table: pa.Table, i: int, j: int, cosine: float) -> list[tuple]:
+    """Links of one cell, for the classes of blocks i and j: rows (class, rows
     it links with, null, null) and edges (null, 0, rep, rep) that connect the
     reps just as the links between them do."""
-    lengths = own["v"].map(len)
-    if lengths.nunique() > 1:
-        return [r for _, part in own.groupby(lengths) if len(part) > 1 for r in compared(part, i, j, cosine)]
-    left, right = (own, own) if i == j else (own[own["own"] == i], own[own["own"] == j])
-    if not len(left) or not len(right):
+    lengths = pa.compute.list_value_length(table.column("v"))
+    if len(lengths.unique()) > 1:
+        parts = [table.filter(pa.compute.equal(lengths, n)) for n in lengths.unique()]
+        return [r for part in parts if part.num_rows > 1 for r in compared(part, i, j, cosine)]
+    own = table.column("own").to_numpy()
+    left, right = (table, table) if i == j else (table.filter(pa.array(own == i)), table.filter(pa.array(own == j)))
+    if not left.num_rows or not right.num_rows:
         return []
 
-    def unit(side: pd.DataFrame) -> np.ndarray:
-        v = np.stack(side["v"].to_numpy()).astype(float)
-        v /= np.abs(v).max(axis=1, keepdims=True)
+    def grid(side: pa.Table, column: str) -> np.ndarray:
+        return side.column(column).combine_chunks().flatten().to_numpy().reshape(side.num_rows, -1)
+
+    def unit(side: pa.Table) -> np.ndarray:
+        v = grid(side, "v")
+        v = v / np.abs(v).max(axis=1, keepdims=True)
         return v / np.linalg.norm(v, axis=1, keepdims=True)
 
     met = unit(left) @ unit(right).T >= cosine
-    met &= left["label"].to_numpy()[:, None] == right["label"].to_numpy()[None, :]
+    names = pa.chunked_array([c for side in (left, right) for c in side.column("label").chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+    met &= names[: left.num_rows, None] == names[None, left.num_rows :]
     if i == j:
         np.fill_diagonal(met, False)
-    t = int(own["t"].iloc[0])
-    a, b = np.stack(left["keys"].to_numpy()), np.stack(right["keys"].to_numpy())
-    for s in range(t):  # counted in an earlier table
+    a, b = grid(left, "keys"), grid(right, "keys")
+    for s in range(table.column("t")[0].as_py()):  # counted in an earlier table
         met &= a[:, s][:, None] != b[:, s][None, :]
     out: list[tuple] = []
-    for here, there, grid in ((left, right, met), *(() if i == j else ((right, left, met.T),))):
-        counts = grid @ there["n"].to_numpy()
-        out += [(name, count, None, None) for name, count in zip(here["class"], counts.tolist(), strict=True) if count]
+    for here, there, links in ((left, right, met), *(() if i == j else ((right, left, met.T),))):
+        counts = links @ there.column("n").to_numpy()
+        at = np.flatnonzero(counts)
+        out += [(name, count, None, None) for name, count in zip(here.column("class").take(pa.array(at)).to_pylist(), counts[at].tolist(), strict=True)]
     if i != j:
         empty = [np.zeros((n, n), bool) for n in met.shape]
         met = np.block([[empty[0], met], [met.T, empty[1]]])
-    reps = left["rep"] if i == j else pd.concat([left["rep"], right["rep"]])
-    known = reps.notna().to_numpy()
-    named = reps[known].astype("int64").tolist()
-    out += [(None, 0, named[a], named[b]) for a, b in forest(met[np.ix_(known, known)])]
-    return out
+    reps = left.column("rep").to_pylist() + ([] if i == j else right.column("rep").to_pylist())
+    known = np.array([r is not None for r in reps])
+    named = [r for r in reps if r is not None]
+    return out + [(None, 0, named[a], named[b]) for a, b in forest(met[np.ix_(known, known)])]

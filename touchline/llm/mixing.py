@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from touchline.llm.common import BLANKS, written
+from touchline.llm.common import BLANKS, attached, running_start, written
 
 #: Weights of sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -65,27 +65,26 @@ def apportioned(parties: DataFrame, within: list[str], tie: list[str], votes: st
 
     Seats that any outcome gives a row are counted outright: with V votes, S
     seats and n rows, quotients of at least V / (2 (S - n / 2)) are all taken.
-    Only the quotients about the boundary, a few for each row, are ranked.
+    Only the quotients about the boundary, a few for each row, are ranked, by
+    running counts over ranges of all of them: a group with most of the rows
+    is many tasks.
     """
-    group = Window.partitionBy(*within)
-    rows = parties.withColumn("_n", F.count("*").over(group)).withColumn("_votes", F.sum(votes).over(group))
+    keys = list(dict.fromkeys([*within, *tie]))
+    rows = attached(parties, parties.groupBy(*within).agg(F.count("*").alias("_n"), F.sum(votes).alias("_votes")), within)
     safe = F.col(seats) - F.col("_n") / 2
     # the seats x with votes / (2 x - 1) above the bound
     sure = F.when((safe > 0) & (F.col("_votes") > 0), F.floor(F.col(votes) * safe / F.col("_votes") + 0.5 - 1e-9)).otherwise(F.lit(0)).cast("long")
-    rows = rows.withColumn("_sure", F.least(F.greatest(sure - 1, F.lit(0).cast("long")), F.col(limit)))
-    rows = rows.withColumn("_open", F.col(seats) - F.sum("_sure").over(group))
+    rows = written(rows.withColumn("_sure", F.least(F.greatest(sure - 1, F.lit(0).cast("long")), F.col(limit))), "sure")
     some = F.when(F.col("_votes") > 0, F.ceil(F.col(votes) / F.col("_votes") * (2 * F.col("_n") + 2))).otherwise(F.lit(0)).cast("long") + 4
     seat = F.explode_outer(F.when(F.col(votes) > 0, F.sequence(F.col("_sure") + 1, F.least(F.col("_sure") + some, F.greatest(F.col(limit), F.col("_sure") + 1)))))
-    asked = rows.select(*within, *tie, votes, limit, "_open", "_sure", seat.alias("_seat"))
-    asked = asked.where(F.col("_seat") <= F.col(limit)).withColumn("_q", F.col(votes) / (2 * F.col("_seat") - 1))
-    ranks = Window.partitionBy(*within).orderBy(F.desc("_q"), *[F.col(c).asc_nulls_last() for c in tie])
-    keys = list(dict.fromkeys([*within, *tie]))
-    won = asked.withColumn("_r", F.row_number().over(ranks)).where("_r <= _open").groupBy(*keys).agg(F.count("*").alias("_won"))
-    won = won.select(*[F.col(c).alias(f"_{c}_won") for c in keys], "_won")
-    condition = F.lit(True)
-    for c in keys:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_{c}_won"))
-    return rows.join(won, condition, "left").select(*parties.columns, (F.col("_sure") + F.coalesce("_won", F.lit(0))).alias("quota"))
+    asked = rows.select(*keys, votes, limit, seat.alias("_seat"))
+    asked = asked.where(F.col("_seat") <= F.col(limit)).select(*keys, (F.col(votes) / (2 * F.col("_seat") - 1)).alias("_q"), F.lit(1).alias("_one"))
+    ranked = running_start(asked, [*[F.col(c).asc_nulls_first() for c in within], F.desc("_q"), *[F.col(c).asc_nulls_last() for c in tie]], "_one", "quotients")
+    first = ranked.groupBy(*within).agg(F.min("start").alias("_first"))
+    open_ = rows.groupBy(*within).agg((F.first(seats) - F.sum("_sure")).cast("long").alias("_open"))
+    last = attached(open_, first, within)
+    won = attached(ranked, last, within).where(F.col("start") - F.col("_first") < F.col("_open")).groupBy(*keys).agg(F.count("*").alias("_won"))
+    return attached(rows, won, keys).select(*parties.columns, (F.col("_sure") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: int = 2, block: int = 256, shard_rows: int = 4_000, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
@@ -99,8 +98,9 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, block: int = 256, sh
     separate rows. An empty table gives no rows. Further columns are ignored.
 
     A source's rows are dealt into shards of about `shard_rows` by hash, so one
-    source with a third of all rows is many tasks. Rows with equal hashes
-    (repeated rows) have the same place in the order up to their text's hash.
+    source with a third of all rows is many tasks. The hash is of doc_id and
+    size; rows that agree in both share a shard and stand side by side there,
+    in any order, as what the mix takes of them together doesn't depend on it.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
     rows = written(rows, "sizes")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from touchline.llm import embeddings, mixing, packing, quality, sharding, simhash, store, substring, topk, toxicity
 from touchline.llm.common import table_path
 
-#: Bytes of text in a shard.
-SHARD_BYTES = 64 << 20
+#: Bytes of text in a shard: so few that small tables split too.
+SHARD_BYTES = 128 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,9 +15,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from touchline.llm.common import written
+from touchline.llm.common import attached, running_start, written
 
 #: Bits of the hash.
 BITS = 60
@@ -37,7 +36,8 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", cells_each: int = 8)
     text ("" for depth 0). Every shard has at most `limit` bytes, but for a
     single row that alone has more. Rows that no bit of the hash tells apart
     (one key on many rows) are cut by size, in ways of at most the limit, and
-    `shard` ends in a point and the way. An empty table gives no rows.
+    `shard` ends in a point and the way. Repeated rows are rows of their own.
+    An empty table gives no rows; further columns are ignored.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
     rows = written(rows.withColumn("h", hash_bits(F.col("doc_id"))), "hashed")
@@ -62,7 +62,8 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", cells_each: int = 8)
         rest = placed.where("leaf IS NULL").select("doc_id", "n_bytes", "h")
         if depth >= BITS:
             # no bit of the key is left: equal keys, cut by size in a fixed order
-            done.append(equal_keys(rest, limit))
+            if rest.limit(1).count():
+                done.append(equal_keys(rest, limit))
             break
         over = cells.join(directory, "cell", "left_anti").limit(1).count()
         if not over:
@@ -75,13 +76,14 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", cells_each: int = 8)
 
 
 def equal_keys(rows: DataFrame, limit: int) -> DataFrame:
-    """Rows whose hashes are equal, cut in order of size: a way begins when
-    half the limit is full, and only rows of over half the limit, which get a
-    way each, could exceed it."""
-    small = F.col("n_bytes") <= limit // 2
-    sums = Window.partitionBy("h", "_small").orderBy("n_bytes").rowsBetween(Window.unboundedPreceding, 0)
-    begun = F.floor((F.sum("n_bytes").over(sums) - F.col("n_bytes")) / F.lit(max(1, limit // 2)))
-    number = F.row_number().over(Window.partitionBy("h", "_small").orderBy("n_bytes"))
-    cut = rows.withColumn("_small", small).withColumn("way", F.when(F.col("_small"), 2 * begun).otherwise(2 * number + 1).cast("long"))
-    cut = cut.withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy("h", "way")))
-    return cut.select("doc_id", "n_bytes", F.lit(BITS).alias("depth"), F.col("h").alias("prefix"), "shard_bytes", "way")
+    """Rows whose hashes are equal, cut in order of size: a way holds the rows
+    that begin in one half limit of the running sum over all of them, and rows
+    of over half the limit, which could exceed it, get a way each. Sums run in
+    ranges, so no key is gathered in one task."""
+    half = max(1, limit // 2)
+    numbered = written(rows.withColumn("_row", F.monotonically_increasing_id()), "equal")
+    summed = running_start(numbered, [F.col("h"), F.col("n_bytes"), F.col("_row")], "n_bytes", "equal-sums")
+    way = F.when(F.col("n_bytes") <= half, 2 * F.floor(F.col("start") / F.lit(half))).otherwise(2 * F.col("_row") + 1).cast("long")
+    cut = written(summed.select("doc_id", "n_bytes", "h", way.alias("way")), "ways")
+    sizes = cut.groupBy("h", "way").agg(F.sum("n_bytes").alias("shard_bytes"))
+    return attached(cut, sizes, ["h", "way"]).select("doc_id", "n_bytes", F.lit(BITS).alias("depth"), F.col("h").alias("prefix"), "shard_bytes", "way")

@@ -24,7 +24,7 @@ from touchline.llm.common import components, prepare, texts, written
 
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 14
-#: Classes in a block of a large bucket; rows of a small one, whose pairs are compared side by side with those of others.
+#: Rows in a block of a large bucket; rows of a small one, whose pairs are compared side by side with those of others.
 PART, FEW = 1024, 32
 
 
@@ -161,90 +161,120 @@ def forest(fp: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def across(fp: np.ndarray, edges: list[tuple[int, np.ndarray]], most: int) -> list[tuple[int, np.ndarray]]:
-    """(node, nodes): all pairs at most `most` bits apart whose ends the forest
-    `edges` leaves apart."""
-    group = np.arange(fp.shape[1])
-    for node, others in edges:  # a node stands in `others` before its own edges come
-        group[others] = group[node]
-    out = []
-    for node in range(len(group) - 1 if group.any() else 0):
-        rest = node + 1 + np.flatnonzero(group[node + 1 :] != group[node])
-        near = rest[apart(fp[:, node, None], fp[:, rest]) <= most]
-        if len(near):
-            out.append((node, near))
-    return out
-
-
-def linked(cell: np.ndarray, fp: np.ndarray, sure: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def joined(group: np.ndarray, edges: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """group with the groups that edges connect made one."""
+    for node, others in edges:
+        group[np.isin(group, group[others])] = group[node]
+    return group
+
+
+def reaching(fp: np.ndarray, group: np.ndarray, most: int, picks: int) -> tuple[list[tuple[int, np.ndarray]], bool]:
+    """(node, nodes) of pairs at most `most` bits apart in different groups, from
+    a node of the smaller group to its `picks` nearest in larger ones; and
+    whether that leaves pairs out."""
+    size = np.bincount(group)[group]
+    rank = size * (len(group) + 1) + group
+    out, more = [], False
+    for node in range(len(group)):
+        up = np.flatnonzero(rank > rank[node])
+        bits = apart(fp[:, node, None], fp[:, up])
+        at = np.flatnonzero(bits <= most)
+        if len(at) > picks:
+            at, more = at[np.argsort(bits[at], kind="stable")[:picks]], True
+        if len(at):
+            out.append((node, up[at]))
+    return out, more
+
+
+def linked(cell: np.ndarray, group: np.ndarray, fp: np.ndarray, sure: int, most: int, picks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions (a, b) of pairs within cells and whether they are sure: edges
-    that connect just what pairs at most `sure` bits apart connect, and the
-    pairs at most `most` bits apart between what they leave apart (in small
-    cells, all). Rows of one cell stand together."""
+    that connect just what pairs at most `sure` bits apart connect, and pairs
+    at most `most` bits apart of groups that those leave apart. In small cells
+    with few pairs these are all, in others `picks` for each row; the fourth
+    array has the rows of cells with more. Rows of one cell stand together."""
     start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     size = np.diff(np.r_[start, len(cell)])
+    number, end = np.repeat(np.arange(len(size)), size), np.repeat(start + size, size)
     a, b, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+    dense = [np.empty(0, np.int64)]
     at = np.flatnonzero(np.repeat(size <= FEW, size))
-    end = np.repeat(start + size, size)
     for step in range(1, FEW):  # each with the step-th after it
         at = at[at + step < end[at]]
         bits = apart(fp[:, at], fp[:, at + step])
-        near = at[bits <= most]
-        a.append(near)
-        b.append(near + step)
-        c.append(bits[bits <= most] <= sure)
-    for k in np.flatnonzero(size > FEW):
-        own = fp[:, start[k] : start[k] + size[k]]
+        fits = (bits <= most) & (group[at] != group[at + step])
+        a.append(at[fits])
+        b.append(at[fits] + step)
+        c.append(bits[fits] <= sure)
+    found = np.concatenate(a)
+    full = (size > FEW) | (np.bincount(number[found], minlength=len(size)) > 2 * size)
+    few = ~full[number[found]]
+    a, b, c = [found[few]], [np.concatenate(b)[few]], [np.concatenate(c)[few]]
+    for k in np.flatnonzero(full):
+        rows = slice(start[k], start[k] + size[k])
+        own, names = fp[:, rows], np.unique(group[rows], return_inverse=True)[1]
         edges = forest(own, sure)
-        for found, known in ((edges, True), (across(own, edges, most) if most > sure else [], False)):
-            for node, others in found:
-                a.append(np.full(len(others), start[k] + node))
-                b.append(start[k] + others)
-                c.append(np.full(len(others), known))
-    return np.concatenate(a), np.concatenate(b), np.concatenate(c)
-
-
-def bucket_links(keyed: DataFrame, words64: int, most: int, part: int = PART, sure: int | None = None) -> DataFrame:
-    """Edges (src, dst, sure) that connect just what links connect: pairs of
-    rows of keyed (rep, fp, key) with one key and fingerprints at most `most`
-    bits apart. With `sure`, so do the sure ones with those at most that many
-    bits apart, and all other pairs are there that those leave apart.
-
+        names = joined(names, edges)
+        others, more = reaching(own, names, most, picks) if most > sure and (names != names[0]).any() else ([], False)
+        if more:
+            dense.append(np.arange(rows.start, rows.stop))
+        for some, known in ((edges, True), (others, False)):
+            for node, near in some:
+                a.append(np.full(len(near), start[k] + node))
+                b.append(start[k] + near)
+                c.append(np.full(len(near), known))
+    return np.concatenate(a), np.concatenate(b), np.concatenate(c), np.concatenate(dense)
+
+
+def cut(keyed: DataFrame, part: int = PART) -> DataFrame:
+    """(cell, rep, grp, fp) of rows (key, rep, fp) in buckets of more than one.
     A bucket of more than `part` rows is cut into blocks by hash, and each two
-    blocks are a cell; other buckets are a cell each. Rows come sorted by cell,
-    so a worker holds a batch and one cell.
-    """
+    blocks are a cell; other buckets are a cell each. Each row is a group."""
     large = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > part), "large")
     # counted first: a row for more than `part` rows of keyed
     near = F.broadcast(large) if large.count() <= 100_000 else large
-    cut = keyed.join(near, "key", "left").withColumn("blocks", F.ceil(F.col("n") / part).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    blocks = keyed.join(near, "key", "left").withColumn("blocks", F.ceil(F.col("n") / part).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("own"))
     cells = F.transform(others, lambda o: F.xxhash64("key", F.least(o, F.col("own")), F.greatest(o, F.col("own"))))
-    dealt = cut.select("rep", "fp", F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(cells)).alias("cell"))
+    return blocks.select(F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(cells)).alias("cell"), "rep", F.col("rep").alias("grp"), "fp")
+
+
+def bucket_links(cells: DataFrame, words64: int, most: int, sure: int | None = None, picks: int = 1) -> DataFrame:
+    """What is found in cells (cell, rep, grp, fp): edges (src, dst, sure) of
+    rows with fingerprints at most `most` bits apart, and the rows (cell, src,
+    fp) of cells where `picks` leaves pairs out. Without `sure` all are sure.
+
+    Sure edges connect just what rows at most `sure` bits apart connect; other
+    pairs are those of groups that neither they nor `grp` make one. Rows come
+    sorted by cell, so a worker holds a batch and one cell.
+    """
+    least = most if sure is None else sure
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(cell: np.ndarray, rep: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b, c = linked(cell, fp, most if sure is None else sure, most)
+        def found(cell: np.ndarray, rep: np.ndarray, group: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b, c, dense = linked(cell, group, fp, least, most, picks)
             pairs = np.unique(np.stack([np.maximum(rep[a], rep[b]), np.minimum(rep[a], rep[b]), c]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2] > 0)], names=["src", "dst", "sure"])
+            blank, none = pa.nulls(pairs.shape[1], pa.int64()), pa.nulls(len(dense), pa.int64())
+            whole = pa.ListArray.from_arrays(pa.array(np.arange(len(dense) + 1) * words64, pa.int32()), pa.array(np.ascontiguousarray(fp[:, dense].T).reshape(-1).view(np.int64)))
+            for columns in ((pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2] > 0), blank, pa.nulls(len(blank), pa.list_(pa.int64()))), (pa.array(rep[dense]), none, pa.nulls(len(dense), pa.bool_()), pa.array(cell[dense]), whole)):
+                yield pa.RecordBatch.from_arrays(list(columns), names=["src", "dst", "sure", "cell", "fp"])
 
-        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((words64, 0), np.uint64)]
+        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((words64, 0), np.uint64)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, words64).T
-            kept = [np.concatenate(both, axis=-1) for both in zip(kept, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), fp), strict=True)]
+            fp = batch.column(3).flatten().to_numpy().view(np.uint64).reshape(-1, words64).T
+            kept = [np.concatenate(both, axis=-1) for both in zip(kept, (*(batch.column(k).to_numpy() for k in range(3)), fp), strict=True)]
             # the last cell may go on in the next batch
             last = int(np.searchsorted(kept[0], kept[0][-1]))
             if last:
-                yield edges(*[x[..., :last] for x in kept])
+                yield from found(*[x[..., :last] for x in kept])
                 kept = [x[..., last:] for x in kept]
         if len(kept[0]):
-            yield edges(*kept)
+            yield from found(*kept)
 
-    prepare(keyed.sparkSession)
-    ordered = dealt.select("cell", "rep", "fp").repartition("cell").sortWithinPartitions("cell")
-    return ordered.mapInArrow(run, "src long, dst long, sure boolean").distinct()
+    prepare(cells.sparkSession)
+    ordered = cells.select("cell", "rep", "grp", "fp").repartition("cell").sortWithinPartitions("cell")
+    return ordered.mapInArrow(run, "src long, dst long, sure boolean, cell long, fp array<long>")
 
 
 def alike(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -264,6 +294,13 @@ def alike(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) ->
     return both.where(enough).select("src", "dst").distinct()
 
 
+def known_links(docs: DataFrame, met: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links (src, dst) among what bucket_links() found."""
+    pairs = met.where("dst IS NOT NULL AND src <> dst")
+    near = pairs.where("sure").select("src", "dst").distinct()
+    return near.unionByName(alike(docs, pairs.where("NOT sure").select("src", "dst").distinct(), shingle, similarity))
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words64: int = 8, narrow: int = 22, radius: int = 1) -> DataFrame:
     """(doc_id, component_id) of documents whose sets of shingles are alike.
 
@@ -279,8 +316,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, w
     don't, and exact Jaccard similarities decide the others.
 
     In a bucket all distinct fingerprints are compared with each other, large
-    buckets in blocks. Null texts count as empty and empty texts are alike.
-    Rows without doc_id take no part.
+    buckets in blocks. Where many are alike, each row asks for its nearest of
+    other groups first; what is found makes groups one, and the next round asks
+    more, till no pair of different groups is left: a large group of near
+    copies gives a few pairs for each row. Null texts count as empty and empty
+    texts are alike. Rows without doc_id take no part.
     """
     bits = words64 * 64
     # cosine of the shingle sets of two documents of equal size
@@ -294,9 +334,15 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, w
             own = [(w, (m >> 64 * w) & ((1 << 64) - 1)) for w in range(words64)]
             keys.append(F.xxhash64(F.lit(len(keys)), *[F.col("fp")[w].bitwiseAND(F.lit(signed(x))) for w, x in own if x]))
     keyed = classes.select("rep", "fp", F.explode(F.array(*keys)).alias("key"))
-    met = written(bucket_links(keyed, words64, int(bits * share + error), sure=int(bits * share - error)).where("src <> dst"), "met")
-    sure = met.where("sure").select("src", "dst")
-    links = sure.unionByName(alike(docs, met.where("NOT sure").select("src", "dst"), shingle, similarity))
+    farthest, nearest, picks = int(bits * share + error), int(bits * share - error), 1
+    met = written(bucket_links(cut(keyed), words64, farthest, nearest, picks), "met")
+    links = written(known_links(docs, met, shingle, similarity), "links")
     found = components(links)
+    while met.where("cell IS NOT NULL").limit(1).count():
+        picks *= 8
+        rows = met.where("cell IS NOT NULL").select("cell", F.col("src").alias("rep"), "fp").join(found, F.col("rep") == F.col("node"), "left")
+        met = written(bucket_links(rows.select("cell", "rep", F.coalesce("component", "rep").alias("grp"), "fp"), words64, farthest, -1, picks), "met")
+        links = written(links.unionByName(known_links(docs, met, shingle, similarity)), "links")
+        found = components(links)
     named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

@@ -4,15 +4,18 @@ A document's id stream is cut where a rolling hash of its last ids says so, so
 equal passages give equal chunks wherever they stand. A chunk is named by the
 hash of its content and stored once. The store's folder has
 
-  chunks/   key, n, ids: unique chunks, ids as little-endian unsigned integers
-            of `width` bytes (2 where the vocabulary allows)
-  recipes/  part, row, doc_id, start, n_tokens, keys, sizes: a row for each
-            document in ascending doc_id order; keys are its chunks' names
-  manifest/ part, n_docs, n_tokens, root: for each range of documents the root
-            of a Merkle tree over its recipes
-
-A recipe's leaf covers its doc_id, place and chunk names, and a name covers its
-chunk's content; so a root that is found again proves every id of its range.
+  encoded/kind=chunk/  n, keys, data: unique chunks, named by keys; data are
+            n ids as little-endian unsigned integers of `width` bytes (2 where
+            the vocabulary allows)
+  recipes/  row, doc_id, start, n_tokens, keys, sizes: a row for each document
+            in ascending doc_id order, file after file; keys are the names of
+            its chunks, sizes their numbers of ids
+  manifest/level=k/  block, n_docs, n_tokens, root: a Merkle tree. A block of
+            level 0 is over FAN recipes, of level k over FAN blocks of level
+            k - 1; the last level has one block, the root of the store
+
+A recipe's leaf covers all its columns, and a name covers its chunk's content;
+so a root that is found again proves every id and its place.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import prepare, running_start, texts
+from touchline.llm.common import parts_for, prepare, running_start, texts
 from touchline.llm.tokens import encoder
 
 #: Ids that the rolling hash covers; least, usual and most ids of a chunk.
 SPAN, LEAST, USUAL, MOST = 16, 128, 512, 2048
 KEY = 16
+#: Children of a node of the manifest; bytes of text that a task deals with.
+FAN, PART_BYTES = 1024, 128 << 20
 #: Names remembered by a task, so that it sends a chunk once.
 SENT = 200_000
 
@@ -76,8 +81,8 @@ def name_of(content: bytes) -> bytes:
     return hashlib.blake2b(content, digest_size=KEY).digest()
 
 
-def leaf(doc_id: int | None, n: int, keys: bytes) -> bytes:
-    return name_of(struct.pack("<q?q", doc_id or 0, doc_id is None, n) + keys)
+def leaf(row: int, doc_id: int | None, start: int, n: int, keys: bytes, sizes: bytes) -> bytes:
+    return name_of(struct.pack("<qq?qqq", row, doc_id or 0, doc_id is None, start, n, len(keys)) + keys + sizes)
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -118,11 +123,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, kind: str
     One pass encodes; its rows are written once, dealt so that chunks of one
     name meet: a task packs its new chunks by name range, and each range keeps
     one of each name. Copies of a document send names only. Rows of one doc_id
-    stand in the order of their content's hash; null doc_ids come first. An
-    empty table gives an empty store. Further columns are ignored.
+    stand in the order of their content's hash; null doc_ids come first. A very
+    long text is encoded by its task in one piece. An empty table gives an
+    empty store. Further columns are ignored. Tasks follow the bytes of text,
+    so what one remembers of names stays bounded.
     """
     spark = prepare(docs.sparkSession)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(total, PART_BYTES))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(kind, tokenizer), np.uint32(end_id).tobytes()
@@ -150,7 +158,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, kind: str
                         fresh.setdefault(int.from_bytes(name[:4], "big") * 4 * n >> 32, []).append(name + struct.pack("<I", len(own)) + own)
                 docs_out.append((doc, len(ids), b"".join(names), np.array(sizes, "<u4").tobytes()))
             rows = [("chunk", b, None, None, packer.compress(b"".join(own)), None) for b, own in fresh.items()]
-            rows += [("doc", doc_range(doc, 4 * n), doc, size, names, sizes) for doc, size, names, sizes in docs_out]
+            rows += [("doc", doc_range(doc, names, 4 * n), doc, size, names, sizes) for doc, size, names, sizes in docs_out]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["kind", "range", "doc_id", "n_tokens", "keys", "sizes"])
 
@@ -180,28 +188,50 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, kind: str
     dealt.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/encoded")
     staged = spark.read.schema("doc_id long, n long, keys binary, data binary, kind string").parquet(f"{path}/encoded")
     recipes = staged.where("kind = 'doc'").select("doc_id", F.col("n").alias("n_tokens"), "keys", F.col("data").alias("sizes"))
-    placed = running_start(recipes, [F.col("doc_id").asc_nulls_first(), F.col("keys")], "n_tokens", "recipes")
-    placed.select("part", "doc_id", "start", "n_tokens", "keys", "sizes").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    manifest(spark, path).write.parquet(f"{path}/manifest")
+    placed = running_start(recipes, [F.col("doc_id").asc_nulls_first(), F.col("keys")], "n_tokens", "recipes", row="row")
+    ordered = placed.select("row", "doc_id", "start", "n_tokens", "keys", "sizes").repartitionByRange(n, "row").sortWithinPartitions("row")
+    ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
+    leaves(spark, path).write.parquet(f"{path}/manifest/level=0")
+    level = 0
+    while level_of(spark, path, level).limit(2).count() > 1:
+        level += 1
+        above(level_of(spark, path, level - 1)).write.parquet(f"{path}/manifest/level={level}")
 
 
-def doc_range(doc: int | None, n: int) -> int:
-    return hash(doc) * 0x9E3779B1 % n
+def doc_range(doc: int | None, names: bytes, n: int) -> int:
+    return zlib.crc32(struct.pack("<q", doc or 0), zlib.crc32(names)) % n
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """part, n_docs, n_tokens, root of the recipes as they are now."""
+RECIPE = "row long, doc_id long, start long, n_tokens long, keys binary, sizes binary"
+NODE = "block long, n_docs long, n_tokens long, root string"
+
+
+def leaves(spark: SparkSession, path: str) -> DataFrame:
+    """Level 0 of the manifest, of the recipes as they are now."""
 
     def rooted(table: pa.Table) -> pa.Table:
-        table = table.sort_by("start")
-        leaves = [leaf(*row) for row in zip(*(table.column(c).to_pylist() for c in ("doc_id", "n_tokens", "keys")), strict=True)]
-        return pa.table({"part": table.column("part").slice(0, 1), "n_docs": pa.array([len(leaves)], pa.int64()), "n_tokens": pa.array([pa.compute.sum(table.column("n_tokens")).as_py()], pa.int64()), "root": pa.array([merkle(leaves).hex()])})
+        table = table.sort_by("row")
+        own = [leaf(*r) for r in zip(*(table.column(c).to_pylist() for c in ("row", "doc_id", "start", "n_tokens", "keys", "sizes")), strict=True)]
+        return pa.table({"block": table.column("_block").slice(0, 1), "n_docs": pa.array([len(own)], pa.int64()), "n_tokens": pa.array([pa.compute.sum(table.column("n_tokens")).as_py()], pa.int64()), "root": pa.array([merkle(own).hex()])})
 
     recipes = spark.read.schema(RECIPE).parquet(f"{path}/recipes")
-    return recipes.select("part", "doc_id", "start", "n_tokens", "keys").groupBy("part").applyInArrow(rooted, "part int, n_docs long, n_tokens long, root string")
+    return recipes.withColumn("_block", F.floor(F.col("row") / FAN)).groupBy("_block").applyInArrow(rooted, NODE)
+
+
+def above(nodes: DataFrame) -> DataFrame:
+    """The level over these blocks."""
+
+    def rooted(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        own = [name_of(struct.pack("<qqq", *r[:3]) + bytes.fromhex(r[3])) for r in zip(*(table.column(c).to_pylist() for c in ("block", "n_docs", "n_tokens", "root")), strict=True)]
+        sums = {c: pa.array([pa.compute.sum(table.column(c)).as_py()], pa.int64()) for c in ("n_docs", "n_tokens")}
+        return pa.table({"block": table.column("_block").slice(0, 1), **sums, "root": pa.array([merkle(own).hex()])})
+
+    return nodes.withColumn("_block", F.floor(F.col("block") / FAN)).groupBy("_block").applyInArrow(rooted, NODE)
 
 
-RECIPE = "part int, doc_id long, start long, n_tokens long, keys binary, sizes binary"
+def level_of(spark: SparkSession, path: str, level: int) -> DataFrame:
+    return spark.read.schema(NODE).parquet(f"{path}/manifest/level={level}")
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -211,28 +241,38 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def uses(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, row, pos, key, after: each chunk of each
-    document, with how many ids follow it there."""
+    """doc_id, start, n_tokens, pos, key, size, after: each chunk of each
+    document, and how many ids follow it there."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for part, doc, start, n, keys, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                after = n - np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64))
-                rows += [(part, doc, start, n, i, keys[i * KEY : (i + 1) * KEY], a) for i, a in enumerate(after.tolist())]
+            for doc, start, n, keys, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(sizes, "<u4").astype(np.int64)
+                if int(own.sum()) != n or len(keys) != KEY * len(own):
+                    raise ValueError("a recipe's sizes don't sum to its document's")
+                rows += [(doc, start, n, i, keys[i * KEY : (i + 1) * KEY], s, a) for i, (s, a) in enumerate(zip(own.tolist(), (n - np.cumsum(own)).tolist(), strict=True))]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["part", "doc_id", "start", "n_tokens", "pos", "key", "after"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "start", "n_tokens", "pos", "key", "size", "after"])
 
     recipes = spark.read.schema(RECIPE).parquet(f"{path}/recipes")
-    return recipes.mapInArrow(listed, "part int, doc_id long, start long, n_tokens long, pos int, key binary, after long")
+    return recipes.select("doc_id", "start", "n_tokens", "keys", "sizes").mapInArrow(listed, "doc_id long, start long, n_tokens long, pos int, key binary, size long, after long")
 
 
 def verify(spark: SparkSession, path: str) -> None:
-    """Raise if a recipe isn't what its range's Merkle root was made from."""
-    kept = spark.read.schema("part int, n_docs long, n_tokens long, root string").parquet(f"{path}/manifest")
-    bad = manifest(spark, path).alias("now").join(kept.alias("then"), "part", "full_outer").where("NOT (now.root <=> then.root AND now.n_docs <=> then.n_docs)")
-    if bad.limit(1).count():
-        raise ValueError("recipes differ from the manifest")
+    """Raise if the recipes, or a level of the manifest, aren't what the level
+    above was made from."""
+    level, now = 0, leaves(spark, path)
+    while True:
+        kept = level_of(spark, path, level)
+        same = F.lit(True)
+        for c in ("n_docs", "n_tokens", "root"):
+            same = same & F.col(f"now.{c}").eqNullSafe(F.col(f"then.{c}"))
+        if now.alias("now").join(kept.alias("then"), "block", "full_outer").where(~same).limit(1).count():
+            raise ValueError("recipes differ from the manifest")
+        if kept.limit(2).count() < 2:
+            return
+        level, now = level + 1, above(kept)
 
 
 def digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
@@ -240,30 +280,33 @@ def digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
     Every stored chunk is read, checked against its name and given a CRC; a
     document's CRC is put together from those of its chunks, so each stored
-    byte is read once and never shuffled. A chunk that is missing or isn't
-    what its name says raises an error.
+    byte is read once and never shuffled. A chunk that is missing, isn't what
+    its name says or has another size than its recipe says raises an error.
     """
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = []
+            crcs, sizes = [], []
             for key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if name_of(own) != key:
                     raise ValueError("a chunk isn't what its name says")
+                sizes.append(len(own) // width)
                 crcs.append(zlib.crc32(np.frombuffer(own, f"<u{width}").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64())], names=["key", "crc"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), pa.array(sizes, pa.int64())], names=["key", "crc", "stored"])
 
     def shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crc = batch.column("crc")
             if crc.null_count:
                 raise ValueError("a chunk is missing")
+            if (batch.column("stored").to_numpy() != batch.column("size").to_numpy()).any():
+                raise ValueError("a chunk's size isn't what its recipe says")
             moved = crc_shift(crc.to_numpy(), batch.column("after").to_numpy() * 4)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(moved.astype(np.int64))], names=["doc_id", "start", "n_tokens", "crc"])
 
-    crcs = chunks(spark, path).mapInArrow(summed, "key binary, crc long")
-    used = uses(spark, path).select("doc_id", "start", "n_tokens", "key", "after").join(crcs, "key", "left")
-    moved = used.select("doc_id", "start", "n_tokens", "crc", "after").mapInArrow(shifted, "doc_id long, start long, n_tokens long, crc long")
+    crcs = chunks(spark, path).mapInArrow(summed, "key binary, crc long, stored long")
+    used = uses(spark, path).select("doc_id", "start", "n_tokens", "key", "size", "after").join(crcs, "key", "left")
+    moved = used.select("doc_id", "start", "n_tokens", "crc", "stored", "size", "after").mapInArrow(shifted, "doc_id long, start long, n_tokens long, crc long")
     # `start` is unique to a document: each has an end id at least
     return moved.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"))
 

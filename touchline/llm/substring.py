@@ -13,8 +13,11 @@ Documents are dealt into parts of bounded size, by hash. A part sends its
 distinct hashes, sorted, packed by hash range; a range's reducer sorts what all
 parts sent and answers each part with one bit for each hash. A hash that occurs
 in a third of all rows is sent once by each part, so no hash is hot, no pair
-is made, and answers are a few bits where a join would carry rows. The three
-passes read one exchange of the texts, which Spark reuses.
+is made, and answers are a few bits where a join would carry rows. A message
+goes to a range only if it has hashes there, so messages are never more than
+the hashes of all parts; ranges are six times the size of parts, so that a
+message holds many. The three passes read one exchange of the texts, which
+Spark reuses.
 """
 
 from __future__ import annotations
@@ -159,7 +162,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, part_bytes: int = 4 << 20,
     joined by one space, lines kept apart. Every occurrence goes, also the
     first, and windows are judged on the input. Null texts count as empty:
     they have no words, and kept_text is null. Repeated rows repeat each
-    other's windows. Other columns pass unchanged; the names above are
+    other's windows. A very long text is worked on by one task, whole. An empty
+    table gives no rows. Other columns pass unchanged; the names above are
     replaced.
     """
     if window < PERIOD:
@@ -168,7 +172,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, part_bytes: int = 4 << 20,
     added = ("n_words", "n_removed", "removed", "kept_sha256", "kept_text")
     kept = docs.select([c for c in docs.columns if c not in added])
     total = kept.agg(F.sum(F.octet_length(text))).first()[0]
-    n = parts_for(total, part_bytes)
+    n, ranges = parts_for(total, part_bytes), parts_for(total, 6 * part_bytes)
     mine = "_part"
     while mine in kept.columns:
         mine += "_"
@@ -176,12 +180,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, part_bytes: int = 4 << 20,
 
     def first(table: pa.Table) -> pa.Table:
         part = Part(table.column(text), window)
-        return _send(table.column(mine)[0].as_py(), part.anchors()[1], n)
+        return _send(table.column(mine)[0].as_py(), part.anchors()[1], ranges)
 
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
         part = Part(left.column(text), window)
         where, hashes = part.anchors()
-        return _send(left.column(mine)[0].as_py(), part.windows(where[_seen(right, 0, hashes, n)])[1], n)
+        return _send(left.column(mine)[0].as_py(), part.windows(where[_seen(right, 0, hashes, ranges)])[1], ranges)
 
     names = list(kept.columns)
     schema = T.StructType([*kept.schema.fields, *T._parse_datatype_string("n_words long, n_removed long, removed array<struct<begin:long,end:long>>, kept_sha256 string, kept_text string").fields])
@@ -189,9 +193,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, part_bytes: int = 4 << 20,
     def third(left: pa.Table, right: pa.Table) -> pa.Table:
         part = Part(left.column(text), window)
         where, hashes = part.anchors()
-        where, hashes = part.windows(where[_seen(right, 0, hashes, n)])
+        where, hashes = part.windows(where[_seen(right, 0, hashes, ranges)])
         edges = np.zeros(len(part.hashes) + 1, np.int64)
-        starts = where[_seen(right, 1, hashes, n)]
+        starts = where[_seen(right, 1, hashes, ranges)]
         np.add.at(edges, starts, 1)
         np.add.at(edges, starts + window, -1)
         gone = np.cumsum(edges)[:-1] > 0
@@ -200,14 +204,14 @@ def remove_repeats(docs: DataFrame, window: int = 35, part_bytes: int = 4 << 20,
         for k, (words, begin) in enumerate(zip(part.words, part.begins.tolist(), strict=True)):
             own = gone[begin : begin + len(words)]
             turns = np.flatnonzero(np.diff(own, prepend=False, append=False)).tolist()
-            ranges = list(zip(turns[::2], turns[1::2], strict=True))
+            cut = list(zip(turns[::2], turns[1::2], strict=True))
             out["n_removed"].append(int(own.sum()))
-            out["removed"].append([{"begin": a, "end": b} for a, b in ranges])
-            for a, b in reversed(ranges):
+            out["removed"].append([{"begin": a, "end": b} for a, b in cut])
+            for a, b in reversed(cut):
                 del words[a:b]
             out["kept_sha256"].append(hashlib.sha256(b" ".join(words)).hexdigest())
             own_text = whole[k].as_py()
-            out["kept_text"].append(without(own_text, ranges) if ranges else own_text)
+            out["kept_text"].append(without(own_text, cut) if cut else own_text)
         more = {c: pa.array(out[f.name], f_type) for c, f, f_type in zip(added, schema.fields[-len(added) :], (pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.string(), pa.string()), strict=True)}
         result = left.select(names)
         for c, values in more.items():

@@ -18,12 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from touchline.llm.common import parts_for, prepare, written
-from touchline.llm.embeddings import valid
 
 INDEX = "block long, dim int, ids binary, low binary, slices binary, widths binary"
 
@@ -111,24 +110,32 @@ def best(scores: list[np.ndarray], k: int, full: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits((sure | tied).view(np.uint8), bitorder="little"))
 
 
-def read_off(scores: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """The values that the slices hold at these rows."""
-    out = np.zeros(len(rows), np.int64)
+def read_off(scores: list[np.ndarray], rows: np.ndarray, wide: bool = False) -> np.ndarray:
+    """The values that the slices hold at these rows; `wide` ones as Python's
+    integers, where 63 bits might not do."""
+    out = np.zeros(len(rows), object if wide else np.int64)
     word, bit = rows >> 6, (rows & 63).astype(np.uint64)
     for p, s in enumerate(scores):
-        out += ((s[word] >> bit) & np.uint64(1)).astype(np.int64) << p
+        own = ((s[word] >> bit) & np.uint64(1)).astype(np.int64)
+        out += own.astype(object) << p if wide else own << p
     return out
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
     """(vec_id, dim, q): floor(scale * x) of each component, x as double, of
-    the vectors that can take part."""
+    the vectors that can take part. A component beyond a long is an error."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = F.col("v").isNotNull() & F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(fine).select("vec_id", F.size("v").alias("dim"), F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("q"))
+    edge = float(1 << 63)
 
+    def whole(x: Column) -> Column:
+        inside = (x * scale >= -edge) & (x * scale < edge)
+        return F.when(inside, F.floor(x * scale)).otherwise(F.raise_error("a component times the scale is beyond a long").cast("long"))
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block: int = 65_536, queries_each: int = 256) -> DataFrame:
+    return rows.where(fine).select("vec_id", F.size("v").alias("dim"), F.transform("v", whole).alias("q"))
+
+
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block: int = 16_384, queries_each: int = 4_096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best rows.
 
     Queries are the rows whose vec_id is divisible by `every`; candidates are
@@ -136,12 +143,17 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, blo
     inner product of the quantised vectors; ties go to the smaller vec_id.
     Vectors that are null, or hold null or non-finite components, or have no
     vec_id, take no part; vectors of different lengths aren't compared. Fewer
-    than k candidates are all returned. Further columns are ignored.
+    than k candidates are all returned. Repeated rows are candidates each; of
+    a query's repeated rows each asks, so its ranks repeat. A score or component
+    that doesn't fit a long is an error. An empty table gives no rows. Further
+    columns are ignored.
 
     Blocks and query groups are of fixed size. The index is written once; each
     block meets each query group in a task of its own and returns at most k
     rows (and ties of the boundary are resolved there), so tasks and memory
     stay bounded and the work, every query against every row, divides evenly.
+    A block is shuffled once for each group: a megabyte or so for 64 components
+    against the seconds that thousands of queries take over it.
     """
     prepare(vectors.sparkSession)
     rows = written(quantised(vectors, scale), "quantised")
@@ -163,8 +175,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, blo
     index = written(rows.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long")).groupBy("_block").applyInArrow(build, INDEX), "index")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     groups = parts_for(asked.count(), queries_each)
-    asked = asked.withColumn("_group", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int"))
-    packs = asked.groupBy("_group", "dim").agg(F.collect_list("vec_id").alias("query_ids"), F.flatten(F.collect_list("q")).alias("queries"))
+    asked = asked.withColumn("_group", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int")).withColumn("_row", F.monotonically_increasing_id())
+    packs = asked.groupBy("_group", "dim").agg(F.collect_list("vec_id").alias("query_ids"), F.collect_list("_row").alias("query_rows"), F.flatten(F.collect_list("q")).alias("queries"))
     # each block stands once for each query group: an equi join on the group
     cells = index.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(packs, ["_group", "dim"])
     cells = cells.repartition(max(1, min(blocks * groups, 100_000)), "_group", "block").drop("_group", "dim", "block")
@@ -174,8 +186,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, blo
             for cell in batch.to_pylist():
                 yield searched(cell, k)
 
-    found = cells.mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = cells.mapInArrow(search, "query_id long, query_row long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -188,8 +200,11 @@ def searched(cell: dict, k: int) -> pa.RecordBatch:
     rows[: len(ids)] = 1
     full = np.packbits(rows, bitorder="little").view(np.uint64)
     queries = np.array(cell["queries"], np.int64).reshape(len(cell["query_ids"]), -1)
+    # the largest sizes that a score's terms can have: beyond 62 bits, sums are of Python's integers
+    tops = np.maximum(np.abs(low.astype(float)), np.abs(low.astype(float) + np.exp2(widths)))
+    wide = (np.abs(queries.astype(float)) @ tops) * 16 >= float(1 << 63)
     out: list[np.ndarray] = []
-    for query_id, query in zip(cell["query_ids"], queries, strict=True):
+    for query_id, row, query, large in zip(cell["query_ids"], cell["query_rows"], queries, wide.tolist(), strict=True):
         mine = np.searchsorted(ids, query_id), np.searchsorted(ids, query_id, "right")
         mask = full
         if mine[0] < mine[1]:
@@ -198,8 +213,15 @@ def searched(cell: dict, k: int) -> pa.RecordBatch:
             mask = np.packbits(bits, bitorder="little").view(np.uint64)
         scores, base = summed(slices, widths, query, full)
         near = best(scores, k, mask)
-        values = read_off(scores, near) + base + int(query @ low)
-        keep = np.lexsort((ids[near], -values))[:k]
-        out.append(np.stack([np.full(len(keep), query_id, np.int64), ids[near][keep], values[keep]]))
-    found = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+        if large:
+            exact = read_off(scores, near, True) + base + sum(a * b for a, b in zip(query.tolist(), low.tolist(), strict=True))
+            keep = np.array(sorted(range(len(near)), key=lambda i: (-exact[i], ids[near[i]]))[:k], np.int64)
+            values = exact
+            if any(not -(1 << 63) <= exact[i] < 1 << 63 for i in keep):
+                raise OverflowError("a score is beyond a long")
+        else:
+            values = read_off(scores, near) + base + int(query @ low)
+            keep = np.lexsort((ids[near], -values))[:k]
+        out.append(np.stack([np.full(len(keep), query_id, np.int64), np.full(len(keep), row, np.int64), ids[near][keep], values[keep].astype(np.int64)]))
+    found = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "query_row", "vec_id", "score"])

@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from touchline.llm.common import prepare
+from touchline.llm.common import prepare, texts
 
 #: Hashed weights: words and their first 4 and 5 letters.
 BUCKETS = 1 << 18
@@ -85,10 +86,10 @@ class Bags:
     """Training documents as arrays: the words (token), sentence and document
     of each occurrence, and the feature buckets of each distinct word."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, bodies: list[str]):
         self.words: dict[str, int] = {}
         tokens, sentences, docs, count = [], [], [], 0
-        for d, text in enumerate(texts):
+        for d, text in enumerate(bodies):
             own = text.split()
             token = np.fromiter((self.words.setdefault(w, len(self.words)) for w in own), np.int64, len(own))
             stops = np.fromiter(map(ends, own), bool, len(own))
@@ -102,7 +103,7 @@ class Bags:
             docs.append(np.full(n, d))
             count += n
         self.token, self.sentence, self.doc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tokens, sentences, docs))
-        self.n_sentences, self.n_docs = count, len(texts)
+        self.n_sentences, self.n_docs = count, len(bodies)
         pairs = [(i, f) for w, i in self.words.items() for f in features(w)]
         self.word, self.bucket = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
 
@@ -118,12 +119,27 @@ class Bags:
         return np.bincount(both // max(1, self.n_docs), minlength=BUCKETS).astype(float)
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 100, rate: float = 0.3, least: int = 3) -> Model:
+def loss_and_gradient(bags: Bags, y: np.ndarray, weight: np.ndarray, w: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+    """The weighted negative log-likelihood of the documents' labels, and its
+    gradient by the weights and by the bias."""
+    value = np.bincount(bags.word, w[bags.bucket], len(bags.words))
+    z = np.bincount(bags.sentence, value[bags.token], bags.n_sentences) + bias
+    # the log probability that no sentence offends
+    log_clean = -np.bincount(bags.doc, np.logaddexp(0, z), len(y))
+    toxic = np.maximum(-np.expm1(log_clean), 1e-12)
+    pull = np.where(y, -np.exp(log_clean) / toxic, 1.0) * weight
+    grad_z = pull[bags.doc] * 0.5 * (1 + np.tanh(z / 2))
+    by_word = np.bincount(bags.token, grad_z[bags.sentence], len(bags.words))
+    loss = -float(np.where(y, np.log(toxic), log_clean) @ weight)
+    return loss, np.bincount(bags.bucket, by_word[bags.word], BUCKETS), float(grad_z.sum())
+
+
+def fit(bodies: list[str], toxic: np.ndarray, rounds: int = 100, rate: float = 0.3, least: int = 3) -> Model:
     """Gradient descent on the documents' log-likelihood, either label with
     half of the weight. It starts at smoothed log-odds of the features' document
     counts; features that fewer than `least` toxic documents share (and few
     clean ones) stay at zero, so no document is explained by words of its own."""
-    bags, y = Bags(texts), toxic.astype(bool)
+    bags, y = Bags(bodies), toxic.astype(bool)
     if not y.any() or y.all():
         return Model(np.zeros(BUCKETS), -20.0 if not y.any() else 20.0)
     hot, cold = bags.document_counts(y), bags.document_counts(~y)
@@ -135,46 +151,46 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 100, rate: float = 0.
     # large first sums: weak gradients take small steps
     seen, seen_bias = np.full(BUCKETS, 1e-4), 1e-4
     for _ in range(rounds):
-        value = np.bincount(bags.word, w[bags.bucket], len(bags.words))
-        z = np.bincount(bags.sentence, value[bags.token], bags.n_sentences) + bias
-        log_clean = -np.bincount(bags.doc, np.logaddexp(0, z), len(y))
-        pull = np.where(y, -np.exp(log_clean) / np.maximum(-np.expm1(log_clean), 1e-12), 1.0) * weight
-        grad_z = pull[bags.doc] * 0.5 * (1 + np.tanh(z / 2))
-        by_word = np.bincount(bags.token, grad_z[bags.sentence], len(bags.words))
-        grad = np.where(used, np.bincount(bags.bucket, by_word[bags.word], BUCKETS), 0)
+        _, grad, g = loss_and_gradient(bags, y, weight, w, bias)
+        grad = np.where(used, grad, 0)
         seen += grad**2
         w -= rate * grad / np.sqrt(seen)
-        g = float(grad_z.sum())
         seen_bias += g * g
         bias -= rate * g / np.sqrt(seen_bias)
     return Model(w, bias)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, each: int, longest: int, seed: int) -> tuple[list[str], np.ndarray]:
-    """At most `each` documents of either label, by hash of doc_id, of which
-    those with at most `longest` characters are used."""
-    marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = [marked.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id", F.lit(seed))).limit(each) for v in (0, 1)]
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= longest)
+def training_sample(docs: DataFrame, labels: DataFrame, each: int, most_bytes: int, seed: int) -> tuple[list[str], np.ndarray]:
+    """At most `each` documents of either label, in order of a hash of doc_id,
+    as far as `most_bytes` of text go. Of rows of one doc_id the smallest text
+    is taken, so that reruns agree; null texts count as empty."""
+    marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    order = F.xxhash64("doc_id", F.lit(seed))
+    drawn = [marked.where(F.col("toxic") == v).orderBy(order, "doc_id").limit(each) for v in (0, 1)]
     # at most 2 * each ids
-    rows = found.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64)
+    found = texts(docs).join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
+    rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(order, "doc_id"))
+    kept = rows.withColumn("_bytes", so_far).where(F.col("_bytes") <= most_bytes).orderBy("doc_id").select("text", "toxic").collect()
+    return [r["text"] for r in kept], np.array([r["toxic"] for r in kept], np.int64)
 
 
-def score(docs: DataFrame, labels: DataFrame, each: int = 3_000, longest: int = 20_000, threshold: float = 0.7, seed: int = 5) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, each: int = 3_000, most_bytes: int = 64 << 20, threshold: float = 0.7, seed: int = 5) -> DataFrame:
     """doc_id, score, predicted, offending for each row of docs.
 
     score is the noisy-or over all sentences of the whole text; predicted is 1
     from `threshold` on. offending lists the sentences whose own probability is
     at least a half, as (begin, end) word numbers with their probability.
     `labels` (doc_id, toxic) are the rows to learn from; the caller leaves out
-    held-out ones. At most `each` documents of either label are used, of at most
-    `longest` characters each, so training is bounded. Null texts count as
-    empty; without toxic labels every score is about 0. Scores use the text
-    alone. Further columns are ignored.
+    held-out ones. At most `each` documents of either label are used, in order
+    of a hash, as far as `most_bytes` of text of that label go, so training is
+    bounded; lengths alone leave nothing out. Null texts count as empty and,
+    like empty and very long ones, are scored whole; without toxic labels every
+    score is about 0. Scores use the text alone: repeated rows have equal
+    scores. An empty table gives no rows. Further columns are ignored.
     """
     spark = prepare(docs.sparkSession)
-    model = fit(*training_sample(docs, labels, each, longest, seed))
+    model = fit(*training_sample(docs, labels, each, most_bytes, seed))
     shared = spark.sparkContext.broadcast(model)
     schema = "doc_id long, score double, predicted int, offending array<struct<begin:int,end:int,probability:double>>"
 
@@ -192,4 +208,4 @@ def score(docs: DataFrame, labels: DataFrame, each: int = 3_000, longest: int =
             kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(found, kind)], names=["doc_id", "score", "predicted", "offending"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return texts(docs).mapInArrow(run, schema)
