@@ -34,7 +34,7 @@ def kmeans(x: np.ndarray, k: int = 2, restarts: int = 10, seed: int = 42, rounds
 
 def dbscan(x: np.ndarray, eps: float = 0.12, least: int = 3) -> np.ndarray:
     """Cluster labels, -1 for noise."""
-    near = ((x[:, None, :] - x[None]) ** 2).sum(axis=2) <= eps * eps
+    near = np.stack([((x - row) ** 2).sum(axis=1) for row in x]) <= eps * eps
     core = near.sum(axis=1) >= least
     labels = np.full(len(x), -1)
     mark = 0
@@ -68,7 +68,7 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float | None:
     names = np.unique(labels)
     if len(names) < 2 or len(names) >= len(x):
         return None
-    d = np.sqrt(((x[:, None, :] - x[None]) ** 2).sum(axis=2))
+    d = np.stack([np.sqrt(((x - row) ** 2).sum(axis=1)) for row in x])
     sums = np.stack([d[:, labels == n].sum(axis=1) for n in names], axis=1)
     sizes = np.array([(labels == n).sum() for n in names])
     own = np.searchsorted(names, labels)

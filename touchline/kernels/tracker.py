@@ -4,15 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
+from touchline.kernels.boxes import overlaps
 from touchline.kernels.hungarian import assign
 
 
-def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    iw = np.clip(np.minimum(a[:, None, 0] + a[:, None, 2], b[None, :, 0] + b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0, None)
-    ih = np.clip(np.minimum(a[:, None, 1] + a[:, None, 3], b[None, :, 1] + b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]), 0, None)
-    return iw * ih / np.maximum((a[:, 2] * a[:, 3])[:, None] + (b[:, 2] * b[:, 3])[None] - iw * ih, 1e-9)
-
-
 def step(state: list[list[float]], next_id: int, frame: int, boxes: np.ndarray, max_age: int = 30, min_hits: int = 3, least: float = 0.3) -> tuple[list[list[float]], int, list[tuple[int, bool]]]:
     """(tracks, next id, (track, confirmed) of each box). A track is [id, x, y,
     w, h, last frame, hits]; it expires `max_age` frames after its last box,
@@ -20,7 +15,7 @@ def step(state: list[list[float]], next_id: int, frame: int, boxes: np.ndarray,
     alive = [t for t in state if frame - t[5] <= max_age]
     names: list[int | None] = [None] * len(boxes)
     if alive and len(boxes):
-        overlap = iou_matrix(boxes, np.array([t[1:5] for t in alive]))
+        overlap = overlaps(boxes, np.array([t[1:5] for t in alive]))
         cost = np.where(overlap >= least, 1 - overlap, np.inf)
         for i, j in assign(cost):
             if np.isfinite(cost[i, j]):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from touchline.functions import exprs as X
+from touchline.kernels.boxes import overlaps
 from touchline.kernels.hungarian import assign
 
 FRAME = ["seq", "frame_id"]
@@ -53,7 +54,7 @@ def _sides(pred: DataFrame, gt: DataFrame, *columns: str) -> DataFrame:
     return side(pred, 0).unionByName(side(gt, 1))
 
 
-def _chunk(column: str = "frame_id", size: int = 250) -> Column:
+def chunk(column: str = "frame_id", size: int = 250) -> Column:
     """Frames solve on their own, so a long sequence is many groups."""
     return F.floor(F.col(column) / size).alias("_chunk")
 
@@ -65,7 +66,7 @@ def by_distance(pred: DataFrame, gt: DataFrame, most: float = 3.0) -> DataFrame:
     def distance(p: pd.DataFrame, g: pd.DataFrame) -> np.ndarray:
         return np.hypot(p["x_m"].to_numpy()[:, None] - g["x_m"].to_numpy()[None], p["y_m"].to_numpy()[:, None] - g["y_m"].to_numpy()[None])
 
-    solved = _sides(pred, gt, "x_m", "y_m").groupBy("seq", _chunk()).applyInPandas(lambda pdf: _solve(pdf, distance), MATCHED)
+    solved = _sides(pred, gt, "x_m", "y_m").groupBy("seq", chunk()).applyInPandas(lambda pdf: _solve(pdf, distance), MATCHED)
     return solved.where(F.col("cost") <= most).withColumnRenamed("cost", "distance_m")
 
 
@@ -74,13 +75,9 @@ def by_overlap(pred: DataFrame, gt: DataFrame, least: float = 0.5) -> DataFrame:
     of at least `least` count."""
 
     def miss(p: pd.DataFrame, g: pd.DataFrame) -> np.ndarray:
-        a, b = p[["x", "y", "w", "h"]].to_numpy(float), g[["x", "y", "w", "h"]].to_numpy(float)
-        iw = np.clip(np.minimum(a[:, None, 0] + a[:, None, 2], b[None, :, 0] + b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0, None)
-        ih = np.clip(np.minimum(a[:, None, 1] + a[:, None, 3], b[None, :, 1] + b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]), 0, None)
-        union = (a[:, 2] * a[:, 3])[:, None] + (b[:, 2] * b[:, 3])[None] - iw * ih
-        return 1 - iw * ih / np.maximum(union, 1e-8)
+        return 1 - overlaps(p[["x", "y", "w", "h"]].to_numpy(float), g[["x", "y", "w", "h"]].to_numpy(float), 1e-8)
 
-    solved = _sides(pred, gt, "x", "y", "w", "h").groupBy("seq", _chunk()).applyInPandas(lambda pdf: _solve(pdf, miss), MATCHED)
+    solved = _sides(pred, gt, "x", "y", "w", "h").groupBy("seq", chunk()).applyInPandas(lambda pdf: _solve(pdf, miss), MATCHED)
     return solved.withColumn("iou", 1 - F.col("cost")).where(F.col("iou") >= least).drop("cost")
 
 
@@ -120,10 +117,7 @@ def sticky_matches(pred: DataFrame, gt: DataFrame, least: float = 0.5) -> DataFr
             if not len(p) or not len(g):
                 held = {}
                 continue
-            a, b = p[["x", "y", "w", "h"]].to_numpy(float), g[["x", "y", "w", "h"]].to_numpy(float)
-            iw = np.clip(np.minimum(a[:, None, 0] + a[:, None, 2], b[None, :, 0] + b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0, None)
-            ih = np.clip(np.minimum(a[:, None, 1] + a[:, None, 3], b[None, :, 1] + b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]), 0, None)
-            iou = iw * ih / np.maximum((a[:, 2] * a[:, 3])[:, None] + (b[:, 2] * b[:, 3])[None] - iw * ih, 1e-6)
+            iou = overlaps(p[["x", "y", "w", "h"]].to_numpy(float), g[["x", "y", "w", "h"]].to_numpy(float), 1e-6)
             pid, gid = p["id"].tolist(), g["id"].tolist()
             got = {gt_id: pred_id for gt_id, pred_id in held.items() if gt_id in gid and pred_id in pid and iou[pid.index(pred_id), gid.index(gt_id)] >= least}
             rp = [i for i, x in enumerate(pid) if x not in got.values()]

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from touchline.kernels.boxes import overlaps
 from touchline.kernels.hungarian import assign
 from touchline.operators import matching as M
+from touchline.operators.running import running
 
 EPS = 1e-6
 
@@ -79,9 +81,8 @@ def hota(matches: DataFrame, pred: DataFrame, gt: DataFrame, *keys: str) -> Data
 
 
 def hota_thresholds(pred: DataFrame, gt: DataFrame) -> DataFrame:
-    """Means of hota() over the thresholds 0.05 to 0.95. Frames are solved once
-    for each threshold's allowed pairs: a pair that is kept at one and not at
-    another changes the optimum."""
+    """Means of hota() over the thresholds 0.05 to 0.95. Frames are solved once,
+    for the most total overlap; each threshold keeps the pairs that reach it."""
     solved = M.by_overlap(pred, gt, 0.05)
     levels = F.transform(F.sequence(F.lit(1), F.lit(19)), lambda k: k * 0.05)
     each = solved.withColumn("alpha", F.explode(levels)).where("iou >= alpha")
@@ -108,13 +109,13 @@ def role_scores(matches: DataFrame, role: str) -> DataFrame:
 
 def average_precision(scored: DataFrame, n_gt: DataFrame) -> DataFrame:
     """Precision-recall curve's area by trapezoids, for detections marked hit
-    (0 or 1) by falling score, ties by id. scored: seq, score, id, hit."""
-    w = Window.partitionBy("seq").orderBy(F.desc("score"), "id")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    curve = scored.withColumn("_tp", F.sum("hit").over(upto)).withColumn("_n", F.row_number().over(w)).join(n_gt, "seq")
-    curve = curve.withColumn("precision", F.col("_tp") / F.col("_n")).withColumn("recall", F.col("_tp") / F.col("n_gt"))
-    area = (F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))) * (F.col("precision") + F.coalesce(F.lag("precision").over(w), F.lit(1.0))) / 2
-    return curve.withColumn("_a", area).groupBy("seq").agg(F.sum("_a").alias("ap"), F.max("recall").alias("recall"))
+    (0 or 1) by falling score, ties by id. scored: seq, score, id, hit. The
+    point before a row is known from the row's own sums."""
+    curve = running(scored.withColumn("_one", F.lit(1)), ["seq"], [F.desc("score"), F.col("id")], _tp="hit", _n="_one").join(n_gt, "seq")
+    precision, recall = F.col("_tp") / F.col("_n"), F.col("_tp") / F.col("n_gt")
+    before = F.col("_tp") - F.col("hit")
+    height = precision + F.when(F.col("_n") > 1, before / F.nullif(F.col("_n") - 1, F.lit(0))).otherwise(1.0)
+    return curve.withColumn("_a", F.col("hit") / F.col("n_gt") * height / 2).withColumn("_r", recall).groupBy("seq").agg(F.sum("_a").alias("ap"), F.max("_r").alias("recall"))
 
 
 def success_curve(errors: DataFrame, column: str, levels: int, below: bool = True, unit: float = 1.0) -> DataFrame:
@@ -145,28 +146,26 @@ def binary_report(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def roc_auc(rows: DataFrame) -> DataFrame:
     """Area under the ROC curve of (label, p) by ranks, ties counted half.
-    Distinct scores are counted before the running sum, so what a single task
-    sees is one row for each score."""
+    Distinct scores are counted first; sums run in ranges of them."""
     c = rows.groupBy("p").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = c.withColumn("_u", F.col("pos") * (below + F.col("neg") / 2)).agg(F.sum("_u").alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    below = running(c, [], [F.col("p")], upto="neg")
+    s = below.withColumn("_u", F.col("pos") * (F.col("upto") - F.col("neg") / 2)).agg(F.sum("_u").alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return s.select((F.col("u") / F.nullif(F.col("p") * F.col("n"), F.lit(0))).alias("roc_auc"))
 
 
 def pr_auc(rows: DataFrame) -> DataFrame:
     """Average precision of (label, p): precision summed over recall's steps."""
     c = rows.groupBy("p").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    upto = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = c.select((F.col("pos") * F.sum("pos").over(upto) / F.sum("n").over(upto)).alias("_a"), F.sum("pos").over(whole).alias("_p"))
-    return s.agg((F.sum("_a") / F.max("_p")).alias("pr_auc"))
+    s = running(c, [], [F.desc("p")], hits="pos", seen="n")
+    return s.agg((F.sum(F.col("pos") * F.col("hits") / F.col("seen")) / F.sum("pos")).alias("pr_auc"))
 
 
 def coco_summary(pred: DataFrame, gt: DataFrame) -> DataFrame:
     """AP and AR over IoU 0.50 to 0.95 with COCO's 101 recall points, of each
     class: ap, ap50, ap75, ar. pred has score; images are (seq, frame_id). The
-    match of one image is greedy by score; images enter Python by sequence, and
-    precision is then interpolated on each class's sorted hits."""
+    match of one image is greedy by score; images enter Python by chunks of a
+    sequence's frames, and precision is then interpolated on each class's
+    running hits."""
     levels = np.arange(0.5, 0.96, 0.05)
     both = pred.select("seq", "frame_id", F.lit(0).alias("side"), F.col("track_id").alias("id"), "cls", "score", "x", "y", "w", "h").unionByName(gt.select("seq", "frame_id", F.lit(1).alias("side"), F.col("track_id").alias("id"), "cls", F.lit(0.0).alias("score"), "x", "y", "w", "h"))
 
@@ -179,9 +178,7 @@ def coco_summary(pred: DataFrame, gt: DataFrame) -> DataFrame:
             for r in p.itertuples():
                 hits = [False] * len(levels)
                 if len(b):
-                    iw = np.clip(np.minimum(r.x + r.w, b[:, 0] + b[:, 2]) - np.maximum(r.x, b[:, 0]), 0, None)
-                    ih = np.clip(np.minimum(r.y + r.h, b[:, 1] + b[:, 3]) - np.maximum(r.y, b[:, 1]), 0, None)
-                    o = iw * ih / np.maximum(r.w * r.h + b[:, 2] * b[:, 3] - iw * ih, 1e-9)
+                    o = overlaps(np.array([[r.x, r.y, r.w, r.h]]), b)[0]
                     for k, least in enumerate(levels):
                         free = np.where(taken[k], -1, o)
                         j = int(np.argmax(free))
@@ -190,17 +187,14 @@ def coco_summary(pred: DataFrame, gt: DataFrame) -> DataFrame:
                 out.append((int(cls), float(r.score), int(frame), int(r.id), [int(h) for h in hits]))
         return pd.DataFrame(out, columns=["cls", "score", "frame_id", "id", "hits"])
 
-    hits = both.groupBy("seq").applyInPandas(match, "cls int, score double, frame_id long, id long, hits array<int>")
+    hits = both.groupBy("seq", M.chunk()).applyInPandas(match, "cls int, score double, frame_id long, id long, hits array<int>")
     rows = hits.select("cls", "score", "frame_id", "id", F.posexplode("hits").alias("level", "hit"))
     n = gt.groupBy("cls").agg(F.count("*").alias("n_gt"))
-    w = Window.partitionBy("cls", "level").orderBy(F.desc("score"), "frame_id", "id")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    curve = rows.withColumn("_tp", F.sum("hit").over(upto)).withColumn("_n", F.row_number().over(w)).join(n, "cls").withColumn("recall", F.col("_tp") / F.col("n_gt")).withColumn("precision", F.col("_tp") / F.col("_n"))
-    best = curve.groupBy("cls", "level", "recall").agg(F.max("precision").alias("precision"))
-    after = Window.partitionBy("cls", "level").orderBy("recall").rowsBetween(0, Window.unboundedFollowing)
-    before = F.coalesce(F.lag("recall").over(Window.partitionBy("cls", "level").orderBy("recall")), F.lit(-1.0))
-    # recall points k / 100 in (before, recall]
-    points = F.floor(F.round(F.col("recall") * 100, 9)) - F.when(before < 0, F.lit(-1)).otherwise(F.floor(F.round(before * 100, 9)))
-    steps = best.withColumn("_p", F.max("precision").over(after)).withColumn("_k", points)
+    ranked = running(rows.withColumn("_one", F.lit(1)), ["cls", "level"], [F.desc("score"), F.col("frame_id"), F.col("id")], _tp="hit", _n="_one").join(n, "cls")
+    # the 101 recall points k / 100: precision at k is the best at a recall of at least k / 100
+    point = F.floor(F.round(F.col("_tp") / F.col("n_gt") * 100, 9)).cast("int")
+    best = ranked.groupBy("cls", "level", point.alias("k")).agg(F.max(F.col("_tp") / F.col("_n")).alias("precision"), F.max(F.col("_tp") / F.col("n_gt")).alias("recall"))
+    points = Window.partitionBy("cls", "level").orderBy("k")
+    steps = best.withColumn("_p", F.max("precision").over(points.rowsBetween(0, Window.unboundedFollowing))).withColumn("_k", F.col("k") - F.coalesce(F.lag("k").over(points), F.lit(-1)))
     per = steps.groupBy("cls", "level").agg((F.sum(F.col("_p") * F.col("_k")) / 101).alias("ap"), F.max("recall").alias("ar"))
     return per.groupBy("cls").agg(F.avg("ap").alias("ap"), F.max(F.when(F.col("level") == 0, F.col("ap"))).alias("ap50"), F.max(F.when(F.col("level") == 5, F.col("ap"))).alias("ap75"), F.avg("ar").alias("ar"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from touchline.operators.running import running
+
 
 def composite(rows: DataFrame) -> DataFrame:
     """Composite score of each sequence. The largest RMSE is a scalar subquery,
@@ -21,6 +23,11 @@ def best(rows: DataFrame, metric: str, k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(metric), "seq")))
 
 
+def ranked(rows: DataFrame, metric: str) -> DataFrame:
+    """All rows with their rank, by running counts in ranges."""
+    return running(rows.withColumn("_one", F.lit(1)), [], [F.desc(metric), F.col("seq")], rank="_one").drop("_one").withColumn("rank", F.col("rank").cast("int"))
+
+
 def top_lines(rows: DataFrame, metric: str, k: int = 5) -> DataFrame:
     line = F.concat(F.lit("#"), F.col("rank").cast("string"), F.lit(" seq "), F.col("seq").cast("string"), F.lit(f" {metric} "), F.printf(F.lit("%.3f"), F.col(metric)))
     return best(rows, metric, k).select("seq", line.alias("line"))

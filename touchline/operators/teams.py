@@ -16,7 +16,7 @@ MIN_TRACK, MIN_KEEPER, MIN_REFEREE, MAX_REFEREES = 8, 20, 12, 2
 REF_RATIO, REF_VOTES, REF_OUTLIER, KEEPER_RATIO, KEEPER_VOTES = 0.05, 15, 0.50, 0.30, 8
 EDGE, EDGE_SHARE, NEIGHBOURS, MIN_SCORE, MIN_MARGIN = 0.14, 0.30, 4, 0.40, 0.12
 STD_X, STD_Y, VOTE_WEIGHT, COMBINED_DELTA, MARGIN_DELTA = 0.08, 0.12, 0.60, 0.12, 0.10
-WINDOW, EVERY, CONFIRM, WINDOW_SEEN, WINDOW_VOTES = 220, 40, 2, 10, 12
+WINDOW, EVERY, TILE, WINDOW_SEEN, WINDOW_VOTES = 220, 40, 20, 10, 12
 SPATIAL, NEIGHBOUR, APPEARANCE = 0.55, 0.35, 0.10
 
 
@@ -48,7 +48,7 @@ def histogram(pixels: DataFrame, value: str, top: int, bins: int, *keys: str) ->
 def role_votes(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Votes of each track and its role by majority: ties go to the referee,
     then to the keeper."""
-    v = rows.join(F.broadcast(classes), "seq").groupBy("seq", "track_id").agg(
+    v = rows.join(classes, "seq").groupBy("seq", "track_id").agg(
         F.count("*").alias("seen"), F.count_if(F.array_contains("ref_ids", F.col("cls"))).alias("ref_votes"), F.count_if(F.array_contains("gk_ids", F.col("cls"))).alias("gk_votes"))
     player = F.col("seen") - F.col("ref_votes") - F.col("gk_votes")
     role = F.when(F.col("ref_votes") >= F.greatest("gk_votes", player), "referee").when(F.col("gk_votes") >= F.greatest("ref_votes", player), "goalkeeper").otherwise("player")
@@ -89,14 +89,14 @@ def usable(tracks: DataFrame) -> DataFrame:
     return tracks.withColumn("_n", F.count_if(strict).over(w)).where(F.when(F.col("_n") >= 2, strict).otherwise(long)).drop("_n")
 
 
-def clustered(descriptors: DataFrame, mode: str = "kmeans") -> DataFrame:
+def clustered(descriptors: DataFrame, mode: str = "kmeans", eps: float = 0.12) -> DataFrame:
     """A label for each track of a sequence, by K-Means or with DBSCAN outliers
     (-1). descriptors: seq, track_id, mean; a sequence has some tens of them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("track_id")
         x = np.stack(pdf["mean"].to_numpy()).astype(float)
-        labels = clusters.outlier_kmeans(x) if mode == "outlier" else clusters.kmeans(x)
+        labels = clusters.outlier_kmeans(x, eps=eps) if mode == "outlier" else clusters.kmeans(x)
         return pd.DataFrame({"seq": pdf["seq"], "track_id": pdf["track_id"], "label": labels})
 
     return descriptors.groupBy("seq").applyInPandas(run, "seq long, track_id long, label int")
@@ -107,7 +107,7 @@ def normalised_labels(labelled: DataFrame) -> DataFrame:
     track_id, label, x."""
     c = labelled.where("label >= 0").groupBy("seq", "label").agg(F.avg("x").alias("mx"))
     order = c.withColumn("team", F.row_number().over(Window.partitionBy("seq").orderBy("mx", "label")) - 1).select("seq", "label", "team")
-    return labelled.join(F.broadcast(order), ["seq", "label"], "left").withColumn("team", F.coalesce("team", F.lit(-1))).select("seq", "track_id", "team")
+    return labelled.join(order, ["seq", "label"], "left").withColumn("team", F.coalesce("team", F.lit(-1))).select("seq", "track_id", "team")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -117,7 +117,7 @@ def distance(a: Column, b: Column) -> Column:
 def nearest_centre(rows: DataFrame, centres: DataFrame) -> DataFrame:
     """Nearest and second nearest of each sequence's centres with confidence
     1 - d1 / (d1 + d2). centres: seq, team, centre (two for each sequence)."""
-    both = rows.join(F.broadcast(centres), "seq").withColumn("d", distance(F.col("feat"), F.col("centre")))
+    both = rows.join(centres, "seq").withColumn("d", distance(F.col("feat"), F.col("centre")))
     s = both.groupBy(*rows.columns[:2]).agg(F.array_sort(F.collect_list(F.struct("d", "team"))).alias("o"))
     d1, d2 = F.get("o", F.lit(0))["d"], F.coalesce(F.get("o", F.lit(1))["d"], F.lit(0.0))
     return s.select(*rows.columns[:2], F.get("o", F.lit(0))["team"].alias("team"), (1 - d1 / (d1 + d2 + 1e-9)).alias("confidence"))
@@ -179,21 +179,42 @@ def windowed(rows: DataFrame) -> DataFrame:
     first = F.ceil(F.greatest(F.col("frame_id"), F.lit(1)) / EVERY) * EVERY
     regular = F.filter(F.sequence(first, first + WINDOW - 1, F.lit(EVERY).cast("long")), lambda e: (e <= F.col("_last")) & (e - WINDOW < F.col("frame_id")))
     ends = F.when(F.col("frame_id") > F.col("_last") - WINDOW, F.array_distinct(F.array_append(regular, F.col("_last")))).otherwise(regular)
-    return rows.join(F.broadcast(last), "seq").withColumn("end", F.explode(ends)).drop("_last")
+    return rows.join(last, "seq").withColumn("end", F.explode(ends)).drop("_last")
+
+
+def tiled(rows: DataFrame, *sums: str) -> DataFrame:
+    """Sums of each track in the windows (end - 220, end]: seq, track_id, end.
+
+    Windows end at multiples of 40, so each is eleven tiles of 20 frames: rows
+    are summed by tile, and only tiles are copied into the windows that hold
+    them. Only the last window, where no multiple ends it, sums its rows."""
+    last = rows.groupBy("seq").agg(F.max("frame_id").alias("_last"))
+    tile = F.floor((F.greatest("frame_id", F.lit(1)) - 1) / TILE)
+    tiles = rows.groupBy("seq", "track_id", tile.alias("_tile")).agg(*[F.sum(c).alias(c) for c in sums]).join(last, "seq")
+    first = F.floor(F.col("_tile") * TILE / EVERY) * EVERY + EVERY
+    ends = F.filter(F.sequence(first, first + WINDOW, F.lit(EVERY).cast("long")), lambda e: (e <= F.col("_last")) & (e - WINDOW <= F.col("_tile") * TILE))
+    regular = tiles.withColumn("end", F.explode(ends)).select("seq", "track_id", "end", *sums)
+    partial = rows.join(last.where(F.col("_last") % EVERY != 0), "seq").where(F.col("frame_id") > F.col("_last") - WINDOW).select("seq", "track_id", F.col("_last").alias("end"), *sums)
+    return regular.unionByName(partial).groupBy("seq", "end", "track_id").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def window_candidates(rows: DataFrame, width: float, height: float, rarity: DataFrame) -> DataFrame:
     """Keeper candidates in each window and the proposal of each side: the best
     by score and vote margin, if it is good and far enough from the second.
     rows: seq, frame_id, track_id, team_id, x, y (centres)."""
-    inside = windowed(rows)
-    stats = side_stats(inside.withColumn("cx", F.col("x")).withColumn("cy", F.col("y")), width, height, "end").join(rarity, ["seq", "track_id"], "left")
-    stats = stats.where((F.col("n") >= WINDOW_SEEN) & (F.col("n") >= MIN_KEEPER) & (F.col("edge_ratio") >= EDGE_SHARE)).withColumn("score", F.col("edge_ratio") + 0.6 * F.coalesce("rarity", F.lit(0.0)))
+    x, y = F.col("x") / width, F.col("y") / height
+    one = rows.select("seq", "frame_id", "track_id", F.lit(1).alias("n"), (x < EDGE).cast("int").alias("left_hits"), (x > 1 - EDGE).cast("int").alias("right_hits"), x.alias("x1"), (x * x).alias("x2"), y.alias("y1"), (y * y).alias("y2"))
+    s = tiled(one, "n", "left_hits", "right_hits", "x1", "x2", "y1", "y2").join(rarity, ["seq", "track_id"], "left")
+    std = lambda c: F.sqrt(F.greatest(F.col(f"{c}2") / F.col("n") - F.pow(F.col(f"{c}1") / F.col("n"), 2), F.lit(0.0)))
+    s = s.withColumns({"std_x": std("x"), "std_y": std("y"), "edge_ratio": F.greatest("left_hits", "right_hits") / F.col("n"), "side": F.when(F.col("left_hits") >= F.col("right_hits"), "left").otherwise("right")})
+    stats = s.where((F.col("n") >= WINDOW_SEEN) & (F.col("n") >= MIN_KEEPER) & (F.col("edge_ratio") >= EDGE_SHARE)).withColumn("score", F.col("edge_ratio") + 0.6 * F.coalesce("rarity", F.lit(0.0)))
     # votes of each frame are counted once and summed in windows
     who = stats.select("seq", "track_id").distinct()
     near = M.nearest_neighbours(rows.join(who, ["seq", "track_id"], "left_semi"), rows, NEIGHBOURS)
     per_frame = near.groupBy("seq", "frame_id", F.col("keeper_id").alias("track_id")).agg(F.count_if(F.col("team_id") == 0).alias("a"), F.count_if(F.col("team_id") == 1).alias("b"))
-    votes = windowed(per_frame).groupBy("seq", "end", "track_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    # the last frame is that of all rows, whether or not a candidate is in it
+    all_frames = rows.groupBy("seq").agg(F.max("frame_id").alias("frame_id")).select("seq", "frame_id", F.lit(None).cast("long").alias("track_id"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    votes = tiled(per_frame.unionByName(all_frames), "a", "b").where("track_id IS NOT NULL")
     c = stats.join(votes, ["seq", "end", "track_id"], "left").na.fill(0, ["a", "b"]).withColumn("votes", F.col("a") + F.col("b"))
     c = c.withColumn("margin", F.abs(F.col("a") - F.col("b")) / F.greatest("votes", F.lit(1))).withColumn("combined", F.col("score") + VOTE_WEIGHT * F.col("margin"))
     w = Window.partitionBy("seq", "end", "side").orderBy(F.desc("combined"), "track_id")
@@ -205,24 +226,50 @@ def window_candidates(rows: DataFrame, width: float, height: float, rarity: Data
 
 def hysteresis(proposals: DataFrame) -> DataFrame:
     """The keeper of each side after each window: a change holds once it was
-    proposed twice in a row. proposals: seq, end, side, proposed."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        now = pending = None
-        count, out = 0, []
-        for r in pdf.sort_values("end").itertuples():
-            p = None if pd.isna(r.proposed) else int(r.proposed)
-            if p == now:
-                pending, count = None, 0
-            else:
-                count = count + 1 if p == pending and count else 1
-                pending = p
-                if count >= CONFIRM:
-                    now, pending, count = p, None, 0
-            out.append((r.seq, r.end, r.side, now))
-        return pd.DataFrame(out, columns=["seq", "end", "side", "keeper"]).astype({"keeper": "Int64"})
-
-    return proposals.groupBy("seq", "side").applyInPandas(run, "seq long, end long, side string, keeper long")
+    proposed twice in a row, so what holds is the last proposal that equals
+    the one before it. proposals: seq, end, side, proposed."""
+    w = Window.partitionBy("seq", "side").orderBy("end")
+    same = (F.row_number().over(w) > 1) & F.col("proposed").eqNullSafe(F.lag("proposed").over(w))
+    twice = proposals.withColumn("_twice", F.when(same, F.struct("proposed")))
+    held = F.last("_twice", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return twice.select("seq", "end", "side", held["proposed"].cast("long").alias("keeper"))
+
+
+def voted_keepers(held: DataFrame) -> DataFrame:
+    """The keeper of each side over all windows: who held it in most of them,
+    ties to the smaller track. held: seq, side, keeper."""
+    n = held.where("keeper IS NOT NULL").groupBy("seq", "side", "keeper").agg(F.count("*").alias("windows"))
+    return n.groupBy("seq", "side").agg(F.max_by(F.struct("keeper", "windows"), F.struct("windows", -F.col("keeper"))).alias("k")).select("seq", "side", "k.keeper", "k.windows")
+
+
+def team_phase(boxes: DataFrame, descriptors: DataFrame, width: float, height: float, mode: str = "outlier", first_frames: int | None = None) -> DataFrame:
+    """Role and team of each track: seq, track_id, role, team, confidence.
+
+    Class votes give referees and keepers; the other usable tracks are clustered
+    by mean descriptor, labels go by mean x (team 0 on the left), of the first
+    frames only where `first_frames` is given; all players, outliers and short
+    tracks too, take the team of the nearer centre. Keepers take the team of
+    their nearest players, referees none (-1).
+
+    boxes: seq, frame_id, track_id, cls, x, y (centres); descriptors: seq,
+    track_id, feat, a row for each crop.
+    """
+    keys = ["seq", "track_id"]
+    votes = soft_roles(role_votes(boxes, inferred_classes(boxes)))
+    role = F.when((F.col("role") == "referee") | F.col("soft_referee"), "referee").when((F.col("role") == "goalkeeper") | F.col("soft_keeper"), "goalkeeper").otherwise("player")
+    tracks = votes.select(*keys, F.col("seen").alias("n"), role.alias("role"))
+    means = mean_descriptor(descriptors, "feat", *keys).join(tracks, keys)
+    labelled = clustered(usable(means).select(*keys, "mean"), mode)
+    seen = boxes.where(F.col("frame_id") <= first_frames) if first_frames else boxes
+    places = seen.groupBy(*keys).agg(F.avg("x").alias("x"))
+    named = normalised_labels(labelled.join(places, keys, "left"))
+    centres = mean_descriptor(named.where("team >= 0").join(means, keys), "mean", "seq", "team").withColumnRenamed("mean", "centre")
+    players = nearest_centre(means.where("role = 'player'").select(*keys, F.col("mean").alias("feat")), centres)
+    teams = boxes.join(players.select(*keys, F.col("team").alias("team_id")), keys)
+    ours = boxes.join(tracks.where("role = 'goalkeeper'").select(*keys), keys, "left_semi").select("seq", "frame_id", "track_id", "x", "y")
+    keepers = neighbour_votes(ours, teams.select("seq", "frame_id", "track_id", "team_id", "x", "y")).select(*keys, "team", F.col("margin").alias("confidence"))
+    assigned = players.select(*keys, "team", "confidence").unionByName(keepers)
+    return tracks.join(assigned, keys, "left").select(*keys, "role", F.when(F.col("role") != "referee", F.col("team")).otherwise(-1).cast("int").alias("team"), "confidence")
 
 
 def cluster_quality(rows: DataFrame) -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from touchline.kernels.boxes import overlaps
 from touchline.kernels.geometry import rotation, rotation_vector, smooth_cameras
 from touchline.kernels.viterbi import ball_path
+from touchline.operators import matching as M
 
 
 def ball_trajectory(frames: DataFrame, **parameters: float) -> DataFrame:
@@ -61,35 +61,22 @@ def cameras(frames: DataFrame) -> DataFrame:
     return frames.groupBy("seq").applyInPandas(smooth, "seq long, frame_id long, rotvec array<double>, fx double, pos array<double>")
 
 
-def _iou(b: np.ndarray, others: np.ndarray) -> np.ndarray:
-    iw = np.clip(np.minimum(b[0] + b[2], others[:, 0] + others[:, 2]) - np.maximum(b[0], others[:, 0]), 0, None)
-    ih = np.clip(np.minimum(b[1] + b[3], others[:, 1] + others[:, 3]) - np.maximum(b[1], others[:, 1]), 0, None)
-    return iw * ih / np.maximum(b[2] * b[3] + others[:, 2] * others[:, 3] - iw * ih, 1e-9)
-
-
-def by_sequence(kernel: Callable[[pd.DataFrame], pd.DataFrame], columns: str) -> Callable[[DataFrame], DataFrame]:
-    def run(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("seq").applyInPandas(kernel, columns)
-
-    return run
-
-
 def suppressed(rows: DataFrame, most: float = 0.5) -> DataFrame:
     """Greedy non-maximum suppression in each frame: boxes by score, ties by
-    track; one that overlaps a kept box by more than `most` goes. Frames of a
-    sequence enter Python together."""
+    track; one that overlaps a kept box by more than `most` goes. Frames enter
+    Python in chunks of a sequence."""
 
     def nms(pdf: pd.DataFrame) -> pd.DataFrame:
         keep = []
         for _, own in pdf.sort_values(["score", "track_id"], ascending=[False, True]).groupby("frame_id", sort=False):
             boxes, kept = own[["x", "y", "w", "h"]].to_numpy(float), []
             for i in range(len(boxes)):
-                if not kept or _iou(boxes[i], boxes[kept]).max() <= most:
+                if not kept or overlaps(boxes[i : i + 1], boxes[kept]).max() <= most:
                     kept.append(i)
             keep.append(own.iloc[kept])
         return pd.concat(keep)[["seq", "frame_id", "track_id", "score"]]
 
-    return by_sequence(nms, "seq long, frame_id long, track_id long, score double")(rows)
+    return rows.groupBy("seq", M.chunk()).applyInPandas(nms, "seq long, frame_id long, track_id long, score double")
 
 
 def last_seen(rows: DataFrame, ttl: int = 5) -> DataFrame:
@@ -116,7 +103,7 @@ def reassociated(rows: DataFrame, least: float = 0.4, ttl: int = 5) -> DataFrame
             for b in boxes:
                 best, name = least, None
                 for t, (_, other) in free.items():
-                    o = float(_iou(b, other[None])[0])
+                    o = float(overlaps(b[None], other[None])[0, 0])
                     if o >= best and (name is None or o > best):
                         best, name = o, t
                 if name is not None:
@@ -126,7 +113,7 @@ def reassociated(rows: DataFrame, least: float = 0.4, ttl: int = 5) -> DataFrame
             out.append(own.assign(matched=pd.array(names, "Int64")))
         return pd.concat(out)[["seq", "frame_id", "track_id", "matched"]]
 
-    return by_sequence(walk, "seq long, frame_id long, track_id long, matched long")(rows)
+    return rows.groupBy("seq").applyInPandas(walk, "seq long, frame_id long, track_id long, matched long")
 
 
 def slices(spark: SparkSession, width: int, height: int, size: int, overlap: float) -> DataFrame:

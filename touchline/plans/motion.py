@@ -92,15 +92,27 @@ def _(v):
     return J.last_seen(v.track.select("seq", "track_id", "frame_id", "x_m"), 5).select("seq", "track_id", "frame_id", "age")
 
 
-@query("f12_ball_viterbi", "SELECT DISTINCT seq, frame_id FROM v_num")
+#: The ball of each track, hidden in some frames; a player holds it in every third track.
+BALLS = """b AS (SELECT track_id AS seq, frame_id, x, y, event_id % 11 NOT IN (3, 4) AS seen FROM v_box),
+l AS (SELECT *, max(CASE WHEN seen THEN frame_id END) OVER (PARTITION BY seq ORDER BY frame_id) AS f FROM b)"""
+
+
+@query("f12_ball_viterbi", f"""WITH {BALLS} SELECT l.seq, l.frame_id, NOT l.seen AS is_dummy, CASE WHEN NOT l.seen AND f IS NOT NULL AND l.seq % 3 = 0 THEN l.seq END AS attached,
+round(CASE WHEN l.seen THEN l.x WHEN f IS NULL THEN NULL WHEN l.seq % 3 = 0 THEN l.x ELSE o.x + 2 * (l.frame_id - f) END, 4) AS x,
+round(CASE WHEN l.seen THEN l.y WHEN f IS NULL THEN NULL WHEN l.seq % 3 = 0 THEN l.y - 35 ELSE o.y + (l.frame_id - f) END, 4) AS y FROM l LEFT JOIN b o ON o.seq = l.seq AND o.frame_id = l.f""")
 def _(v):
-    """One state for each frame of each sequence."""
-    balls = F.struct((F.col("x") + 5).alias("x"), (F.col("y") + 60).alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"), "score", "track_id")
-    players = F.struct(F.col("track_id").alias("track"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
-    by_track = lambda c, k: F.transform(F.array_sort(F.collect_list(F.struct(F.col("track_id").alias("k"), c.alias("v")))), lambda s: s["v"])
-    frames = v.box.groupBy("seq", "frame_id").agg(F.filter(by_track(balls, "b"), lambda b: b.isNotNull()).alias("balls"), by_track(players, "p").alias("players"))
-    m = F.array(*[F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0)])
-    return J.ball_trajectory(frames.withColumn("m", m)).select("seq", "frame_id")
+    """A likelier ball beyond the gate is never taken; a hidden ball stays at
+    its player, or moves on with the camera."""
+    one = v.box.withColumn("seq", F.col("track_id"))
+    ball = lambda x, score: F.struct(x.alias("x"), F.col("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"), F.lit(score).alias("score"))
+    true, decoy = ball(F.col("x"), 0.9), ball(F.col("x") + 600 + F.col("event_id") % 7, 0.95)
+    none = lambda kind: F.array().cast(kind)
+    balls = F.when((F.col("event_id") % 11).isin(3, 4), none("array<struct<x:double,y:double,w:double,h:double,score:double>>")).when((F.col("event_id") % 5 == 0) & (F.col("frame_id") > 10), F.array(decoy, true)).otherwise(F.array(true))
+    player = F.struct(F.col("track_id").alias("track"), (F.col("x") - 10).alias("x1"), (F.col("y") - 80).alias("y1"), (F.col("x") + 10).alias("x2"), (F.col("y") + 10).alias("y2"))
+    players = F.when(F.col("track_id") % 3 == 0, F.array(player)).otherwise(none("array<struct<track:bigint,x1:double,y1:double,x2:double,y2:double>>"))
+    m = F.array(*[F.lit(float(x)) for x in (1, 0, 2, 0, 1, 1)])
+    path = J.ball_trajectory(one.select("seq", "frame_id", balls.alias("balls"), players.alias("players"), m.alias("m")))
+    return path.select("seq", "frame_id", "is_dummy", "attached", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 @query("f12_ball_viterbi_single", "SELECT track_id AS seq, frame_id, round(x_m * 18, 4) AS x FROM v_num")
@@ -115,24 +127,51 @@ def _(v):
     return J.ball_trajectory(frames, delta_P=5000.0).select("seq", "frame_id", F.round("x", 4).alias("x"))
 
 
-@query("f13_camera_smoothing", "SELECT DISTINCT seq, frame_id, 1000::DOUBLE AS fx FROM v_num")
+#: One direction of the smoother for the focal length alone, measurement by measurement.
+FOCAL = """{n} AS (SELECT seq, i, CASE WHEN has THEN fx END AS now, 0 AS rej FROM {r} WHERE i = 0
+  UNION ALL SELECT r.seq, r.i, CASE WHEN NOT has THEN now WHEN now IS NULL OR r.i < 3 THEN fx WHEN err > 20 THEN now WHEN abs(fx - now) / now <= 0.2 THEN 0.05 * fx + (1 - 0.05::DOUBLE) * now WHEN rej < 15 THEN now ELSE 0.5 * fx + 0.5 * now END,
+    CASE WHEN NOT has OR now IS NULL OR r.i < 3 THEN rej WHEN err > 20 THEN rej + 1 WHEN abs(fx - now) / now > 0.2 AND rej < 15 THEN rej + 1 ELSE 0 END
+  FROM {n} JOIN {r} r ON r.seq = {n}.seq AND r.i = {n}.i + 1)"""
+CAMERAS = "cm AS (SELECT track_id AS seq, frame_id, event_id % 7 <> 3 AS has, (event_id * 7 % 30)::DOUBLE AS err, CASE WHEN event_id % 13 = 0 THEN 1600 ELSE 900 + event_id * 37 % 200 END::DOUBLE AS fx FROM v_num)"
+
+
+@query("f13_camera_smoothing", f"""WITH RECURSIVE {CAMERAS}, r1 AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY frame_id) - 1 AS i FROM cm), r2 AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY frame_id DESC) - 1 AS i FROM cm), {FOCAL.format(n='fw', r='r1')}, {FOCAL.format(n='bw', r='r2')}
+SELECT r1.seq, r1.frame_id, round(coalesce(0.5 * fw.now + 0.5 * bw.now, fw.now, bw.now), 6) AS fx FROM r1 JOIN fw ON fw.seq = r1.seq AND fw.i = r1.i JOIN r2 ON r2.seq = r1.seq AND r2.frame_id = r1.frame_id JOIN bw ON bw.seq = r2.seq AND bw.i = r2.i""")
 def _(v):
-    """A constant camera stays what it is, with or without measurements."""
-    frames = v.num.select("seq", "frame_id").distinct()
-    vec = F.when(F.col("frame_id") % 7 != 3, F.array(F.lit(0.1), F.lit(0.2), F.lit(0.0)))
-    cams = frames.select("seq", "frame_id", vec.alias("rotvec"), *[F.lit(x).alias(c) for c, x in (("fx", 1000.0), ("fy", 1000.0), ("cx", 960.0), ("cy", 540.0))], F.array(F.lit(0.0), F.lit(60.0), F.lit(-15.0)).alias("pos"), F.lit(2.0).alias("rep_err"), F.lit("voting").alias("source"))
+    """Focal lengths with noise, outliers, gaps and bad reprojections, under one rotation."""
+    e = F.col("event_id")
+    vec = F.when(e % 7 != 3, F.array(F.lit(0.1), F.lit(0.2), F.lit(0.0)))
+    fx = F.when(e % 13 == 0, 1600.0).otherwise(900.0 + e * 37 % 200)
+    cams = v.num.select(F.col("track_id").alias("seq"), "frame_id", vec.alias("rotvec"), fx.alias("fx"), fx.alias("fy"), F.lit(960.0).alias("cx"), F.lit(540.0).alias("cy"), F.array(F.lit(0.0), F.lit(60.0), F.lit(-15.0)).alias("pos"), (e * 7 % 30).cast("double").alias("rep_err"), F.lit("voting").alias("source"))
     return J.cameras(cams).select("seq", "frame_id", F.round("fx", 6).alias("fx"))
 
 
-@query("d16_non_maximum_suppression", """SELECT seq, frame_id, track_id FROM v_box a WHERE NOT EXISTS (SELECT 1 FROM v_box b WHERE b.seq = a.seq AND b.frame_id = a.frame_id AND (b.score, -b.track_id) > (a.score, -a.track_id)
-  AND greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) > 0.5 * (a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))))""")
+#: Boxes of a frame in a row, each over its neighbours; they move on by one place with each frame.
+ROW = "mv AS (SELECT seq, frame_id, track_id, 8 * {slot} + (event_id * event_id % 9973) * 0.000737::DOUBLE AS x, (event_id * event_id % 9967) * 0.000391::DOUBLE AS y, score FROM v_box)"
+OVER = "greatest(0, 40 - abs(e.x - {o}x)) * greatest(0, 80 - abs(e.y - {o}y))"
+
+
+def in_a_row(v, slot):
+    e2 = F.col("event_id") * F.col("event_id")
+    return v.box.select("seq", "frame_id", "track_id", (8 * slot + e2 % 9973 * 0.000737).alias("x"), (e2 % 9967 * 0.000391).alias("y"), F.lit(40.0).alias("w"), F.lit(80.0).alias("h"), "score")
+
+
+@query("d16_non_maximum_suppression", f"""WITH RECURSIVE {ROW.format(slot='(track_id % 22)')}, rk AS (SELECT *, row_number() OVER (PARTITION BY seq, frame_id ORDER BY score DESC, track_id) AS k FROM mv),
+kp AS (SELECT seq, frame_id, k, track_id, true AS keep, [struct_pack(x := x, y := y)] AS kept FROM rk WHERE k = 1
+  UNION ALL SELECT seq, frame_id, k, track_id, free, CASE WHEN free THEN list_append(kept, struct_pack(x := x, y := y)) ELSE kept END FROM (SELECT rk.*, kept, len(list_filter(kept, lambda e: {OVER.format(o='rk.')} > 0.5 * (6400 - {OVER.format(o='rk.')}))) = 0 AS free FROM kp JOIN rk ON rk.seq = kp.seq AND rk.frame_id = kp.frame_id AND rk.k = kp.k + 1))
+SELECT seq, frame_id, track_id FROM kp WHERE keep""")
 def _(v):
-    """Boxes of the view don't overlap in chains, so the SQL's one step is exact."""
-    return J.suppressed(v.box).select("seq", "frame_id", "track_id")
+    """A box over a box that went stays."""
+    return J.suppressed(in_a_row(v, F.col("track_id") % 22)).select("seq", "frame_id", "track_id")
 
 
-@query("d17_reassociation", """SELECT b.seq, b.frame_id, b.track_id, p.track_id AS matched FROM v_box b LEFT JOIN v_box p ON p.seq = b.seq AND p.track_id = b.track_id AND p.frame_id = b.frame_id - 1
-AND greatest(0, least(p.x + p.w, b.x + b.w) - greatest(p.x, b.x)) * greatest(0, least(p.y + p.h, b.y + b.h) - greatest(p.y, b.y)) >= 0.4 * (p.w * p.h + b.w * b.h - greatest(0, least(p.x + p.w, b.x + b.w) - greatest(p.x, b.x)) * greatest(0, least(p.y + p.h, b.y + b.h) - greatest(p.y, b.y)))""")
+@query("d17_reassociation", f"""WITH RECURSIVE {ROW.format(slot='((track_id + frame_id) % 22)')}, dt AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY frame_id, score DESC, track_id) AS k FROM mv),
+go AS (SELECT seq, 0::BIGINT AS k, 0::BIGINT AS frame_id, NULL::BIGINT AS track_id, NULL::BIGINT AS matched, []::STRUCT(t BIGINT, f BIGINT, x DOUBLE, y DOUBLE)[] AS mem, []::STRUCT(t BIGINT, f BIGINT, x DOUBLE, y DOUBLE)[] AS cur, []::BIGINT[] AS used FROM (SELECT DISTINCT seq FROM dt)
+  UNION ALL SELECT seq, k, frame_id, track_id, m, mem, list_append(cur, struct_pack(t := track_id, f := frame_id, x := x, y := y)), CASE WHEN m IS NULL THEN used ELSE list_append(used, m) END
+  FROM (SELECT *, list_reverse_sort(list_filter(list_transform(list_filter(mem, lambda e: NOT list_contains(used, e.t)), lambda e: struct_pack(o := {OVER.format(o='z.')} / (6400 - {OVER.format(o='z.')}), t := e.t)), lambda c: c.o >= 0.4))[1].t AS m
+    FROM (SELECT d.*, CASE WHEN d.frame_id = go.frame_id THEN cur ELSE [] END AS cur, CASE WHEN d.frame_id = go.frame_id THEN used ELSE [] END AS used,
+      CASE WHEN d.frame_id = go.frame_id THEN mem ELSE list_filter(list_concat(list_filter(mem, lambda e: NOT list_contains(list_transform(cur, lambda c: c.t), e.t)), cur), lambda e: d.frame_id - e.f <= 2) END AS mem FROM go JOIN dt d ON d.seq = go.seq AND d.k = go.k + 1) z))
+SELECT seq, frame_id, track_id, matched FROM go WHERE k > 0""")
 def _(v):
-    """Boxes of different tracks never overlap by 0.4 here, so a match is the track itself."""
-    return J.reassociated(v.box, 0.4, 1)
+    """Several boxes compete for each place that another track held before."""
+    return J.reassociated(in_a_row(v, (F.col("track_id") + F.col("frame_id")) % 22), 0.4, 2)

@@ -19,7 +19,7 @@ def _(v):
 @query("g3_leaderboard", "SELECT seq, CAST(row_number() OVER (ORDER BY c DESC, seq) AS INT) AS rank FROM (SELECT seq, round(0.30 * f1 + 0.25 * mota + 0.20 * team_accuracy + 0.15 * (1 - rmse / max(rmse) OVER ()) + 0.10 * idf1, 9) AS c FROM v_report)")
 def _(v):
     c = P.composite(v.report).withColumn("composite", F.round("composite", 9))
-    return P.best(c, "composite", 1000).select("seq", "rank")
+    return P.ranked(c, "composite").select("seq", "rank")
 
 
 TOP = "tp AS (SELECT track_id, frame_id, s[1] AS p, s[1] - s[2] AS m, list_position(probs, s[1]) AS number FROM (SELECT *, list_reverse_sort(probs) AS s FROM v_post))"
@@ -42,10 +42,11 @@ def _(v):
     return I.ranked_sweep(swept(v)).select("p1_threshold", "margin_threshold", "rank")
 
 
-@query("g5_best_detection", "SELECT seq, frame_id, max_by(track_id, score) AS track_id FROM v_box WHERE score >= 0.2 GROUP BY seq, frame_id HAVING count(*) > 0 AND count(DISTINCT score) = count(score)")
+@query("g5_best_detection", "SELECT seq, frame_id, track_id FROM (SELECT *, row_number() OVER (PARTITION BY seq, frame_id ORDER BY round(score, 1) DESC, track_id) AS r FROM v_box WHERE score >= 0.2) WHERE r = 1")
 def _(v):
-    b = v.box.where("score >= 0.2").groupBy("seq", "frame_id").agg(F.max_by("track_id", "score").alias("track_id"), F.countDistinct("score").alias("d"), F.count("score").alias("n"))
-    return b.where("d = n").select("seq", "frame_id", "track_id")
+    """Scores of one decimal: ties go to the smaller track."""
+    b = v.box.where("score >= 0.2").groupBy("seq", "frame_id").agg(F.max_by("track_id", F.struct(F.round("score", 1), -F.col("track_id"))).alias("track_id"))
+    return b.select("seq", "frame_id", "track_id")
 
 
 @query("g7_top_fraction", "SELECT track_id, frame_id FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY quality DESC, frame_id) AS r, count(*) OVER (PARTITION BY track_id) AS n FROM v_post) WHERE r <= greatest(2, ceil(n * 0.5))")
@@ -68,7 +69,7 @@ def _(v):
     return v.table("events").orderBy(F.desc("event_id")).limit(200).select("event_id")
 
 
-@query("g13_seeded_split", "SELECT seq, row_number() OVER (ORDER BY md5('7|' || seq), seq) <= greatest(1, floor(7 * 0.2)) AS is_val FROM (SELECT DISTINCT seq FROM v_num)")
+@query("g13_seeded_split", "SELECT seq, row_number() OVER (ORDER BY md5('7|' || seq), seq) <= greatest(1, floor(count(*) OVER () * 0.2)) AS is_val FROM (SELECT DISTINCT seq FROM v_num)")
 def _(v):
     s = v.num.select("seq").distinct()
     h = F.md5(F.concat_ws("|", F.lit("7"), F.col("seq").cast("string")))

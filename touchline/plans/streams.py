@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from touchline.functions import exprs as X
 from touchline.plans.motion import STEP
 from touchline.plans.registry import query
+from touchline.plans.teams import HOLD, PROPOSED, proposals
 from touchline.streaming import online as O
 
 
@@ -16,7 +18,7 @@ def _rows(v):
 
 @query("k1_online_kinematics", f"WITH {STEP} SELECT seq, track_id, frame_id, round(distance_m, 4) AS distance_m, round(speed_kmh, 4) AS speed_kmh FROM s")
 def _(v):
-    got = O.drained(O.online_motion(O.replayed(v.spark, _rows(v), "frame_id")))
+    got = O.replayed(_rows(v), "frame_id", lambda s: O.online_motion(s, idle_ms=None))
     return got.select("seq", "track_id", "frame_id", F.round("distance_m", 4).alias("distance_m"), F.round("speed_kmh", 4).alias("speed_kmh"))
 
 
@@ -26,49 +28,88 @@ def _(v):
     from touchline.operators import kinematics as K
 
     moved = K.motion(v.track.where(X.valid_player())).select("seq", "track_id", "frame_id", "speed_kmh", "distance_m")
-    return O.drained(O.online_sprints(O.replayed(v.spark, moved, "frame_id"))).select("seq", "track_id", "first_frame", "n_frames")
+    return O.replayed(moved, "frame_id", lambda s: O.online_sprints(s, idle_ms=None)).select("seq", "track_id", "first_frame", "n_frames")
 
 
-@query("k3_online_tracker", "SELECT seq, frame_id, track_id AS box_id FROM v_box")
+#: Boxes that leap to another place after every 15 frames; a box away for more
+#: than two frames, or elsewhere, starts a track. Tracks are numbered in order.
+LEAPS = """bx AS (SELECT seq, frame_id, track_id AS box_id, frame_id // 15 AS leg FROM v_num WHERE event_type <> 'view'),
+ag AS (SELECT *, coalesce(frame_id - lag(frame_id) OVER (PARTITION BY seq, box_id, leg ORDER BY frame_id) > 2, true) AS fresh FROM bx),
+nw AS (SELECT *, CASE WHEN fresh THEN row_number() OVER (PARTITION BY seq, fresh ORDER BY frame_id, box_id) END AS number, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY seq, box_id ORDER BY frame_id) AS life FROM ag),
+tr AS (SELECT *, max(number) OVER (PARTITION BY seq, box_id, life) AS track, row_number() OVER (PARTITION BY seq, box_id, life ORDER BY frame_id) AS hits FROM nw)"""
+
+
+@query("k3_online_tracker", f"WITH {LEAPS} SELECT seq, frame_id, box_id, track, hits >= 3 AS confirmed FROM tr")
 def _(v):
-    boxes = v.box.select("seq", "frame_id", F.col("track_id").alias("box_id"), "x", "y", "w", "h")
-    return O.drained(O.online_tracks(O.replayed(v.spark, boxes, "frame_id"))).select("seq", "frame_id", "box_id")
+    x = 200.0 * (F.col("track_id") % 22) + 60 * F.floor(F.col("frame_id") / 15)
+    boxes = v.num.where("event_type <> 'view'").select("seq", "frame_id", F.col("track_id").alias("box_id"), (x + F.col("event_id") % 5).alias("x"), (10_000.0 * (F.col("track_id") % 22)).alias("y"), F.lit(40.0).alias("w"), F.lit(80.0).alias("h"))
+    return O.replayed(boxes, "frame_id", lambda s: O.online_tracks(s, max_age=2, idle_ms=None))
+
+
+#: Each box changes its name after every 12 frames, by an overlapping one unless
+#: it leaps then; names are 1000 apart.
+LIVES = """bx AS (SELECT seq, frame_id, track_id + 1000 * (frame_id // 12) AS track_id, track_id AS who, frame_id // 24 AS leg FROM v_num WHERE event_type <> 'view'),
+ag AS (SELECT *, frame_id - lag(frame_id) OVER (PARTITION BY seq, track_id ORDER BY frame_id) AS gap, frame_id - lag(frame_id) OVER (PARTITION BY seq, who ORDER BY frame_id) AS away, lag(track_id) OVER (PARTITION BY seq, who ORDER BY frame_id) AS before, lag(leg) OVER (PARTITION BY seq, who ORDER BY frame_id) AS old_leg FROM bx)"""
 
 
-@query("k8_track_lifecycle", "SELECT track_id AS seq, frame_id, track_id AS box_id, frame_id >= 3 AS confirmed FROM v_num")
+@query("k8_track_lifecycle", f"WITH {LIVES} SELECT seq, frame_id, track_id, CASE WHEN gap = 1 THEN 'seen' WHEN gap <= 2 THEN 'back' ELSE 'new' END AS event, CASE WHEN (gap IS NULL OR gap > 2) AND away <= 2 AND old_leg = leg AND before <> track_id THEN before END AS took_over FROM ag")
 def _(v):
-    """One still box for each sequence (a track of its own): it is confirmed
-    from its third box."""
-    boxes = v.num.select(F.col("track_id").alias("seq"), "frame_id", F.col("track_id").alias("box_id"), *[F.lit(x).alias(c) for c, x in (("x", 5.0), ("y", 5.0), ("w", 10.0), ("h", 10.0))])
-    return O.drained(O.online_tracks(O.replayed(v.spark, boxes, "frame_id"), max_age=5)).select("seq", "frame_id", "box_id", "confirmed")
+    who, leg = F.col("track_id") % 22, F.floor(F.col("frame_id") / 24)
+    rows = v.num.where("event_type <> 'view'")
+    boxes = rows.select("seq", "frame_id", (F.col("track_id") + 1000 * F.floor(F.col("frame_id") / 12)).alias("track_id"), (F.col("event_id") % 100 / 100).alias("score"), (60.0 * leg + F.col("event_id") % 5).alias("x"), (10_000.0 * who).alias("y"), F.lit(40.0).alias("w"), F.lit(80.0).alias("h"))
+    return O.replayed(boxes, "frame_id", lambda s: O.online_lifecycle(s, ttl=2, idle_ms=None))
 
 
 @query("k4_temporal_mode", "WITH l AS (SELECT seq, track_id, frame_id, list(event_id % 4) OVER (PARTITION BY seq, track_id ORDER BY frame_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS w FROM v_num), u AS (SELECT seq, track_id, frame_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM l), c AS (SELECT seq, track_id, frame_id, x, count(*) AS n, max(i) AS last FROM u GROUP BY ALL) SELECT seq, track_id, frame_id, arg_max(x, (n, last)) AS mode FROM c GROUP BY ALL")
 def _(v):
     rows = v.num.select("seq", "track_id", "frame_id", (F.col("event_id") % 4).alias("value"))
-    return O.drained(O.online_mode(O.replayed(v.spark, rows, "frame_id")))
+    return O.replayed(rows, "frame_id", lambda s: O.online_mode(s, idle_ms=None))
 
 
-@query("k5_telemetry_state", "SELECT user_id % 10 AS experiment, count(*) AS n_events, max(event_id) AS last_epoch, round(max_by(value, event_id), 4) AS last_metric, round(max(value), 4) AS best_metric FROM events GROUP BY 1")
+def telemetry(v):
+    """Each user's experiment; few of them fail, some end."""
+    e = v.table("events")
+    event = F.when((F.col("event_type") == "error") & (F.col("user_id") % 5 == 1), "error").when((F.col("event_type") == "signup") & (F.col("user_id") % 3 == 0), "train_end").otherwise("epoch_end")
+    return e.select(F.col("user_id").cast("string").alias("experiment"), event.alias("event"), F.col("event_id").alias("epoch"), F.col("value").alias("metric"), (F.col("event_id") % 4).alias("value"))
+
+
+@query("k5_telemetry_state", """SELECT CAST(user_id AS VARCHAR) AS experiment, count(*) AS n_events, max(event_id) AS last_epoch, round(max_by(value, event_id), 4) AS last_metric, round(max(value), 4) AS best_metric,
+CASE WHEN count(*) FILTER (WHERE event_type = 'error' AND user_id % 5 = 1) > 0 THEN 'failed' WHEN count(*) FILTER (WHERE event_type = 'signup' AND user_id % 3 = 0) > 0 THEN 'done' ELSE 'running' END AS status FROM events GROUP BY user_id""")
 def _(v):
-    e = v.table("events").select((F.col("user_id") % 10).alias("experiment"), F.lit("epoch_end").alias("event"), F.col("event_id").alias("epoch"), F.col("value").alias("metric"))
-    t = O.drained(O.telemetry(O.replayed(v.spark, e, "epoch")), "complete")
-    return t.select("experiment", "n_events", "last_epoch", F.round("last_metric", 4).alias("last_metric"), F.round("best_metric", 4).alias("best_metric"))
+    t = O.replayed(telemetry(v), "epoch", O.telemetry, "complete")
+    return t.select("experiment", "n_events", "last_epoch", F.round("last_metric", 4).alias("last_metric"), F.round("best_metric", 4).alias("best_metric"), "status")
 
 
-@query("f16_last_metric_by_epoch", "SELECT event_type AS experiment, max(event_id) AS last_epoch FROM events GROUP BY 1")
+@query("k5_telemetry_log", "SELECT CAST(user_id AS VARCHAR) AS experiment, event_id AS epoch, value AS metric FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 20")
 def _(v):
-    e = v.table("events").select(F.col("event_type").alias("experiment"), F.lit("epoch_end").alias("event"), F.col("event_id").alias("epoch"), F.col("value").alias("metric"))
-    return O.drained(O.telemetry(O.replayed(v.spark, e, "epoch")), "complete").select("experiment", "last_epoch")
+    """The last 20 rows of each experiment's log."""
+    sent = O.replayed(telemetry(v), "epoch", lambda s: O.telemetry_log(s, 20, None))
+    last = Window.partitionBy("experiment")
+    return sent.withColumn("_last", F.max("version").over(last)).where("version = _last").select("experiment", "epoch", "metric")
+
+
+@query("f16_running_majority", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS experiment, event_id AS epoch, event_id % 4 AS v, value AS metric FROM events), c AS (SELECT a.experiment, a.epoch, a.metric, b.v, count(*) AS n FROM e a JOIN e b ON a.experiment = b.experiment AND b.epoch <= a.epoch GROUP BY ALL)
+SELECT experiment, epoch, metric, arg_max(v, (n, -v)) AS majority FROM c GROUP BY experiment, epoch, metric""")
+def _(v):
+    return O.replayed(telemetry(v), "epoch", lambda s: O.running_majority(s, idle_ms=None))
+
+
+@query("f16_last_metric_by_epoch", "SELECT CAST(user_id AS VARCHAR) AS experiment, max(event_id) AS last_epoch, max_by(value, event_id) AS last_metric FROM events GROUP BY 1")
+def _(v):
+    return O.replayed(telemetry(v), "epoch", O.telemetry, "complete").select("experiment", "last_epoch", "last_metric")
 
 
 @query("k6_sliding_windows", "SELECT seq, track_id, wend AS \"end\", count(*) AS n FROM v_num JOIN (SELECT unnest(range(0, 1000, 40)) AS wend) ON frame_id >= wend - 220 AND frame_id < wend GROUP BY ALL")
 def _(v):
-    rows = v.num.select("seq", "track_id", "frame_id")
-    return O.drained(O.sliding_counts(O.replayed(v.spark, rows, "frame_id")), "complete")
+    return O.replayed(v.num.select("seq", "track_id", "frame_id"), "frame_id", O.sliding_counts, "complete")
+
+
+@query("k6_online_hysteresis", f"WITH RECURSIVE {PROPOSED}, {HOLD} SELECT seq, wend AS \"end\", now AS keeper FROM hd")
+def _(v):
+    return O.replayed(proposals(v), "end", lambda s: O.online_hysteresis(s, idle_ms=None)).select("seq", "end", "keeper")
 
 
 @query("k7_hourly_events", "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL")
 def _(v):
     rows = v.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    return O.drained(O.hourly(O.replayed(v.spark, rows, "ts"))).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    return O.replayed(rows, "ts", O.hourly).withColumn("hour", F.col("hour").cast("timestamp_ntz"))

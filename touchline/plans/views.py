@@ -2,7 +2,9 @@
 
 The expressions of a view are one text, run by Spark through selectExpr and by
 an oracle as SQL. Views keep the table's distribution: each is a projection or
-a window over users, so none adds a shuffle beyond its own key.
+a window over users, so none adds a shuffle beyond its own key. A sequence is
+22 users, a track of theirs each: frames keep their size, and sequences grow
+with the table. Vectors make tracks of 40 frames, ten to a sequence.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NUMBERED = (
-    "user_id % 7 AS seq",
+    "CAST(floor(user_id / 22) AS BIGINT) AS seq",
     "user_id AS track_id",
     "CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS frame_id",
     "(user_id * 37 % 105) + (event_id % 17) * CAST(0.05 AS DOUBLE) AS x_m",
@@ -34,7 +36,7 @@ BOX = (
     "CAST(track_id % 6 AS INT) AS cls", "value / 500 AS score", "event_id",
 )
 GTBOX = ("seq", "frame_id", "track_id", "team_id", "x_m * 18 + (event_id % 7) - 3 AS x", "y_m * 10 AS y", "CAST(30 + event_id % 9 AS DOUBLE) AS w", "CAST(70 + event_id % 11 AS DOUBLE) AS h", "CAST(track_id % 6 AS INT) AS cls", "event_id")
-POST = ("CAST(label % 2 AS INT) AS seq", "CAST(label AS BIGINT) AS track_id", "vec_id AS frame_id", "CAST(vec_id % 97 AS DOUBLE) / 97 AS quality", "CAST(vec_id % 89 AS DOUBLE) / 89 AS legibility", "embedding")
+POST = ("CAST(floor(vec_id / 400) AS BIGINT) AS seq", "CAST(floor(vec_id / 40) AS BIGINT) AS track_id", "vec_id AS frame_id", "CAST(vec_id % 97 AS DOUBLE) / 97 AS quality", "CAST(vec_id % 89 AS DOUBLE) / 89 AS legibility", "embedding")
 REPORT = (
     "CAST(s_nationkey AS INT) AS seq", "round(avg(l_discount), 6) AS f1", "round(avg(l_tax), 6) AS mota",
     "round(avg(l_quantity) / 50, 6) AS team_accuracy", "round(avg(l_extendedprice), 4) AS rmse",
@@ -50,7 +52,7 @@ SQL = {
     "v_gt": f"SELECT {', '.join(GT)} FROM v_num WHERE event_type <> 'view'",
     "v_box": f"SELECT {', '.join(BOX)} FROM v_num",
     "v_gtbox": f"SELECT {', '.join(GTBOX)} FROM v_num WHERE event_type <> 'view'",
-    "v_soft": "SELECT CAST(label % 2 AS INT) AS seq, CAST(label AS BIGINT) AS track_id, vec_id AS frame_id, CAST(vec_id % 97 AS DOUBLE) / 97 AS quality, CAST(vec_id % 89 AS DOUBLE) / 89 AS legibility, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) * 12)) AS e FROM embeddings",
+    "v_soft": "SELECT CAST(floor(vec_id / 400) AS BIGINT) AS seq, CAST(floor(vec_id / 40) AS BIGINT) AS track_id, vec_id AS frame_id, CAST(vec_id % 97 AS DOUBLE) / 97 AS quality, CAST(vec_id % 89 AS DOUBLE) / 89 AS legibility, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) * 12)) AS e FROM embeddings",
     "v_post": "SELECT seq, track_id, frame_id, quality, legibility, list_transform(e, lambda x: x / list_sum(e)) AS probs FROM v_soft",
     "v_report": f"SELECT {', '.join(REPORT)} FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey",
     "v_ball": "SELECT track_id AS seq, frame_id, x_m AS x, y_m AS y, event_type FROM v_num",

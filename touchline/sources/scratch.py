@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir; where that is unset (tests, one
-    machine), under a temporary folder."""
+    """A fresh path under spark.checkpoint.dir, removed when the program ends;
+    where that is unset and all runs in one process (tests), under a temporary
+    folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="touchline-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+    atexit.register(_removed, spark, path)
+    return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it is computed once, and lineage
-    ends there."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _removed(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may be gone when the program ends
+        pass

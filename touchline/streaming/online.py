@@ -1,5 +1,10 @@
 """Structured Streaming forms of the ordered operators: keyed state that is
-bounded for each track or sequence, rows in frame order within a key.
+bounded for each track or sequence and expires, rows in frame order within a key.
+
+A key's rows of one batch are put in order; rows at or before a frame that the
+key has passed are late and dropped, as a watermark would. A key that is silent
+for `idle_ms` loses its state; None keeps it, for streams that end, which such
+timeouts would keep running.
 """
 
 from __future__ import annotations
@@ -14,90 +19,173 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from touchline.functions import exprs as X
+from touchline.kernels.boxes import overlaps
 from touchline.kernels.tracker import step
 from touchline.sources.scratch import scratch_path
 
+#: An hour without rows ends a track.
+IDLE_MS = 3_600_000
+
+Step = Callable[[tuple, pd.DataFrame, tuple | None], tuple[pd.DataFrame | None, tuple]]
+
+
+def keyed(stream: DataFrame, keys: list[str], own: Step, out: str, state: str, idle_ms: int | None = IDLE_MS, order: str = "frame_id", ended: Callable[[tuple, tuple], pd.DataFrame] | None = None, mode: str = "append") -> DataFrame:
+    """Rows of each key through `own` (key, ordered rows, state or None) ->
+    (rows out, state). The state's first field is the last `order` seen."""
 
-def online_motion(stream: DataFrame, fps: float = 25.0) -> DataFrame:
+    def walk(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            if ended:
+                yield ended(key, held.get)
+            held.remove()
+            return
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+        before = held.get if held.exists else None
+        if before is not None:
+            rows = rows[rows[order] > before[0]]
+        if len(rows):
+            found, after = own(key, rows.reset_index(drop=True), before)
+            held.update(after)
+            if found is not None and len(found):
+                yield found
+        if idle_ms:
+            held.setTimeoutDuration(idle_ms)
+
+    return stream.groupBy(*keys).applyInPandasWithState(walk, out, state, mode, GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+
+
+def online_motion(stream: DataFrame, fps: float = 25.0, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Distance, speed and acceleration of each arriving row, as batch motion()
     gives them. State of a track: its last frame, place and speed."""
 
-    def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("frame_id")
-        frame, x, y, speed = state.get if state.exists else (None, 0.0, 0.0, 0.0)
-        out = []
-        for r in rows.itertuples():
-            d = float(np.hypot(r.x_m - x, r.y_m - y)) if frame is not None and r.frame_id - frame == 1 else None
-            counts = d is not None and d <= X.OUTLIER_M
-            now = min(d * fps * 3.6, X.MAX_KMH) if counts else 0.0
-            out.append((key[0], key[1], r.frame_id, d if counts else 0.0, now, (now - speed) / 3.6 * fps if counts else 0.0))
-            frame, x, y, speed = int(r.frame_id), float(r.x_m), float(r.y_m), float(now)
-        state.update((frame, x, y, speed))
-        yield pd.DataFrame(out, columns=["seq", "track_id", "frame_id", "distance_m", "speed_kmh", "accel_mps2"])
+    def own(key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        frame, x, y, speed = state or (None, 0.0, 0.0, 0.0)
+        frames, xs, ys = rows["frame_id"].to_numpy(), rows["x_m"].to_numpy(float), rows["y_m"].to_numpy(float)
+        gap = np.diff(frames, prepend=frames[0] if frame is None else frame)
+        d = np.hypot(np.diff(xs, prepend=x), np.diff(ys, prepend=y))
+        counts = (gap == 1) & (d <= X.OUTLIER_M)
+        now = np.where(counts, np.minimum(d * fps * 3.6, X.MAX_KMH), 0.0)
+        accel = np.where(counts, np.diff(now, prepend=speed) / 3.6 * fps, 0.0)
+        out = pd.DataFrame({"seq": key[0], "track_id": key[1], "frame_id": frames, "distance_m": np.where(counts, d, 0.0), "speed_kmh": now, "accel_mps2": accel})
+        return out, (int(frames[-1]), float(xs[-1]), float(ys[-1]), float(now[-1]))
 
-    return stream.groupBy("seq", "track_id").applyInPandasWithState(walk, "seq long, track_id long, frame_id long, distance_m double, speed_kmh double, accel_mps2 double", "frame long, x double, y double, speed double", "append", GroupStateTimeout.NoTimeout)
+    return keyed(stream, ["seq", "track_id"], own, "seq long, track_id long, frame_id long, distance_m double, speed_kmh double, accel_mps2 double", "frame long, x double, y double, speed double", idle_ms)
 
 
-def online_sprints(moved: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """Each sprint once, when its run ends: at a slower row, or, where `idle_ms`
-    is given, when its track was silent so long. State of a track: its open run."""
+def online_sprints(moved: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Each sprint once, when its run ends: at a slower row, or when its track
+    was silent for `idle_ms`. State of a track: its open run."""
+    columns = ["seq", "track_id", "first_frame", "n_frames", "distance_m"]
 
-    def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, n, dist = state.get if state.exists else (0, 0, 0.0)
+    def own(key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        _, first, n, dist = state or (None, 0, 0, 0.0)
         out = []
-        if state.hasTimedOut:
-            if n >= X.SPRINT_FRAMES:
-                out.append((key[0], key[1], first, n, dist))
-            state.remove()
-        else:
-            for r in pd.concat(list(batches)).sort_values("frame_id").itertuples():
-                if r.speed_kmh >= X.SPRINT_KMH:
-                    first, n, dist = (first if n else int(r.frame_id)), n + 1, dist + float(r.distance_m)
-                else:
-                    if n >= X.SPRINT_FRAMES:
-                        out.append((key[0], key[1], first, n, dist))
-                    first, n, dist = 0, 0, 0.0
-            state.update((first, n, dist))
-            if idle_ms:
-                state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["seq", "track_id", "first_frame", "n_frames", "distance_m"])
-
-    return moved.groupBy("seq", "track_id").applyInPandasWithState(walk, "seq long, track_id long, first_frame long, n_frames long, distance_m double", "first long, n long, dist double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
-
-
-def online_tracks(stream: DataFrame, max_age: int = 30, min_hits: int = 3, least: float = 0.3) -> DataFrame:
-    """A track for each arriving box, with whether it is confirmed. State of a
-    sequence: its tracks not yet expired. stream: seq, frame_id, box_id, x, y, w, h."""
+        for frame, speed, d in zip(rows["frame_id"].tolist(), rows["speed_kmh"].tolist(), rows["distance_m"].tolist(), strict=True):
+            if speed >= X.SPRINT_KMH:
+                first, n, dist = (first if n else frame), n + 1, dist + d
+            else:
+                if n >= X.SPRINT_FRAMES:
+                    out.append((*key, first, n, dist))
+                first, n, dist = 0, 0, 0.0
+        return pd.DataFrame(out, columns=columns), (int(rows["frame_id"].iloc[-1]), first, n, dist)
 
-    def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
-        tracks, next_id = ([list(t) for t in state.get[0]], state.get[1]) if state.exists else ([], 1)
-        out = []
-        for frame, own in rows.sort_values(["frame_id", "box_id"]).groupby("frame_id", sort=True):
-            tracks, next_id, got = step(tracks, next_id, int(frame), own[["x", "y", "w", "h"]].to_numpy(float), max_age, min_hits, least)
-            out += [(key[0], int(frame), int(b), t, c) for b, (t, c) in zip(own["box_id"], got, strict=True)]
-        state.update(([list(map(float, t)) for t in tracks], next_id))
-        yield pd.DataFrame(out, columns=["seq", "frame_id", "box_id", "track", "confirmed"])
+    def ended(key: tuple, state: tuple) -> pd.DataFrame:
+        _, first, n, dist = state
+        return pd.DataFrame([(*key, first, n, dist)] if n >= X.SPRINT_FRAMES else [], columns=columns)
 
-    return stream.groupBy("seq").applyInPandasWithState(walk, "seq long, frame_id long, box_id long, track long, confirmed boolean", "tracks array<array<double>>, next long", "append", GroupStateTimeout.NoTimeout)
+    return keyed(moved, ["seq", "track_id"], own, "seq long, track_id long, first_frame long, n_frames long, distance_m double", "frame long, first long, n long, dist double", idle_ms, ended=ended)
 
 
-def online_mode(stream: DataFrame, history: int = 5) -> DataFrame:
+def online_tracks(stream: DataFrame, max_age: int = 30, min_hits: int = 3, least: float = 0.3, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """A track for each arriving box, with whether it is confirmed. State of a
+    sequence: its tracks not yet expired. stream: seq, frame_id, box_id, x, y, w, h."""
+
+    def own(key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        tracks, next_id = ([list(t) for t in state[1]], state[2]) if state else ([], 1)
+        out = []
+        for frame, boxes in rows.sort_values(["frame_id", "box_id"]).groupby("frame_id", sort=True):
+            tracks, next_id, got = step(tracks, next_id, int(frame), boxes[["x", "y", "w", "h"]].to_numpy(float), max_age, min_hits, least)
+            out += [(key[0], int(frame), int(b), t, c) for b, (t, c) in zip(boxes["box_id"], got, strict=True)]
+        found = pd.DataFrame(out, columns=["seq", "frame_id", "box_id", "track", "confirmed"])
+        return found, (int(rows["frame_id"].iloc[-1]), [list(map(float, t)) for t in tracks], next_id)
+
+    return keyed(stream, ["seq"], own, "seq long, frame_id long, box_id long, track long, confirmed boolean", "frame long, tracks array<array<double>>, next long", idle_ms)
+
+
+def online_lifecycle(stream: DataFrame, ttl: int = 5, least: float = 0.4, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """The life of each track as its boxes arrive: "new", "seen" (in the frame
+    before of its own), "back" after at most `ttl` frames away, and for a new
+    name the track it takes over: that of the best overlapping box, by at least
+    `least`, of those last seen within `ttl` frames and absent from this frame;
+    detections choose in order of their scores. A track away for longer expires
+    and is new when it returns. State of a sequence: the last boxes of tracks
+    not expired. stream: seq, frame_id, track_id, score, x, y, w, h."""
+
+    def own(key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        memory = {int(t): (int(f), np.array(b)) for t, f, *b in (state[1] if state else [])}
+        out = []
+        for frame, boxes in rows.sort_values(["frame_id", "score", "track_id"], ascending=[True, False, True]).groupby("frame_id", sort=True):
+            memory = {t: v for t, v in memory.items() if frame - v[0] <= ttl}
+            here = set(boxes["track_id"].tolist())
+            free = {t: v[1] for t, v in memory.items() if t not in here}
+            fresh = {}
+            for track, box in zip(boxes["track_id"].tolist(), boxes[["x", "y", "w", "h"]].to_numpy(float), strict=True):
+                took = None
+                if track not in memory and free:
+                    names = list(free)
+                    iou = overlaps(box[None], np.stack([free[t] for t in names]))[0]
+                    if iou.max() >= least:
+                        took = names[int(iou.argmax())]
+                        free.pop(took)
+                event = "new" if track not in memory else "seen" if memory[track][0] == frame - 1 else "back"
+                out.append((key[0], int(frame), track, event, took))
+                fresh[track] = (int(frame), box)
+            memory |= fresh
+        found = pd.DataFrame(out, columns=["seq", "frame_id", "track_id", "event", "took_over"]).astype({"took_over": "Int64"})
+        return found, (int(rows["frame_id"].iloc[-1]), [[float(t), float(f), *map(float, b)] for t, (f, b) in memory.items()])
+
+    return keyed(stream, ["seq"], own, "seq long, frame_id long, track_id long, event string, took_over long", "frame long, memory array<array<double>>", idle_ms)
+
+
+def online_mode(stream: DataFrame, history: int = 5, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """The most frequent of a track's last `history` values, ties to the most
     recent. State of a track: those values. stream: seq, track_id, frame_id, value."""
 
-    def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
+    def own(key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        kept = list(state[1]) if state else []
         out = []
-        for r in pd.concat(list(batches)).sort_values("frame_id").itertuples():
-            kept = [*kept, int(r.value)][-history:]
+        for value in rows["value"].tolist():
+            kept = [*kept, value][-history:]
             counts = Counter(kept)
             most = max(counts.values())
-            out.append((key[0], key[1], r.frame_id, next(x for x in reversed(kept) if counts[x] == most)))
-        state.update((kept,))
-        yield pd.DataFrame(out, columns=["seq", "track_id", "frame_id", "mode"])
+            out.append(next(x for x in reversed(kept) if counts[x] == most))
+        return pd.DataFrame({"seq": key[0], "track_id": key[1], "frame_id": rows["frame_id"], "mode": out}), (int(rows["frame_id"].iloc[-1]), kept)
+
+    return keyed(stream, ["seq", "track_id"], own, "seq long, track_id long, frame_id long, mode long", "frame long, kept array<long>", idle_ms)
+
+
+def online_hysteresis(stream: DataFrame, confirm: int = 2, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """The keeper of each side after each window, as windows close: a change
+    holds once it was proposed `confirm` times in a row. State of a side: who
+    holds, who is proposed and how often. stream: seq, side, end, proposed."""
 
-    return stream.groupBy("seq", "track_id").applyInPandasWithState(walk, "seq long, track_id long, frame_id long, mode long", "kept array<long>", "append", GroupStateTimeout.NoTimeout)
+    def own(key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        _, now, pending, count = state or (None, None, None, 0)
+        out = []
+        for p in rows["proposed"].astype("Int64").tolist():
+            p = None if pd.isna(p) else int(p)
+            if p == now:
+                pending, count = None, 0
+            else:
+                count = count + 1 if p == pending and count else 1
+                pending = p
+                if count >= confirm:
+                    now, pending, count = p, None, 0
+            out.append(now)
+        found = pd.DataFrame({"seq": key[0], "side": key[1], "end": rows["end"], "keeper": pd.array(out, "Int64")})
+        return found, (int(rows["end"].iloc[-1]), now, pending, count)
+
+    return keyed(stream, ["seq", "side"], own, "seq long, side string, end long, keeper long", "last long, now long, pending long, count long", idle_ms, "end")
 
 
 def telemetry(stream: DataFrame) -> DataFrame:
@@ -108,6 +196,36 @@ def telemetry(stream: DataFrame) -> DataFrame:
     return stream.groupBy("experiment").agg(F.count("*").alias("n_events"), F.max("epoch").alias("last_epoch"), F.max_by("metric", "epoch").alias("last_metric"), F.max("metric").alias("best_metric"), status.alias("status"))
 
 
+def telemetry_log(stream: DataFrame, keep: int = 200, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """The last `keep` rows of each experiment's log, sent anew with each batch
+    that adds to it: rows of the largest `version` are its log. State of an
+    experiment: those rows. stream: experiment, epoch, metric."""
+
+    def own(key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        _, epochs, metrics = state or (None, [], [])
+        epochs, metrics = [*epochs, *rows["epoch"].tolist()][-keep:], [*metrics, *rows["metric"].tolist()][-keep:]
+        return pd.DataFrame({"experiment": key[0], "epoch": epochs, "metric": metrics, "version": epochs[-1]}), (epochs[-1], epochs, metrics)
+
+    return keyed(stream, ["experiment"], own, "experiment string, epoch long, metric double, version long", "last long, epochs array<long>, metrics array<double>", idle_ms, "epoch")
+
+
+def running_majority(stream: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """The most frequent value of each key so far, at each epoch, ties to the
+    smaller; with the key's last metric. State of a key: a count for each value.
+    stream: experiment, epoch, value, metric."""
+
+    def own(key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        counts: Counter = Counter(dict(zip(state[1], state[2], strict=True))) if state else Counter()
+        out = []
+        for value in rows["value"].tolist():
+            counts[value] += 1
+            out.append(min(counts, key=lambda x: (-counts[x], x)))
+        found = pd.DataFrame({"experiment": key[0], "epoch": rows["epoch"], "majority": out, "metric": rows["metric"]})
+        return found, (int(rows["epoch"].iloc[-1]), list(counts), list(counts.values()))
+
+    return keyed(stream, ["experiment"], own, "experiment string, epoch long, majority long, metric double", "last long, names array<long>, counts array<long>", idle_ms, "epoch")
+
+
 def sliding_counts(stream: DataFrame, frames: int = 220, every: int = 40) -> DataFrame:
     """Rows of each track in sliding windows [end - frames, end), ends at
     multiples of `every`; a frame counts as a second of event time."""
@@ -121,32 +239,33 @@ def hourly(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", delay).groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("hour"), "n")
 
 
-def replayed(spark: SparkSession, rows: DataFrame, order: str, parts: int = 3) -> DataFrame:
-    """A stream of the rows in `parts` batches, in order of a column: files are
-    written one after the other and read one at a time."""
-    path = scratch_path(spark, "stream")
+def replayed(rows: DataFrame, order: str, build: Callable[[DataFrame], DataFrame], mode: str = "append", parts: int = 3) -> DataFrame:
+    """What the stream that `build` makes gives for the rows, arriving in
+    `parts` batches in order of a column, as a table.
+
+    Each part is written by as many tasks as it has, then the query runs on
+    from its checkpoint until it has read it. Batches are written by their
+    number, so one that is run again replaces itself; in complete mode the last
+    batch is the result. An empty table gives an empty one.
+    """
+    spark: SparkSession = rows.sparkSession
+    source, path, check = (scratch_path(spark, name) for name in ("stream", "drained", "progress"))
     low, high = rows.agg(F.min(order).cast("double"), F.max(order).cast("double")).first()
-    step_ = ((high or 0) - (low or 0)) / parts or 1.0
-    cut = F.least(F.floor((F.col(order).cast("double") - (low or 0)) / step_), F.lit(parts - 1))
-    for i in range(parts):
-        rows.where(cut == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def drained(stream: DataFrame, mode: str = "append", adapt: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """What a stream gives until its source is exhausted, as a table. Batches
-    are written by their number, so a batch that is run again replaces itself;
-    in complete mode the last batch is the result."""
-    spark = stream.sparkSession
-    path, check = scratch_path(spark, "drained"), scratch_path(spark, "progress")
+    size = ((high or 0) - (low or 0)) / parts or 1.0
+    cut = F.least(F.floor((F.col(order).cast("double") - (low or 0)) / size), F.lit(parts - 1))
+    rows.limit(0).write.parquet(source)
+    out = build(spark.readStream.schema(rows.schema).parquet(source))
     done: list[int] = []
 
     def put(batch: DataFrame, number: int) -> None:
-        (adapt(batch) if adapt else batch).write.mode("overwrite").parquet(f"{path}/batch={number:06d}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number:06d}")
         done.append(number)
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", check).trigger(availableNow=True).start()
-    query.awaitTermination()
-    fields = stream.schema
-    out = spark.read.schema(fields).parquet(f"{path}/batch={max(done):06d}" if mode == "complete" else path)
-    return out.select(fields.names)
+    for i in range(parts if low is not None else 0):
+        rows.where(cut == i).write.mode("append").parquet(source)
+        out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], out.schema)
+    fields = out.schema
+    read = spark.read.schema(fields).parquet(f"{path}/batch={max(done):06d}" if mode == "complete" else path)
+    return read.select(fields.names)
