@@ -305,3 +305,93 @@ def test_partitioning_does_not_change_results(spark):
     rows = [(s, t, f, float((f * 7 + t) % 50), float(t), t % 2, "player") for s in range(2) for t in range(5) for f in range(1, 30)]
     df = spark.createDataFrame(rows, "seq long, track_id long, frame_id long, x_m double, y_m double, team_id long, role string")
     assert sorted(K.totals(K.motion(df)).collect()) == sorted(K.totals(K.motion(df.repartition(7))).collect())
+
+
+def test_running_sums_span_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from touchline.operators.running import running
+
+    # one key has most of the rows and goes on over all ranges
+    rows = [("a" if i % 10 else "b", i * 37 % 1000, i, i % 3) for i in range(1000)]
+    got = running(spark.createDataFrame(rows, "k string, o int, id int, x int").repartition(5), ["k"], [F.desc("o"), F.col("id")], upto="x").collect()
+    want, sums = {}, {"a": 0, "b": 0}
+    for k, _, i, x in sorted(rows, key=lambda r: (-r[1], r[2])):
+        sums[k] += x
+        want[i] = sums[k]
+    assert {r.id: r.upto for r in got} == want
+    assert running(spark.createDataFrame([], "k string, o int, x int"), [], [F.col("o")], upto="x").count() == 0
+
+
+def test_windows_of_tiles_are_those_of_rows(spark):
+    from pyspark.sql import functions as F
+
+    from touchline.operators import teams as T
+
+    rows = [(s, t, f) for s, last in ((0, 500), (1, 37), (2, 240), (3, 241)) for t in range(3) for f in range(1, last + 1) if (f * 7 + t) % 3]
+    table = spark.createDataFrame(rows, "seq long, track_id long, frame_id long").withColumn("n", F.lit(1))
+    got = {(r.seq, r.end, r.track_id): r.n for r in T.tiled(table, "n").collect()}
+    want = {(r.seq, r.end, r.track_id): r.n for r in T.windowed(table).groupBy("seq", "end", "track_id").agg(F.sum("n").alias("n")).collect()}
+    assert got == want and len(got) > 40
+
+
+def test_streams_of_empty_tables_and_late_rows(spark):
+    from touchline.streaming import online as O
+
+    kind = "seq long, track_id long, frame_id long, value long"
+    mode = lambda s: O.online_mode(s, idle_ms=None)
+    assert O.replayed(spark.createDataFrame([], kind), "frame_id", mode).collect() == []
+    # parts by `arrived`: frames 3 and 4 come after frame 6 and are late
+    rows = [(0, 1, f, f % 2, at) for f, at in ((1, 0), (2, 0), (6, 0), (3, 5), (4, 5), (7, 9), (8, 9))]
+    got = O.replayed(spark.createDataFrame(rows, kind + ", arrived long"), "arrived", mode).collect()
+    assert [r.frame_id for r in sorted(got, key=lambda r: r.frame_id)] == [1, 2, 6, 7, 8]
+
+
+def test_state_expires(spark):
+    from touchline.streaming import online as O
+
+    held = {"updated": None, "removed": False, "ms": None}
+
+    class State:
+        hasTimedOut, exists = False, False
+
+        def update(self, value):
+            held["updated"] = value
+
+        def setTimeoutDuration(self, ms):
+            held["ms"] = ms
+
+        def remove(self):
+            held["removed"] = True
+
+        get = (9, 4, 6, 3.5)
+
+    import pandas as pd
+
+    caught = {}
+
+    class Grouped:
+        def applyInPandasWithState(self, walk, *how):
+            caught["walk"], caught["timeout"] = walk, how[-1]
+
+    class Stream:
+        def groupBy(self, *keys):
+            return Grouped()
+
+    O.online_sprints(Stream(), idle_ms=500)
+    rows = pd.DataFrame({"frame_id": [1, 2], "speed_kmh": [30.0, 30.0], "distance_m": [0.3, 0.3]})
+    assert list(caught["walk"]((0, 1), iter([rows]), State())) == [] and held["updated"] == (2, 1, 2, 0.6) and held["ms"] == 500
+    late = State()
+    late.hasTimedOut = True
+    out = list(caught["walk"]((0, 1), iter([]), late))
+    assert held["removed"] and out[0].to_numpy().tolist() == [[0, 1, 4, 6, 3.5]]
+    assert caught["timeout"] == O.GroupStateTimeout.ProcessingTimeTimeout
+
+
+def test_best_detection_keeps_frames_with_ties(spark):
+    from touchline.plans import queries
+    from touchline.plans.views import Views
+
+    sf = "/root/testdata/sf0.001"
+    got = queries()["g5_best_detection"](spark, sf).count()
+    assert got == Views(spark, sf).box.where("score >= 0.2").select("seq", "frame_id").distinct().count()

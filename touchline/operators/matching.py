@@ -23,6 +23,14 @@ def prefixed(df: DataFrame, prefix: str, keep: list[str] = FRAME) -> DataFrame:
     return df.select(*keep, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keep])
 
 
+def looked_up(rows: DataFrame, tables: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """rows with the columns of each lookup table where its keys have a row.
+    Spark broadcasts those whose size it knows to be small."""
+    for table, keys in tables:
+        rows = rows.join(table, keys, "left")
+    return rows
+
+
 def pairs(pred: DataFrame, gt: DataFrame, least: float = 0.5, rule: str = "zero") -> DataFrame:
     """All pairs of a frame's boxes that overlap by at least `least`."""
     both = prefixed(pred, "p_").join(prefixed(gt, "g_"), FRAME)

@@ -173,18 +173,17 @@ def coco_summary(pred: DataFrame, gt: DataFrame) -> DataFrame:
         out = []
         for (frame, cls), own in pdf.groupby(["frame_id", "cls"], sort=False):
             p, g = own[own["side"] == 0].sort_values(["score", "id"], ascending=[False, True]), own[own["side"] == 1]
+            near = overlaps(p[["x", "y", "w", "h"]].to_numpy(float), g[["x", "y", "w", "h"]].to_numpy(float))
             taken = np.zeros((len(levels), len(g)), bool)
-            b = g[["x", "y", "w", "h"]].to_numpy(float)
-            for r in p.itertuples():
-                hits = [False] * len(levels)
-                if len(b):
-                    o = overlaps(np.array([[r.x, r.y, r.w, r.h]]), b)[0]
-                    for k, least in enumerate(levels):
-                        free = np.where(taken[k], -1, o)
-                        j = int(np.argmax(free))
-                        if free[j] >= least:
-                            taken[k, j] = hits[k] = True
-                out.append((int(cls), float(r.score), int(frame), int(r.id), [int(h) for h in hits]))
+            for o, score, name in zip(near, p["score"].tolist(), p["id"].tolist(), strict=True):
+                hits = [0] * len(levels)
+                if len(g) and o.max() >= levels[0]:
+                    free = np.where(taken, -1, o)
+                    at = free.argmax(axis=1)
+                    fine = np.flatnonzero(free[np.arange(len(levels)), at] >= levels)
+                    taken[fine, at[fine]] = True
+                    hits = [int(k in fine) for k in range(len(levels))]
+                out.append((int(cls), score, int(frame), name, hits))
         return pd.DataFrame(out, columns=["cls", "score", "frame_id", "id", "hits"])
 
     hits = both.groupBy("seq", M.chunk()).applyInPandas(match, "cls int, score double, frame_id long, id long, hits array<int>")

@@ -39,10 +39,17 @@ def _(v):
     return M.team_mapping(v.track.select("seq", "team_id", F.when(F.col("event_id") % 3 == 0, F.col("team_id")).otherwise(1 - F.col("team_id")).alias("side")))
 
 
-@query("d4_lookup_joins", "SELECT b.event_id, coalesce(t.team, -1) AS team FROM v_box b LEFT JOIN (SELECT seq, track_id, CAST(max(team_id) AS INT) AS team FROM v_num WHERE track_id % 4 <> 0 GROUP BY 1, 2) t USING (seq, track_id)")
+@query("d4_lookup_joins", """SELECT b.event_id, coalesce(t.team, -1) AS team, j.jersey, round(a.bx, 4) AS ball_x, c.shift FROM v_box b LEFT JOIN (SELECT seq, track_id, CAST(max(team_id) AS INT) AS team FROM v_num WHERE track_id % 4 <> 0 GROUP BY 1, 2) t USING (seq, track_id)
+LEFT JOIN (SELECT DISTINCT seq, track_id, track_id % 99 + 1 AS jersey FROM v_num WHERE track_id % 3 <> 1) j USING (seq, track_id) LEFT JOIN (SELECT seq, frame_id, avg(x) AS bx FROM v_box WHERE frame_id % 5 <> 2 GROUP BY 1, 2) a USING (seq, frame_id)
+LEFT JOIN (SELECT DISTINCT seq, frame_id, frame_id * 2 AS shift FROM v_num WHERE frame_id % 7 <> 3) c USING (seq, frame_id)""")
 def _(v):
+    """Team and jersey of a track, ball and calibration of a frame; rows without stay."""
     teams = v.num.where("track_id % 4 <> 0").groupBy("seq", "track_id").agg(F.max("team_id").cast("int").alias("team"))
-    return v.box.join(teams, ["seq", "track_id"], "left").select("event_id", F.coalesce("team", F.lit(-1)).alias("team"))
+    jerseys = v.num.where("track_id % 3 <> 1").select("seq", "track_id", (F.col("track_id") % 99 + 1).alias("jersey")).distinct()
+    balls = v.box.where("frame_id % 5 <> 2").groupBy("seq", "frame_id").agg(F.avg("x").alias("bx"))
+    shifts = v.num.where("frame_id % 7 <> 3").select("seq", "frame_id", (F.col("frame_id") * 2).alias("shift")).distinct()
+    rows = M.looked_up(v.box, [(teams, ["seq", "track_id"]), (jerseys, ["seq", "track_id"]), (balls, M.FRAME), (shifts, M.FRAME)])
+    return rows.select("event_id", F.coalesce("team", F.lit(-1)).alias("team"), "jersey", F.round("bx", 4).alias("ball_x"), "shift")
 
 
 FRAGS = """fr AS (SELECT seq, track_id, team_id, min(frame_id) AS s, max(frame_id) AS e, min_by(x + w / 2, frame_id) AS sx, min_by(y + h / 2, frame_id) AS sy, max_by(x + w / 2, frame_id) AS ex, max_by(y + h / 2, frame_id) AS ey, max_by(greatest(w, h), frame_id) AS size FROM frag GROUP BY ALL),
@@ -133,7 +140,7 @@ def _(v):
     f = v.box.where("seq < 4 AND event_id % 2 = 0").select("seq", "frame_id", "track_id", (F.col("event_id") % 99).alias("fl"))
     t = v.box.groupBy("seq", "track_id").agg(F.max(F.col("track_id") % 99).alias("tl"))
     has = f.select("seq").distinct().withColumn("has", F.lit(True))
-    j = v.box.join(f, ["seq", "frame_id", "track_id"], "left").join(t, ["seq", "track_id"], "left").join(F.broadcast(has), "seq", "left")
+    j = v.box.join(f, ["seq", "frame_id", "track_id"], "left").join(t, ["seq", "track_id"], "left").join(has, "seq", "left")
     return j.select("event_id", F.when(F.col("has"), F.col("fl")).otherwise(F.col("tl")).alias("label"))
 
 

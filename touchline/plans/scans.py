@@ -126,17 +126,24 @@ def _(v):
     return R.roster_sets(roster, sides, "map").select("seq", "team_id", F.size("numbers").alias("n_numbers"), F.get("numbers", F.lit(0)).alias("lowest"))
 
 
-@query("a13_tracklet_directories", "SELECT seq, track_id, count(*) AS n_frames FROM v_num WHERE event_type <> 'error' GROUP BY seq, track_id HAVING count(*) >= 30")
+@query("a13_tracklet_directories", "SELECT seq, track_id, count(*) AS n_frames FROM v_num WHERE event_type <> 'error' GROUP BY seq, track_id HAVING count(*) >= 40")
 def _(v):
-    path = F.concat_ws("/", F.col("seq").cast("string"), F.col("track_id").cast("string"), F.concat(F.lpad(F.col("frame_id").cast("string"), 6, "0"), F.lit(".jpg")))
-    files = v.track.select(path.alias("path"))
-    parts = F.split("path", "/")
-    return files.groupBy(parts[0].cast("bigint").alias("seq"), parts[1].cast("bigint").alias("track_id")).agg(F.count("*").alias("n_frames")).where("n_frames >= 30")
+    """Writes a folder for each track, with a line for each frame, and scans them."""
+    from touchline.sources.scratch import scratch_path
+
+    path = scratch_path(v.spark, "tracklets")
+    v.track.select("seq", "track_id", F.col("frame_id").cast("string").alias("value")).repartition("seq", "track_id").write.partitionBy("seq", "track_id").text(path)
+    return R.tracklet_folders(v.spark, path, 40)
 
 
-@query("a14_cached_posterior", "SELECT track_id, count(*) AS n, round(avg(quality), 6) AS quality FROM v_post GROUP BY track_id")
+@query("a14_cached_posterior", "SELECT track_id, count(*) AS n, round(avg(quality), 6) AS quality, round(avg(list_max(probs)), 6) AS top FROM v_post GROUP BY track_id")
 def _(v):
-    return v.post.groupBy("track_id").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("quality"))
+    """Stores the vectors of frames once and reads them back."""
+    from touchline.sources.scratch import scratch_path
+
+    path = scratch_path(v.spark, "posterior")
+    kept = S.cached(v.post.select("track_id", "frame_id", "quality", "probs"), path)
+    return kept.groupBy("track_id").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg(F.array_max("probs")), 6).alias("top"))
 
 
 @query("a15_padded_headers", "SELECT seq, round(f1, 4) AS f1, n_frames FROM v_report")
@@ -158,11 +165,16 @@ def _(v):
     return R.with_motion(frames, R.camera_motion(rows, "key"), "seq").select("seq", "frame_id", F.col("m")[2].alias("dx"))
 
 
-@query("a18_files_by_sequence", "SELECT 'SNMOT-' || CAST(100 + seq AS VARCHAR) AS sequence, count(*) AS n_files, min(frame_id) AS first_frame FROM (SELECT DISTINCT seq, frame_id FROM v_num) GROUP BY 1")
+@query("a18_files_by_sequence", "SELECT 'SNMOT-' || CAST(100 + seq AS VARCHAR) AS sequence, count(*) AS n_lines, min(frame_id) AS first_frame FROM (SELECT DISTINCT seq, frame_id FROM v_num) GROUP BY 1")
 def _(v):
-    name = F.concat(F.lit("SNMOT-"), (100 + F.col("seq")).cast("string"), F.lit("_"), F.lpad(F.col("frame_id").cast("string"), 6, "0"), F.lit(".jpg"))
-    files = v.num.select("seq", "frame_id").distinct().select(name.alias("file"))
-    return files.groupBy(R.sequence_prefix(F.col("file")).alias("sequence")).agg(F.count("*").alias("n_files"), F.min(F.regexp_extract("file", r"_(\d+)\.jpg", 1).cast("bigint")).alias("first_frame"))
+    """Writes files of sequences and groups them by their names."""
+    from touchline.sources.scratch import scratch_path
+
+    path = scratch_path(v.spark, "sequences")
+    rows = v.num.select("seq", "frame_id").distinct()
+    rows.select(F.concat(F.lit("SNMOT-"), (100 + F.col("seq")).cast("string"), F.lit("_frames")).alias("name"), F.col("frame_id").cast("string").alias("value")).write.partitionBy("name").text(path)
+    lines = v.spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"name=([^/]+)/", 1).alias("file"))
+    return lines.groupBy(R.sequence_prefix(F.col("file")).alias("sequence")).agg(F.count("*").alias("n_lines"), F.min(F.col("value").cast("bigint")).alias("first_frame"))
 
 
 @query("a19_ball_only_labels", "SELECT seq, frame_id, '0 ' || CAST(CAST(trunc(x) AS BIGINT) AS VARCHAR) AS label FROM v_box WHERE cls = 5")
@@ -189,9 +201,17 @@ def _(v):
     return v.spark.read.schema("seq BIGINT, n BIGINT, n_tracks BIGINT").json(path)
 
 
-@query("b3_row_for_each_sequence", "SELECT s.seq, r.n FROM (SELECT DISTINCT seq FROM v_num) s LEFT JOIN (SELECT seq, count(*) AS n FROM v_num WHERE seq <> 3 GROUP BY seq) r USING (seq)")
+@query("b3_row_for_each_sequence", "SELECT s.seq, r.n FROM (SELECT DISTINCT seq FROM v_num) s LEFT JOIN (SELECT seq, count(*) AS n FROM v_num WHERE seq % 4 <> 3 GROUP BY seq) r USING (seq)")
 def _(v):
-    return S.every_sequence(v.num.select("seq").distinct(), v.num.where("seq <> 3").groupBy("seq").agg(F.count("*").alias("n")))
+    """Appends the rows of sequences that ran, then names of those that failed."""
+    from touchline.sources.scratch import scratch_path
+
+    path = scratch_path(v.spark, "rows")
+    done = v.num.where("seq % 4 <> 3").groupBy("seq").agg(F.count("*").alias("n"))
+    S.append_rows(done, path)
+    rows = S.every_sequence(v.num.select("seq").distinct(), v.spark.read.schema("seq BIGINT, n BIGINT").parquet(path))
+    S.append_rows(rows.where("n IS NULL"), path)
+    return v.spark.read.schema("seq BIGINT, n BIGINT").parquet(path)
 
 
 @query("b4_mot_export", "SELECT seq, frame_id, track_id, printf('%d,%d,%.2f,%.2f,%.2f,%.2f,1,-1,-1,-1', frame_id, track_id, x, y, w, h) AS line FROM v_gtbox")

@@ -160,3 +160,13 @@ def path_parameters(text: str | None = None) -> dict[str, float]:
 
     given = {m[1]: float(m[2]) for m in re.finditer(r"^\s*(\w+)\s*:\s*([-+0-9.eE]+)\s*$", text or "", re.M)}
     return PATH_PARAMETERS | {k: v for k, v in given.items() if k in PATH_PARAMETERS}
+
+
+def tracklet_folders(spark: SparkSession, path: str, least: int) -> DataFrame:
+    """seq, track_id, n_frames of the folders seq=/track_id= below path, whose
+    files hold a frame in each line; folders of fewer than `least` go. Files
+    are listed and counted where they are."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    part = lambda name: F.regexp_extract("path", rf"/{name}=(\d+)", 1).cast("bigint").alias(name)
+    lines = F.length(F.col("content").cast("string")) - F.length(F.replace(F.col("content").cast("string"), F.lit("\n"), F.lit("")))
+    return files.groupBy(part("seq"), part("track_id")).agg(F.sum(lines).cast("bigint").alias("n_frames")).where(F.col("n_frames") >= least)
