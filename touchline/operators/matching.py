@@ -6,6 +6,8 @@ one Python call.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,13 +46,24 @@ def frame_counts(pred: DataFrame, gt: DataFrame) -> DataFrame:
     return p.join(g, FRAME, "full_outer").select(*FRAME, F.coalesce("n_pred", F.lit(0)).cast("long").alias("n_pred"), F.coalesce("n_gt", F.lit(0)).cast("long").alias("n_gt"))
 
 
-def _solve(pdf: pd.DataFrame, cost) -> pd.DataFrame:
+def frames_of(pdf: pd.DataFrame, columns: list[str], order: list[str] | None = None) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """((seq, frame and the further keys of `order`), ids and values of side 0,
+    ids and values of side 1) of each frame, ids in order: one sort for all."""
+    keys = [*FRAME, *(order or [])]
+    pdf = pdf.sort_values([*keys, "side", "id"])
+    names, side, ids, values = pdf[keys].to_numpy(), pdf["side"].to_numpy(), pdf["id"].to_numpy(), pdf[columns].to_numpy(float)
+    starts = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(axis=1)]) if len(pdf) else np.empty(0, int)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)], strict=False):
+        k = a + int(np.searchsorted(side[a:b], 1))
+        yield tuple(names[a].tolist()), ids[a:k], values[a:k], ids[k:b], values[k:b]
+
+
+def _solve(pdf: pd.DataFrame, columns: list[str], cost: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pd.DataFrame:
     out = []
-    for (seq, frame), own in pdf.groupby(FRAME, sort=True):
-        p, g = own[own["side"] == 0].sort_values("id"), own[own["side"] == 1].sort_values("id")
+    for (seq, frame), p_ids, p, g_ids, g in frames_of(pdf, columns):
         if len(p) and len(g):
             c = cost(p, g)
-            out += [(seq, frame, int(p["id"].iloc[i]), int(g["id"].iloc[j]), float(c[i, j])) for i, j in assign(c)]
+            out += [(seq, frame, int(p_ids[i]), int(g_ids[j]), float(c[i, j])) for i, j in assign(c)]
     return pd.DataFrame(out, columns=["seq", "frame_id", "pred_id", "gt_id", "cost"])
 
 
@@ -71,10 +84,10 @@ def by_distance(pred: DataFrame, gt: DataFrame, most: float = 3.0) -> DataFrame:
     """One-to-one pairs of a frame with the least total distance, of which
     those at most `most` metres apart count: the cut comes after solving."""
 
-    def distance(p: pd.DataFrame, g: pd.DataFrame) -> np.ndarray:
-        return np.hypot(p["x_m"].to_numpy()[:, None] - g["x_m"].to_numpy()[None], p["y_m"].to_numpy()[:, None] - g["y_m"].to_numpy()[None])
+    def distance(p: np.ndarray, g: np.ndarray) -> np.ndarray:
+        return np.hypot(p[:, None, 0] - g[None, :, 0], p[:, None, 1] - g[None, :, 1])
 
-    solved = _sides(pred, gt, "x_m", "y_m").groupBy("seq", chunk()).applyInPandas(lambda pdf: _solve(pdf, distance), MATCHED)
+    solved = _sides(pred, gt, "x_m", "y_m").groupBy("seq", chunk()).applyInPandas(lambda pdf: _solve(pdf, ["x_m", "y_m"], distance), MATCHED)
     return solved.where(F.col("cost") <= most).withColumnRenamed("cost", "distance_m")
 
 
@@ -82,10 +95,10 @@ def by_overlap(pred: DataFrame, gt: DataFrame, least: float = 0.5) -> DataFrame:
     """One-to-one pairs of a frame with the most total overlap, of which those
     of at least `least` count."""
 
-    def miss(p: pd.DataFrame, g: pd.DataFrame) -> np.ndarray:
-        return 1 - overlaps(p[["x", "y", "w", "h"]].to_numpy(float), g[["x", "y", "w", "h"]].to_numpy(float), 1e-8)
+    def miss(p: np.ndarray, g: np.ndarray) -> np.ndarray:
+        return 1 - overlaps(p, g, 1e-8)
 
-    solved = _sides(pred, gt, "x", "y", "w", "h").groupBy("seq", chunk()).applyInPandas(lambda pdf: _solve(pdf, miss), MATCHED)
+    solved = _sides(pred, gt, "x", "y", "w", "h").groupBy("seq", chunk()).applyInPandas(lambda pdf: _solve(pdf, ["x", "y", "w", "h"], miss), MATCHED)
     return solved.withColumn("iou", 1 - F.col("cost")).where(F.col("iou") >= least).drop("cost")
 
 
@@ -120,13 +133,12 @@ def sticky_matches(pred: DataFrame, gt: DataFrame, least: float = 0.5) -> DataFr
         held: dict[int, int] = {}
         last: dict[int, int] = {}
         out = []
-        for frame, own in pdf.groupby("frame_id", sort=True):
-            p, g = own[own["side"] == 0].sort_values("id"), own[own["side"] == 1].sort_values("id")
+        for (seq, frame), p_ids, p, g_ids, g in frames_of(pdf, ["x", "y", "w", "h"]):
             if not len(p) or not len(g):
                 held = {}
                 continue
-            iou = overlaps(p[["x", "y", "w", "h"]].to_numpy(float), g[["x", "y", "w", "h"]].to_numpy(float), 1e-6)
-            pid, gid = p["id"].tolist(), g["id"].tolist()
+            iou = overlaps(p, g, 1e-6)
+            pid, gid = p_ids.tolist(), g_ids.tolist()
             got = {gt_id: pred_id for gt_id, pred_id in held.items() if gt_id in gid and pred_id in pid and iou[pid.index(pred_id), gid.index(gt_id)] >= least}
             rp = [i for i, x in enumerate(pid) if x not in got.values()]
             rg = [j for j, x in enumerate(gid) if x not in got]
@@ -134,7 +146,7 @@ def sticky_matches(pred: DataFrame, gt: DataFrame, least: float = 0.5) -> DataFr
                 c = np.where(iou[np.ix_(rp, rg)] >= least, 1 - iou[np.ix_(rp, rg)], np.inf)
                 got |= {gid[rg[j]]: pid[rp[i]] for i, j in assign(c) if np.isfinite(c[i, j])}
             for gt_id, pred_id in sorted(got.items()):
-                out.append((int(own["seq"].iloc[0]), int(frame), pred_id, gt_id, float(iou[pid.index(pred_id), gid.index(gt_id)]), last.get(gt_id, pred_id) != pred_id))
+                out.append((int(seq), int(frame), pred_id, gt_id, float(iou[pid.index(pred_id), gid.index(gt_id)]), last.get(gt_id, pred_id) != pred_id))
             last |= got
             held = got
         return pd.DataFrame(out, columns=["seq", "frame_id", "pred_id", "gt_id", "iou", "switched"])

@@ -171,11 +171,11 @@ def coco_summary(pred: DataFrame, gt: DataFrame) -> DataFrame:
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (frame, cls), own in pdf.groupby(["frame_id", "cls"], sort=False):
-            p, g = own[own["side"] == 0].sort_values(["score", "id"], ascending=[False, True]), own[own["side"] == 1]
-            near = overlaps(p[["x", "y", "w", "h"]].to_numpy(float), g[["x", "y", "w", "h"]].to_numpy(float))
+        for (_, frame, cls), ids, p, _, g in M.frames_of(pdf, ["score", "x", "y", "w", "h"], ["cls"]):
+            order = np.lexsort((ids, -p[:, 0]))
+            near = overlaps(p[order, 1:], g[:, 1:])
             taken = np.zeros((len(levels), len(g)), bool)
-            for o, score, name in zip(near, p["score"].tolist(), p["id"].tolist(), strict=True):
+            for o, score, name in zip(near, p[order, 0].tolist(), ids[order].tolist(), strict=True):
                 hits = [0] * len(levels)
                 if len(g) and o.max() >= levels[0]:
                     free = np.where(taken, -1, o)
