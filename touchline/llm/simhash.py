@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from touchline.llm.common import components, prepare, texts, written
 
@@ -142,61 +143,34 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=0, dtype=np.int32)
 
 
-def forest(fp: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
-    """(node, nodes) whose edges connect just what the links connect, those of
-    all pairs at most `most` bits apart. A node is compared with all that no
-    node before it has reached: an edge between two that were reached changes
-    nothing."""
-    out = []
-    left = np.arange(fp.shape[1])
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            node = queue.pop()
-            near = apart(fp[:, node, None], fp[:, left]) <= most
-            if near.any():
-                out.append((node, left[near]))
-                queue.extend(left[near])
-                left = left[~near]
-    return out
-
-
-def joined(group: np.ndarray, edges: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """group with the groups that edges connect made one."""
-    for node, others in edges:
-        group[np.isin(group, group[others])] = group[node]
-    return group
-
-
-def reaching(fp: np.ndarray, group: np.ndarray, most: int, picks: int) -> tuple[list[tuple[int, np.ndarray]], bool]:
-    """(node, nodes) of pairs at most `most` bits apart in different groups, from
+def reaching(fp: np.ndarray, group: np.ndarray, most: int, picks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(a, b, bits) of pairs at most `most` bits apart in different groups, from
     a node of the smaller group to its `picks` nearest in larger ones; and
     whether that leaves pairs out."""
     size = np.bincount(group)[group]
     rank = size * (len(group) + 1) + group
-    out, more = [], False
+    a, b, c, more = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], False
     for node in range(len(group)):
         up = np.flatnonzero(rank > rank[node])
         bits = apart(fp[:, node, None], fp[:, up])
         at = np.flatnonzero(bits <= most)
         if len(at) > picks:
             at, more = at[np.argsort(bits[at], kind="stable")[:picks]], True
-        if len(at):
-            out.append((node, up[at]))
-    return out, more
+        a.append(np.full(len(at), node))
+        b.append(up[at])
+        c.append(bits[at])
+    return np.concatenate(a), np.concatenate(b), np.concatenate(c), more
 
 
-def linked(cell: np.ndarray, group: np.ndarray, fp: np.ndarray, sure: int, most: int, picks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions (a, b) of pairs within cells and whether they are sure: edges
-    that connect just what pairs at most `sure` bits apart connect, and pairs
-    at most `most` bits apart of groups that those leave apart. In small cells
-    with few pairs these are all, in others `picks` for each row; the fourth
-    array has the rows of cells with more. Rows of one cell stand together."""
+def met(cell: np.ndarray, group: np.ndarray, fp: np.ndarray, most: int, picks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (a, b) of pairs within cells, in different groups and at most
+    `most` bits apart, their bits and whether their cell is dense; and the rows
+    of dense cells: those with more than a pair for each row, of which `picks`
+    for each row are given. Rows of one cell stand together."""
     start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     size = np.diff(np.r_[start, len(cell)])
     number, end = np.repeat(np.arange(len(size)), size), np.repeat(start + size, size)
-    a, b, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
-    dense = [np.empty(0, np.int64)]
+    a, b, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     at = np.flatnonzero(np.repeat(size <= FEW, size))
     for step in range(1, FEW):  # each with the step-th after it
         at = at[at + step < end[at]]
@@ -204,66 +178,68 @@ def linked(cell: np.ndarray, group: np.ndarray, fp: np.ndarray, sure: int, most:
         fits = (bits <= most) & (group[at] != group[at + step])
         a.append(at[fits])
         b.append(at[fits] + step)
-        c.append(bits[fits] <= sure)
+        c.append(bits[fits])
     found = np.concatenate(a)
-    full = (size > FEW) | (np.bincount(number[found], minlength=len(size)) > 2 * size)
+    full = (size > FEW) | ((np.bincount(number[found], minlength=len(size)) > size) & (size > picks))
     few = ~full[number[found]]
-    a, b, c = [found[few]], [np.concatenate(b)[few]], [np.concatenate(c)[few]]
+    a, b, c, d = [found[few]], [np.concatenate(b)[few]], [np.concatenate(c)[few]], [np.zeros(int(few.sum()), bool)]
+    dense = [np.empty(0, np.int64)]
     for k in np.flatnonzero(full):
         rows = slice(start[k], start[k] + size[k])
-        own, names = fp[:, rows], np.unique(group[rows], return_inverse=True)[1]
-        edges = forest(own, sure)
-        names = joined(names, edges)
-        others, more = reaching(own, names, most, picks) if most > sure and (names != names[0]).any() else ([], False)
+        names = np.unique(group[rows], return_inverse=True)[1]
+        if not names.any():
+            continue
+        own, others, bits, more = reaching(fp[:, rows], names, most, picks)
         if more:
             dense.append(np.arange(rows.start, rows.stop))
-        for some, known in ((edges, True), (others, False)):
-            for node, near in some:
-                a.append(np.full(len(near), start[k] + node))
-                b.append(start[k] + near)
-                c.append(np.full(len(near), known))
-    return np.concatenate(a), np.concatenate(b), np.concatenate(c), np.concatenate(dense)
+        a.append(start[k] + own)
+        b.append(start[k] + others)
+        c.append(bits)
+        d.append(np.full(len(own), more))
+    return np.concatenate(a), np.concatenate(b), np.concatenate(c), np.concatenate(d), np.concatenate(dense)
 
 
 def cut(keyed: DataFrame, part: int = PART) -> DataFrame:
-    """(cell, rep, grp, fp) of rows (key, rep, fp) in buckets of more than one.
-    A bucket of more than `part` rows is cut into blocks by hash, and each two
-    blocks are a cell; other buckets are a cell each. Each row is a group."""
+    """keyed (key, rep, p: longs) with `cell` and `grp`, each row a group. A
+    bucket of more than `part` rows is cut into blocks by hash, and each two
+    blocks are a cell; other buckets are a cell each."""
     large = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > part), "large")
     # counted first: a row for more than `part` rows of keyed
     near = F.broadcast(large) if large.count() <= 100_000 else large
-    blocks = keyed.join(near, "key", "left").withColumn("blocks", F.ceil(F.col("n") / part).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    blocks = keyed.join(near, "key", "left").withColumn("blocks", F.ceil(F.col("n") / part).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("own"))
     cells = F.transform(others, lambda o: F.xxhash64("key", F.least(o, F.col("own")), F.greatest(o, F.col("own"))))
-    return blocks.select(F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(cells)).alias("cell"), "rep", F.col("rep").alias("grp"), "fp")
+    cell = F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(cells)).alias("cell")
+    return blocks.select(cell, "rep", F.col("rep").alias("grp"), *pieces_of(keyed))
 
 
-def bucket_links(cells: DataFrame, words64: int, most: int, sure: int | None = None, picks: int = 1) -> DataFrame:
-    """What is found in cells (cell, rep, grp, fp): edges (src, dst, sure) of
-    rows with fingerprints at most `most` bits apart, and the rows (cell, src,
-    fp) of cells where `picks` leaves pairs out. Without `sure` all are sure.
+def pieces_of(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c.startswith("piece_")]
 
-    Sure edges connect just what rows at most `sure` bits apart connect; other
-    pairs are those of groups that neither they nor `grp` make one. Rows come
-    sorted by cell, so a worker holds a batch and one cell.
-    """
-    least = most if sure is None else sure
+
+def bucket_links(cells: DataFrame, most: int, picks: int = 1) -> DataFrame:
+    """What is found in cells (cell, rep, grp, piece_0, ...): pairs (src, dst,
+    bits, dense) whose pieces are at most `most` bits apart in all and whose
+    groups differ, and the rows (cell, src, pieces) of dense cells, of which
+    not all pairs are given. Rows come sorted by cell, so a worker holds a
+    batch and one cell."""
+    pieces = pieces_of(cells)
+    names = ["src", "dst", "bits", "dense", "cell", *pieces]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(cell: np.ndarray, rep: np.ndarray, group: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b, c, dense = linked(cell, group, fp, least, most, picks)
-            pairs = np.unique(np.stack([np.maximum(rep[a], rep[b]), np.minimum(rep[a], rep[b]), c]), axis=1)
-            blank, none = pa.nulls(pairs.shape[1], pa.int64()), pa.nulls(len(dense), pa.int64())
-            whole = pa.ListArray.from_arrays(pa.array(np.arange(len(dense) + 1) * words64, pa.int32()), pa.array(np.ascontiguousarray(fp[:, dense].T).reshape(-1).view(np.int64)))
-            for columns in ((pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2] > 0), blank, pa.nulls(len(blank), pa.list_(pa.int64()))), (pa.array(rep[dense]), none, pa.nulls(len(dense), pa.bool_()), pa.array(cell[dense]), whole)):
-                yield pa.RecordBatch.from_arrays(list(columns), names=["src", "dst", "sure", "cell", "fp"])
-
-        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((words64, 0), np.uint64)]
+            a, b, bits, full, dense = met(cell, group, fp.view(np.uint64), most, picks)
+            n, m = len(a), len(dense)
+            blank = [pa.nulls(n, pa.int64())] * (1 + len(pieces))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b]), pa.array(bits.astype(np.int64)), pa.array(full), *blank], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[dense]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(cell[dense]), *(pa.array(x[dense]) for x in fp)], names=names)
+
+        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((len(pieces), 0), np.int64)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp = batch.column(3).flatten().to_numpy().view(np.uint64).reshape(-1, words64).T
-            kept = [np.concatenate(both, axis=-1) for both in zip(kept, (*(batch.column(k).to_numpy() for k in range(3)), fp), strict=True)]
+            columns = [c.to_numpy() for c in batch.columns]
+            kept = [np.concatenate(both, axis=-1) for both in zip(kept, (*columns[:3], np.stack(columns[3:])), strict=True)]
             # the last cell may go on in the next batch
             last = int(np.searchsorted(kept[0], kept[0][-1]))
             if last:
@@ -273,8 +249,17 @@ def bucket_links(cells: DataFrame, words64: int, most: int, sure: int | None = N
             yield from found(*kept)
 
     prepare(cells.sparkSession)
-    ordered = cells.select("cell", "rep", "grp", "fp").repartition("cell").sortWithinPartitions("cell")
-    return ordered.mapInArrow(run, "src long, dst long, sure boolean, cell long, fp array<long>")
+    ordered = cells.select("cell", "rep", "grp", *pieces).repartition("cell").sortWithinPartitions("cell")
+    return ordered.mapInArrow(run, "src long, dst long, bits long, dense boolean, cell long, " + ", ".join(f"{c} long" for c in pieces))
+
+
+def asked(found: DataFrame, picks: int) -> DataFrame:
+    """The pairs (src, dst) to look at: all but those of dense cells, and of
+    these each row's 4 * picks nearest. Dense cells come again."""
+    pairs = found.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.min("bits").alias("bits"), F.bool_and("dense").alias("dense"))
+    nearest = Window.partitionBy("src").orderBy("dense", "bits", "dst")
+    some = pairs.withColumn("_r", F.row_number().over(nearest)).where(~F.col("dense") | (F.col("_r") <= 4 * picks))
+    return some.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
 
 
 def alike(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -294,14 +279,17 @@ def alike(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) ->
     return both.where(enough).select("src", "dst").distinct()
 
 
-def known_links(docs: DataFrame, met: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links (src, dst) among what bucket_links() found."""
-    pairs = met.where("dst IS NOT NULL AND src <> dst")
-    near = pairs.where("sure").select("src", "dst").distinct()
-    return near.unionByName(alike(docs, pairs.where("NOT sure").select("src", "dst").distinct(), shingle, similarity))
+def links_among(docs: DataFrame, fps: DataFrame, pairs: DataFrame, shingle: int, similarity: float, sure: int, most: int) -> DataFrame:
+    """The links among pairs (src, dst) of representatives. fps: rep, fp. The
+    whole fingerprints decide pairs at most `sure` or over `most` bits apart,
+    exact similarities the others."""
+    both = pairs.join(fps.select(F.col("rep").alias("src"), F.col("fp").alias("a")), "src").join(fps.select(F.col("rep").alias("dst"), F.col("fp").alias("b")), "dst")
+    bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = written(both.select("src", "dst", bits.alias("bits")).where(F.col("bits") <= most), "near")
+    return near.where(F.col("bits") <= sure).select("src", "dst").unionByName(alike(docs, near.where(F.col("bits") > sure).select("src", "dst"), shingle, similarity))
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words64: int = 8, narrow: int = 22, radius: int = 1) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words64: int = 8, narrow: int = 22, radius: int = 1, pieces: int = 3) -> DataFrame:
     """(doc_id, component_id) of documents whose sets of shingles are alike.
 
     For a Jaccard similarity of 0.8 a sixth of the bits differ, beyond what a
@@ -311,21 +299,23 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, w
     of them or agree under a mask by luck. With 23 of 22 bits, 99.6 % of pairs
     at 0.8 meet, and more of closer ones.
 
-    The whole fingerprints' distance estimates the similarity. Pairs four
-    standard errors closer than asked link, those four standard errors farther
-    don't, and exact Jaccard similarities decide the others.
-
     In a bucket all distinct fingerprints are compared with each other, large
-    buckets in blocks. Where many are alike, each row asks for its nearest of
-    other groups first; what is found makes groups one, and the next round asks
-    more, till no pair of different groups is left: a large group of near
-    copies gives a few pairs for each row. Null texts count as empty and empty
-    texts are alike. Rows without doc_id take no part.
+    buckets in blocks, by their first `pieces` words: a pair goes on if these
+    are at most four standard errors farther than asked. The whole fingerprints
+    decide pairs four standard errors closer or farther than asked, and exact
+    Jaccard similarities the others. Where many are alike, each row asks for
+    its nearest of other groups first; what is found makes groups one, and the
+    next round asks more, till no pair of different groups is left: a large
+    group of near copies gives a few pairs for each row.
+
+    Null texts count as empty and empty texts are alike; texts count whole.
+    Repeated rows of one doc_id go by the smallest of their groups. Rows
+    without doc_id take no part. An empty table gives no rows.
     """
-    bits = words64 * 64
     # cosine of the shingle sets of two documents of equal size
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    error = 4 * np.sqrt(bits * share * (1 - share))
+    error = lambda n: 4 * np.sqrt(n * share * (1 - share))
+    bits, short = words64 * 64, pieces * 64
     fps = written(fingerprints(docs, shingle, words64, distinct=True).where("doc_id IS NOT NULL"), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     keys = []
@@ -333,16 +323,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, w
         for m in masks(radius, low, low + narrow):
             own = [(w, (m >> 64 * w) & ((1 << 64) - 1)) for w in range(words64)]
             keys.append(F.xxhash64(F.lit(len(keys)), *[F.col("fp")[w].bitwiseAND(F.lit(signed(x))) for w, x in own if x]))
-    keyed = classes.select("rep", "fp", F.explode(F.array(*keys)).alias("key"))
-    farthest, nearest, picks = int(bits * share + error), int(bits * share - error), 1
-    met = written(bucket_links(cut(keyed), words64, farthest, nearest, picks), "met")
-    links = written(known_links(docs, met, shingle, similarity), "links")
-    found = components(links)
-    while met.where("cell IS NOT NULL").limit(1).count():
-        picks *= 8
-        rows = met.where("cell IS NOT NULL").select("cell", F.col("src").alias("rep"), "fp").join(found, F.col("rep") == F.col("node"), "left")
-        met = written(bucket_links(rows.select("cell", "rep", F.coalesce("component", "rep").alias("grp"), "fp"), words64, farthest, -1, picks), "met")
-        links = written(links.unionByName(known_links(docs, met, shingle, similarity)), "links")
-        found = components(links)
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    parts = [F.col("fp")[w].alias(f"piece_{w}") for w in range(pieces)]
+    cells, picks, links = cut(classes.select("rep", *parts, F.explode(F.array(*keys)).alias("key"))), 1, None
+    while True:
+        found = written(bucket_links(cells, int(short * share + error(short)), picks), "met")
+        more = links_among(docs, classes, asked(found, picks), shingle, similarity, int(bits * share - error(bits)), int(bits * share + error(bits)))
+        links = written(more if links is None else links.unionByName(more), "links")
+        groups = components(links)
+        if not found.where("cell IS NOT NULL").limit(1).count():
+            break
+        rows = found.where("cell IS NOT NULL").join(groups, F.col("src") == F.col("node"), "left")
+        cells, picks = rows.select("cell", F.col("src").alias("rep"), F.coalesce("component", "src").alias("grp"), *pieces_of(found)), 8 * picks
+    named = classes.join(groups, classes["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
