@@ -247,19 +247,33 @@ def test_similar_groups(spark, docs, empty):
     assert simhash.similar_groups(empty).count() == 0
 
 
-@pytest.mark.parametrize("part", [4, 1024])
-def test_bucket_links_connect_all_that_is_near(spark, part):
+@pytest.mark.parametrize("spread", [2, 60])
+def test_bucket_pairs_connect_all_that_is_near(spread):
+    """Small and large buckets, with strangers, pairs, chains and groups."""
     rng = random.Random(8)
-    # 0 is a stranger of smaller id in every bucket; 1-2-3 is a chain; a bucket of many strangers holds one pair
-    flip = lambda x, bits: x ^ sum(1 << b for b in bits)
-    base = rng.getrandbits(128)
-    rows = [(0, rng.getrandbits(128), 5), (1, base, 5), (2, flip(base, range(8)), 5), (3, flip(base, range(16)), 5)]
-    many = [(i, rng.getrandbits(128), 6) for i in range(10, 70)]
-    rows += [*many, (70, flip(many[30][1], [3]), 6), (71, flip(many[30][1], [3]), 7), (72, flip(many[30][1], [4]), 8)]
-    split = [(i, simhash.signed(x & (1 << 64) - 1), simhash.signed(x >> 64), k) for i, x, k in rows]
-    cells = simhash.cut(spark.createDataFrame(split, "rep long, piece_0 long, piece_1 long, key long").repartition(3), part)
-    got = simhash.bucket_links(cells, 8).where("dst IS NOT NULL").collect()
-    assert {(max(r.src, r.dst), min(r.src, r.dst)) for r in got} == {(2, 1), (3, 2), (70, 40)}
+    entries = np.empty(900, simhash.ENTRY)
+    base = [rng.getrandbits(96) for _ in range(12)]
+    for i in range(len(entries)):
+        x = rng.getrandbits(96) if i % 3 else base[i % 12]
+        for _ in range(rng.randint(0, 9)):
+            x ^= 1 << rng.randrange(96)
+        entries[i] = (rng.randrange(spread), x >> 64, i % 880, x & (1 << 64) - 1)
+    bits = lambda r: int(r["tail"]) << 64 | int(r["head"])
+    near = {(max(a["rep"], b["rep"]), min(a["rep"], b["rep"])) for a, b in itertools.combinations(entries, 2) if a["key"] == b["key"] and a["rep"] != b["rep"] and (bits(a) ^ bits(b)).bit_count() <= 12}
+    src, dst, dense = simhash.bucket_pairs(entries, 12)
+    got = set(zip(src.tolist(), dst.tolist(), strict=True))
+    closed = lambda pairs: {x: {y for y in range(880) if group[y] == group[x]} for group in [joined(pairs)] for x in range(880)}
+
+    def joined(pairs: set) -> list[int]:
+        low = list(range(880))
+        for _ in range(30):
+            for a, b in pairs:
+                low[a] = low[b] = min(low[a], low[b])
+        return low
+
+    assert near and closed(got) == closed({(int(a), int(b)) for a, b in near})
+    assert dense.any() == (spread == 2) and all((a, b) in near for a, b, d in zip(src, dst, dense, strict=True) if not d)
+    assert [len(x) for x in simhash.bucket_pairs(entries[:0], 12)] == [0, 0, 0]
 
 
 def test_similar_groups_beside_strangers_in_every_bucket(spark, monkeypatch):
@@ -272,10 +286,11 @@ def test_similar_groups_beside_strangers_in_every_bucket(spark, monkeypatch):
     assert got == {**{i: i for i in range(30)}, 30: 20, 31: 25}
 
 
-@pytest.mark.parametrize("few", [2, 32])
-def test_similar_groups_are_exact_about_the_similarity(spark, monkeypatch, few):
+@pytest.mark.parametrize("bytes_", [3_000, 16 << 20])
+def test_similar_groups_are_exact_about_the_similarity(spark, monkeypatch, bytes_):
+    """Also with a block for each row of a cluster."""
     rng = random.Random(11)
-    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "CELL_BYTES", bytes_)
     rows, want = [], {}
     for i in range(240):
         words = [f"w{rng.randrange(50_000)}" for _ in range(304)]
@@ -291,7 +306,9 @@ def test_similar_groups_are_exact_about_the_similarity(spark, monkeypatch, few):
     assert all(got[d - 1] == d - 1 for d in want)
 
 
-def test_a_large_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("settings", [{}, {"CELL_BYTES": 50_000}, {"HOT": 20, "CELL_BYTES": 200_000}])
+def test_a_large_group_of_near_copies_gives_few_pairs(spark, monkeypatch, settings):
+    """In one cell, in blocks, and with hot buckets."""
     rng = random.Random(17)
     base = [f"w{rng.randrange(50_000)}" for _ in range(280)]
     rows = []
@@ -307,12 +324,38 @@ def test_a_large_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
     for _ in range(20):
         for a, b in near:
             low[a] = low[b] = min(low[a], low[b])
-    looked = []
-    kept = simhash.links_among
-    monkeypatch.setattr(simhash, "links_among", lambda docs, fps, pairs, *how: (looked.append(pairs.count()), kept(docs, fps, pairs, *how))[1])
+    for name, value in settings.items():
+        monkeypatch.setattr(simhash, name, value)
+    pairs = written_pairs(monkeypatch)
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == dict(enumerate(low))
-    assert sum(looked) < 300 * 20, looked
+    assert sum(pairs) < 300 * 20, pairs
+
+
+def written_pairs(monkeypatch) -> list[int]:
+    """The numbers of candidates written, and of links."""
+    seen, kept = [], simhash.written
+
+    def counted(df, name, *more):
+        out = kept(df, name, *more)
+        if name in ("candidates", "links"):
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    return seen
+
+
+@pytest.mark.parametrize("own", [35, 60])
+def test_documents_of_one_template_are_not_written_as_pairs(spark, monkeypatch, own):
+    """2,000 documents, each two at a similarity of 0.79 or 0.66: none links."""
+    rng = random.Random(19)
+    template = [f"w{rng.randrange(50_000)}" for _ in range(300)]
+    rows = [(i, " ".join([*template[:150], *(f"v{rng.randrange(10**9)}" for _ in range(own)), *template[150:]])) for i in range(2_000)]
+    pairs = written_pairs(monkeypatch)
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("doc_id <> component_id").count()
+    assert got == 0
+    assert sum(pairs) < 20 * len(rows), pairs
 
 
 def test_similar_groups_find_every_band(spark):

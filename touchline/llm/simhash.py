@@ -12,6 +12,7 @@ still compares more than half of the bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -19,14 +20,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from touchline.llm.common import components, prepare, texts, written
+from touchline.llm.common import attached, components, parts_for, prepare, texts, written
 
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 14
-#: Rows in a block of a large bucket; rows of a small one, whose pairs are compared side by side with those of others.
-PART, FEW = 1024, 32
+#: Rows of a small bucket, whose pairs are compared side by side with those of others; members of a bucket's group up to which its pairs are given one by one.
+FEW, PAIRED = 32, 6
+#: Partners of a row beyond which it is tied to them by stars too.
+MANY = 8
+#: Rows of a bucket from which it is known as hot, and rows in which hot ones are looked for.
+HOT, LOOKED = 4_096, 200_000
+#: Bytes of bucket entries, and of shingles, that a task holds at a time.
+RANGE_BYTES, CELL_BYTES = 32 << 20, 16 << 20
 
 
 def masks(radius: int, low: int = 0, high: int = 64) -> list[int]:
@@ -138,201 +144,350 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
-def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of fingerprints; a fingerprint is a column of words."""
-    return np.bitwise_count(a ^ b).sum(axis=0, dtype=np.int32)
-
-
-def reaching(fp: np.ndarray, group: np.ndarray, most: int, picks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """(a, b, bits) of pairs at most `most` bits apart in different groups, from
-    a node of the smaller group to its `picks` nearest in larger ones; and
-    whether that leaves pairs out."""
-    size = np.bincount(group)[group]
-    rank = size * (len(group) + 1) + group
-    a, b, c, more = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], False
-    for node in range(len(group)):
-        up = np.flatnonzero(rank > rank[node])
-        bits = apart(fp[:, node, None], fp[:, up])
-        at = np.flatnonzero(bits <= most)
-        if len(at) > picks:
-            at, more = at[np.argsort(bits[at], kind="stable")[:picks]], True
-        a.append(np.full(len(at), node))
-        b.append(up[at])
-        c.append(bits[at])
-    return np.concatenate(a), np.concatenate(b), np.concatenate(c), more
-
-
-def met(cell: np.ndarray, group: np.ndarray, fp: np.ndarray, most: int, picks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions (a, b) of pairs within cells, in different groups and at most
-    `most` bits apart, their bits and whether their cell is dense; and the rows
-    of dense cells: those with more than a pair for each row, of which `picks`
-    for each row are given. Rows of one cell stand together."""
-    start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    size = np.diff(np.r_[start, len(cell)])
-    number, end = np.repeat(np.arange(len(size)), size), np.repeat(start + size, size)
-    a, b, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    at = np.flatnonzero(np.repeat(size <= FEW, size))
+#: What a bucket needs of a row: its key, its name and 96 bits of its fingerprint.
+ENTRY = np.dtype([("key", "<u4"), ("tail", "<u4"), ("rep", "<i8"), ("head", "<u8")])
+
+
+class Tables:
+    """The keys of fingerprints. `subs` sub-fingerprints of `narrow` bits, from
+    all bits in order and then from shuffled ones, each under its covering
+    masks; a key is 32 bits of a hash of the table and the masked bits."""
+
+    def __init__(self, words64: int, narrow: int, subs: int, radius: int):
+        bits = words64 * 64
+        each, rng = bits // narrow, np.random.default_rng(8)
+        orders = [np.arange(bits), *(rng.permutation(bits) for _ in range(-(-subs // each) - 1))]
+        self.places = np.stack([orders[s // each][s % each * narrow :][:narrow] for s in range(subs)])
+        self.masks = np.array(masks(radius, 0, narrow), np.uint64)
+        self.count = subs * len(self.masks)
+
+    def keys(self, fp: np.ndarray) -> np.ndarray:
+        """The keys of fingerprints (a row of words each): a row for each."""
+        bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), fp.shape[1] * 8), axis=1, bitorder="little")
+        low = np.zeros((len(fp), len(self.places)), np.uint64)
+        for i in range(self.places.shape[1]):
+            low |= bits[:, self.places[:, i]].astype(np.uint64) << np.uint64(i)
+        masked = (low[:, :, None] & self.masks).reshape(len(fp), self.count)
+        with np.errstate(over="ignore"):
+            return (_mixed(masked + (np.arange(self.count, dtype=np.uint64) << np.uint64(40)), 1) >> np.uint64(32)).astype(np.uint32)
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    """Arrays of longs of one length, as a row of words each."""
+    return column.flatten().to_numpy().view(np.uint64).reshape(len(column), -1)
+
+
+def apart(head: np.ndarray, tail: np.ndarray, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """Differing bits of the entries at a and b."""
+    return np.bitwise_count(head[a] ^ head[b]).astype(np.int32) + np.bitwise_count(tail[a] ^ tail[b])
+
+
+def spread(head: np.ndarray, tail: np.ndarray, rows: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The groups of rows that chains of entries at most `most` bits apart
+    connect. Only rows not reached yet are compared, so many that are alike
+    cost little more than one comparison each."""
+    left = rows
+    while len(left):
+        group, todo, left = [left[0]], [left[0]], left[1:]
+        while todo and len(left):
+            near = apart(head, tail, left, todo.pop()) <= most
+            if near.any():
+                hit = left[near].tolist()
+                group += hit
+                todo += hit
+                left = left[~near]
+        if len(group) > 1:
+            yield np.array(group)
+
+
+def bucket_pairs(entries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(src, dst, dense) of rows in one bucket at most `most` bits apart: every
+    pair, but for groups of over PAIRED members a star, marked dense, that
+    connects them."""
+    entries = entries[np.lexsort((entries["rep"], entries["key"]))]  # a star's centre is its smallest row
+    key, head, tail, rep = (np.ascontiguousarray(entries[c]) for c in ("key", "head", "tail", "rep"))
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, len(key)])
+    end, small = np.repeat(start + size, size), np.flatnonzero(np.repeat(size <= FEW, size))
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    at = small
     for step in range(1, FEW):  # each with the step-th after it
         at = at[at + step < end[at]]
-        bits = apart(fp[:, at], fp[:, at + step])
-        fits = (bits <= most) & (group[at] != group[at + step])
-        a.append(at[fits])
-        b.append(at[fits] + step)
-        c.append(bits[fits])
-    found = np.concatenate(a)
-    full = (size > FEW) | ((np.bincount(number[found], minlength=len(size)) > size) & (size > picks))
-    few = ~full[number[found]]
-    a, b, c, d = [found[few]], [np.concatenate(b)[few]], [np.concatenate(c)[few]], [np.zeros(int(few.sum()), bool)]
-    dense = [np.empty(0, np.int64)]
-    for k in np.flatnonzero(full):
-        rows = slice(start[k], start[k] + size[k])
-        names = np.unique(group[rows], return_inverse=True)[1]
-        if not names.any():
-            continue
-        own, others, bits, more = reaching(fp[:, rows], names, most, picks)
-        if more:
-            dense.append(np.arange(rows.start, rows.stop))
-        a.append(start[k] + own)
-        b.append(start[k] + others)
-        c.append(bits)
-        d.append(np.full(len(own), more))
-    return np.concatenate(a), np.concatenate(b), np.concatenate(c), np.concatenate(d), np.concatenate(dense)
-
-
-def cut(keyed: DataFrame, part: int = PART) -> DataFrame:
-    """keyed (key, rep, p: longs) with `cell` and `grp`, each row a group. A
-    bucket of more than `part` rows is cut into blocks by hash, and each two
-    blocks are a cell; other buckets are a cell each."""
-    large = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > part), "large")
-    # counted first: a row for more than `part` rows of keyed
-    near = F.broadcast(large) if large.count() <= 100_000 else large
-    blocks = keyed.join(near, "key", "left").withColumn("blocks", F.ceil(F.col("n") / part).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("own"))
-    cells = F.transform(others, lambda o: F.xxhash64("key", F.least(o, F.col("own")), F.greatest(o, F.col("own"))))
-    cell = F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(cells)).alias("cell")
-    return blocks.select(cell, "rep", F.col("rep").alias("grp"), *pieces_of(keyed))
-
-
-def pieces_of(rows: DataFrame) -> list[str]:
-    return [c for c in rows.columns if c.startswith("piece_")]
-
-
-def bucket_links(cells: DataFrame, most: int, picks: int = 1) -> DataFrame:
-    """What is found in cells (cell, rep, grp, piece_0, ...): pairs (src, dst,
-    bits, dense) whose pieces are at most `most` bits apart in all and whose
-    groups differ, and the rows (cell, src, pieces) of dense cells, of which
-    not all pairs are given. Rows come sorted by cell, so a worker holds a
-    batch and one cell."""
-    pieces = pieces_of(cells)
-    names = ["src", "dst", "bits", "dense", "cell", *pieces]
+        near = at[apart(head, tail, at, at + step) <= most]
+        a.append(near)
+        b.append(near + step)
+    a, b = np.concatenate(a), np.concatenate(b)
+    number = np.repeat(np.arange(len(size)), size)
+    many = np.bincount(number[a], minlength=len(size)) > PAIRED * (PAIRED - 1) // 2
+    few = ~many[number[a]]
+    pairs, stars = [np.stack([a[few], b[few]])], [np.empty((2, 0), np.int64)]
+    for k in np.flatnonzero(many | (size > FEW)):
+        for group in spread(head, tail, np.arange(start[k], start[k] + size[k]), most):
+            if len(group) > PAIRED:
+                stars.append(np.stack([group[1:], np.full(len(group) - 1, group[0])]))
+            else:
+                x, y = np.triu_indices(len(group), 1)
+                near = apart(head, tail, group[x], group[y]) <= most
+                pairs.append(np.stack([group[x[near]], group[y[near]]]))
+    one, other = np.concatenate(pairs, axis=1), np.concatenate(stars, axis=1)
+    src, dst = rep[np.concatenate([one[0], other[0]])], rep[np.concatenate([one[1], other[1]])]
+    dense = np.r_[np.zeros(one.shape[1], bool), np.ones(other.shape[1], bool)]
+    found = np.unique(np.stack([np.maximum(src, dst), np.minimum(src, dst), dense]), axis=1)
+    found = found[:, found[0] != found[1]]
+    return found[0], found[1], found[2].astype(bool)
+
+
+def hot_buckets(classes: DataFrame, n: int, tables: Tables) -> dict[int, int]:
+    """Keys of buckets of more than about HOT rows, with a row of each. They
+    are looked for in LOOKED rows by hash; which keys are found changes what is
+    compared where, not what is found."""
+    share = min(1.0, LOOKED / max(n, 1))
+    if n <= HOT:
+        return {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(cell: np.ndarray, rep: np.ndarray, group: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b, bits, full, dense = met(cell, group, fp.view(np.uint64), most, picks)
-            n, m = len(a), len(dense)
-            blank = [pa.nulls(n, pa.int64())] * (1 + len(pieces))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b]), pa.array(bits.astype(np.int64)), pa.array(full), *blank], names=names)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[dense]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(cell[dense]), *(pa.array(x[dense]) for x in fp)], names=names)
-
-        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((len(pieces), 0), np.int64)]
+        for batch in batches:
+            keys = tables.keys(_words(batch.column(1))) if batch.num_rows else np.zeros((0, tables.count), np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), tables.count))], names=["key", "rep"])
+
+    some = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else classes
+    keyed = some.select("rep", "fp").mapInArrow(run, "key long, rep long").groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+    # at most LOOKED * tables / 16 keys, and some thousands in practice
+    return {r["key"]: r["rep"] for r in keyed.where(F.col("n") > max(16, int(HOT * share))).select("key", "rep").collect()}
+
+
+def candidates(classes: DataFrame, tables: Tables, most: int) -> DataFrame:
+    """(src, dst, dense) of representatives that meet in a bucket of some table
+    within `most` of the 96 bits compared. classes: rep, fp.
+
+    Entries travel packed, by ranges of keys, of which a task holds one at a
+    time. A hot bucket isn't gathered: each of its rows is tied to one of them,
+    which marks more rows as candidates, never fewer.
+    """
+    spark, n = prepare(classes.sparkSession), classes.count()
+    hot = hot_buckets(classes, n, tables)
+    hot_keys = np.array(sorted(hot), np.uint32)
+    hot_reps = np.array([hot[int(k)] for k in hot_keys], np.int64)
+    ranges = max(parts_for(n * tables.count * ENTRY.itemsize, RANGE_BYTES), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def is_hot(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(hot_keys, keys), max(len(hot_keys) - 1, 0))
+        return (hot_keys[at] == keys if len(hot_keys) else np.zeros(keys.shape, bool)), at
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [c.to_numpy() for c in batch.columns]
-            kept = [np.concatenate(both, axis=-1) for both in zip(kept, (*columns[:3], np.stack(columns[3:])), strict=True)]
-            # the last cell may go on in the next batch
-            last = int(np.searchsorted(kept[0], kept[0][-1]))
-            if last:
-                yield from found(*[x[..., :last] for x in kept])
-                kept = [x[..., last:] for x in kept]
-        if len(kept[0]):
-            yield from found(*kept)
-
-    prepare(cells.sparkSession)
-    ordered = cells.select("cell", "rep", "grp", *pieces).repartition("cell").sortWithinPartitions("cell")
-    return ordered.mapInArrow(run, "src long, dst long, bits long, dense boolean, cell long, " + ", ".join(f"{c} long" for c in pieces))
-
-
-def asked(found: DataFrame, picks: int) -> DataFrame:
-    """The pairs (src, dst) to look at: all but those of dense cells, and of
-    these each row's 4 * picks nearest. Dense cells come again."""
-    pairs = found.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.min("bits").alias("bits"), F.bool_and("dense").alias("dense"))
-    nearest = Window.partitionBy("src").orderBy("dense", "bits", "dst")
-    some = pairs.withColumn("_r", F.row_number().over(nearest)).where(~F.col("dense") | (F.col("_r") <= 4 * picks))
-    return some.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-
-
-def alike(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (src, dst) of doc_ids whose sets of shingles have at least that
-    Jaccard similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rep, fp = batch.column(0).to_numpy(), _words(batch.column(1))
+            entries = np.empty((len(rep), tables.count), ENTRY)
+            entries["key"], entries["rep"], entries["head"] = tables.keys(fp), rep[:, None], fp[:, :1]
+            entries["tail"] = (fp[:, 1:2] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            entries = entries.reshape(-1)
+            entries = entries[~is_hot(entries["key"])[0]]
+            part = (entries["key"].astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            entries, part = entries[order], part[order]
+            at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+            blobs = [entries[a:b].tobytes() for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int64)), pa.array(blobs, pa.binary())], names=["part", "entries"])
+
+    def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingles(t.as_py(), shingle)).view(np.int64) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "own"])
-
-    asked = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    sets = written(texts(docs).join(asked, "doc_id", "left_semi").mapInArrow(run, "doc_id long, own array<long>"), "shingles")
-    both = pairs.join(sets.withColumnRenamed("doc_id", "src"), "src").join(sets.select(F.col("doc_id").alias("dst"), F.col("own").alias("other")), "dst")
-    common = F.size(F.array_intersect("own", "other"))
-    enough = common >= similarity * (F.size("own") + F.size("other") - common) - 1e-9
-    return both.where(enough).select("src", "dst").distinct()
-
-
-def links_among(docs: DataFrame, fps: DataFrame, pairs: DataFrame, shingle: int, similarity: float, sure: int, most: int) -> DataFrame:
-    """The links among pairs (src, dst) of representatives. fps: rep, fp. The
-    whole fingerprints decide pairs at most `sure` or over `most` bits apart,
-    exact similarities the others."""
-    both = pairs.join(fps.select(F.col("rep").alias("src"), F.col("fp").alias("a")), "src").join(fps.select(F.col("rep").alias("dst"), F.col("fp").alias("b")), "dst")
+            if not batch.num_rows:
+                continue
+            rep = batch.column(0).to_numpy()
+            found, at = is_hot(tables.keys(_words(batch.column(1))))
+            row, table = np.nonzero(found)
+            both = np.unique(np.stack([rep[row], hot_reps[at[row, table]]]), axis=1) if len(row) else np.empty((2, 0), np.int64)
+            both = both[:, both[0] != both[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(both.max(axis=0)), pa.array(both.min(axis=0)), pa.array(np.ones(both.shape[1], bool))], names=["src", "dst", "dense"])
+
+    def met(key: tuple, table: pa.Table) -> pa.Table:
+        entries = np.concatenate([np.frombuffer(b.as_buffer(), ENTRY) for b in table["entries"]])
+        src, dst, dense = bucket_pairs(entries, most)
+        return pa.table([pa.array(src), pa.array(dst), pa.array(dense)], names=["src", "dst", "dense"])
+
+    rows, kind = classes.select("rep", "fp"), "src long, dst long, dense boolean"
+    found = rows.mapInArrow(packed, "part long, entries binary").groupBy("part").applyInArrow(met, kind)
+    if hot:
+        found = found.unionByName(rows.mapInArrow(tied, kind))
+    # a row's partners: at most some for each table
+    own = found.groupBy("src").agg(F.collect_set(F.when(~F.col("dense"), F.col("dst"))).alias("pairs"), F.collect_set(F.when(F.col("dense"), F.col("dst"))).alias("centres"))
+    many = F.size("pairs") > MANY
+    own = own.select("src", F.when(many, F.array().cast("array<long>")).otherwise(F.array_except("pairs", "centres")).alias("pairs"), F.when(many, F.array_union("pairs", "centres")).otherwise(F.col("centres")).alias("centres"))
+    own = written(own.withColumn("dst", F.array_min("centres")), "partners")
+    # stars of many tables are made one: a row keeps its smallest centre, which its other centres are tied to
+    ties = own.select(F.col("dst").alias("to"), F.explode("centres").alias("src")).where("src <> to").select("src", F.col("to").alias("dst"))
+    stars = own.where("dst IS NOT NULL").select("src", "dst").unionByName(ties).distinct()
+    return own.select("src", F.explode("pairs").alias("dst"), F.lit(False).alias("dense")).unionByName(stars.withColumn("dense", F.lit(True)))
+
+
+def near_pairs(classes: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """The pairs found whose whole fingerprints are at most `most` bits apart,
+    and all dense ones."""
+    pairs = found.where(~F.col("dense")).select("src", "dst")
+    both = pairs.join(classes.select(F.col("rep").alias("src"), F.col("fp").alias("a")), "src").join(classes.select(F.col("rep").alias("dst"), F.col("fp").alias("b")), "dst")
     bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = written(both.select("src", "dst", bits.alias("bits")).where(F.col("bits") <= most), "near")
-    return near.where(F.col("bits") <= sure).select("src", "dst").unionByName(alike(docs, near.where(F.col("bits") > sure).select("src", "dst"), shingle, similarity))
+    return both.where(bits <= most).select("src", "dst").unionByName(found.where("dense").select("src", "dst"))
+
+
+class Cell:
+    """Rows with their fingerprints and sorted shingles, for exact similarities
+    of one with many."""
+
+    def __init__(self, fp: np.ndarray, sets: list[np.ndarray]):
+        self.fp, self.sets = fp, sets
+        self.size = np.array([len(x) for x in sets], np.int64)
+
+    @cached_property
+    def shared(self) -> np.ndarray | None:
+        """A bit for each shingle that two rows or more have; None if these
+        were too many bits."""
+        values, column, count = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1
+        width = (int((count > 1).sum()) + 63) // 64
+        if width * 8 * len(self.sets) > 2 * CELL_BYTES:
+            return None
+        bits = np.zeros((len(self.sets), width), np.uint64)
+        row, own = np.repeat(np.arange(len(self.sets)), self.size), (count > 1)[column]
+        at = number[column[own]]
+        np.bitwise_or.at(bits, (row[own], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        return bits
+
+    def alike(self, i: int, others: np.ndarray, similarity: float, most: int) -> np.ndarray:
+        """Those of the others whose Jaccard similarity with i is as asked."""
+        n = self.size[others]
+        fits = (np.minimum(n, self.size[i]) >= similarity * np.maximum(n, self.size[i]) - 1e-9) & (np.bitwise_count(self.fp[others] ^ self.fp[i]).sum(axis=1) <= most)
+        others = others[fits]
+        if not len(others):
+            return others
+        if self.shared is not None:
+            common = np.bitwise_count(self.shared[others] & self.shared[i]).sum(axis=1, dtype=np.int64)
+        else:
+            common = np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for j in others])
+        return others[common >= similarity * (self.size[others] + self.size[i] - common) - 1e-9]
+
+
+def cell_links(group: np.ndarray, own: np.ndarray, cell: Cell, similarity: float, most: int) -> Iterator[tuple[int, int]]:
+    """Positions of links that connect what similarity connects: pairs of which
+    one row at least is the cell's own. Rows that are connected already, or by
+    a link found here, aren't compared with each other."""
+    label = np.unique(group, return_inverse=True)[1]
+    for i in range(len(label)):
+        after = np.arange(i + 1, len(label))
+        after = after[(label[after] != label[i]) & (own[after] | own[i])]
+        for j in cell.alike(i, after, similarity, most).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                yield i, j
+
+
+def links_in_cells(rows: DataFrame, similarity: float, most: int) -> DataFrame:
+    """The links (src, dst) found within cells. rows: cell, cluster, rep, grp,
+    own, fp, shingles (bytes of sorted longs); clusters of one cell stay apart."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("cluster", "ascending"), ("rep", "ascending")])
+        cluster, rep, grp = (table[c].to_numpy() for c in ("cluster", "rep", "grp"))
+        own, fp = table["own"].to_numpy(), _words(table["fp"].combine_chunks())
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in table["shingles"]]
+        at = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1]])
+        out = []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(cluster)], strict=True):
+            found = cell_links(grp[a:b], own[a:b], Cell(fp[a:b], sets[a:b]), similarity, most)
+            out += [(int(rep[a + i]), int(rep[a + j])) for i, j in found]
+        src, dst = zip(*out, strict=True) if out else ((), ())
+        return pa.table([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    prepare(rows.sparkSession)
+    return rows.groupBy("cell").applyInArrow(run, "src long, dst long")
+
+
+def members(docs: DataFrame, classes: DataFrame, clusters: DataFrame, shingle: int) -> DataFrame:
+    """(cluster, rep, fp, shingles) of the rows of clusters (node, component)."""
 
-
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words64: int = 8, narrow: int = 22, radius: int = 1, pieces: int = 3) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(t.as_py(), shingle)).view(np.int64).tobytes() for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+
+    asked = clusters.select(F.col("node").alias("doc_id"))
+    # counted first, so that texts aren't moved for few rows
+    asked = F.broadcast(asked) if asked.count() <= 1_000_000 else asked
+    sets = texts(docs).join(asked, "doc_id", "left_semi").mapInArrow(run, "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles"))
+    named = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    return named.join(classes.select("rep", "fp"), "rep").join(sets, "rep")
+
+
+def resolved(rows: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(node, component) of what similarity connects within clusters. rows:
+    cluster, rep, fp, shingles; a written table.
+
+    Small clusters are cells, many to a task. A large one is cut into blocks by
+    hash, and goes through three rounds: within blocks; among some rows of each
+    block's largest group; and of rows outside a cluster's largest group with
+    all blocks, where each pair of groups not connected yet is compared. So
+    large groups of near copies are connected in linear time, and only groups
+    that do not link cost their square in comparisons, none of which is written.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weight = F.octet_length("shingles") + 200
+    sums = rows.groupBy("cluster").agg(F.ceil(F.sum(weight) / CELL_BYTES).cast("int").alias("blocks"))
+    total = rows.agg(F.sum(weight)).first()[0]
+    cells = max(parts_for(total, CELL_BYTES), 4 * partitions)
+    placed = attached(rows, sums, ["cluster"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    cell = lambda block: F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(cells))).otherwise(F.xxhash64("cluster", block))
+    data = ["cluster", "rep", "grp", "own", "fp", "shingles"]
+    first = placed.withColumn("grp", F.col("rep")).withColumn("own", F.lit(True)).select(cell(F.col("block")).alias("cell"), *data)
+    links = written(links_in_cells(first, similarity, most), "links")
+    large = placed.where("blocks > 1")
+    if not sums.where("blocks > 1").limit(1).count():
+        return components(links)
+
+    def grouped() -> DataFrame:
+        return large.join(components(links), F.col("rep") == F.col("node"), "left").withColumn("grp", F.coalesce("component", "rep")).drop("node", "component")
+
+    now = written(grouped(), "grouped")
+    sizes = now.groupBy("cluster", "block", "grp").agg(F.count("*").alias("n"), F.array_distinct(F.array(F.min("rep"), F.max("rep"))).alias("some"))
+    chosen = sizes.groupBy("cluster", "block").agg(F.max_by("some", F.struct("n", -F.col("grp"))).alias("some")).select(F.explode("some").alias("rep"))
+    among = now.join(chosen, "rep", "left_semi").withColumn("own", F.lit(True)).select(F.xxhash64("cluster", F.floor(F.col("block") / 512)).alias("cell"), *data)
+    links = written(links.unionByName(links_in_cells(among, similarity, most)), "links")
+    now = written(grouped(), "grouped")
+    sizes = now.groupBy("cluster", "grp").agg(F.count("*").alias("n"))
+    best = sizes.groupBy("cluster").agg(F.max_by("grp", F.struct("n", -F.col("grp"))).alias("main"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
+    rest = attached(now, best, ["cluster"]).where("main IS NOT NULL")
+    every = F.when(F.col("grp") == F.col("main"), F.array("block")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread_out = rest.withColumn("_to", F.explode(every)).withColumn("own", F.col("_to") == F.col("block")).select(F.xxhash64("cluster", "_to").alias("cell"), *data)
+    return components(links.unionByName(links_in_cells(spread_out, similarity, most)))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words64: int = 12, narrow: int = 30, subs: int = 40, radius: int = 1) -> DataFrame:
     """(doc_id, component_id) of documents whose sets of shingles are alike.
 
     For a Jaccard similarity of 0.8 a sixth of the bits differ, beyond what a
     covering of one 64-bit fingerprint can guarantee. So the fingerprint has
-    words64 * 64 bits, cut into sub-fingerprints of `narrow` bits, each with
-    its own covering: documents meet where they are within `radius` bits in one
-    of them or agree under a mask by luck. With 23 of 22 bits, 99.6 % of pairs
-    at 0.8 meet, and more of closer ones.
-
-    In a bucket all distinct fingerprints are compared with each other, large
-    buckets in blocks, by their first `pieces` words: a pair goes on if these
-    are at most four standard errors farther than asked. The whole fingerprints
-    decide pairs four standard errors closer or farther than asked, and exact
-    Jaccard similarities the others. Where many are alike, each row asks for
-    its nearest of other groups first; what is found makes groups one, and the
-    next round asks more, till no pair of different groups is left: a large
-    group of near copies gives a few pairs for each row.
-
-    Null texts count as empty and empty texts are alike; texts count whole.
-    Repeated rows of one doc_id go by the smallest of their groups. Rows
-    without doc_id take no part. An empty table gives no rows.
+    words64 * 64 bits, of which `subs` sub-fingerprints of `narrow` bits are
+    drawn, each with its own covering: documents meet where they are within
+    `radius` bits in one of them or agree under a mask by luck.
+
+    In a bucket all distinct fingerprints are compared by 96 bits: a pair goes
+    on if these are at most four standard errors farther apart than asked, and
+    if the whole fingerprints are too. What is left makes clusters, in which
+    every pair is decided by exact Jaccard similarity, so no link is wrong, and
+    a pair is missed only if it meets in no table. Groups of many near copies
+    are tied by stars and never written as pairs.
+
+    Null texts count as empty and empty texts are alike; texts count whole,
+    very long ones too. Repeated rows of one doc_id go by the smallest of their
+    groups. Rows without doc_id take no part. An empty table gives no rows.
     """
     # cosine of the shingle sets of two documents of equal size
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    error = lambda n: 4 * np.sqrt(n * share * (1 - share))
-    bits, short = words64 * 64, pieces * 64
+    most = lambda n: int(n * share + 4 * np.sqrt(n * share * (1 - share)))
     fps = written(fingerprints(docs, shingle, words64, distinct=True).where("doc_id IS NOT NULL"), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    keys = []
-    for s, low in enumerate(range(0, bits - narrow + 1, narrow)):
-        for m in masks(radius, low, low + narrow):
-            own = [(w, (m >> 64 * w) & ((1 << 64) - 1)) for w in range(words64)]
-            keys.append(F.xxhash64(F.lit(len(keys)), *[F.col("fp")[w].bitwiseAND(F.lit(signed(x))) for w, x in own if x]))
-    parts = [F.col("fp")[w].alias(f"piece_{w}") for w in range(pieces)]
-    cells, picks, links = cut(classes.select("rep", *parts, F.explode(F.array(*keys)).alias("key"))), 1, None
-    while True:
-        found = written(bucket_links(cells, int(short * share + error(short)), picks), "met")
-        more = links_among(docs, classes, asked(found, picks), shingle, similarity, int(bits * share - error(bits)), int(bits * share + error(bits)))
-        links = written(more if links is None else links.unionByName(more), "links")
-        groups = components(links)
-        if not found.where("cell IS NOT NULL").limit(1).count():
-            break
-        rows = found.where("cell IS NOT NULL").join(groups, F.col("src") == F.col("node"), "left")
-        cells, picks = rows.select("cell", F.col("src").alias("rep"), F.coalesce("component", "src").alias("grp"), *pieces_of(found)), 8 * picks
+    found = written(candidates(classes, Tables(words64, narrow, subs, radius), most(96)), "candidates")
+    clusters = components(near_pairs(classes, found, most(words64 * 64)))
+    groups = resolved(written(members(docs, classes, clusters, shingle), "members"), similarity, most(words64 * 64))
     named = classes.join(groups, classes["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
