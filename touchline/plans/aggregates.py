@@ -106,9 +106,42 @@ def _(v):
     return E.hota(M.by_overlap(v.box, v.gtbox), v.box, v.gtbox).select("seq", *[F.round(c, 6).alias(c) for c in ("det_a", "ass_a", "hota")])
 
 
-@query("e13_hota_thresholds", f"WITH {PAIRS}, e AS (SELECT seq, k, p_id, g_id FROM pairs JOIN (SELECT unnest(range(1, 20)) AS k) ON iou >= k * 0.05::DOUBLE), {HOTA.format(k='k,', src='e')} SELECT seq, round(sum(sqrt(det_a * ass_a)) / 19, 6) AS hota, round(sum(det_a) / 19, 6) AS det_a FROM h GROUP BY seq")
+#: Each truth in a lane of its own. Its prediction lies up to nine pixels aside
+#: and changes names with another's; in a quarter of the frames a stranger of
+#: another name lies closer, whom only the tracks' alignment rules out.
+RIVALS = """gg AS (SELECT seq, frame_id, track_id AS g_id FROM v_gtbox),
+pp AS (SELECT seq, frame_id, track_id AS lane, CASE WHEN frame_id > 20 + track_id // 2 % 30 THEN track_id + 1 - 2 * (track_id % 2) ELSE track_id END AS p_id, (1 + event_id % 9)::DOUBLE AS d FROM v_box
+  UNION ALL SELECT seq, frame_id, track_id, 1000000 + track_id, 0.5 FROM v_box WHERE event_id % 4 = 0),
+oo AS (SELECT gg.seq, gg.frame_id, g_id, p_id, (30 - d) / (30 + d) AS iou FROM gg JOIN pp ON pp.seq = gg.seq AND pp.frame_id = gg.frame_id AND lane = g_id),
+sf AS (SELECT *, iou / sum(iou) OVER (PARTITION BY seq, frame_id, g_id) AS soft FROM oo),
+np AS (SELECT seq, p_id, count(*) AS n_p FROM pp GROUP BY ALL), ng AS (SELECT seq, g_id, count(*) AS n_g FROM gg GROUP BY ALL),
+al AS (SELECT seq, p_id, g_id, sum(soft) / (any_value(n_p) + any_value(n_g) - sum(soft)) AS s FROM sf JOIN np USING (seq, p_id) JOIN ng USING (seq, g_id) GROUP BY ALL),
+mt AS (SELECT seq, frame_id, g_id, p_id, iou FROM (SELECT sf.*, row_number() OVER (PARTITION BY seq, frame_id, g_id ORDER BY iou * s DESC) AS r FROM sf JOIN al USING (seq, p_id, g_id)) WHERE r = 1),
+ct AS (SELECT seq, k, p_id, g_id, count(*) AS c, sum(iou) AS loc FROM mt JOIN range(1, 20) t(k) ON floor(iou * 20 + 1e-9) >= k GROUP BY ALL),
+sm AS (SELECT seq, k, sum(c) AS tp, sum(loc) AS loc, sum(c * c / (n_p + n_g - c)::DOUBLE) AS a, sum(c * c / n_g::DOUBLE) AS re, sum(c * c / n_p::DOUBLE) AS pr FROM ct JOIN np USING (seq, p_id) JOIN ng USING (seq, g_id) GROUP BY ALL),
+tt AS (SELECT seq, k, coalesce(tp, 0) AS tp, coalesce(loc, 0) AS loc, coalesce(a, 0) AS a, coalesce(re, 0) AS re, coalesce(pr, 0) AS pr, n_pred, n_gt FROM (SELECT seq, sum(n_p) AS n_pred FROM np GROUP BY seq) JOIN (SELECT seq, sum(n_g) AS n_gt FROM ng GROUP BY seq) USING (seq) CROSS JOIN range(1, 20) t(k) LEFT JOIN sm USING (seq, k))"""
+PARTS = ("hota", "det_a", "ass_a", "ass_re", "ass_pr", "loc_a")
+
+
+def rivals(v):
+    y = 10_000.0 * (F.col("track_id") % 22)
+    lane = lambda df, x, track: df.select("seq", "frame_id", track.alias("track_id"), x.alias("x"), y.alias("y"), F.lit(30.0).alias("w"), F.lit(70.0).alias("h"))
+    at = (F.col("event_id") % 7).cast("double")
+    crossed = F.when(F.col("frame_id") > 20 + F.floor(F.col("track_id") / 2) % 30, F.col("track_id") + 1 - 2 * (F.col("track_id") % 2)).otherwise(F.col("track_id"))
+    near = lane(v.box, at + 1 + F.col("event_id") % 9, crossed)
+    stranger = lane(v.box.where("event_id % 4 = 0"), at + 0.5, F.col("track_id") + 1_000_000)
+    return near.unionByName(stranger), lane(v.gtbox, at, F.col("track_id"))
+
+
+@query("e13_hota_thresholds", f"WITH {RIVALS}, hh AS (SELECT seq, tp / greatest(n_pred + n_gt - tp, 1)::DOUBLE AS det_a, a / greatest(tp, 1) AS ass_a, re / greatest(tp, 1) AS ass_re, pr / greatest(tp, 1) AS ass_pr, CASE WHEN tp > 0 THEN loc / tp ELSE 1 END AS loc_a FROM tt) SELECT seq, round(avg(sqrt(det_a * ass_a)), 6) AS hota, {', '.join(f'round(avg({c}), 6) AS {c}' for c in PARTS[1:])} FROM hh GROUP BY seq")
+def _(v):
+    return E.hota_thresholds(*rivals(v)).select("seq", *[F.round(c, 6).alias(c) for c in PARTS])
+
+
+@query("e13_hota_combined", f"WITH {RIVALS}, hh AS (SELECT k AS level, sum(tp)::BIGINT AS tp, (sum(n_pred) - sum(tp))::BIGINT AS fp, (sum(n_gt) - sum(tp))::BIGINT AS fn, sum(tp) / (sum(n_pred) + sum(n_gt) - sum(tp))::DOUBLE AS det_a, sum(a) / greatest(sum(tp), 1) AS ass_a, sum(re) / greatest(sum(tp), 1) AS ass_re, sum(pr) / greatest(sum(tp), 1) AS ass_pr, CASE WHEN sum(tp) > 0 THEN sum(loc) / sum(tp) ELSE 1 END AS loc_a FROM tt GROUP BY k) SELECT level::INTEGER AS level, tp, fp, fn, round(sqrt(det_a * ass_a), 6) AS hota, {', '.join(f'round({c}, 6) AS {c}' for c in PARTS[1:])} FROM hh")
 def _(v):
-    return E.hota_thresholds(v.box, v.gtbox).select("seq", F.round("hota", 6).alias("hota"), F.round("det_a", 6).alias("det_a"))
+    """All sequences as one, at each threshold."""
+    return E.hota_combined(E.hota_levels(*rivals(v))).select("level", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in PARTS])
 
 
 @query("e14_team_accuracy", f"WITH {PAIRS} SELECT seq, round(greatest(count(*) FILTER (WHERE t = g_team), count(*) FILTER (WHERE t <> g_team)) / count(*)::DOUBLE, 6) AS team_accuracy FROM (SELECT seq, g_team, CASE WHEN p_id % 3 = 0 THEN p_team ELSE 1 - p_team END AS t FROM pairs) GROUP BY seq")
@@ -198,19 +231,38 @@ def _(v):
     return P.quartiles(v.table("events"), "value").select(*[F.round(c, 6).alias(c) for c in ("q1", "q2", "q3")])
 
 
-#: Predictions of each truth, pushed aside by up to 18 pixels, and some of nothing.
-SHIFTED = """dt AS (SELECT cls, frame_id, track_id, event_id * 7919 % 1009 / 1009 AS score, (w - d) / (w + d) AS iou FROM (SELECT *, event_id % 13 * 1.5::DOUBLE + 0.3 AS d FROM v_gtbox) UNION ALL SELECT cls, frame_id, track_id + 1000000, event_id * 6007 % 1009 / 1009, 0 FROM v_gtbox WHERE event_id % 4 = 0),
-lv AS (SELECT cls, k, iou >= 0.5 + 0.05::DOUBLE * k AS hit, row_number() OVER w AS n, count(*) FILTER (WHERE iou >= 0.5 + 0.05::DOUBLE * k) OVER (PARTITION BY cls, k ORDER BY score DESC, frame_id, track_id ROWS UNBOUNDED PRECEDING) AS tp FROM dt CROSS JOIN range(0, 10) t(k) WINDOW w AS (PARTITION BY cls, k ORDER BY score DESC, frame_id, track_id)),
-pr AS (SELECT cls, k, tp, max(tp / n::DOUBLE) AS p FROM lv GROUP BY ALL), ng AS (SELECT cls, count(*) AS g FROM v_gtbox GROUP BY cls),
-ap AS (SELECT cls, k, sum(p) / 101 AS ap FROM (SELECT pr.cls, k, r, max(p) AS p FROM pr JOIN ng USING (cls) JOIN range(0, 101) t(r) ON round(tp / g::DOUBLE * 100, 9) >= r GROUP BY ALL) GROUP BY ALL),
-ar AS (SELECT cls, avg(r) AS ar FROM (SELECT cls, k, max(tp / g::DOUBLE) AS r FROM pr JOIN ng USING (cls) GROUP BY ALL) GROUP BY cls)"""
-
-
-@query("e32_coco_summary", f"WITH {SHIFTED} SELECT cls, round(avg(ap), 6) AS ap, round(max(ap) FILTER (WHERE k = 0), 6) AS ap50, round(max(ap) FILTER (WHERE k = 5), 6) AS ap75, round(any_value(ar), 6) AS ar FROM ap JOIN ar USING (cls) GROUP BY cls")
-def _(v):
-    near = v.gtbox.withColumn("score", F.col("event_id") * 7919 % 1009 / 1009).withColumn("x", F.col("x") + F.col("event_id") % 13 * 1.5 + 0.3)
-    wrong = v.gtbox.where("event_id % 4 = 0").withColumn("score", F.col("event_id") * 6007 % 1009 / 1009).withColumn("track_id", F.col("track_id") + 1_000_000).withColumn("x", F.col("x") + 100_000)
-    return E.coco_summary(near.unionByName(wrong), v.gtbox).select("cls", *[F.round(c, 6).alias(c) for c in ("ap", "ap50", "ap75", "ar")])
+#: Truths of three sizes, each in a lane. A prediction of each is narrower, so
+#: that many are of another size than their truth; a fifth come twice, and a
+#: quarter of the truths have a prediction of nothing. Then the outcome of each at each level in each range.
+SIZES = """tr AS (SELECT track_id % 2 AS cls, seq, frame_id, track_id, event_id, CASE event_id % 3 WHEN 0 THEN 20 WHEN 1 THEN 32 ELSE 120 END::DOUBLE AS w, CASE event_id % 3 WHEN 0 THEN 30 WHEN 1 THEN 32.5 ELSE 100 END::DOUBLE AS h, 1 - event_id % 13 * 0.0451::DOUBLE AS part FROM v_gtbox),
+dt AS (SELECT cls, seq, frame_id, track_id AS gid, track_id AS id, event_id * 7919 % 1009 / 1009 AS score, part AS iou, w * h AS ga, w * part * h AS da FROM tr
+  UNION ALL SELECT cls, seq, frame_id, NULL, track_id + 1000000, event_id * 6007 % 1009 / 1009, 0, NULL, w * h FROM tr WHERE event_id % 4 = 0
+  UNION ALL SELECT cls, seq, frame_id, track_id, track_id + 2000000, event_id * 4999 % 1009 / 1009, 1, w * h, w * h FROM tr WHERE event_id % 5 = 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY seq, frame_id, cls ORDER BY score DESC, id) AS rank FROM dt),
+lv AS (SELECT *, iou >= 0.5 + 0.05::DOUBLE * k AND row_number() OVER (PARTITION BY seq, frame_id, gid, k, iou >= 0.5 + 0.05::DOUBLE * k ORDER BY score DESC, id) = 1 AS takes FROM rk CROSS JOIN range(0, 10) t(k)),
+ar AS (SELECT * FROM (VALUES (0, 0::DOUBLE, 1e10), (1, 0, 1024), (2, 1024, 9216), (3, 9216, 1e10)) t(a, lo, hi)),
+st AS (SELECT cls, a, k, score, frame_id, id, rank, CASE WHEN takes THEN CASE WHEN ga BETWEEN lo AND hi THEN 1 ELSE 2 END WHEN da BETWEEN lo AND hi THEN 0 ELSE 2 END AS s FROM lv CROSS JOIN ar),
+ng AS (SELECT cls, a, count(*) AS g FROM tr JOIN ar ON w * h BETWEEN lo AND hi GROUP BY ALL),
+cv AS (SELECT cls, a, k, sum((s = 1)::INT) OVER o AS tp, sum((s <> 2)::INT) OVER o AS n FROM st WINDOW o AS (PARTITION BY cls, a, k ORDER BY score DESC, frame_id, id ROWS UNBOUNDED PRECEDING)),
+pr AS (SELECT cls, a, k, tp, max(tp / n::DOUBLE) AS p FROM cv WHERE n > 0 GROUP BY ALL),
+pt AS (SELECT pr.cls, a, k, r, max(p) AS p FROM pr JOIN ng USING (cls, a) JOIN range(0, 101) t(r) ON round(tp / g::DOUBLE * 100, 9) >= r GROUP BY ALL),
+ap AS (SELECT cls, a, k, sum(p) / 101 AS ap FROM pt GROUP BY ALL),
+re AS (SELECT cls, a, count(*) FILTER (s = 1) / (10 * any_value(g))::DOUBLE AS r, count(*) FILTER (s = 1 AND rank <= 1) / (10 * any_value(g))::DOUBLE AS r1, count(*) FILTER (s = 1 AND rank <= 10) / (10 * any_value(g))::DOUBLE AS r10 FROM st JOIN ng USING (cls, a) GROUP BY ALL)"""
+NUMBERS = ("ap", "ap50", "ap75", "ap_small", "ap_medium", "ap_large", "ar1", "ar10", "ar100", "ar_small", "ar_medium", "ar_large")
+
+
+@query("e32_coco_summary", f"""WITH {SIZES} SELECT cls::INTEGER AS cls, round(ap, 6) AS ap, round(ap50, 6) AS ap50, round(ap75, 6) AS ap75, round(aps, 6) AS ap_small, round(apm, 6) AS ap_medium, round(apl, 6) AS ap_large, round(r1, 6) AS ar1, round(r10, 6) AS ar10, round(r, 6) AS ar100, round(rs, 6) AS ar_small, round(rm, 6) AS ar_medium, round(rl, 6) AS ar_large
+FROM (SELECT cls, avg(ap) FILTER (a = 0) AS ap, max(ap) FILTER (a = 0 AND k = 0) AS ap50, max(ap) FILTER (a = 0 AND k = 5) AS ap75, avg(ap) FILTER (a = 1) AS aps, avg(ap) FILTER (a = 2) AS apm, avg(ap) FILTER (a = 3) AS apl FROM ap GROUP BY cls)
+JOIN (SELECT cls, max(r1) FILTER (a = 0) AS r1, max(r10) FILTER (a = 0) AS r10, max(r) FILTER (a = 0) AS r, max(r) FILTER (a = 1) AS rs, max(r) FILTER (a = 2) AS rm, max(r) FILTER (a = 3) AS rl FROM re GROUP BY cls) USING (cls)""")
+def _(v):
+    e = F.col("event_id")
+    size = lambda small, medium, large: F.when(e % 3 == 0, small).when(e % 3 == 1, medium).otherwise(large)
+    truths = v.gtbox.select("seq", "frame_id", "track_id", "event_id", (F.col("track_id") % 2).cast("int").alias("cls"), F.lit(0.0).alias("x"), (10_000.0 * (F.col("track_id") % 22)).alias("y"), size(20.0, 32.0, 120.0).alias("w"), size(30.0, 32.5, 100.0).alias("h"))
+    score = lambda k: e * k % 1009 / 1009
+    near = truths.withColumn("score", score(7919)).withColumn("w", F.col("w") * (1 - e % 13 * 0.0451))
+    wrong = truths.where("event_id % 4 = 0").withColumn("score", score(6007)).withColumn("track_id", F.col("track_id") + 1_000_000).withColumn("x", F.col("x") + 100_000)
+    twice = truths.where("event_id % 5 = 0").withColumn("score", score(4999)).withColumn("track_id", F.col("track_id") + 2_000_000)
+    return E.coco_summary(near.unionByName(wrong).unionByName(twice), truths).select("cls", *[F.round(c, 6).alias(c) for c in NUMBERS])
 
 
 SCORED = "sc AS (SELECT seq, event_id AS id, value AS score, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS hit FROM v_num), cv AS (SELECT seq, score, id, hit, sum(hit) OVER w AS tp, row_number() OVER w AS n FROM sc WINDOW w AS (PARTITION BY seq ORDER BY score DESC, id)), pr AS (SELECT seq, score, id, tp / n::DOUBLE AS p, tp / g::DOUBLE AS r FROM cv JOIN (SELECT seq, sum(hit) + 5 AS g FROM sc GROUP BY seq) USING (seq))"
