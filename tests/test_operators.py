@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 from touchline.functions import exprs as X
 from touchline.kernels import clusters, geometry
 from touchline.kernels.hungarian import assign
-from touchline.kernels.viterbi import ball_path
 from touchline.operators import identity as I
 from touchline.operators import kinematics as K
 from touchline.operators import matching as M
@@ -241,13 +241,57 @@ def still(x, y, score=0.9):
     return {"x": x, "y": y, "w": 10.0, "h": 10.0, "score": score}
 
 
-def test_ball_path_gates_and_attaches():
-    m = np.array([1.0, 0, 0, 0, 1, 0])
+FRAMES = "seq long, frame_id long, balls array<struct<x:double,y:double,w:double,h:double,score:double>>, players array<struct<track:bigint,x1:double,y1:double,x2:double,y2:double>>, m array<double>"
+
+
+def test_ball_path_gates_and_attaches(spark):
+    m = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0]
     player = {"track": 4, "x1": 80.0, "y1": 50.0, "x2": 120.0, "y2": 110.0}
-    path = ball_path([{"balls": [still(100, 100), *([still(700, 100, 0.99)] if t == 1 else [])], "players": [], "m": m} for t in range(3)], delta_P=300)
-    assert [p["x"] for p in path] == [100, 100, 100]
-    hidden = ball_path([{"balls": [still(100, 100)], "players": [player], "m": m}, {"balls": [], "players": [player | {"x1": 90.0, "x2": 130.0}], "m": m}])
-    assert hidden[1]["is_dummy"] and hidden[1]["attached"] == 4 and hidden[1]["x"] == 110
+    rows = [(1, t, [still(100.0, 100.0), *([still(700.0, 100.0, 0.99)] if t == 1 else [])], [], m) for t in range(3)]
+    rows += [(2, 0, [still(100.0, 100.0)], [player], m), (2, 1, [], [player | {"x1": 90.0, "x2": 130.0}], m)]
+    got = {(r.seq, r.frame_id): r for r in J.ball_trajectory(spark.createDataFrame(rows, FRAMES), delta_P=300).collect()}
+    assert [got[1, t].x for t in range(3)] == [100, 100, 100]
+    assert got[2, 1].is_dummy and got[2, 1].attached == 4 and got[2, 1].x == 110
+
+
+def clips(n: int) -> list[tuple]:
+    """Sequences of 0 to 30 frames with crowded, empty and far candidates, players at the ball and a moving camera."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for seq in range(n):
+        x, y = 300.0, 200.0
+        for t in range(int(rng.integers(1, 30)) if seq % 5 else 1):
+            x, y = x + rng.normal(0, 60), y + rng.normal(0, 30)
+            balls = [] if rng.random() < 0.35 else [still(x + rng.normal(0, 150) * (k > 0), y, float(rng.integers(1, 10)) / 10) | {"w": float(rng.integers(0, 14))} for k in range(rng.integers(1, 5))]
+            players = [{"track": int(p), "x1": x - 40 + 30 * p, "y1": y - 90, "x2": x + 20 + 30 * p, "y2": y + float(rng.integers(-5, 40))} for p in range(rng.integers(0, 4))]
+            rows.append((seq, t, balls, players, [1.0, 0.01, float(rng.integers(-5, 5)), 0.0, 0.99, 2.0]))
+    return rows
+
+
+@pytest.mark.parametrize("states", [200, 2_000_000])
+def test_ball_paths_of_many_sequences_equal_those_of_one(spark, monkeypatch, states):
+    rows = clips(60)
+    want = {}
+    for seq in range(60):
+        own = [r for r in rows if r[0] == seq]
+        path = brute.ball_path([{"balls": r[2], "players": r[3], "m": np.array(r[4])} for r in own])
+        want |= {(seq, r[1]): (p["x"], p["y"], p["w"], p["h"], p["is_dummy"], p["attached"]) for r, p in zip(own, path, strict=True)}
+    import pyarrow as pa
+
+    monkeypatch.setattr(J, "BATCH_STATES", states)
+    frames = spark.createDataFrame(rows, FRAMES)
+    table = pa.Table.from_batches(frames.orderBy("seq", "frame_id").coalesce(1).toArrow().to_batches())
+    local = [r for b in J._paths(table) for r in b.to_pylist()]
+    spread = [r.asDict() for r in J.ball_trajectory(frames.repartition(7)).collect()]
+    J.ball_path_function(spark, "paths_in_test")
+    called = [r.asDict() for r in spark.sql("SELECT * FROM paths_in_test(TABLE(SELECT *, seq % 3 AS bucket FROM {frames}) PARTITION BY bucket ORDER BY (seq, frame_id))", frames=frames).collect()]
+    for got in (local, spread, called):
+        assert len(got) == len(rows)
+        for r in got:
+            x = want[r["seq"], r["frame_id"]]
+            assert (r["is_dummy"], r["attached"]) == x[4:]
+            assert [r[c] for c in "xywh"] == pytest.approx(list(x[:4])), r
+    assert J.ball_trajectory(frames.limit(0)).collect() == []
 
 
 def test_hysteresis(spark):

@@ -2,34 +2,103 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from touchline.kernels.boxes import overlaps
 from touchline.kernels.geometry import rotation, rotation_vector, smooth_cameras
-from touchline.kernels.viterbi import ball_path
+from touchline.kernels.viterbi import NONE, Frames, ball_paths
 from touchline.operators import matching as M
 
 
+#: Frames that a task steps through together, and states of theirs.
+BATCH_FRAMES, BATCH_STATES = 50_000, 2_000_000
+PATH = "seq long, frame_id long, x double, y double, w double, h double, is_dummy boolean, attached long"
+
+
+def _padded(column: pa.ListArray, fields: list[str], fill: float = np.nan, kind: type = float) -> np.ndarray:
+    """Lists of structs as rows x longest list x fields, filled beyond each
+    row's own; nulls count as empty lists."""
+    own = np.diff(column.offsets.to_numpy()) * column.is_valid().to_numpy(zero_copy_only=False)
+    out = np.full((len(column), int(own.max()) if len(own) else 0, len(fields)), fill, kind)
+    values = column.flatten()
+    row = np.repeat(np.arange(len(own)), own)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
+    for k, f in enumerate(fields):
+        out[row, place, k] = values.field(f).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _paths(table: pa.Table, **parameters: float) -> Iterator[pa.RecordBatch]:
+    """Paths of whole sequences, whose frames stand in order."""
+    seq = table["seq"].to_numpy()
+    bounds = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1], True])
+    states = table.num_rows * (1 + max([0, *(pc.max(pc.list_value_length(table[c])).as_py() or 0 for c in ("balls", "players"))]))
+    if states > BATCH_STATES and len(bounds) > 2:  # one crowded frame needn't widen all
+        half = int(bounds[len(bounds) // 2])
+        yield from _paths(table.slice(0, half), **parameters)
+        yield from _paths(table.slice(half), **parameters)
+        return
+    balls, players = (table[c].combine_chunks() for c in ("balls", "players"))
+    motion = table["m"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(table.num_rows, 6)
+    tracks = _padded(players, ["track"], NONE, np.int64)[:, :, 0]
+    path = ball_paths(Frames(_padded(balls, ["x", "y", "w", "h", "score"]), _padded(players, ["x1", "y1", "x2", "y2"]), tracks, motion, np.diff(bounds)), **parameters)
+    box = [pa.array(path.box[:, k], mask=np.isnan(path.box[:, k])) for k in range(4)]
+    yield pa.RecordBatch.from_arrays([pa.array(seq), table["frame_id"].combine_chunks(), *box, pa.array(path.is_dummy), pa.array(path.attached, mask=path.attached == NONE)], names=["seq", "frame_id", "x", "y", "w", "h", "is_dummy", "attached"])
+
+
 def ball_trajectory(frames: DataFrame, **parameters: float) -> DataFrame:
     """The cheapest ball path of each sequence. frames: seq, frame_id, balls
     (array of x, y, w, h, score), players (array of track, x1, y1, x2, y2), m
-    (six numbers). A sequence is one group: a path needs its frames in order,
-    and a clip has some thousand of them."""
-
-    def path(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_id")
-        rows = [{"balls": [dict(b) if isinstance(b, dict) else b.asDict() for b in r.balls], "players": [dict(p) if isinstance(p, dict) else p.asDict() for p in r.players], "m": np.asarray(r.m, float)} for r in pdf.itertuples()]
-        out = pd.DataFrame(ball_path(rows, **parameters), columns=["x", "y", "w", "h", "is_dummy", "attached"])
-        out.insert(0, "frame_id", pdf["frame_id"].to_numpy())
-        out.insert(0, "seq", pdf["seq"].to_numpy())
-        return out.astype({"x": float, "y": float, "w": float, "h": float, "attached": "Int64"})
-
-    found = frames.groupBy("seq").applyInPandas(path, "seq long, frame_id long, x double, y double, w double, h double, is_dummy boolean, attached long")
-    return found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in "xywh"})
+    (six numbers), none of them null.
+
+    A path needs its frames in order, and a clip has some thousand of them. A
+    task steps through many sequences together, as many as make BATCH_FRAMES.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BATCH_FRAMES:
+                table = pa.Table.from_batches(held)
+                seq = table["seq"].to_numpy()
+                whole = int(np.searchsorted(seq, seq[-1]))  # the last may go on
+                if whole:
+                    yield from _paths(table.slice(0, whole), **parameters)
+                    held = table.slice(whole).to_batches()
+        if sum(b.num_rows for b in held):
+            yield from _paths(pa.Table.from_batches(held), **parameters)
+
+    ordered = frames.select("seq", "frame_id", "balls", "players", "m").repartition("seq").sortWithinPartitions("seq", "frame_id")
+    return ordered.mapInArrow(run, PATH)
+
+
+def ball_path_function(spark: SparkSession, name: str = "ball_paths", **parameters: float) -> None:
+    """Register the ball's path for SQL: name(TABLE(...) PARTITION BY a bucket
+    of sequences ORDER BY (seq, frame_id)), with the columns of ball_trajectory().
+    A bucket's sequences are stepped through together."""
+
+    class BallPaths:
+        def __init__(self) -> None:
+            self.held: list[pa.RecordBatch] = []
+
+        def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+            self.held.append(rows)
+            return iter(())
+
+        def terminate(self) -> Iterator[pa.Table]:
+            if sum(b.num_rows for b in self.held):
+                yield from (pa.Table.from_batches([b]) for b in _paths(pa.Table.from_batches(self.held), **parameters))
+
+    spark.udtf.register(name, F.arrow_udtf(BallPaths, returnType=PATH))
 
 
 def interpolated(path: DataFrame, *columns: str) -> DataFrame:

@@ -118,13 +118,14 @@ def _(v):
 @query("f12_ball_viterbi_single", "SELECT track_id AS seq, frame_id, round(x_m * 18, 4) AS x FROM v_num")
 def _(v):
     """With one sure candidate in each frame, the path is that candidate; each
-    track is a sequence of its own."""
+    track is a sequence of its own. Asked for in SQL, by buckets of sequences."""
     one = v.box.withColumn("seq", F.col("track_id"))
     ball = F.array(F.struct("x", "y", F.lit(10.0).alias("w"), F.lit(10.0).alias("h"), F.lit(1.0).alias("score")))
     none = F.array().cast("array<struct<track:bigint,x1:double,y1:double,x2:double,y2:double>>")
     m = F.array(*[F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0)])
     frames = one.select("seq", "frame_id", ball.alias("balls"), none.alias("players"), m.alias("m"))
-    return J.ball_trajectory(frames, delta_P=5000.0).select("seq", "frame_id", F.round("x", 4).alias("x"))
+    J.ball_path_function(v.spark, "ball_paths_wide", delta_P=5000.0)
+    return v.spark.sql("SELECT seq, frame_id, round(x, 4) AS x FROM ball_paths_wide(TABLE(SELECT *, seq DIV 64 AS bucket FROM {frames}) PARTITION BY bucket ORDER BY (seq, frame_id))", frames=frames)
 
 
 #: One direction of the smoother for the focal length alone, measurement by measurement.
