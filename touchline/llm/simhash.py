@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from touchline.llm.common import attached, components, parts_for, prepare, texts, written
 
 #: Shingles whose bits are counted at a time.
-BLOCK = 1 << 14
+BLOCK = 255 << 4
 #: Rows of a small bucket, whose pairs are compared side by side with those of others; members of a bucket's group up to which its pairs are given one by one.
 FEW, PAIRED = 32, 6
 #: Partners of a row beyond which it is tied to them by stars too.
@@ -75,14 +75,13 @@ def fingerprint(text: bytes, shingle: int, words64: int = 1, distinct: bool = Fa
     n = len(hashes)
     if not n:
         return [0] * words64
-    out = []
-    for k in range(words64):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, n, BLOCK):
-            bits = np.unpackbits(_mixed(hashes[at : at + BLOCK], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.uint32)
-        out.append(int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]))
-    return out
+    ones = np.zeros(words64 * 64, np.int64)
+    for at in range(0, n, BLOCK):
+        some = np.stack([_mixed(hashes[at : at + BLOCK], k) for k in range(words64)], axis=1)
+        bits = np.unpackbits(some.view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
+        for low in range(0, len(bits), 255):  # as many as a byte counts
+            ones += np.add.reduce(bits[low : low + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8").tolist()
 
 
 def fingerprints(docs: DataFrame, shingle: int, words64: int = 1, distinct: bool = False) -> DataFrame:
@@ -177,6 +176,14 @@ def _words(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().view(np.uint64).reshape(len(column), -1)
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 2_048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Names and fingerprints of a batch (rep, fp), some rows at a time, as
+    each has an entry for every table."""
+    for at in range(0, batch.num_rows, rows):
+        own = batch.slice(at, rows)
+        yield own.column(0).to_numpy(), _words(own.column(1))
+
+
 def apart(head: np.ndarray, tail: np.ndarray, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     """Differing bits of the entries at a and b."""
     return np.bitwise_count(head[a] ^ head[b]).astype(np.int32) + np.bitwise_count(tail[a] ^ tail[b])
@@ -239,20 +246,23 @@ def bucket_pairs(entries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
 
 def hot_buckets(classes: DataFrame, n: int, tables: Tables) -> dict[int, int]:
     """Keys of buckets of more than about HOT rows, with a row of each. They
-    are looked for in LOOKED rows by hash; which keys are found changes what is
-    compared where, not what is found."""
+    are looked for in LOOKED rows by hash, counting a key that a batch holds
+    twice; which keys are found changes what is compared where, not what is
+    found."""
     share = min(1.0, LOOKED / max(n, 1))
     if n <= HOT:
         return {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = tables.keys(_words(batch.column(1))) if batch.num_rows else np.zeros((0, tables.count), np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), tables.count))], names=["key", "rep"])
+            for rep, fp in _slices(batch):
+                keys, at, count = np.unique(tables.keys(fp), return_index=True, return_counts=True)
+                some = count > 1
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some].astype(np.int64)), pa.array(rep[at[some] // tables.count]), pa.array(count[some])], names=["key", "rep", "n"])
 
     some = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else classes
-    keyed = some.select("rep", "fp").mapInArrow(run, "key long, rep long").groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
-    # at most LOOKED * tables / 16 keys, and some thousands in practice
+    keyed = some.select("rep", "fp").mapInArrow(run, "key long, rep long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
+    # at most LOOKED * tables / 16 keys, and some hundreds in practice
     return {r["key"]: r["rep"] for r in keyed.where(F.col("n") > max(16, int(HOT * share))).select("key", "rep").collect()}
 
 
@@ -276,31 +286,26 @@ def candidates(classes: DataFrame, tables: Tables, most: int) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rep, fp = batch.column(0).to_numpy(), _words(batch.column(1))
-            entries = np.empty((len(rep), tables.count), ENTRY)
-            entries["key"], entries["rep"], entries["head"] = tables.keys(fp), rep[:, None], fp[:, :1]
-            entries["tail"] = (fp[:, 1:2] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            entries = entries.reshape(-1)
-            entries = entries[~is_hot(entries["key"])[0]]
-            part = (entries["key"].astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32)
-            order = np.argsort(part, kind="stable")
-            entries, part = entries[order], part[order]
-            at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-            blobs = [entries[a:b].tobytes() for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int64)), pa.array(blobs, pa.binary())], names=["part", "entries"])
+            for rep, fp in _slices(batch):
+                keys = tables.keys(fp).reshape(-1)
+                cold = np.flatnonzero(~is_hot(keys)[0])
+                part = ((keys[cold].astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cold, part = cold[order], part[order]
+                row, entries = cold // tables.count, np.empty(len(cold), ENTRY)
+                entries["key"], entries["rep"], entries["head"], entries["tail"] = keys[cold], rep[row], fp[row, 0], (fp[row, 1] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+                blobs = [entries[a:b].tobytes() for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(blobs, pa.binary())], names=["part", "entries"])
 
     def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rep = batch.column(0).to_numpy()
-            found, at = is_hot(tables.keys(_words(batch.column(1))))
-            row, table = np.nonzero(found)
-            both = np.unique(np.stack([rep[row], hot_reps[at[row, table]]]), axis=1) if len(row) else np.empty((2, 0), np.int64)
-            both = both[:, both[0] != both[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(both.max(axis=0)), pa.array(both.min(axis=0)), pa.array(np.ones(both.shape[1], bool))], names=["src", "dst", "dense"])
+            for rep, fp in _slices(batch):
+                found, at = is_hot(tables.keys(fp))
+                row, table = np.nonzero(found)
+                both = np.unique(np.stack([rep[row], hot_reps[at[row, table]]]), axis=1) if len(row) else np.empty((2, 0), np.int64)
+                both = both[:, both[0] != both[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(both.max(axis=0)), pa.array(both.min(axis=0)), pa.array(np.ones(both.shape[1], bool))], names=["src", "dst", "dense"])
 
     def met(key: tuple, table: pa.Table) -> pa.Table:
         entries = np.concatenate([np.frombuffer(b.as_buffer(), ENTRY) for b in table["entries"]])
