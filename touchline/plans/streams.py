@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 from touchline.functions import exprs as X
 from touchline.plans.motion import STEP
 from touchline.plans.registry import query
-from touchline.plans.teams import HOLD, PROPOSED, proposals
+from touchline.plans.teams import CANDIDATES, HOLD, PROPOSED, H, W, proposals
 from touchline.streaming import online as O
+from touchline.streaming import stateful as S
 
 
 def _rows(v):
@@ -39,11 +40,21 @@ nw AS (SELECT *, CASE WHEN fresh THEN row_number() OVER (PARTITION BY seq, fresh
 tr AS (SELECT *, max(number) OVER (PARTITION BY seq, box_id, life) AS track, row_number() OVER (PARTITION BY seq, box_id, life ORDER BY frame_id) AS hits FROM nw)"""
 
 
-@query("k3_online_tracker", f"WITH {LEAPS} SELECT seq, frame_id, box_id, track, hits >= 3 AS confirmed FROM tr")
+#: Frames up to which the watermark came: rows arrive up to two frames late.
+DELAY = 10
+CLOSED = f"frame_id <= (SELECT max(frame_id) - {DELAY} FROM v_num WHERE event_type <> 'view')"
+
+
+def arriving(rows):
+    """Rows of a frame fall into two batches: every other track comes later."""
+    return rows.withColumn("arrives", F.col("frame_id") + 2 * (F.col("seq") % 2 + F.floor(F.col("y") / 10_000) % 2))
+
+
+@query("k3_online_tracker", f"WITH {LEAPS} SELECT seq, frame_id, box_id, track, hits >= 3 AS confirmed FROM tr WHERE {CLOSED}")
 def _(v):
     x = 200.0 * (F.col("track_id") % 22) + 60 * F.floor(F.col("frame_id") / 15)
     boxes = v.num.where("event_type <> 'view'").select("seq", "frame_id", F.col("track_id").alias("box_id"), (x + F.col("event_id") % 5).alias("x"), (10_000.0 * (F.col("track_id") % 22)).alias("y"), F.lit(40.0).alias("w"), F.lit(80.0).alias("h"))
-    return O.replayed(boxes, "frame_id", lambda s: O.online_tracks(s, max_age=2, idle_ms=None))
+    return O.replayed(arriving(boxes), "arrives", lambda s: S.tracker(s, max_age=2, delay=DELAY), parts=4, settings=S.PROVIDER)
 
 
 #: Each box changes its name after every 12 frames, by an overlapping one unless
@@ -52,12 +63,13 @@ LIVES = """bx AS (SELECT seq, frame_id, track_id + 1000 * (frame_id // 12) AS tr
 ag AS (SELECT *, frame_id - lag(frame_id) OVER (PARTITION BY seq, track_id ORDER BY frame_id) AS gap, frame_id - lag(frame_id) OVER (PARTITION BY seq, who ORDER BY frame_id) AS away, lag(track_id) OVER (PARTITION BY seq, who ORDER BY frame_id) AS before, lag(leg) OVER (PARTITION BY seq, who ORDER BY frame_id) AS old_leg FROM bx)"""
 
 
-@query("k8_track_lifecycle", f"WITH {LIVES} SELECT seq, frame_id, track_id, CASE WHEN gap = 1 THEN 'seen' WHEN gap <= 2 THEN 'back' ELSE 'new' END AS event, CASE WHEN (gap IS NULL OR gap > 2) AND away <= 2 AND old_leg = leg AND before <> track_id THEN before END AS took_over FROM ag")
+@query("k8_track_lifecycle", f"""WITH {LIVES}, ev AS (SELECT seq, frame_id, track_id, CASE WHEN gap = 1 THEN 'seen' WHEN gap <= 2 THEN 'back' ELSE 'new' END AS event, CASE WHEN (gap IS NULL OR gap > 2) AND away <= 2 AND old_leg = leg AND before <> track_id THEN before END AS took_over FROM ag
+UNION ALL SELECT seq, frame_id + 3, track_id, 'expired', NULL FROM (SELECT *, lead(frame_id) OVER (PARTITION BY seq, track_id ORDER BY frame_id) AS after FROM bx) WHERE after IS NULL OR after > frame_id + 2) SELECT * FROM ev WHERE {CLOSED}""")
 def _(v):
-    who, leg = F.col("track_id") % 22, F.floor(F.col("frame_id") / 24)
+    leg = F.floor(F.col("frame_id") / 24)
     rows = v.num.where("event_type <> 'view'")
-    boxes = rows.select("seq", "frame_id", (F.col("track_id") + 1000 * F.floor(F.col("frame_id") / 12)).alias("track_id"), (F.col("event_id") % 100 / 100).alias("score"), (60.0 * leg + F.col("event_id") % 5).alias("x"), (10_000.0 * who).alias("y"), F.lit(40.0).alias("w"), F.lit(80.0).alias("h"))
-    return O.replayed(boxes, "frame_id", lambda s: O.online_lifecycle(s, ttl=2, idle_ms=None))
+    boxes = rows.select("seq", "frame_id", (F.col("track_id") + 1000 * F.floor(F.col("frame_id") / 12)).alias("track_id"), (F.col("event_id") % 100 / 100).alias("score"), (60.0 * leg + F.col("event_id") % 5).alias("x"), (10_000.0 * (F.col("track_id") % 22)).alias("y"), F.lit(40.0).alias("w"), F.lit(80.0).alias("h"))
+    return O.replayed(arriving(boxes), "arrives", lambda s: S.lifecycle(s, ttl=2, delay=DELAY), parts=4, settings=S.PROVIDER)
 
 
 @query("k4_temporal_mode", "WITH l AS (SELECT seq, track_id, frame_id, list(event_id % 4) OVER (PARTITION BY seq, track_id ORDER BY frame_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS w FROM v_num), u AS (SELECT seq, track_id, frame_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM l), c AS (SELECT seq, track_id, frame_id, x, count(*) AS n, max(i) AS last FROM u GROUP BY ALL) SELECT seq, track_id, frame_id, arg_max(x, (n, last)) AS mode FROM c GROUP BY ALL")
@@ -67,19 +79,32 @@ def _(v):
 
 
 def telemetry(v):
-    """Each user's experiment; few of them fail, some end."""
+    """Each user's experiment: it starts anew now and then, whether it ended, failed or ran."""
     e = v.table("events")
-    event = F.when((F.col("event_type") == "error") & (F.col("user_id") % 5 == 1), "error").when((F.col("event_type") == "signup") & (F.col("user_id") % 3 == 0), "train_end").otherwise("epoch_end")
+    signup = F.col("event_type") == "signup"
+    event = F.when(signup & (F.col("event_id") % 2 == 0), "train_start").when(signup, "train_end").when((F.col("event_type") == "error") & (F.col("user_id") % 5 == 1), "error").otherwise("epoch_end")
     return e.select(F.col("user_id").cast("string").alias("experiment"), event.alias("event"), F.col("event_id").alias("epoch"), F.col("value").alias("metric"), (F.col("event_id") % 4).alias("value"))
 
 
-@query("k5_telemetry_state", """SELECT CAST(user_id AS VARCHAR) AS experiment, count(*) AS n_events, max(event_id) AS last_epoch, round(max_by(value, event_id), 4) AS last_metric, round(max(value), 4) AS best_metric,
-CASE WHEN count(*) FILTER (WHERE event_type = 'error' AND user_id % 5 = 1) > 0 THEN 'failed' WHEN count(*) FILTER (WHERE event_type = 'signup' AND user_id % 3 = 0) > 0 THEN 'done' ELSE 'running' END AS status FROM events GROUP BY user_id""")
+#: Events that set a status, with how often the experiment had started by then.
+RUNS = """ev AS (SELECT CAST(user_id AS VARCHAR) AS experiment, event_id AS epoch, CASE WHEN event_type = 'signup' AND event_id % 2 = 0 THEN 'training' WHEN event_type = 'signup' THEN 'complete' WHEN event_type = 'error' AND user_id % 5 = 1 THEN 'error' END AS after, value FROM events),
+rn AS (SELECT *, count(*) FILTER (after = 'training') OVER (PARTITION BY experiment ORDER BY epoch) AS run FROM ev),
+ep AS (SELECT *, count(*) FILTER (after IS NULL) OVER (PARTITION BY experiment, run ORDER BY epoch) AS epochs FROM rn),
+ch AS (SELECT *, lag(after) OVER (PARTITION BY experiment ORDER BY epoch) AS before FROM ep WHERE after IS NOT NULL AND run > 0)"""
+
+
+@query("k5_telemetry_state", f"WITH {RUNS} SELECT experiment, count(*) AS n_events, max(epoch) AS last_epoch, round(max_by(value, epoch), 4) AS last_metric, round(max(value), 4) AS best_metric, coalesce(any_value(after), 'unknown') AS status FROM (SELECT ev.experiment, epoch, value, l.after FROM ev LEFT JOIN (SELECT experiment, arg_max(after, epoch) AS after FROM ch GROUP BY experiment) l USING (experiment)) GROUP BY experiment")
 def _(v):
     t = O.replayed(telemetry(v), "epoch", O.telemetry, "complete")
     return t.select("experiment", "n_events", "last_epoch", F.round("last_metric", 4).alias("last_metric"), F.round("best_metric", 4).alias("best_metric"), "status")
 
 
+@query("k5_status_changes", f"WITH {RUNS} SELECT experiment, row_number() OVER (PARTITION BY experiment ORDER BY epoch) AS number, epoch, run, before, after, epochs FROM ch WHERE after = 'training' OR after IS DISTINCT FROM before")
+def _(v):
+    """What a listener gets: each change of status, in order."""
+    return O.replayed(telemetry(v), "epoch", S.status_changes, settings=S.PROVIDER)
+
+
 @query("k5_telemetry_log", "SELECT CAST(user_id AS VARCHAR) AS experiment, event_id AS epoch, value AS metric FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 20")
 def _(v):
     """The last 20 rows of each experiment's log."""
@@ -113,3 +138,25 @@ def _(v):
 def _(v):
     rows = v.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     return O.replayed(rows, "ts", O.hourly).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query("k7_user_sessions", """WITH g AS (SELECT user_id, ts, value, CASE WHEN user_id % 2 = 0 THEN INTERVAL 6 HOUR ELSE INTERVAL 12 HOUR END AS gap FROM events),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= gap THEN 0 ELSE 1 END AS fresh FROM g))
+SELECT user_id, min(ts) AS start, max(ts) + any_value(gap) AS "end", count(*) AS n, round(sum(value), 4) AS total FROM i GROUP BY user_id, island HAVING max(ts) + any_value(gap) <= (SELECT max(ts) - INTERVAL 48 HOUR FROM events)""")
+def _(v):
+    """Events come up to 40 hours after others that are later, in any batch."""
+    rows = v.table("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value", (F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") % 5 * 36_000).alias("arrives"))
+    gap = F.when(F.col("user_id") % 2 == 0, "6 hours").otherwise("12 hours")
+    got = O.replayed(rows, "arrives", lambda s: S.sessions(s, gap, "48 hours", "user_id"), parts=5)
+    return got.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n", F.round("total", 4).alias("total"))
+
+
+#: Windows of 48 frames, every 8, as far as the watermark came.
+CLOSING = CANDIDATES.format(rarity="0").replace(" UNION SELECT seq, last FROM lf", " WHERE true").replace("range(40, last + 1, 40)", "range(8, last + 48, 8)").replace("wend - 220", "wend - 48").replace("st AS (", "el AS (SELECT seq, wend FROM en WHERE wend <= (SELECT max(last) - 2 FROM lf)), st AS (").replace("JOIN en ON", "JOIN el en ON")
+
+
+@query("k6_window_keepers", f"WITH RECURSIVE {CLOSING}, {HOLD} SELECT seq, side, wend AS \"end\", now AS keeper FROM hd")
+def _(v):
+    boxes = F.sort_array(F.collect_list(F.struct("track_id", "team_id", "x", "y")))
+    frames = v.box.groupBy("seq", "frame_id").agg(boxes.alias("boxes"))
+    return O.replayed(frames, "frame_id", lambda s: S.window_keepers(s, W, H, every=8, length=48), settings=S.PROVIDER)

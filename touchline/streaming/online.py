@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from touchline.functions import exprs as X
-from touchline.kernels.boxes import overlaps
-from touchline.kernels.tracker import step
 from touchline.sources.scratch import scratch_path
 
+#: Replayed rows for each partition of state.
+STATE_ROWS = 4_000
 #: An hour without rows ends a track.
 IDLE_MS = 3_600_000
 
@@ -96,57 +96,6 @@ def online_sprints(moved: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame
     return keyed(moved, ["seq", "track_id"], own, "seq long, track_id long, first_frame long, n_frames long, distance_m double", "frame long, first long, n long, dist double", idle_ms, ended=ended)
 
 
-def online_tracks(stream: DataFrame, max_age: int = 30, min_hits: int = 3, least: float = 0.3, idle_ms: int | None = IDLE_MS) -> DataFrame:
-    """A track for each arriving box, with whether it is confirmed. State of a
-    sequence: its tracks not yet expired. stream: seq, frame_id, box_id, x, y, w, h."""
-
-    def own(key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        tracks, next_id = ([list(t) for t in state[1]], state[2]) if state else ([], 1)
-        out = []
-        for frame, boxes in rows.sort_values(["frame_id", "box_id"]).groupby("frame_id", sort=True):
-            tracks, next_id, got = step(tracks, next_id, int(frame), boxes[["x", "y", "w", "h"]].to_numpy(float), max_age, min_hits, least)
-            out += [(key[0], int(frame), int(b), t, c) for b, (t, c) in zip(boxes["box_id"], got, strict=True)]
-        found = pd.DataFrame(out, columns=["seq", "frame_id", "box_id", "track", "confirmed"])
-        return found, (int(rows["frame_id"].iloc[-1]), [list(map(float, t)) for t in tracks], next_id)
-
-    return keyed(stream, ["seq"], own, "seq long, frame_id long, box_id long, track long, confirmed boolean", "frame long, tracks array<array<double>>, next long", idle_ms)
-
-
-def online_lifecycle(stream: DataFrame, ttl: int = 5, least: float = 0.4, idle_ms: int | None = IDLE_MS) -> DataFrame:
-    """The life of each track as its boxes arrive: "new", "seen" (in the frame
-    before of its own), "back" after at most `ttl` frames away, and for a new
-    name the track it takes over: that of the best overlapping box, by at least
-    `least`, of those last seen within `ttl` frames and absent from this frame;
-    detections choose in order of their scores. A track away for longer expires
-    and is new when it returns. State of a sequence: the last boxes of tracks
-    not expired. stream: seq, frame_id, track_id, score, x, y, w, h."""
-
-    def own(key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        memory = {int(t): (int(f), np.array(b)) for t, f, *b in (state[1] if state else [])}
-        out = []
-        for frame, boxes in rows.sort_values(["frame_id", "score", "track_id"], ascending=[True, False, True]).groupby("frame_id", sort=True):
-            memory = {t: v for t, v in memory.items() if frame - v[0] <= ttl}
-            here = set(boxes["track_id"].tolist())
-            free = {t: v[1] for t, v in memory.items() if t not in here}
-            fresh = {}
-            for track, box in zip(boxes["track_id"].tolist(), boxes[["x", "y", "w", "h"]].to_numpy(float), strict=True):
-                took = None
-                if track not in memory and free:
-                    names = list(free)
-                    iou = overlaps(box[None], np.stack([free[t] for t in names]))[0]
-                    if iou.max() >= least:
-                        took = names[int(iou.argmax())]
-                        free.pop(took)
-                event = "new" if track not in memory else "seen" if memory[track][0] == frame - 1 else "back"
-                out.append((key[0], int(frame), track, event, took))
-                fresh[track] = (int(frame), box)
-            memory |= fresh
-        found = pd.DataFrame(out, columns=["seq", "frame_id", "track_id", "event", "took_over"]).astype({"took_over": "Int64"})
-        return found, (int(rows["frame_id"].iloc[-1]), [[float(t), float(f), *map(float, b)] for t, (f, b) in memory.items()])
-
-    return keyed(stream, ["seq"], own, "seq long, frame_id long, track_id long, event string, took_over long", "frame long, memory array<array<double>>", idle_ms)
-
-
 def online_mode(stream: DataFrame, history: int = 5, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """The most frequent of a track's last `history` values, ties to the most
     recent. State of a track: those values. stream: seq, track_id, frame_id, value."""
@@ -190,9 +139,12 @@ def online_hysteresis(stream: DataFrame, confirm: int = 2, idle_ms: int | None =
 
 def telemetry(stream: DataFrame) -> DataFrame:
     """State of each experiment: events so far, last epoch with its metric,
-    status. stream: experiment, event, epoch, metric. Built-in aggregates only,
-    so it is incremental and its state is one row for each experiment."""
-    status = F.when(F.max(F.when(F.col("event") == "error", 1)) == 1, "failed").when(F.max(F.when(F.col("event") == "train_end", 1)) == 1, "done").otherwise("running")
+    status: that of the last start, end or error since its first start.
+    stream: experiment, event, epoch, metric. Built-in aggregates only, so it is
+    incremental and its state is one row for each experiment."""
+    kind, started = F.col("event"), F.max(F.when(F.col("event") == "train_start", F.col("epoch"))).isNotNull()
+    after = F.when(kind == "train_start", "training").when(kind == "train_end", "complete").when(kind == "error", "error")
+    status = F.when(started, F.max_by(after, F.when(after.isNotNull(), F.col("epoch")))).otherwise("unknown")
     return stream.groupBy("experiment").agg(F.count("*").alias("n_events"), F.max("epoch").alias("last_epoch"), F.max_by("metric", "epoch").alias("last_metric"), F.max("metric").alias("best_metric"), status.alias("status"))
 
 
@@ -239,18 +191,22 @@ def hourly(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", delay).groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("hour"), "n")
 
 
-def replayed(rows: DataFrame, order: str, build: Callable[[DataFrame], DataFrame], mode: str = "append", parts: int = 3) -> DataFrame:
+def replayed(rows: DataFrame, order: str, build: Callable[[DataFrame], DataFrame], mode: str = "append", parts: int = 3, settings: dict[str, str] | None = None) -> DataFrame:
     """What the stream that `build` makes gives for the rows, arriving in
     `parts` batches in order of a column, as a table.
 
     Each part is written by as many tasks as it has, then the query runs on
     from its checkpoint until it has read it. Batches are written by their
     number, so one that is run again replaces itself; in complete mode the last
-    batch is the result. An empty table gives an empty one.
+    batch is the result. An empty table gives an empty one. `settings` hold
+    while the query runs. State has as many partitions as the rows ask for, at
+    most those of the session.
     """
     spark: SparkSession = rows.sparkSession
     source, path, check = (scratch_path(spark, name) for name in ("stream", "drained", "progress"))
-    low, high = rows.agg(F.min(order).cast("double"), F.max(order).cast("double")).first()
+    low, high, n = rows.agg(F.min(order).cast("double"), F.max(order).cast("double"), F.count("*")).first()
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // STATE_ROWS) or 1)
+    settings = {"spark.sql.shuffle.partitions": str(partitions), **(settings or {})}
     size = ((high or 0) - (low or 0)) / parts or 1.0
     cut = F.least(F.floor((F.col(order).cast("double") - (low or 0)) / size), F.lit(parts - 1))
     rows.limit(0).write.parquet(source)
@@ -261,9 +217,16 @@ def replayed(rows: DataFrame, order: str, build: Callable[[DataFrame], DataFrame
         batch.write.mode("overwrite").parquet(f"{path}/batch={number:06d}")
         done.append(number)
 
-    for i in range(parts if low is not None else 0):
-        rows.where(cut == i).write.mode("append").parquet(source)
-        out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, value in settings.items():
+        spark.conf.set(k, value)
+    try:
+        for i in range(parts if low is not None else 0):
+            rows.where(cut == i).write.mode("append").parquet(source)
+            out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
     if not done:
         return spark.createDataFrame([], out.schema)
     fields = out.schema
