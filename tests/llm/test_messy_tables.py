@@ -742,7 +742,9 @@ def test_toxicity_against_brute_force(spark, docs):
     model = toxicity.fit(bodies, toxic)
     full = np.zeros(toxicity.BUCKETS)
     full[model.at] = model.values
-    want = Counter((r[0], round(document(r[1] or "", full, model.bias), 9)) for r in documents())
+    shift = math.exp(toxicity.calibration(bodies, toxic, 0.7))
+    moved = lambda p: p * shift / (p * shift + 1 - p)
+    want = Counter((r[0], round(moved(document(r[1] or "", full, model.bias)), 9)) for r in documents())
     assert Counter((r.doc_id, round(r.score, 9)) for r in toxicity.score(docs, known, most_bytes=1 << 20).collect()) == want
 
 
@@ -755,12 +757,32 @@ def test_toxicity_learns_from_long_documents_and_stably(spark):
     assert len(bodies) == 40 and sum(toxic) == 20 and sum(len(b) > 20_000 for b in bodies) == 20
     again = toxicity.training_sample(table.repartition(7), known, 3_000, 64 << 20, 5)
     assert bodies == again[0] and "another text." in bodies and "" in bodies
-    few, _ = toxicity.training_sample(table, known, 3_000, 200_000, 5)
-    assert sum(len(b) for b in few if len(b) > 20_000) <= 200_000 and len(few) < 40
+    for bound in (20_000, 200_000):  # long texts come last, as far as the bound and one more
+        few, marks = toxicity.training_sample(table, known, 3_000, bound, 5)
+        own = sorted(len(b) for b, t in zip(few, marks, strict=True) if t)
+        assert 1 <= len(own) < 20 and sum(own[:-1]) < bound and sum(marks == 0) == 20
     got = {r.doc_id: r.predicted for r in toxicity.score(table.where("doc_id > 5"), known).collect()}
     assert got == {i: int(i % 2 == 0) for i in range(6, 40)}
 
 
+def test_sentence_ends():
+    found = {w: toxicity.ends(w) for w in ('end."', "end!)", "so…»", '"', ")", "word", "a.b", ".")}
+    assert [w for w, e in found.items() if e] == ['end."', "end!)", "so…»", "."]
+
+
+def test_clean_long_texts_stay_clean(spark):
+    """Noisy-or over thousands of sentences; the model learns from short texts and few long ones."""
+    rng = random.Random(21)
+    words = [f"word{i}" for i in range(300)]
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(9)) + "."
+    text = lambda n: " ".join(sentence() for _ in range(n))
+    rows = [(i, text(rng.choice([5, 20, 60])) + (" you utter scoundrel, vile words." if i % 2 else "")) for i in range(200)]
+    rows += [(i, text(1_500)) for i in range(200, 240)] + [(i, text(1_500) + " vile scoundrel. " + text(100)) for i in range(240, 250)]
+    known = spark.createDataFrame([(i, i % 2 if i < 200 else 0) for i in range(220)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), known).where("doc_id >= 220").collect()}
+    assert sum(got[i] for i in range(220, 240)) <= 1 and sum(got[i] for i in range(240, 250)) >= 9
+
+
 CLASHES = "doc_id long, text string, lang string, source string, n_chars long, _copy int, _times string, _score int, _key string, n_words int, n_removed string, removed int, kept_text string, kept_sha256 int, _part int, component_id int, fp int, _gone string, _rate int, size string, taken int"
 
 

@@ -14,16 +14,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from touchline.llm.common import BLANKS, attached, running_start, written
+from touchline.llm.common import WORD, attached, running_start, written
 
 #: Weights of sources in order, repeating.
 WEIGHTS = (5, 2, 1)
+#: Rows up to which a running sum is one window; more are summed in ranges.
+PLAIN = 100_000
+
+
+def sums_before(rows: DataFrame, order: list[Column], value: str, name: str, many: bool) -> DataFrame:
+    """rows with `start`, the sum of `value` over all rows before it."""
+    if many:
+        return running_start(rows, order, value, name).drop("part")
+    return rows.withColumn("start", F.coalesce(F.sum(value).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
 
 
 def n_words(text: Column) -> Column:
     """The number of runs of characters that aren't ASCII blanks; null: 0."""
-    trimmed = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), rf"^{BLANKS}|{BLANKS}$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, BLANKS))).cast("long")
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def seeded(seed: str, *columns: str) -> Column:
@@ -41,21 +49,20 @@ def targets(sources: DataFrame, share: float, most: int, weights: tuple[int, ...
     their limit are those with the smallest limit / weight, so the level needs
     sums over the sources in that order and no rounds of resharing.
     """
-    everything = Window.partitionBy()  # a row for each source
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.get(F.array(*[F.lit(w) for w in weights]), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))).cast("int"))
-    rows = sources.withColumn("weight", weight.cast("long")).withColumn("limit", F.col("source_size") * most)
-    by_limit = Window.orderBy((F.col("limit") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = by_limit.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("total", F.sum("source_size").over(everything) * F.lit(float(share)))
-    rows = rows.withColumn("used", F.coalesce(F.sum("limit").over(before), F.lit(0))).withColumn("weights", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    many = sources.count() > PLAIN
+    ranked = sums_before(sources.withColumn("_one", F.lit(1)), [F.col("source").asc_nulls_last()], "_one", "ranks", many)
+    weight = F.get(F.array(*[F.lit(w) for w in weights]), F.pmod(F.col("start"), F.lit(len(weights))).cast("int"))
+    rows = ranked.select("source", "source_size", weight.cast("long").alias("weight"), (F.col("source_size") * most).alias("limit"))
+    at = F.col("limit") / F.col("weight")
+    by_limit = [at.asc(), F.col("source").asc_nulls_last()]
+    used = sums_before(rows, by_limit, "limit", "used", many).withColumnRenamed("start", "used")
+    both = sums_before(used, by_limit, "weight", "weights", many)
+    all_ = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    total, left = F.lit(all_["size"] * float(share)), F.lit(all_["weight"]) - F.col("start")
     # the first source in the order whose limit isn't reached sets the level
-    free = F.col("weight") * (F.col("total") - F.col("used")) / F.col("weights") <= F.col("limit")
-    first = F.min(F.when(free, F.struct((F.col("limit") / F.col("weight")).alias("at"), F.col("total").alias("total"), F.col("used").alias("used"), F.col("weights").alias("weights")))).over(everything)
-    rows = rows.withColumn("level", first)
-    wanted = F.col("weight") * (F.col("level.total") - F.col("level.used")) / F.col("level.weights")
-    target = F.when(F.col("level").isNull(), F.col("limit").cast("double")).otherwise(F.least(wanted, F.col("limit").cast("double")))
-    return rows.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
+    level = both.where(F.col("weight") * (total - F.col("used")) / left <= F.col("limit")).agg(F.min(F.struct(at.alias("at"), F.col("used").alias("used"), left.alias("weights"))).alias("l")).first()["l"]
+    wanted = F.col("weight") * (total - F.lit(level["used"])) / F.lit(level["weights"]) if level else F.col("limit").cast("double")
+    return rows.select("source", "source_size", F.coalesce(F.least(wanted, F.col("limit").cast("double")), F.lit(0.0)).alias("target"))
 
 
 def apportioned(parties: DataFrame, within: list[str], tie: list[str], votes: str, seats: str, limit: str) -> DataFrame:
@@ -79,7 +86,8 @@ def apportioned(parties: DataFrame, within: list[str], tie: list[str], votes: st
     seat = F.explode_outer(F.when(F.col(votes) > 0, F.sequence(F.col("_sure") + 1, F.least(F.col("_sure") + some, F.greatest(F.col(limit), F.col("_sure") + 1)))))
     asked = rows.select(*keys, votes, limit, seat.alias("_seat"))
     asked = asked.where(F.col("_seat") <= F.col(limit)).select(*keys, (F.col(votes) / (2 * F.col("_seat") - 1)).alias("_q"), F.lit(1).alias("_one"))
-    ranked = running_start(asked, [*[F.col(c).asc_nulls_first() for c in within], F.desc("_q"), *[F.col(c).asc_nulls_last() for c in tie]], "_one", "quotients")
+    order = [*[F.col(c).asc_nulls_first() for c in within], F.desc("_q"), *[F.col(c).asc_nulls_last() for c in tie]]
+    ranked = sums_before(asked, order, "_one", "quotients", asked.count() > PLAIN)
     first = ranked.groupBy(*within).agg(F.min("start").alias("_first"))
     open_ = rows.groupBy(*within).agg((F.first(seats) - F.sum("_sure")).cast("long").alias("_open"))
     last = attached(open_, first, within)
@@ -114,7 +122,6 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, block: int = 256, sh
     small = F.broadcast(plan) if plan.count() <= 100_000 else plan
     own = rows.withColumn("_h", seeded(seed, "doc_id", "size"))
     dealt = own.join(small, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", "_h", "source_size", "target", "source_quota", F.pmod(F.col("_h"), F.col("shards")).cast("int").alias("shard"))
-    dealt = written(dealt, "dealt")
     cells = dealt.groupBy("source", "shard").agg(F.sum("size").cast("long").alias("cell_size"), F.first("source_quota").alias("source_quota"))
     cells = cells.withColumn("votes", F.col("cell_size").cast("double")).withColumn("limit", F.ceil(F.col("cell_size") * most / block).cast("long"))
     quotas = written(apportioned(cells, ["source"], ["shard"], "votes", "source_quota", "limit"), "quotas")

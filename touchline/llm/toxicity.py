@@ -37,7 +37,8 @@ def features(word: str) -> tuple[int, ...]:
 
 def ends(word: str) -> bool:
     """Whether a sentence ends with this word."""
-    return word.rstrip("\"')]»”")[-1:] in ".!?…"
+    last = word.rstrip("\"')]»”")[-1:]
+    return last != "" and last in ".!?…"
 
 
 class Weights(dict):
@@ -67,14 +68,17 @@ def sentence_logits(words: list[str], weights: Weights, bias: float) -> tuple[np
     return np.add.reduceat(own, starts) + bias, starts.astype(np.int64)
 
 
-def noisy_or(logits: np.ndarray) -> float:
-    return float(-np.expm1(-np.logaddexp(0, logits).sum()))
+def noisy_or(logits: np.ndarray, shift: float = 0.0) -> float:
+    """1 - prod(1 - p), its log-odds moved by `shift`."""
+    total = float(np.logaddexp(0, logits).sum())  # minus the log probability that no sentence offends
+    odds = (np.log(np.expm1(total)) if total < 30 else total) + shift if total > 0 else -np.inf
+    return float(0.5 * (1 + np.tanh(odds / 2)))
 
 
 class Model:
-    def __init__(self, w: np.ndarray, bias: float):
+    def __init__(self, w: np.ndarray, bias: float, shift: float = 0.0):
         at = np.flatnonzero(w)
-        self.at, self.values, self.bias = at, w[at], bias
+        self.at, self.values, self.bias, self.shift = at, w[at], bias, shift
 
     def weights(self) -> Weights:
         w = np.zeros(BUCKETS)
@@ -160,37 +164,65 @@ def fit(bodies: list[str], toxic: np.ndarray, rounds: int = 100, rate: float = 0
     return Model(w, bias)
 
 
+def calibration(bodies: list[str], toxic: np.ndarray, threshold: float, clean_share: float = 0.985) -> float:
+    """The shift of log-odds that puts `threshold` where a model learnt from
+    other documents leaves `clean_share` of the clean ones below it (two folds
+    of the sample), but never above that: scores of whole texts grow with their
+    sentences, and this sees clean texts of all lengths that it didn't learn
+    from. None of either label: no shift."""
+    y, fold = toxic.astype(bool), np.arange(len(toxic)) % 2
+    if min(y.sum(), (~y).sum()) < 4:
+        return 0.0
+    odds = []
+    for k in (0, 1):
+        model = fit([b for b, f in zip(bodies, fold, strict=True) if f != k], toxic[fold != k])
+        weights = model.weights()
+        for i in np.flatnonzero((fold == k) & ~y):
+            p = noisy_or(sentence_logits(bodies[i].split(), weights, model.bias)[0])
+            odds.append(np.log(max(p, 1e-12) / max(1 - p, 1e-12)))
+    at, least = float(np.quantile(odds, clean_share)), np.log(0.1 / 0.9)
+    asked = np.log(threshold / (1 - threshold))
+    return float(asked - min(max(at, least), asked))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, each: int, most_bytes: int, seed: int) -> tuple[list[str], np.ndarray]:
     """At most `each` documents of either label, in order of a hash of doc_id,
-    as far as `most_bytes` of text go. Of rows of one doc_id the smallest text
-    is taken, so that reruns agree; null texts count as empty."""
+    until `most_bytes` of text are reached; those of over a 64th of that come
+    after all others, so a long text never keeps shorter ones out, and a label
+    has one document at least. Of rows of one doc_id the smallest text is
+    taken, so that reruns agree; null texts count as empty."""
     marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(seed))
     drawn = [marked.where(F.col("toxic") == v).orderBy(order, "doc_id").limit(each) for v in (0, 1)]
     # at most 2 * each ids
     found = texts(docs).join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
     rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(order, "doc_id"))
-    kept = rows.withColumn("_bytes", so_far).where(F.col("_bytes") <= most_bytes).orderBy("doc_id").select("text", "toxic").collect()
+    size = F.octet_length("text").cast("long")
+    before = Window.partitionBy("toxic").orderBy(size > most_bytes // 64, order, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    sized = rows.withColumn("_bytes", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    kept = sized.where(F.col("_bytes") < most_bytes).orderBy("doc_id").select("text", "toxic").collect()
     return [r["text"] for r in kept], np.array([r["toxic"] for r in kept], np.int64)
 
 
 def score(docs: DataFrame, labels: DataFrame, each: int = 3_000, most_bytes: int = 64 << 20, threshold: float = 0.7, seed: int = 5) -> DataFrame:
     """doc_id, score, predicted, offending for each row of docs.
 
-    score is the noisy-or over all sentences of the whole text; predicted is 1
-    from `threshold` on. offending lists the sentences whose own probability is
+    score is the noisy-or over all sentences of the whole text, calibrated so
+    that about 1.5 % of clean documents at most reach `threshold`; predicted is
+    1 from there on. offending lists the sentences whose own probability is
     at least a half, as (begin, end) word numbers with their probability.
     `labels` (doc_id, toxic) are the rows to learn from; the caller leaves out
     held-out ones. At most `each` documents of either label are used, in order
-    of a hash, as far as `most_bytes` of text of that label go, so training is
-    bounded; lengths alone leave nothing out. Null texts count as empty and,
+    of a hash, until `most_bytes` of text of that label are reached (the last
+    document may pass it), so training is bounded. Null texts count as empty and,
     like empty and very long ones, are scored whole; without toxic labels every
     score is about 0. Scores use the text alone: repeated rows have equal
     scores. An empty table gives no rows. Further columns are ignored.
     """
     spark = prepare(docs.sparkSession)
-    model = fit(*training_sample(docs, labels, each, most_bytes, seed))
+    sample = training_sample(docs, labels, each, most_bytes, seed)
+    model = fit(*sample)
+    model.shift = calibration(*sample, threshold)
     shared = spark.sparkContext.broadcast(model)
     schema = "doc_id long, score double, predicted int, offending array<struct<begin:int,end:int,probability:double>>"
 
@@ -201,7 +233,7 @@ def score(docs: DataFrame, labels: DataFrame, each: int = 3_000, most_bytes: int
             for text in batch.column(1):
                 words = text.as_py().split()
                 z, starts = sentence_logits(words, weights, shared.value.bias)
-                scores.append(noisy_or(z))
+                scores.append(noisy_or(z, shared.value.shift))
                 at = np.flatnonzero(z >= 0).tolist()
                 bounds = [*starts.tolist(), len(words)]
                 found.append([{"begin": bounds[i], "end": bounds[i + 1], "probability": float(1 / (1 + np.exp(-z[i])))} for i in at])
