@@ -27,7 +27,7 @@ from touchline.llm.common import prepare, written
 
 #: Buckets of words and of shape pairs.
 WORDS, PAIRS = 1 << 13, 1 << 12
-MEMO = 1_000_000
+MEMO = 300_000
 #: Bytes to their kind: letters of either case, digits, others themselves.
 #: Bytes beyond ASCII are parts of letters.
 _KIND = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
