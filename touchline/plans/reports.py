@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from touchline.operators import identity as I
 from touchline.operators import reports as P
+from touchline.operators import sweeps as Q
 from touchline.operators import teams as T
 from touchline.plans.registry import query
 
@@ -37,6 +38,26 @@ def _(v):
     return swept(v).withColumnRenamed("right", "good")
 
 
+#: Every setting on its own: frames tempered, gated, ranked and fused anew.
+FUSED = """te AS (SELECT track_id, frame_id, quality, quality * legibility AS w, legibility, t, list_transform(probs, lambda x: x ^ (1 / t)) AS q FROM v_post CROSS JOIN (VALUES (1.0::DOUBLE), (1.5), (2.0), (3.0)) x(t)),
+lg AS (SELECT *, count(*) FILTER (legibility >= l) OVER (PARTITION BY track_id, t, l) AS c FROM te CROSS JOIN (VALUES (0.4::DOUBLE), (0.5), (0.6), (0.7), (0.8)) y(l)),
+ac AS (SELECT *, row_number() OVER (PARTITION BY track_id, t, l ORDER BY quality DESC, frame_id) <= greatest(2, ceil(count(*) OVER (PARTITION BY track_id, t, l) * 0.5)) AS top FROM lg WHERE c < 4 OR legibility >= l),
+fl AS (SELECT track_id, t, l, w, top, unnest(list_transform(q, lambda x: x / list_sum(q))) AS p, unnest(range(1, len(q) + 1)) AS n FROM ac),
+sm AS (SELECT track_id, t, l, n, CASE WHEN sum(w) > 1e-8 THEN sum(w * p) / sum(w) ELSE avg(p) END AS ar, CASE WHEN sum(w) > 1e-8 THEN sum(w * ln(p + 1e-10)) / sum(w) ELSE avg(ln(p + 1e-10)) END AS ge,
+  CASE WHEN sum(w) FILTER (top) > 1e-8 THEN sum(w * ln(p + 1e-10)) FILTER (top) / sum(w) FILTER (top) ELSE avg(ln(p + 1e-10)) FILTER (top) END AS tk FROM fl GROUP BY ALL),
+md AS (SELECT track_id, t, l, n, 'arithmetic' AS mode, ar AS e FROM sm UNION ALL SELECT track_id, t, l, n, 'geometric', exp(ge) FROM sm UNION ALL SELECT track_id, t, l, n, 'topk_geometric', exp(tk) FROM sm),
+pr AS (SELECT *, e / sum(e) OVER (PARTITION BY track_id, t, l, mode) AS p, row_number() OVER (PARTITION BY track_id, t, l, mode ORDER BY e DESC, n) AS r FROM md),
+tr AS (SELECT track_id, arg_min(list_position(probs, list_max(probs)), frame_id) AS truth FROM v_post GROUP BY track_id),
+ra AS (SELECT mode, t, l, track_id, max(n) FILTER (r = 1) = any_value(truth) AS good, bool_or(r <= 3 AND n = truth) AS three, max(p) FILTER (r = 1) AS p1, max(p) FILTER (r = 1) - max(p) FILTER (r = 2) AS m FROM pr JOIN tr USING (track_id) GROUP BY ALL)"""
+
+
+@query("i18_fusion_sweep", f"WITH {FUSED} SELECT mode AS fusion_mode, t AS temperature, l AS legibility, a AS p1_threshold, 0.002::DOUBLE AS margin_threshold, count(*) AS n, count(*) FILTER (good) AS top1, count(*) FILTER (three) AS top3, count(*) FILTER (p1 >= a AND m >= 0.002) AS locked, count(*) FILTER (p1 >= a AND m >= 0.002 AND good) AS locked_right FROM ra CROSS JOIN (VALUES (0.02::DOUBLE), (0.025), (0.035)) z(a) GROUP BY ALL")
+def _(v):
+    """180 settings in one pass; the truth of a track is its first frame's number."""
+    truth = v.post.groupBy("seq", "track_id").agg(F.min_by(F.array_position("probs", F.array_max("probs")), "frame_id").alias("truth"))
+    return Q.fusion_sweep(v.post, truth, [1.0, 1.5, 2.0, 3.0], [0.4, 0.5, 0.6, 0.7, 0.8], [0.02, 0.025, 0.035], [0.002])
+
+
 @query("g4_sweep_rank", f"{SWEEP} SELECT p1_threshold, margin_threshold, CAST(row_number() OVER (ORDER BY false_locks / greatest(locked, 1)::DOUBLE, good / n::DOUBLE DESC, locked DESC, p1_threshold, margin_threshold) AS INT) AS rank FROM sw")
 def _(v):
     return I.ranked_sweep(swept(v)).select("p1_threshold", "margin_threshold", "rank")

@@ -201,17 +201,25 @@ def _(v):
     return v.spark.read.schema("seq BIGINT, n BIGINT, n_tracks BIGINT").json(path)
 
 
-@query("b3_row_for_each_sequence", "SELECT s.seq, r.n FROM (SELECT DISTINCT seq FROM v_num) s LEFT JOIN (SELECT seq, count(*) AS n FROM v_num WHERE seq % 4 <> 3 GROUP BY seq) r USING (seq)")
+@query("b3_row_for_each_sequence", "WITH f AS (SELECT seq, frame_id, count(*) AS n FROM v_num WHERE event_type = 'signup' GROUP BY ALL) SELECT seq, CASE WHEN max(n) >= 10 THEN count(*) END AS frames, CASE WHEN max(n) >= 10 THEN min(frame_id) FILTER (n >= 10) END AS first_full, CASE WHEN max(n) < 10 THEN 'ValueError: no frame shows 10 players, at most ' || max(n) END AS error FROM f GROUP BY seq")
 def _(v):
-    """Appends the rows of sequences that ran, then names of those that failed."""
+    """Sequences are evaluated in groups; one that an evaluation can't take
+    leaves a row with its name and the error, appended after those that ran."""
+    from touchline.operators.sweeps import isolated
     from touchline.sources.scratch import scratch_path
 
-    path = scratch_path(v.spark, "rows")
-    done = v.num.where("seq % 4 <> 3").groupBy("seq").agg(F.count("*").alias("n"))
-    S.append_rows(done, path)
-    rows = S.every_sequence(v.num.select("seq").distinct(), v.spark.read.schema("seq BIGINT, n BIGINT").parquet(path))
-    S.append_rows(rows.where("n IS NULL"), path)
-    return v.spark.read.schema("seq BIGINT, n BIGINT").parquet(path)
+    def evaluated(pdf):
+        n = pdf.groupby("frame_id").size()
+        if n.max() < 10:
+            raise ValueError(f"no frame shows 10 players, at most {n.max()}")
+        return pdf[["seq"]].head(1).assign(frames=len(n), first_full=n.index[n >= 10].min())
+
+    path, kind = scratch_path(v.spark, "rows"), "seq BIGINT, frames BIGINT, first_full BIGINT"
+    rows = isolated(v.num.where("event_type = 'signup'").groupBy("seq"), evaluated, kind, "seq")
+    rows = S.cached(rows, scratch_path(v.spark, "evaluated"))
+    S.append_rows(rows.where("error IS NULL"), path)
+    S.append_rows(rows.where("error IS NOT NULL"), path)
+    return v.spark.read.schema(f"{kind}, error STRING").parquet(path)
 
 
 @query("b4_mot_export", "SELECT seq, frame_id, track_id, printf('%d,%d,%.2f,%.2f,%.2f,%.2f,1,-1,-1,-1', frame_id, track_id, x, y, w, h) AS line FROM v_gtbox")
