@@ -79,3 +79,71 @@ def ball_path(frames: list[dict], w1: float = 0.6, w2: float = 0.2, w3: float =
         path.append(row[at])
         at = link[at]
     return path[::-1]
+
+
+def best_total(gain: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
+    """The one-to-one pairs of most total gain, by trying all."""
+    import itertools
+
+    rows, columns = gain.shape
+    small = range(min(rows, columns))
+    options = (list(zip(r, c, strict=True)) for r in itertools.combinations(range(rows), len(small)) for c in itertools.permutations(range(columns), len(small)))
+    return max(((sum(gain[i, j] for i, j in o), o) for o in options), key=lambda x: x[0], default=(0.0, []))
+
+
+def overlap(a: dict, b: dict) -> float:
+    w = max(0.0, min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"]))
+    h = max(0.0, min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"]))
+    return w * h / (a["w"] * a["h"] + b["w"] * b["h"] - w * h)
+
+
+def hota(pred: dict, gt: dict, level: float) -> tuple[float, float, float]:
+    """(det_a, ass_a, hota) of one sequence at one threshold; pred, gt: frame -> track -> box."""
+    soft, n_p, n_g = {}, {}, {}
+    for f in set(pred) | set(gt):
+        p, g = pred.get(f, {}), gt.get(f, {})
+        for t in p:
+            n_p[t] = n_p.get(t, 0) + 1
+        for t in g:
+            n_g[t] = n_g.get(t, 0) + 1
+        o = {(a, b): overlap(p[a], g[b]) for a in p for b in g}
+        for (a, b), v in o.items():
+            total = sum(o[a, x] for x in g) + sum(o[x, b] for x in p) - v
+            if v > 0:
+                soft[a, b] = soft.get((a, b), 0.0) + v / total
+    aligned = {(a, b): s / (n_p[a] + n_g[b] - s) for (a, b), s in soft.items()}
+    counts: dict = {}
+    for f in set(pred) & set(gt):
+        p, g = list(pred[f]), list(gt[f])
+        gain = np.array([[overlap(pred[f][a], gt[f][b]) * aligned.get((a, b), 0.0) for b in g] for a in p])
+        for i, j in best_total(gain)[1]:
+            if overlap(pred[f][p[i]], gt[f][g[j]]) >= level - 1e-9:
+                counts[p[i], g[j]] = counts.get((p[i], g[j]), 0) + 1
+    tp = sum(counts.values())
+    det = tp / max(1, sum(n_p.values()) + sum(n_g.values()) - tp)
+    ass = sum(c * c / (n_p[a] + n_g[b] - c) for (a, b), c in counts.items()) / max(1, tp)
+    return det, ass, (det * ass) ** 0.5
+
+
+def detection_outcomes(boxes: list[dict], truths: list[dict], level: float, low: float, high: float) -> list[int]:
+    """Outcome (0 miss, 1 hit, 2 ignored) of each detection, best first, as the benchmark's loops find it."""
+    size = lambda b: b["w"] * b["h"]
+    ignored = [not low <= size(t) <= high for t in truths]
+    order = sorted(range(len(truths)), key=lambda k: ignored[k])
+    taken, out = set(), []
+    for b in boxes:
+        best, at = level, None
+        for k in order:
+            if k in taken:
+                continue
+            if at is not None and not ignored[at] and ignored[k]:
+                break
+            v = overlap(b, truths[k])
+            if v > best or (at is None and v >= best):
+                best, at = v, k
+        if at is None:
+            out.append(0 if low <= size(b) <= high else 2)
+        else:
+            taken.add(at)
+            out.append(2 if ignored[at] else 1)
+    return out

@@ -39,6 +39,15 @@ def pairs(pred: DataFrame, gt: DataFrame, least: float = 0.5, rule: str = "zero"
     return both.withColumn("iou", X.iou(X.box("p_"), X.box("g_"), rule)).where(F.col("iou") >= least)
 
 
+def best_candidates(pred: DataFrame, gt: DataFrame, least: float = 0.5) -> DataFrame:
+    """For each truth that some box overlaps by at least `least`, the box that
+    overlaps it most (ties: the smaller track), and how many others do: these
+    are false positives. A box may be the best of several truths."""
+    best = F.max_by(F.struct(F.col("p_track_id").alias("p_id"), "iou"), F.struct("iou", -F.col("p_track_id")))
+    found = pairs(pred, gt, least).groupBy(*FRAME, F.col("g_track_id").alias("g_id")).agg(best.alias("b"), (F.count("*") - 1).alias("extra"))
+    return found.select(*FRAME, "g_id", "b.p_id", "b.iou", "extra")
+
+
 def frame_counts(pred: DataFrame, gt: DataFrame) -> DataFrame:
     """Rows of either side in each frame of either side."""
     p = pred.groupBy(*FRAME).agg(F.count("*").alias("n_pred"))

@@ -33,6 +33,15 @@ def ball_report(status: DataFrame) -> DataFrame:
     return s.select("seq", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r + EPS)).alias("f1"), "rmse", "mae", (F.col("fp") / F.col("n")).alias("fppi"))
 
 
+def occlusion_recovery(rows: DataFrame, most: float = 20.0) -> DataFrame:
+    """Of each sequence's occlusions (runs of rows marked `occluded`) that end,
+    how many there are and the share whose first row after is at most `most`
+    off. rows: seq, frame_id, occluded, error."""
+    before = F.lag("occluded").over(Window.partitionBy("seq").orderBy("frame_id"))
+    ends = rows.withColumn("_ends", before & ~F.col("occluded")).where("_ends")
+    return ends.groupBy("seq").agg(F.count("*").alias("occlusions"), (F.count_if(F.col("error") <= most) / F.count("*")).alias("recovery"))
+
+
 def fragments(status: DataFrame) -> DataFrame:
     """Recoveries: hits whose last frame with ground truth before was missed."""
     w = Window.partitionBy("seq").orderBy("frame_id").rowsBetween(Window.unboundedPreceding, -1)

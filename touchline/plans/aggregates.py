@@ -296,9 +296,13 @@ def _(v):
     return E.curve_area(c, 50).select("seq", F.round("auc", 6).alias("auc"))
 
 
-@query("e35_occlusion_recovery", "SELECT seq, round(count(*) FILTER (WHERE value <= 20) / count(*)::DOUBLE, 6) AS recovery FROM v_num WHERE event_type = 'error' GROUP BY seq")
+@query("e35_occlusion_recovery", """WITH oc AS (SELECT track_id AS seq, frame_id, frame_id - row_number() OVER (PARTITION BY track_id ORDER BY frame_id) AS run FROM v_num WHERE event_type IN ('error', 'view')),
+sp AS (SELECT seq, run, max(frame_id) + 1 AS after FROM oc GROUP BY seq, run)
+SELECT sp.seq, count(*) AS occlusions, round(count(*) FILTER (value <= 20) / count(*)::DOUBLE, 6) AS recovery FROM sp JOIN v_num n ON n.track_id = sp.seq AND n.frame_id = sp.after GROUP BY sp.seq""")
 def _(v):
-    return v.num.where("event_type = 'error'").groupBy("seq").agg(F.round(F.count_if(F.col("value") <= 20) / F.count("*"), 6).alias("recovery"))
+    """Each track is a sequence; its ball is hidden in two kinds of frames."""
+    rows = v.num.select(F.col("track_id").alias("seq"), "frame_id", F.col("event_type").isin("error", "view").alias("occluded"), F.col("value").alias("error"))
+    return E.occlusion_recovery(rows).select("seq", "occlusions", F.round("recovery", 6).alias("recovery"))
 
 
 LAB = "lb AS (SELECT toxic AS label, (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS p FROM labels)"

@@ -100,10 +100,11 @@ def _(v):
     return both.select("seq", "track_id", F.when(F.col("b").isNull(), "extra").when(F.col("a").isNull(), "missing").otherwise("matched").alias("status"))
 
 
-@query("d10_allowed_sequences", "SELECT event_id FROM v_num WHERE seq IN (0, 2, 4)")
+@query("d10_allowed_sequences", "SELECT event_id FROM v_num WHERE (seq, track_id) IN (SELECT (seq, track_id) FROM v_num WHERE event_type = 'signup' GROUP BY seq, track_id HAVING count(*) >= 12)")
 def _(v):
-    allowed = v.spark.range(0, 5, 2).select(F.col("id").alias("seq"))
-    return v.num.join(F.broadcast(allowed), "seq", "left_semi").select("event_id")
+    """Rows of the tracks that a condition on all their rows allows."""
+    allowed = v.num.where("event_type = 'signup'").groupBy("seq", "track_id").agg(F.count("*").alias("n")).where("n >= 12")
+    return v.num.join(allowed, ["seq", "track_id"], "left_semi").select("event_id")
 
 
 @query("d11_first_player_at_ball", "SELECT b.event_id, min(p.track_id) AS holder FROM (SELECT event_id, seq, frame_id, x + w / 2 AS bx, y + h * 0.9 AS cy FROM v_box) b JOIN v_box p ON p.seq = b.seq AND p.frame_id = b.frame_id AND bx BETWEEN p.x AND p.x + p.w AND cy BETWEEN p.y + p.h * 0.7 AND p.y + p.h GROUP BY 1")
@@ -113,11 +114,17 @@ def _(v):
     return v.box.join(ball, M.FRAME).where(X.foot_zone(F.col("bx"), F.col("by"), X.box(), 0.3)).groupBy(F.col("ball").alias("event_id")).agg(F.min("track_id").alias("holder"))
 
 
-@query("d12_best_candidate", "SELECT seq, frame_id, g_id, max_by(p_id, iou) AS p_id, count(*) - 1 AS extra FROM (SELECT g.seq, g.frame_id, g.track_id AS g_id, p.track_id AS p_id, -abs(p.x - g.x) AS iou FROM v_gtbox g JOIN v_box p ON p.seq = g.seq AND p.frame_id = g.frame_id AND p.cls = g.cls) GROUP BY 1, 2, 3")
+#: Each box twice, the second up to five pixels aside.
+TWO = """cd AS (SELECT seq, frame_id, track_id, x, y, w, h FROM v_box UNION ALL SELECT seq, frame_id, track_id + 1000000, x + event_id % 11 - 5, y, w, h FROM v_box),
+ov AS (SELECT g.seq, g.frame_id, g.track_id AS g_id, p.track_id AS p_id, greatest(0, least(p.x + p.w, g.x + g.w) - greatest(p.x, g.x)) * greatest(0, least(p.y + p.h, g.y + g.h) - greatest(p.y, g.y)) AS i, p.w * p.h + g.w * g.h AS u FROM v_gtbox g JOIN cd p ON p.seq = g.seq AND p.frame_id = g.frame_id),
+io AS (SELECT *, i / (u - i) AS iou FROM ov WHERE i / (u - i) >= 0.5)"""
+
+
+@query("d12_best_candidate", f"WITH {TWO} SELECT seq, frame_id, g_id, arg_max(p_id, (iou, -p_id)) AS p_id, round(max(iou), 6) AS iou, count(*) - 1 AS extra FROM io GROUP BY seq, frame_id, g_id")
 def _(v):
-    g = v.gtbox.select("seq", "frame_id", "cls", F.col("track_id").alias("g_id"), F.col("x").alias("gx"))
-    both = v.box.join(g, ["seq", "frame_id", "cls"])
-    return both.groupBy("seq", "frame_id", "g_id").agg(F.max_by("track_id", -F.abs(F.col("x") - F.col("gx"))).alias("p_id"), (F.count("*") - 1).alias("extra"))
+    aside = v.box.withColumn("track_id", F.col("track_id") + 1_000_000).withColumn("x", F.col("x") + F.col("event_id") % 11 - 5)
+    best = M.best_candidates(v.box.unionByName(aside), v.gtbox)
+    return best.select("seq", "frame_id", "g_id", "p_id", F.round("iou", 6).alias("iou"), "extra")
 
 
 @query("d13_frame_outcomes", "SELECT coalesce(p.seq, g.seq) AS seq, coalesce(p.frame_id, g.frame_id) AS frame_id, CASE WHEN p.seq IS NULL THEN 'fn' WHEN g.seq IS NULL THEN 'fp' ELSE 'tp' END AS outcome FROM (SELECT * FROM v_ball WHERE event_type <> 'error') p FULL JOIN (SELECT * FROM v_ball WHERE event_type <> 'view') g ON p.seq = g.seq AND p.frame_id = g.frame_id")
@@ -135,9 +142,9 @@ def _(v):
     return j.select("frame_id", F.col("score").isNotNull().alias("kept_in_training"), F.round(F.coalesce("score", F.lit(1.0)), 6).alias("at_evaluation"))
 
 
-@query("d15_frame_label_preferred", "SELECT b.event_id, CASE WHEN b.seq < 4 THEN f.label ELSE t.label END AS label FROM v_box b LEFT JOIN (SELECT seq, frame_id, track_id, event_id % 99 AS label FROM v_box WHERE seq < 4 AND event_id % 2 = 0) f USING (seq, frame_id, track_id) LEFT JOIN (SELECT seq, track_id, max(track_id % 99) AS label FROM v_box GROUP BY 1, 2) t ON t.seq = b.seq AND t.track_id = b.track_id")
+@query("d15_frame_label_preferred", "SELECT b.event_id, CASE WHEN b.seq % 2 = 0 THEN f.label ELSE t.label END AS label FROM v_box b LEFT JOIN (SELECT seq, frame_id, track_id, event_id % 99 AS label FROM v_box WHERE seq % 2 = 0 AND event_id % 2 = 0) f USING (seq, frame_id, track_id) LEFT JOIN (SELECT seq, track_id, max(track_id % 99) AS label FROM v_box GROUP BY 1, 2) t ON t.seq = b.seq AND t.track_id = b.track_id")
 def _(v):
-    f = v.box.where("seq < 4 AND event_id % 2 = 0").select("seq", "frame_id", "track_id", (F.col("event_id") % 99).alias("fl"))
+    f = v.box.where("seq % 2 = 0 AND event_id % 2 = 0").select("seq", "frame_id", "track_id", (F.col("event_id") % 99).alias("fl"))
     t = v.box.groupBy("seq", "track_id").agg(F.max(F.col("track_id") % 99).alias("tl"))
     has = f.select("seq").distinct().withColumn("has", F.lit(True))
     j = v.box.join(f, ["seq", "frame_id", "track_id"], "left").join(t, ["seq", "track_id"], "left").join(has, "seq", "left")

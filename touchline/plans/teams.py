@@ -186,12 +186,12 @@ hd AS (SELECT seq, side, wend, n, proposed, NULL::BIGINT AS now, proposed AS pen
     CASE WHEN r.proposed IS NOT DISTINCT FROM now OR (r.proposed IS NOT DISTINCT FROM pending AND times >= 1) THEN NULL ELSE r.proposed END,
     CASE WHEN r.proposed IS NOT DISTINCT FROM now OR (r.proposed IS NOT DISTINCT FROM pending AND times >= 1) THEN 0 ELSE 1 END
   FROM hd JOIN rn r ON r.seq = hd.seq AND r.side = hd.side AND r.n = hd.n + 1)"""
-PROPOSED = "pp AS (SELECT CAST(floor(user_id / 22) AS BIGINT) AS seq, 'left' AS side, event_id AS wend, CASE WHEN event_id % 9 < 8 THEN CAST(event_id % 100 // 50 + event_id % 3 // 2 AS BIGINT) END AS proposed FROM events WHERE event_id % 10 = 0)"
+PROPOSED = "pp AS (SELECT CAST(floor(user_id / 22) AS BIGINT) AS seq, 'left' AS side, event_id AS wend, CASE WHEN event_id % 9 < 8 THEN CAST(event_id % 100 // 50 + event_id % 3 // 2 AS BIGINT) END AS proposed FROM events)"
 
 
 def proposals(v):
     p = F.when(F.col("event_id") % 9 < 8, F.floor(F.col("event_id") % 100 / 50) + F.floor(F.col("event_id") % 3 / 2)).cast("long")
-    return v.table("events").where("event_id % 10 = 0").select(F.floor(F.col("user_id") / 22).cast("long").alias("seq"), F.lit("left").alias("side"), F.col("event_id").alias("end"), p.alias("proposed"))
+    return v.table("events").select(F.floor(F.col("user_id") / 22).cast("long").alias("seq"), F.lit("left").alias("side"), F.col("event_id").alias("end"), p.alias("proposed"))
 
 
 @query("f10_hysteresis", f"WITH RECURSIVE {PROPOSED}, {HOLD} SELECT seq, wend AS \"end\", now AS keeper FROM hd")

@@ -162,11 +162,13 @@ def path_parameters(text: str | None = None) -> dict[str, float]:
     return PATH_PARAMETERS | {k: v for k, v in given.items() if k in PATH_PARAMETERS}
 
 
-def tracklet_folders(spark: SparkSession, path: str, least: int) -> DataFrame:
+def tracklet_folders(spark: SparkSession, path: str, least: int, numbers: DataFrame | None = None, sequences: Column | None = None) -> DataFrame:
     """seq, track_id, n_frames of the folders seq=/track_id= below path, whose
-    files hold a frame in each line; folders of fewer than `least` go. Files
-    are listed and counted where they are."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    part = lambda name: F.regexp_extract("path", rf"/{name}=(\d+)", 1).cast("bigint").alias(name)
-    lines = F.length(F.col("content").cast("string")) - F.length(F.replace(F.col("content").cast("string"), F.lit("\n"), F.lit("")))
-    return files.groupBy(part("seq"), part("track_id")).agg(F.sum(lines).cast("bigint").alias("n_frames")).where(F.col("n_frames") >= least)
+    files hold a frame in each line; folders of fewer than `least` go, and so do
+    tracks that `numbers` (seq, track_id, number) marks as not visible, by -1.
+    seq and track_id are partition columns: `sequences`, a condition on them,
+    keeps other folders from being opened, and lines are counted unread."""
+    rows = spark.read.schema("value string, seq bigint, track_id bigint").option("basePath", path).text(path)
+    rows = rows if sequences is None else rows.where(sequences)
+    found = rows.groupBy("seq", "track_id").agg(F.count("*").alias("n_frames")).where(F.col("n_frames") >= least)
+    return found if numbers is None else found.join(numbers.where("number = -1"), ["seq", "track_id"], "left_anti")

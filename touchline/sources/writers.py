@@ -29,11 +29,6 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def every_sequence(names: DataFrame, results: DataFrame) -> DataFrame:
-    """A row for each listed sequence; one that failed has its name only."""
-    return names.join(results, "seq", "left")
-
-
 def mot_lines(rows: DataFrame) -> DataFrame:
     """MOTChallenge lines with two decimals, in frame and track order."""
     n = lambda c: F.printf(F.lit("%.2f"), F.col(c).cast("double"))

@@ -25,8 +25,9 @@ PROVIDER = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sq
 
 
 def timed(stream: DataFrame, delay: int, column: str = "frame_id") -> DataFrame:
-    """stream with `ts`, the event time of a frame, and its watermark."""
-    return stream.withColumn("ts", F.timestamp_seconds(F.col(column))).withWatermark("ts", f"{delay} seconds")
+    """stream with `ts`, the event time of a frame, and its watermark. Frame 0
+    is at second 1, as a watermark begins at 0 and what isn't after it is late."""
+    return stream.withColumn("ts", F.timestamp_seconds(F.col(column) + 1)).withWatermark("ts", f"{delay} seconds")
 
 
 class Frames(StatefulProcessor):
@@ -50,12 +51,12 @@ class Frames(StatefulProcessor):
                 frame = int(frame)
                 held = self.open.getValue((frame,))[0] if self.open.containsKey((frame,)) else b""
                 self.open.updateValue((frame,), (held + own[list(self.columns)].to_numpy(float).tobytes(),))
-                self.handle.registerTimer(frame * 1000)
-                self.handle.registerTimer((frame + self.ttl + 1) * 1000)
+                self.handle.registerTimer((frame + 1) * 1000)
+                self.handle.registerTimer((frame + self.ttl + 2) * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        frame = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        frame = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
         memory = {t[0]: list(c[0]) for t, c in self.tracks.iterator()}
         out = []
         for track in sorted(t for t, c in memory.items() if frame - c[0] > self.ttl):
@@ -249,7 +250,7 @@ def window_keepers(frames: DataFrame, width: float, height: float, every: int =
     voters = F.transform("boxes", lambda b: F.struct(b["track_id"].alias("track_id"), b["x"].alias("x"), b["y"].alias("y"), near(b).alias("near")))
     rows = timed(frames, delay).select("seq", "ts", F.explode(voters).alias("b")).select("seq", "ts", "b.*")
     team = lambda k: F.size(F.filter("near", lambda o: o["team"] == k))
-    window = F.window("ts", f"{length} seconds", f"{every} seconds", f"{(1 - length) % every} seconds").alias("w")
+    window = F.window("ts", f"{length} seconds", f"{every} seconds", f"{(2 - length) % every} seconds").alias("w")
     x, y = F.col("x") / width, F.col("y") / height
     stats = rows.groupBy("seq", "track_id", window).agg(F.count("*").alias("n"), F.count_if(x < 0.14).alias("l"), F.count_if(x > 0.86).alias("r"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"), F.sum(team(0)).alias("a"), F.sum(team(1)).alias("b"))
     score, total = F.greatest("l", "r") / F.col("n"), F.col("a") + F.col("b")
@@ -259,5 +260,5 @@ def window_keepers(frames: DataFrame, width: float, height: float, every: int =
     one, two = F.get("top", F.lit(0)), F.get("top", F.lit(1))
     alone = two.isNull() | ((two["rank"] - one["rank"] >= 0.12) & (one["margin"] - two["margin"] >= 0.1))
     good = (one["score"] >= 0.4) & (one["votes"] >= 12) & (one["margin"] >= 0.12) & (one["sx"] <= 0.08) & (one["sy"] <= 0.12) & alone
-    proposed = best.select("seq", "side", (F.unix_timestamp("w.end") - 1).alias("end"), F.when(good, one["track_id"]).alias("proposed"))
+    proposed = best.select("seq", "side", (F.unix_timestamp("w.end") - 2).alias("end"), F.when(good, one["track_id"]).alias("proposed"))
     return proposed.groupBy("seq", "side").transformWithStateInPandas(Hysteresis(confirm), "seq long, side string, end long, keeper long", "append", "None")
