@@ -10,7 +10,7 @@ from touchline.operators import matching as M
 from touchline.operators import metrics as E
 from touchline.operators import reports as P
 from touchline.operators.running import running
-from touchline.plans.joins import PAIRS
+from touchline.plans.joins import MISSED, PAIRS, close
 from touchline.plans.registry import query
 
 MATCH = "mt AS (SELECT g.seq, g.frame_id, p.track_id AS pred_id, g.track_id AS gt_id, sqrt((p.x_m - g.x_m)^2 + (p.y_m - g.y_m)^2) AS d FROM v_num p JOIN v_gt g USING (seq, frame_id, track_id) WHERE sqrt((p.x_m - g.x_m)^2 + (p.y_m - g.y_m)^2) <= 3)"
@@ -96,14 +96,12 @@ def _(v):
     return E.idf1(M.pairs(pred, v.gtbox), pred, v.gtbox).select("seq", "idtp", F.round("idf1", 6).alias("idf1"))
 
 
-HOTA = """t AS (SELECT seq, {k} p_id, g_id, count(*) AS tpa FROM {src} GROUP BY ALL), pn AS (SELECT seq, track_id AS p_id, count(*) AS np FROM v_box GROUP BY 1, 2), gn AS (SELECT seq, track_id AS g_id, count(*) AS ng FROM v_gtbox GROUP BY 1, 2),
-a AS (SELECT seq, {k} sum(tpa) AS tp, sum(tpa * tpa / (np + ng - tpa)::DOUBLE) AS s FROM t JOIN pn USING (seq, p_id) JOIN gn USING (seq, g_id) GROUP BY ALL),
-h AS (SELECT seq, {k} tp / (n_p + n_g - tp)::DOUBLE AS det_a, s / tp AS ass_a FROM a JOIN (SELECT seq, sum(np) AS n_p FROM pn GROUP BY seq) USING (seq) JOIN (SELECT seq, sum(ng) AS n_g FROM gn GROUP BY seq) USING (seq))"""
-
-
-@query("e12_hota50", f"WITH {PAIRS}, {HOTA.format(k='', src='pairs')} SELECT seq, round(det_a, 6) AS det_a, round(ass_a, 6) AS ass_a, round(sqrt(det_a * ass_a), 6) AS hota FROM h")
+@query("e12_hota50", f"""WITH {MISSED}, t AS (SELECT seq, p, g, count(*) AS c FROM ms WHERE 1 - d >= 0.5 GROUP BY ALL), nt AS (SELECT seq, track_id AS p, count(*) AS n FROM v_num WHERE event_type <> 'view' GROUP BY ALL),
+a AS (SELECT t.seq, sum(c) AS tp, sum(c * c / (a.n + b.n - c)::DOUBLE) / sum(c) AS ass_a FROM t JOIN nt a ON a.seq = t.seq AND a.p = t.p JOIN nt b ON b.seq = t.seq AND b.p = g GROUP BY t.seq)
+SELECT seq, round(tp / (2 * n - tp)::DOUBLE, 6) AS det_a, round(ass_a, 6) AS ass_a, round(sqrt(tp / (2 * n - tp)::DOUBLE * ass_a), 6) AS hota FROM a JOIN (SELECT seq, sum(n) AS n FROM nt GROUP BY seq) USING (seq)""")
 def _(v):
-    return E.hota(M.by_overlap(v.box, v.gtbox), v.box, v.gtbox).select("seq", *[F.round(c, 6).alias(c) for c in ("det_a", "ass_a", "hota")])
+    pred, gt = close(v)
+    return E.hota(M.by_overlap(pred, gt), pred, gt).select("seq", *[F.round(c, 6).alias(c) for c in ("det_a", "ass_a", "hota")])
 
 
 #: Each truth in a lane of its own. Its prediction lies up to nine pixels aside
