@@ -20,6 +20,8 @@ MEMO, LONGEST = 1_000_000, 64
 
 
 class Encoder:
+    most = MEMO
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -63,7 +65,7 @@ class Encoder:
         known |= {p: (known[s] if s in known else memo[s]) + end for p, (s, end) in stems.items()}
         for i in at:
             got[i] = known[pieces[i]]
-        if len(memo) > MEMO:
+        if len(memo) > self.most:
             memo.clear()
         memo.update({p: v for p, v in known.items() if len(p) <= LONGEST})
         return b"".join(got)
@@ -83,6 +85,8 @@ def packed(ids: list[int]) -> bytes:
 class Words(Encoder):
     """For a tokenizer that drops blanks and case: cuts at spaces and line ends."""
 
+    most = 400_000
+
     def stem(self, piece: str) -> tuple[str, bytes]:
         stem, end = super().stem(piece)
         return (stem.lower() if stem.isascii() else stem), end
