@@ -358,6 +358,73 @@ def test_documents_of_one_template_are_not_written_as_pairs(spark, monkeypatch,
     assert sum(pairs) < 20 * len(rows), pairs
 
 
+def near_copies(n: int, changed: int = 2) -> list[tuple]:
+    """n documents of one base, some words changed in each."""
+    rng = random.Random(23)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(280)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(changed):
+            words[rng.randrange(280)] = f"v{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def met_rows(spark, rows: list[tuple]) -> tuple[int, set]:
+    """How many candidates meet in all tables, and the groups that they make."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    classes = simhash.written(simhash.fingerprints(docs, 5, 12, distinct=True).select(F.col("doc_id").alias("rep"), "fp"), "classes")
+    found = simhash.written(simhash.meetings(classes, simhash.Tables(12, 30, 40, 1), 28), "met")
+    return found.count(), {tuple(r) for r in components(found.select("src", "dst")).collect()}
+
+
+def test_near_copies_meet_once_not_in_every_table(spark, monkeypatch):
+    """As many rows a member in a group three times as large, and the same
+    groups as without leaders."""
+    small, large = near_copies(600), near_copies(1_800)
+    few, _ = met_rows(spark, small)
+    many, groups = met_rows(spark, large)
+    assert few < 20 * len(small) and many < 20 * len(large), (few, many)
+    monkeypatch.setattr(simhash, "KNOWN", 10**9)
+    monkeypatch.setattr(simhash, "HOT", 10**9)
+    unled, same = met_rows(spark, large)
+    assert groups == same and unled > 60 * len(large), unled
+
+
+def test_bucket_pairs_leave_out_what_a_leader_connects():
+    """With the ties to leaders, pairs and stars connect what they connect
+    without leaders."""
+    rng = random.Random(29)
+    entries = np.empty(600, simhash.ENTRY)
+    base = [rng.getrandbits(96) for _ in range(20)]
+    for i in range(len(entries)):
+        x = base[i % 20] if i % 5 else rng.getrandbits(96)
+        for _ in range(rng.randint(0, 7)):
+            x ^= 1 << rng.randrange(96)
+        entries[i] = (rng.randrange(6 if i % 2 else 90), x >> 64, i, x & (1 << 64) - 1)
+    src, dst, _ = simhash.bucket_pairs(entries, 12)
+    pairs = {*zip(src.tolist(), dst.tolist(), strict=True)}
+    # every other row that a pair links to a smaller one has that as its leader
+    leader = np.full(600, -1, np.int32)
+    for a, b in pairs:
+        if a % 2:
+            leader[a] = max(leader[a], b)
+    ties = {(a, b) for a, b in enumerate(leader.tolist()) if b >= 0}
+    src, dst, _ = simhash.bucket_pairs(entries, 12, leader)
+    led = {*zip(src.tolist(), dst.tolist(), strict=True)}
+
+    def joined(edges: set) -> list[int]:
+        low = list(range(600))
+        for _ in range(40):
+            for a, b in edges:
+                low[a] = low[b] = min(low[a], low[b])
+        return low
+
+    assert len(led) < len(pairs) and joined(led | ties) == joined(pairs)
+    assert not [(a, b) for a, b in led if leader[a] >= 0 and leader[a] == leader[b]]
+
+
 def test_similar_groups_find_every_band(spark):
     rng = random.Random(15)
     rows, bands = [], defaultdict(list)

@@ -29,8 +29,8 @@ BLOCK = 255 << 4
 FEW, PAIRED = 32, 6
 #: Partners of a row beyond which it is tied to them by stars too.
 MANY = 8
-#: Rows of a bucket from which it is known as hot, and rows in which hot ones are looked for.
-HOT, LOOKED = 4_096, 200_000
+#: Rows of a bucket from which it is known as large, and as hot, and rows in which such ones are looked for.
+KNOWN, HOT, LOOKED = 256, 4_096, 200_000
 #: Bytes of bucket entries, and of shingles, that a task holds at a time.
 RANGE_BYTES, CELL_BYTES = 32 << 20, 16 << 20
 
@@ -207,11 +207,13 @@ def spread(head: np.ndarray, tail: np.ndarray, rows: np.ndarray, most: int) -> I
             yield np.array(group)
 
 
-def bucket_pairs(entries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_pairs(entries: np.ndarray, most: int, leader: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(src, dst, dense) of rows in one bucket at most `most` bits apart: every
     pair, but for groups of over PAIRED members a star, marked dense, that
-    connects them."""
-    entries = entries[np.lexsort((entries["rep"], entries["key"]))]  # a star's centre is its smallest row
+    connects them. Rows of one leader (a number each; -1: none) are connected
+    already: no pair of them is given, and a star has one of them."""
+    order = np.lexsort((entries["rep"], entries["key"]))  # a star's centre is its smallest row
+    entries, leader = entries[order], np.full(len(order), -1, np.int32) if leader is None else leader[order]
     key, head, tail, rep = (np.ascontiguousarray(entries[c]) for c in ("key", "head", "tail", "rep"))
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.r_[start, len(key)])
@@ -231,12 +233,17 @@ def bucket_pairs(entries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
     for k in np.flatnonzero(many | (size > FEW)):
         for group in spread(head, tail, np.arange(start[k], start[k] + size[k]), most):
             if len(group) > PAIRED:
+                led = leader[group]
+                once = led < 0
+                once[np.unique(led, return_index=True)[1]] = True
+                group = group[once]
                 stars.append(np.stack([group[1:], np.full(len(group) - 1, group[0])]))
             else:
                 x, y = np.triu_indices(len(group), 1)
                 near = apart(head, tail, group[x], group[y]) <= most
                 pairs.append(np.stack([group[x[near]], group[y[near]]]))
     one, other = np.concatenate(pairs, axis=1), np.concatenate(stars, axis=1)
+    one = one[:, (leader[one[0]] < 0) | (leader[one[0]] != leader[one[1]])]
     src, dst = rep[np.concatenate([one[0], other[0]])], rep[np.concatenate([one[1], other[1]])]
     dense = np.r_[np.zeros(one.shape[1], bool), np.ones(other.shape[1], bool)]
     found = np.unique(np.stack([np.maximum(src, dst), np.minimum(src, dst), dense]), axis=1)
@@ -244,78 +251,129 @@ def bucket_pairs(entries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
     return found[0], found[1], found[2].astype(bool)
 
 
-def hot_buckets(classes: DataFrame, n: int, tables: Tables) -> dict[int, int]:
-    """Keys of buckets of more than about HOT rows, with a row of each. They
-    are looked for in LOOKED rows by hash, counting a key that a batch holds
-    twice; which keys are found changes what is compared where, not what is
-    found."""
+class Large:
+    """Buckets of many rows by key, each with its smallest row and whether it
+    is hot. Rows near the smallest row of some such bucket they are in have a
+    leader: the least of these rows."""
+
+    def __init__(self, found: pa.Table, hot: int):
+        found = found.sort_by("key")
+        self.key, self.rep, self.head, self.tail = (found[c].to_numpy().astype(t) for c, t in (("key", np.uint32), ("rep", np.int64), ("head", np.uint64), ("tail", np.uint32)))
+        self.hot = found["n"].to_numpy() > hot
+        self.leaders, self.number = np.unique(self.rep, return_inverse=True)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key among the large buckets, -1 for others."""
+        if not len(self.key):
+            return np.full(keys.shape, -1)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return np.where(self.key[at] == keys, at, -1)
+
+    def led(self, places: np.ndarray, fp: np.ndarray, most: int) -> np.ndarray:
+        """The number of each row's leader, -1 for none."""
+        row, table = np.nonzero(places >= 0)
+        at, (head, tail) = places[row, table], heads(fp)
+        near = np.bitwise_count(head[row] ^ self.head[at]).astype(np.int32) + np.bitwise_count(tail[row] ^ self.tail[at]) <= most
+        out = np.full(len(fp), len(self.leaders))
+        np.minimum.at(out, row[near], self.number[at[near]])
+        return np.where(out < len(self.leaders), out, -1).astype(np.int32)
+
+
+def heads(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 96 bits of fingerprints that entries have."""
+    return fp[:, 0], (fp[:, 1] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def large_buckets(classes: DataFrame, n: int, tables: Tables) -> Large:
+    """Buckets of more than about KNOWN rows; those of more than about HOT are
+    hot. They are looked for in LOOKED rows by hash, counting a key that a
+    batch holds twice; which are found changes what is compared where, not
+    what is found."""
     share = min(1.0, LOOKED / max(n, 1))
-    if n <= HOT:
-        return {}
+    least, hot = (max(16, int(x * share)) for x in (min(KNOWN, HOT), HOT))
+    kind = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("n", pa.int64())])
+    if n <= min(KNOWN, HOT):
+        return Large(kind.empty_table(), hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rep, fp in _slices(batch):
+                order = np.argsort(rep)
+                rep, fp = rep[order], fp[order]  # so the first of a key is its smallest row
                 keys, at, count = np.unique(tables.keys(fp), return_index=True, return_counts=True)
                 some = count > 1
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some].astype(np.int64)), pa.array(rep[at[some] // tables.count]), pa.array(count[some])], names=["key", "rep", "n"])
+                row, (head, tail) = at[some] // tables.count, heads(fp)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys[some], rep[row], head[row].view(np.int64), tail[row], count[some])], names=kind.names)
 
     some = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else classes
-    keyed = some.select("rep", "fp").mapInArrow(run, "key long, rep long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
+    keyed = some.select("rep", "fp").mapInArrow(run, "key long, rep long, head long, tail long, n long")
+    summed = keyed.groupBy("key").agg(F.sum("n").alias("n"), F.min(F.struct("rep", "head", "tail")).alias("least"))
     # at most LOOKED * tables / 16 keys, and some hundreds in practice
-    return {r["key"]: r["rep"] for r in keyed.where(F.col("n") > max(16, int(HOT * share))).select("key", "rep").collect()}
+    return Large(summed.where(F.col("n") > least).select("key", "least.rep", "least.head", "least.tail", "n").toArrow(), hot)
 
 
-def candidates(classes: DataFrame, tables: Tables, most: int) -> DataFrame:
+def meetings(classes: DataFrame, tables: Tables, most: int) -> DataFrame:
     """(src, dst, dense) of representatives that meet in a bucket of some table
-    within `most` of the 96 bits compared. classes: rep, fp.
+    within `most` of the 96 bits compared, some of them more than once.
+    classes: rep, fp.
 
     Entries travel packed, by ranges of keys, of which a task holds one at a
-    time. A hot bucket isn't gathered: each of its rows is tied to one of them,
-    which marks more rows as candidates, never fewer.
+    time. A row with a leader is tied to it once, and not to others of that
+    leader in any table: so a large group of near copies gives about a row for
+    each member, not one for each member and table. A hot bucket isn't
+    gathered: each of its rows is tied to one of them, which marks more rows as
+    candidates, never fewer.
     """
     spark, n = prepare(classes.sparkSession), classes.count()
-    hot = hot_buckets(classes, n, tables)
-    hot_keys = np.array(sorted(hot), np.uint32)
-    hot_reps = np.array([hot[int(k)] for k in hot_keys], np.int64)
+    large = large_buckets(classes, n, tables)
     ranges = max(parts_for(n * tables.count * ENTRY.itemsize, RANGE_BYTES), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def is_hot(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(hot_keys, keys), max(len(hot_keys) - 1, 0))
-        return (hot_keys[at] == keys if len(hot_keys) else np.zeros(keys.shape, bool)), at
+    def is_hot(places: np.ndarray) -> np.ndarray:
+        return (places >= 0) & large.hot[places] if len(large.hot) else places >= 0
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rep, fp in _slices(batch):
-                keys = tables.keys(fp).reshape(-1)
-                cold = np.flatnonzero(~is_hot(keys)[0])
+                keys = tables.keys(fp)
+                places = large.places(keys)
+                led, keys = large.led(places, fp, most), keys.reshape(-1)
+                cold = np.flatnonzero(~is_hot(places))
                 part = ((keys[cold].astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 cold, part = cold[order], part[order]
-                row, entries = cold // tables.count, np.empty(len(cold), ENTRY)
-                entries["key"], entries["rep"], entries["head"], entries["tail"] = keys[cold], rep[row], fp[row, 0], (fp[row, 1] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                row, entries, (head, tail) = cold // tables.count, np.empty(len(cold), ENTRY), heads(fp)
+                entries["key"], entries["rep"], entries["head"], entries["tail"] = keys[cold], rep[row], head[row], tail[row]
                 at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-                blobs = [entries[a:b].tobytes() for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(blobs, pa.binary())], names=["part", "entries"])
+                ends = list(zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True)) if len(at) else []
+                blobs = [entries[a:b].tobytes() for a, b in ends]
+                leaders = [own.tobytes() if own.max() >= 0 else None for own in (led[row[a:b]] for a, b in ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(blobs, pa.binary()), pa.array(leaders, pa.binary())], names=["part", "entries", "leaders"])
 
     def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rep, fp in _slices(batch):
-                found, at = is_hot(tables.keys(fp))
-                row, table = np.nonzero(found)
-                both = np.unique(np.stack([rep[row], hot_reps[at[row, table]]]), axis=1) if len(row) else np.empty((2, 0), np.int64)
-                both = both[:, both[0] != both[1]]
+                places = large.places(tables.keys(fp))
+                led, (row, table) = large.led(places, fp, most), np.nonzero(is_hot(places))
+                own = np.flatnonzero(led >= 0)
+                both = np.stack([np.r_[rep[row], rep[own]], np.r_[large.rep[places[row, table]], large.leaders[led[own]]]])
+                both = np.unique(both[:, both[0] != both[1]], axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both.max(axis=0)), pa.array(both.min(axis=0)), pa.array(np.ones(both.shape[1], bool))], names=["src", "dst", "dense"])
 
     def met(key: tuple, table: pa.Table) -> pa.Table:
-        entries = np.concatenate([np.frombuffer(b.as_buffer(), ENTRY) for b in table["entries"]])
-        src, dst, dense = bucket_pairs(entries, most)
+        entries = [np.frombuffer(b.as_buffer(), ENTRY) for b in table["entries"]]
+        leader = [np.frombuffer(b.as_buffer(), np.int32) if b.is_valid else np.full(len(own), -1, np.int32) for b, own in zip(table["leaders"], entries, strict=True)]
+        src, dst, dense = bucket_pairs(np.concatenate(entries), most, np.concatenate(leader))
         return pa.table([pa.array(src), pa.array(dst), pa.array(dense)], names=["src", "dst", "dense"])
 
     rows, kind = classes.select("rep", "fp"), "src long, dst long, dense boolean"
-    found = rows.mapInArrow(packed, "part long, entries binary").groupBy("part").applyInArrow(met, kind)
-    if hot:
-        found = found.unionByName(rows.mapInArrow(tied, kind))
+    found = rows.mapInArrow(packed, "part long, entries binary, leaders binary").groupBy("part").applyInArrow(met, kind)
+    return found.unionByName(rows.mapInArrow(tied, kind)) if len(large.key) else found
+
+
+def candidates(classes: DataFrame, tables: Tables, most: int) -> DataFrame:
+    """The (src, dst, dense) of meetings, each once, with one star for those of
+    many tables. classes: rep, fp."""
+    found = meetings(classes, tables, most)
     # a row's partners: at most some for each table
     own = found.groupBy("src").agg(F.collect_set(F.when(~F.col("dense"), F.col("dst"))).alias("pairs"), F.collect_set(F.when(F.col("dense"), F.col("dst"))).alias("centres"))
     many = F.size("pairs") > MANY
