@@ -66,6 +66,26 @@ def test_encoders_agree_with_whole_texts(kind, name):
         assert own.ids(text) == own.raw(text), text
 
 
+def test_texts_encoded_together_agree_with_whole_texts(monkeypatch):
+    """What is new in texts is encoded once for all of them, also with a memo
+    that is full and pieces that it doesn't keep."""
+    rng = random.Random(2)
+    letters = [" ", " ", "\n", "ab", "B", "1", "'s", "!", ".", ",", "\t", "é", "<|endoftext|>", "\x00", "\x85", "x" * 70]
+    texts = ["", *("".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(600)), *(r[1] for r in documents() if r[1]), ""]
+    own = tokens.Bytes(path("byte_bpe_50k.json"))
+    for most in (1_000_000, 50):
+        monkeypatch.setattr(tokens, "MEMO", most)
+        for at in range(0, len(texts), 40):
+            assert own.many(texts[at : at + 40]) == [own.raw(t) for t in texts[at : at + 40]]
+            assert max(map(len, own.memo)) <= tokens.LONGEST
+    assert own.many([]) == []
+    fresh, asked = tokens.Bytes(path("byte_bpe_50k.json")), []
+    learn = fresh.learn
+    monkeypatch.setattr(fresh, "learn", lambda stems: asked.append(stems) or learn(stems))
+    fresh.many([t for t in texts if "\x00" not in t])
+    assert len(asked) == 1 and len(set(asked[0])) == len(asked[0])
+
+
 def test_packing(docs, empty):
     got = packing.pack(docs, path("word_bpe_49k.json"), capacity=256).collect()
     want = Counter()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.common import parts_for, prepare, running_start, texts
-from touchline.llm.tokens import encoder
+from touchline.llm.tokens import Encoder, encoder
 
 #: Ids that the rolling hash covers; least, usual and most ids of a chunk.
 SPAN, LEAST, USUAL, MOST = 16, 128, 512, 2048
@@ -42,6 +42,8 @@ KEY = 16
 FAN, PART_BYTES = 1024, 128 << 20
 #: Names remembered by a task, so that it sends a chunk once.
 SENT = 200_000
+#: Characters of texts that are encoded together.
+GROUP = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -117,6 +119,18 @@ def crc_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return crc
 
 
+def encoded_texts(enc: Encoder, column: pa.Array) -> Iterator[bytes]:
+    """The ids of each text, some texts at a time."""
+    group, size = [], 0
+    for text in column:
+        group.append(text.as_py())
+        size += len(group[-1])
+        if size > GROUP:
+            yield from enc.many(group)
+            group, size = [], 0
+    yield from enc.many(group)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, kind: str = "bytes", width: int = 2) -> None:
     """Encode every whole text (null: empty), end_id appended, into a store.
 
@@ -139,8 +153,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, kind: str
         for batch in batches:
             fresh: dict[int, list[bytes]] = {}
             docs_out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(enc.ids(text.as_py()) + end, "<u4")
+            for doc, own_ids in zip(batch.column(0).to_pylist(), encoded_texts(enc, batch.column(1)), strict=True):
+                ids = np.frombuffer(own_ids + end, "<u4")
                 small = ids.astype(f"<u{width}")
                 if width < 4 and int(ids.max(initial=0)) >= 1 << 8 * width:
                     raise ValueError("an id doesn't fit the store's width")

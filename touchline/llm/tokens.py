@@ -12,6 +12,7 @@ import os
 import sys
 from array import array
 from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -72,6 +73,9 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of the text."""
         return self.raw(text)
 
+    def many(self, texts: list[str]) -> list[bytes]:
+        return list(map(self.ids, texts))
+
 
 def packed(ids: list[int]) -> bytes:
     out = array("I", ids)
@@ -125,18 +129,49 @@ class Bytes(Encoder):
         first = [p for p in stems if p[0] in "\n\x00"]
         if first:
             line = self.raw("\n")
-            out.update((p, line + v if p[0] == "\n" else v) for p, v in zip(first, super().learn([p[1:] for p in first]), strict=True))
+            out.update((p, line + v if p[0] == "\n" else v) for p, v in zip(first, self.lines([p[1:] for p in first], line), strict=True))
         return list(out.values())
 
+    def lines(self, words: list[str], line: bytes) -> list[bytes]:
+        """The ids of words that begin a line: encoded in one text, a line each."""
+        data = self.raw("\n" + "\n".join(words))
+        at = (np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(line, "<u4")[0]) * 4).tolist()
+        if len(line) != 4 or len(at) != len(words) or at[0]:
+            return super().learn(words)
+        return [data[a + 4 : b] for a, b in zip(at, [*at[1:], len(data)], strict=True)]
+
     def apart(self, piece: str) -> bool:
         own = piece[1:] if piece[:1] in ("\n", "\x00") else piece
         return own.split() == [own] and "<|" not in own
 
     def ids(self, text: str) -> bytes:
-        if "\x00" in text:
-            return self.raw(text)
-        found = self.joined(("\x00" + text).replace("\n", " \n").split(" ")) if text else b""
-        return self.raw(text) if found is None else found
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what is new in any of them is encoded at once."""
+        memo = self.memo
+        if len(memo) > MEMO:
+            memo.clear()
+        cut = [("\x00" + t).replace("\n", " \n").split(" ") if t and "\x00" not in t else None for t in texts]
+        new = set(chain.from_iterable(filter(None, cut))).difference(memo)
+        bad = self.together(new)
+        new -= bad
+        stems = {p: self.stem(p) for p in new if p[-1] in ",."}
+        asked = list((new - stems.keys()).union(s for s, _ in stems.values() if s not in memo))
+        if asked:
+            memo.update(zip(asked, self.learn(asked), strict=True))
+        memo.update({p: memo[s] + end for p, (s, end) in stems.items() if end})
+        out = [self.raw(t) if own is None or bad and not bad.isdisjoint(own) else b"".join(map(memo.__getitem__, own)) for t, own in zip(texts, cut, strict=True)]
+        for p in [p for p in chain(new, asked) if len(p) > LONGEST]:
+            memo.pop(p, None)
+        return out
+
+    def together(self, pieces: set[str]) -> set[str]:
+        """Those of the pieces that aren't apart; looked at one by one only if
+        there are such."""
+        own = [p[1:] if p[:1] in ("\n", "\x00") else p for p in pieces]
+        text = " ".join(own)
+        return set() if text.split() == own and "<|" not in text else {p for p in pieces if not self.apart(p)}
 
 
 @lru_cache(maxsize=4)
