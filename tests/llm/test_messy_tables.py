@@ -86,6 +86,24 @@ def test_texts_encoded_together_agree_with_whole_texts(monkeypatch):
     assert len(asked) == 1 and len(set(asked[0])) == len(asked[0])
 
 
+def test_a_worker_holds_one_memo():
+    """Workers live on from stage to stage; a task lets go what another
+    operator's tasks remembered, and keeps its own."""
+    words = tokens.encoder("words", path("word_bpe_49k.json"))
+    words.ids("some words")
+    assert words.memo and tokens.encoder("words", path("word_bpe_49k.json")).memo
+    quality.begin()
+    assert not words.memo
+    quality.buckets(b"some words")
+    quality.begin()
+    assert len(quality._grams) == 2
+    other = tokens.encoder("bytes", path("byte_bpe_50k.json"))
+    assert not quality._grams
+    other.ids("some words")
+    words = tokens.encoder("words", path("word_bpe_49k.json"))
+    assert not other.memo and words.ids("Some words") == words.raw("Some words")
+
+
 def test_packing(docs, empty):
     got = packing.pack(docs, path("word_bpe_49k.json"), capacity=256).collect()
     want = Counter()

@@ -6,6 +6,7 @@ global running sums.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import tempfile
@@ -13,6 +14,7 @@ import uuid
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +23,9 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 
+#: The memo of this Python worker's last task, if it had one.
+_held: list[dict] = []
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -33,6 +38,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def only(memo: dict | None = None) -> None:
+    """Called where a task begins: of all memos its Python worker may hold this
+    one. Workers live on from stage to stage, and what another operator's tasks
+    remembered goes, with the memory that was freed since."""
+    if memo is not None and any(m is memo for m in _held):
+        return
+    for other in _held:
+        other.clear()
+    _held[:] = [] if memo is None else [memo]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. spark.checkpoint.dir names it on a
     cluster; where it is unset and all runs in one process (tests), one is made

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import prepare, written
+from touchline.llm.common import only, prepare, written
 
 #: Buckets of words and of shape pairs.
 WORDS, PAIRS = 1 << 13, 1 << 12
@@ -56,6 +56,11 @@ class Grams(dict):
 _grams = Grams()
 
 
+def begin() -> None:
+    """A task that looks words up begins."""
+    only(_grams)
+
+
 def buckets(text: bytes) -> np.ndarray:
     """The buckets of a text's n-grams, repeats included."""
     words = text.split()
@@ -72,6 +77,7 @@ def counted(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     whose doc_id is in `sample` (a bounded table)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         sums = np.zeros((2, WORDS + PAIRS), np.int64)
         for batch in batches:
             for text, good in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
@@ -115,6 +121,7 @@ def scored(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             own = [float(table.value[buckets(t.as_py() or b"")].sum()) for t in batch.column(names.index("text")).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.float64())], names=[*names, "_score"])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import attached, components, parts_for, prepare, texts, written
+from touchline.llm.common import attached, components, only, parts_for, prepare, texts, written
 
 #: Shingles whose bits are counted at a time.
 BLOCK = 255 << 4
@@ -90,6 +90,7 @@ def fingerprints(docs: DataFrame, shingle: int, words64: int = 1, distinct: bool
     shingle counts as one shingle. Case: A to Z only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             fps = [[signed(x) for x in fingerprint(t.as_py(), shingle, words64, distinct)] for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "fp"])

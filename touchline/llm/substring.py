@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import parts_for, prepare
+from touchline.llm.common import only, parts_for, prepare
 
 #: A difference cover of the integers modulo 21 (a perfect difference set).
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -179,6 +179,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, part_bytes: int = 4 << 20,
     dealt = kept.withColumn(mine, F.pmod(F.xxhash64(*[c for c in kept.columns if c in ("doc_id", text)]), F.lit(n)).cast("long"))
 
     def first(table: pa.Table) -> pa.Table:
+        only()
         part = Part(table.column(text), window)
         return _send(table.column(mine)[0].as_py(), part.anchors()[1], ranges)
 

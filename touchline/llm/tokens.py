@@ -16,6 +16,8 @@ from itertools import chain
 
 import numpy as np
 
+from touchline.llm.common import only
+
 #: A memo is emptied beyond so many pieces; longer pieces aren't kept.
 MEMO, LONGEST = 1_000_000, 64
 
@@ -175,6 +177,12 @@ class Bytes(Encoder):
 
 
 @lru_cache(maxsize=4)
-def encoder(kind: str, path: str) -> Encoder:
-    """One encoder for each Python worker."""
+def loaded(kind: str, path: str) -> Encoder:
     return {"words": Words, "bytes": Bytes, "plain": Encoder}[kind](path)
+
+
+def encoder(kind: str, path: str) -> Encoder:
+    """One encoder for each Python worker; asked for where a task begins."""
+    found = loaded(kind, path)
+    only(found.memo)
+    return found
