@@ -13,6 +13,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -86,6 +87,38 @@ def test_texts_encoded_together_agree_with_whole_texts(monkeypatch):
     assert len(asked) == 1 and len(set(asked[0])) == len(asked[0])
 
 
+def test_columns_of_texts_agree_with_whole_texts(monkeypatch):
+    """Cuts before marks that follow letters, signs that only look like
+    letters, nulls, slices, and groups and slices of a few bytes."""
+    rng = random.Random(5)
+    letters = [" ", " ", " ", "\n", "ab", "Z", "é", "×", "÷", "ė", "ŉ", "Ġ", "漢", "İ", "7", "²", "'", "'s", "!", "...", ",", "_", "<|", "|>", "<|endoftext|>", "“", "\u0301", "\x00", "\x85", "\u00a0", "\t", "x" * 70]
+    texts = [None, "", *("".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(4000)), None, *(r[1] for r in documents()), ""]
+    plain = [" ".join(rng.choice(["word", "Élan", "été", "end.", "x***", "don't", "3rd", "a×b", "漢字,"]) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    own = tokens.Bytes(path("byte_bpe_50k.json"))
+    for part in (texts, plain):
+        want = [own.raw(t or "") for t in part]
+        for group, one in ((32 << 20, 1 << 18), (200, 7)):
+            monkeypatch.setattr(store, "GROUP", group)
+            monkeypatch.setattr(tokens, "SLICE", one)
+            for kind in (pa.string(), pa.large_string()):
+                assert list(store.encoded_texts(own, pa.array(["cut off", *part], kind).slice(1))) == want
+    assert list(store.encoded_texts(own, pa.array([], pa.string()))) == []
+
+
+def test_a_column_encodes_each_different_word_once():
+    """A word with other marks after it is no new word, and nothing of a
+    column's pieces stays in a Python worker."""
+    words = [f"{a}{b}{c}" for a in "BDFGK" for b in ("ane", "ilo", "urt") for c in ("na", "shé", "ti")]
+    texts = [f"a {w}{mark} b" for w in words for mark in ("", ",", ".", "!!", "***", "###")]
+    own, asked = tokens.Bytes(path("byte_bpe_50k.json")), []
+    assert list(store.encoded_texts(own, pa.array(texts))) == [own.raw(t) for t in texts]
+    assert not own.memo
+    encoded = own.encoded
+    own.encoded = lambda pieces, good: asked.extend(pieces.to_pylist()) or encoded(pieces, good)
+    list(store.encoded_texts(own, pa.array(texts)))
+    assert len(asked) == len(words) + 7
+
+
 def test_a_worker_holds_one_memo():
     """Workers live on from stage to stage; a task lets go what another
     operator's tasks remembered, and keeps its own."""

@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +43,8 @@ KEY = 16
 FAN, PART_BYTES = 1024, 128 << 20
 #: Names remembered by a task, so that it sends a chunk once.
 SENT = 200_000
-#: Characters of texts that are encoded together.
-GROUP = 1 << 18
+#: Bytes of texts that are encoded together.
+GROUP = 32 << 20
 
 
 @lru_cache(maxsize=1)
@@ -121,14 +122,11 @@ def crc_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 
 def encoded_texts(enc: Encoder, column: pa.Array) -> Iterator[bytes]:
     """The ids of each text, some texts at a time."""
-    group, size = [], 0
-    for text in column:
-        group.append(text.as_py())
-        size += len(group[-1])
-        if size > GROUP:
-            yield from enc.many(group)
-            group, size = [], 0
-    yield from enc.many(group)
+    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes, dtype=np.int64) // GROUP
+    at = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(column)]
+    for a, b in zip(at, at[1:], strict=False):
+        yield from enc.column(column.slice(a, b - a))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, kind: str = "bytes", width: int = 2) -> None:

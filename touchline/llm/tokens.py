@@ -3,11 +3,13 @@
 Each encoder cuts a text where its tokenizer can't join tokens across the cut,
 looks the pieces up in a bounded memo and encodes only new pieces. The ids are
 those of encoding the text at once (tests compare the two); a text whose
-blanks don't allow safe cuts is encoded at once.
+blanks don't allow safe cuts is encoded at once. A column of texts goes through
+the byte-level encoder without a memo: each different piece is encoded once.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
 import sys
 from array import array
@@ -15,11 +17,17 @@ from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 
 from touchline.llm.common import only
 
 #: A memo is emptied beyond so many pieces; longer pieces aren't kept.
 MEMO, LONGEST = 1_000_000, 64
+#: Bytes of different pieces that are given to the tokenizer at once.
+SLICE = 1 << 18
+#: ASCII marks that end a word: all but the apostrophe, which may start a token with letters.
+MARK = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8))
 
 
 class Encoder:
@@ -78,6 +86,10 @@ class Encoder:
     def many(self, texts: list[str]) -> list[bytes]:
         return list(map(self.ids, texts))
 
+    def column(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a column (null: empty)."""
+        return self.many([t or "" for t in texts.to_pylist()])
+
 
 def packed(ids: list[int]) -> bytes:
     out = array("I", ids)
@@ -86,6 +98,31 @@ def packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def byte_letters() -> str:
+    """The letters that byte-level vocabularies write the 256 bytes with."""
+    same = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return "".join(chr(b if b in same else next(other)) for b in range(256))
+
+
+def latin(data: np.ndarray) -> np.ndarray:
+    """Whether bytes of UTF-8 belong to letters of ASCII, Latin-1 or Latin
+    Extended-A. The last bytes of the signs of multiplication and division
+    don't count, whatever stands before them."""
+    out = (data | 32) - np.uint8(97) < 26
+    lead = data - np.uint8(0xC3) < 3
+    second = np.zeros_like(lead)
+    second[1:] = lead[:-1]
+    return out | lead | (second & (data != 0x97) & (data != 0xB7))
+
+
+def spans(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the elements of a large string or binary array end, after a 0, and their bytes."""
+    _, ends, data = pieces.buffers()
+    at = np.frombuffer(ends, np.int64, len(pieces) + 1, pieces.offset * 8)
+    return at - at[0], np.frombuffer(data, np.uint8, at[-1] - at[0], at[0]) if at[-1] > at[0] else np.empty(0, np.uint8)
+
+
 class Words(Encoder):
     """For a tokenizer that drops blanks and case: cuts at spaces and line ends."""
 
@@ -168,6 +205,103 @@ class Bytes(Encoder):
             memo.pop(p, None)
         return out
 
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """Whether a token starts with a space or is a line end, for each id."""
+        out, line = self.begins.copy(), np.frombuffer(self.raw("\n"), "<u4")
+        out[line if len(line) == 1 else []] = True
+        return out
+
+    @cached_property
+    def flat(self):
+        """The tokenizer for lines that are each a space and letters, written
+        in the vocabulary's letters; None if its words aren't cut so."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        if self.tokenizer.normalizer is not None or not isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel):
+            return None
+        out = Tokenizer.from_str(self.tokenizer.to_str())
+        out.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        return out
+
+    def column(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a column (null: empty).
+
+        Pieces start with the space or line end they stand after, or with the
+        marks after a word: parts of the column's own bytes. Each different one
+        is encoded once, and ids are laid out by its number.
+        """
+        texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return []
+        bounds, data = spans(texts)
+        if not len(data):
+            return [b""] * len(texts)
+        letter, begin = latin(data), (data == 32) | (data == 10)
+        after = np.flatnonzero(letter[:-1] & ~letter[1:] & ~begin[1:]) + 1
+        begin[after[MARK[data[after]]]] = True
+        begin[bounds[bounds < len(data)]] = True
+        at = np.flatnonzero(begin)
+        pieces = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)).dictionary_encode()
+        good = self.all_apart(pieces.dictionary)
+        ends, ids = spans(self.encoded(pieces.dictionary, good).take(pieces.indices))
+        first = np.searchsorted(at, bounds)  # of each text's pieces
+        cut = ends[first].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+        if not good.all():
+            hit = np.append(0, np.cumsum(~good[pieces.indices.to_numpy()]))[first]
+            for i in np.flatnonzero(np.diff(hit)).tolist():
+                out[i] = self.raw(texts[i].as_py())
+        return out
+
+    def all_apart(self, pieces: pa.Array) -> np.ndarray:
+        """Whether each piece is apart; looked at one by one only if one isn't."""
+        ends, data = spans(pieces)
+        spaced = np.isin(data[ends[:-1]], (32, 10))
+        text = data.tobytes().decode()
+        if "<|" not in text and not (spaced & (np.diff(ends) == 1)).any() and len("".join(text.split())) == len(text) - spaced.sum():
+            return np.ones(len(pieces), bool)
+        return np.array([self.apart(p[1:] if p[0] == " " else p) for p in pieces.to_pylist()], bool)
+
+    def encoded(self, pieces: pa.Array, good: np.ndarray) -> pa.Array:
+        """The ids of each piece (binary), of others than the good ones none."""
+        ends, data = spans(pieces)
+        lead, others = data[ends[:-1]], np.append(0, np.cumsum(~latin(data)))[ends]
+        words = good & (lead == 32) & (np.diff(others) == 1) & (self.flat is not None)
+        bare = good & ~np.isin(lead, (32, 10))
+        order, ids, sizes = [np.flatnonzero(~good)], [], [np.zeros(np.count_nonzero(~good), np.int64)]
+        for kind, chosen in (("words", words), ("other", good & ~words & ~bare), ("bare", bare)):
+            order.append(np.flatnonzero(chosen))
+            own = pieces.take(pa.array(order[-1]))
+            ends = spans(own)[0] if len(own) else np.zeros(1, np.int64)
+            cuts = np.unique([*np.searchsorted(ends, np.arange(0, ends[-1], SLICE)), len(own)]).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                got, n = self.in_one(own.slice(a, b - a), kind)
+                ids.append(got)
+                sizes.append(n)
+        place = np.empty(len(pieces), np.int64)
+        place[np.concatenate(order)] = np.arange(len(pieces))
+        ends = np.append(0, np.cumsum(np.concatenate(sizes))) * 4
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate([*ids, np.empty(0, "<u4")]))]).take(pa.array(place))
+
+    def in_one(self, pieces: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces of a kind, encoded in one text where each starts
+        with a token that shows it, and their numbers."""
+        own = spans(pieces)[1].tobytes()
+        if kind == "words":
+            space = byte_letters()[32]
+            text = codecs.charmap_decode(own, "strict", byte_letters())[0].replace(space, "\n" + space)
+        else:  # bare pieces stand after line ends, which go again
+            text = "\n" + "\n".join(pieces.to_pylist()) if kind == "bare" else own.decode()
+        encode = getattr(self.flat, "encode_batch_fast", self.flat.encode_batch) if kind == "words" else self.batch
+        ids = np.array(encode([text], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.starts[ids])
+        if len(at) != len(pieces) or at[0]:  # a vocabulary that doesn't mark them so
+            each = super().learn(pieces.to_pylist())
+            return np.frombuffer(b"".join(each), "<u4"), np.array([len(e) // 4 for e in each], np.int64)
+        sizes = np.diff(np.append(at, len(ids)))
+        return (np.delete(ids, at), sizes - 1) if kind == "bare" else (ids, sizes)
+
     def together(self, pieces: set[str]) -> set[str]:
         """Those of the pieces that aren't apart; looked at one by one only if
         there are such."""
