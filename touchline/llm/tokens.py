@@ -13,6 +13,7 @@ import codecs
 import os
 import sys
 from array import array
+from collections.abc import Iterator
 from functools import cached_property, lru_cache
 from itertools import chain
 
@@ -86,9 +87,9 @@ class Encoder:
     def many(self, texts: list[str]) -> list[bytes]:
         return list(map(self.ids, texts))
 
-    def column(self, texts: pa.Array) -> list[bytes]:
+    def column(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text of a column (null: empty)."""
-        return self.many([t or "" for t in texts.to_pylist()])
+        yield from self.many([t or "" for t in texts.to_pylist()])
 
 
 def packed(ids: list[int]) -> bytes:
@@ -111,9 +112,9 @@ def latin(data: np.ndarray) -> np.ndarray:
     don't count, whatever stands before them."""
     out = (data | 32) - np.uint8(97) < 26
     lead = data - np.uint8(0xC3) < 3
-    second = np.zeros_like(lead)
-    second[1:] = lead[:-1]
-    return out | lead | (second & (data != 0x97) & (data != 0xB7))
+    out |= lead
+    out[1:] |= lead[:-1] & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    return out
 
 
 def spans(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -224,35 +225,38 @@ class Bytes(Encoder):
         out.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         return out
 
-    def column(self, texts: pa.Array) -> list[bytes]:
+    def column(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text of a column (null: empty).
 
         Pieces start with the space or line end they stand after, or with the
         marks after a word: parts of the column's own bytes. Each different one
         is encoded once, and ids are laid out by its number.
         """
-        texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
-            return []
-        bounds, data = spans(texts)
+            return
+        texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
+        cut, ids, whole = self.laid(*spans(texts))
+        for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+            yield self.raw(texts[i].as_py()) if i in whole else ids[a:b].tobytes()
+
+    def laid(self, bounds: np.ndarray, data: np.ndarray) -> tuple[list[int], np.ndarray, set[int]]:
+        """Where the ids of each text end in the bytes of all ids, after a 0;
+        those bytes; and the texts that must be encoded at once."""
         if not len(data):
-            return [b""] * len(texts)
+            return [0] * len(bounds), data, set()
         letter, begin = latin(data), (data == 32) | (data == 10)
         after = np.flatnonzero(letter[:-1] & ~letter[1:] & ~begin[1:]) + 1
         begin[after[MARK[data[after]]]] = True
         begin[bounds[bounds < len(data)]] = True
-        at = np.flatnonzero(begin)
-        pieces = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)).dictionary_encode()
+        at = np.append(np.flatnonzero(begin), len(data))
+        del letter, begin, after  # a byte or more for each of the text
+        first = np.searchsorted(at, bounds)  # of each text's pieces
+        pieces = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data)).dictionary_encode()
+        del at
         good = self.all_apart(pieces.dictionary)
         ends, ids = spans(self.encoded(pieces.dictionary, good).take(pieces.indices))
-        first = np.searchsorted(at, bounds)  # of each text's pieces
-        cut = ends[first].tolist()
-        out = [ids[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-        if not good.all():
-            hit = np.append(0, np.cumsum(~good[pieces.indices.to_numpy()]))[first]
-            for i in np.flatnonzero(np.diff(hit)).tolist():
-                out[i] = self.raw(texts[i].as_py())
-        return out
+        hit = np.zeros(len(first), np.int64) if good.all() else np.append(0, np.cumsum(~good[pieces.indices.to_numpy()]))[first]
+        return ends[first].tolist(), ids, set(np.flatnonzero(np.diff(hit)).tolist())
 
     def all_apart(self, pieces: pa.Array) -> np.ndarray:
         """Whether each piece is apart; looked at one by one only if one isn't."""
