@@ -632,6 +632,30 @@ def test_components_of_stars_and_chains(spark, most_hubs):
     assert got == want
 
 
+def jobs_of(spark, group: str, work) -> tuple[int, object]:
+    """The Spark jobs that work() takes, and its result."""
+    context = spark.sparkContext
+    context.setJobGroup(group, group)
+    try:
+        out = work()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    return len(context.statusTracker().getJobIdsForGroup(group)), out
+
+
+def test_components_are_few_jobs(spark):
+    """Stars end at once, and a round with hubs doesn't compute one minimum many times."""
+    stars = [(k * 10_000, k * 10_000 + i) for k in range(1, 4) for i in range(1, 1_300)]
+    edges = spark.createDataFrame(stars, "src long, dst long").repartition(4)
+    n, found = jobs_of(spark, "stars", lambda: components(edges))
+    assert n <= 8
+    assert {(r.node, r.component) for r in found.collect()} == {(i, a) for a, b in stars for i in (a, b)}
+    bridged = spark.createDataFrame([*stars, (10_700, 20_001), (20_700, 30_001)], "src long, dst long").repartition(4)
+    n, found = jobs_of(spark, "bridged", lambda: components(bridged))
+    assert n <= 60
+    assert {(r.node, r.component) for r in found.collect()} == {(i, 10_000) for e in stars for i in e}
+
+
 VECTOR_COLUMNS = "vec_id long, embedding array<float>, label int, own int, v string, keys int, class string, rep long, rank int, score string, dim int"
 
 

@@ -142,13 +142,15 @@ def attached(rows: DataFrame, sums: DataFrame, keys: list[str], most: int = 100_
 LEAST_HUB = 1_000
 
 
-def _hubs(low: DataFrame, most: int) -> DataFrame | None:
+def _hubs(low: DataFrame, most: int) -> tuple[DataFrame | None, bool]:
     """The nodes with so many edges that the rows that join them are a task of
-    their own, as a table of at most `most` rows to broadcast; None without."""
+    their own, as a table of at most `most` rows to broadcast (None without),
+    and whether edges are stars: no node has an edge besides that to a smaller
+    one."""
     steps = [LEAST_HUB * 10**k for k in range(7)]
-    found = low.agg(*[F.count_if(F.col("n") > s) for s in steps]).first()
+    *found, more = low.agg(*[F.count_if(F.col("n") > s) for s in steps], F.count_if((F.col("m") < F.col("a")) & (F.col("n") > 1))).first()
     at = next(i for i, n in enumerate([*found, 0]) if n <= most)
-    return low.where(F.col("n") > steps[at]).select("a") if at < len(steps) and found[at] else None
+    return low.where(F.col("n") > steps[at]).select("a") if at < len(steps) and found[at] else None, not more
 
 
 def _with_low(rows: DataFrame, low: DataFrame, hubs: DataFrame | None) -> DataFrame:
@@ -170,8 +172,9 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     a component's diameter. Minima are found with map-side combining; nodes of
     over a thousand edges are joined with theirs by a broadcast of such nodes
     (counted first), so a node with many neighbours is never gathered in one
-    place. Only the last round's table is kept. Nodes without an edge to
-    another node are absent.
+    place. A round writes its minima and both its stars, so that no query holds
+    the plan of another; it ends where all edges are stars. Only the last
+    round's table is kept. Nodes without an edge to another node are absent.
     """
     spark = edges.sparkSession
 
@@ -180,24 +183,22 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         return written_at(df, path), path
 
     pairs, path = stored(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct())
-    state = None
     for _ in range(most_rounds):
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
-        # no node has more edges than there are
-        hubs, low = _hubs(low, most_hubs) if state is None or state[0] > LEAST_HUB else None, low.select("a", "m")
+        low, low_path = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n")))
+        hubs, stars = _hubs(low, most_hubs)
+        if stars:
+            removed(spark, low_path)
+            break
         # large star: neighbours above a node point to its minimum
-        large = _with_low(both.where("b > a"), low, hubs).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large, large_path = stored(_with_low(both.where("b > a"), low.select("a", "m"), hubs).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         # small star: neighbours below a node, and the node, point to the minimum; a node has no more of them than edges before
-        small = _with_low(large, low, hubs).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        done = path
+        small = _with_low(large, least, hubs).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        done = [path, low_path, large_path]
         pairs, path = stored(small.where("a <> b").distinct())
-        removed(spark, done)
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
+        for old in done:
+            removed(spark, old)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select(F.col("b"), F.col("b")).distinct())
