@@ -128,7 +128,8 @@ def team_mapping(votes: DataFrame) -> DataFrame:
 def nearest_neighbours(keepers: DataFrame, others: DataFrame, k: int = 4) -> DataFrame:
     """Each keeper's k nearest others in each frame. Both have x, y, track_id."""
     both = keepers.select(*FRAME, F.col("track_id").alias("keeper_id"), F.col("x").alias("kx"), F.col("y").alias("ky")).join(others, FRAME).where("track_id <> keeper_id")
-    both = both.withColumn("dist", F.hypot(F.col("kx") - F.col("x"), F.col("ky") - F.col("y")))
+    dx, dy = F.col("kx") - F.col("x"), F.col("ky") - F.col("y")
+    both = both.withColumn("dist", F.sqrt(dx * dx + dy * dy))
     w = Window.partitionBy(*FRAME, "keeper_id").orderBy("dist", "track_id")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -198,16 +198,18 @@ def tiled(rows: DataFrame, *sums: str) -> DataFrame:
     return regular.unionByName(partial).groupBy("seq", "end", "track_id").agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def window_candidates(rows: DataFrame, width: float, height: float, rarity: DataFrame) -> DataFrame:
+def window_candidates(rows: DataFrame, width: float, height: float, rarity: DataFrame, top: float = 1.0) -> DataFrame:
     """Keeper candidates in each window and the proposal of each side: the best
     by score and vote margin, if it is good and far enough from the second.
-    rows: seq, frame_id, track_id, team_id, x, y (centres)."""
+    rows: seq, frame_id, track_id, team_id, x, y (centres); rarity: seq,
+    track_id, rarity from 0 to `top`. A rarity of k / n is given as k with n as
+    `top`, so that it is rounded once and limits met exactly count."""
     x, y = F.col("x") / width, F.col("y") / height
     one = rows.select("seq", "frame_id", "track_id", F.lit(1).alias("n"), (x < EDGE).cast("int").alias("left_hits"), (x > 1 - EDGE).cast("int").alias("right_hits"), x.alias("x1"), (x * x).alias("x2"), y.alias("y1"), (y * y).alias("y2"))
     s = tiled(one, "n", "left_hits", "right_hits", "x1", "x2", "y1", "y2").join(rarity, ["seq", "track_id"], "left")
     std = lambda c: F.sqrt(F.greatest(F.col(f"{c}2") / F.col("n") - F.pow(F.col(f"{c}1") / F.col("n"), 2), F.lit(0.0)))
     s = s.withColumns({"std_x": std("x"), "std_y": std("y"), "edge_ratio": F.greatest("left_hits", "right_hits") / F.col("n"), "side": F.when(F.col("left_hits") >= F.col("right_hits"), "left").otherwise("right")})
-    stats = s.where((F.col("n") >= WINDOW_SEEN) & (F.col("n") >= MIN_KEEPER) & (F.col("edge_ratio") >= EDGE_SHARE)).withColumn("score", F.col("edge_ratio") + 0.6 * F.coalesce("rarity", F.lit(0.0)))
+    stats = s.where((F.col("n") >= WINDOW_SEEN) & (F.col("n") >= MIN_KEEPER) & (F.col("edge_ratio") >= EDGE_SHARE)).withColumn("score", F.col("edge_ratio") + 0.6 * F.coalesce("rarity", F.lit(0.0)) / top)
     # votes of each frame are counted once and summed in windows
     who = stats.select("seq", "track_id").distinct()
     near = M.nearest_neighbours(rows.join(who, ["seq", "track_id"], "left_semi"), rows, NEIGHBOURS)

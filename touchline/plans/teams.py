@@ -175,8 +175,8 @@ pp AS (SELECT seq, wend, side, CASE WHEN score >= 0.4 AND votes >= 12 AND margin
 @query("f9_window_candidates", f"WITH {CANDIDATES.format(rarity='(track_id % 11) / 11')} SELECT seq, wend AS \"end\", side, proposed, round(combined, 6) AS combined FROM pp")
 def _(v):
     rows = v.box.select("seq", "frame_id", "track_id", "team_id", "x", "y")
-    rarity = rows.select("seq", "track_id").distinct().withColumn("rarity", (F.col("track_id") % 11) / 11.0)
-    return T.window_candidates(rows, W, H, rarity).withColumn("combined", F.round("combined", 6))
+    rarity = rows.select("seq", "track_id").distinct().withColumn("rarity", (F.col("track_id") % 11).cast("double"))
+    return T.window_candidates(rows, W, H, rarity, 11.0).withColumn("combined", F.round("combined", 6))
 
 
 #: What holds after each window: two equal proposals in a row decide, one by one.
