@@ -46,3 +46,14 @@ def test_best_candidate_just_far_enough_from_the_second(spark, tmp_path):
     got, want = both(spark, events(tmp_path, rows), "f9_window_candidates")
     assert got == want
     assert len(want) == 1
+
+
+def test_outliers_of_a_sequence_without_a_cluster(spark, tmp_path):
+    """The last sequence has three tracks, none near another: K-Means labels
+    them, and they are outliers all the same."""
+    ids = [*range(30), 1950, 1951, 1952]
+    vectors = pa.array([[0.1] * 64] * len(ids), pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": ids, "embedding": vectors, "label": pa.array([0] * len(ids), pa.int32())}), f"{tmp_path}/embeddings.parquet")
+    got, want = both(spark, str(tmp_path), "i2_outlier_clusters")
+    assert got == want
+    assert [r for r in want if r[0] == 65] == [(65, 1950, True), (65, 1951, True), (65, 1952, True)]

@@ -53,9 +53,10 @@ def dbscan(x: np.ndarray, eps: float = 0.12, least: int = 3) -> np.ndarray:
     return labels
 
 
-def outlier_kmeans(x: np.ndarray, k: int = 2, eps: float = 0.12, least: int = 3) -> np.ndarray:
-    """K-Means on DBSCAN's inliers, -1 for outliers; on all if too few are in."""
-    inside = dbscan(x, eps, least) >= 0
+def outlier_kmeans(x: np.ndarray, k: int = 2, eps: float = 0.12, least: int = 3, inside: np.ndarray | None = None) -> np.ndarray:
+    """K-Means on DBSCAN's inliers (or those given), -1 for outliers; on all if
+    too few are in."""
+    inside = dbscan(x, eps, least) >= 0 if inside is None else inside
     if inside.sum() < max(k, 2):
         return kmeans(x, k)
     labels = np.full(len(x), -1)

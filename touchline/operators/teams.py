@@ -91,15 +91,21 @@ def usable(tracks: DataFrame) -> DataFrame:
 
 def clustered(descriptors: DataFrame, mode: str = "kmeans", eps: float = 0.12) -> DataFrame:
     """A label for each track of a sequence, by K-Means or with DBSCAN outliers
-    (-1). descriptors: seq, track_id, mean; a sequence has some tens of them."""
+    (-1). Where too few tracks are inliers, K-Means labels all of them, but
+    `outlier` still marks those that DBSCAN leaves out. descriptors: seq,
+    track_id, mean; a sequence has some tens of them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("track_id")
         x = np.stack(pdf["mean"].to_numpy()).astype(float)
-        labels = clusters.outlier_kmeans(x, eps=eps) if mode == "outlier" else clusters.kmeans(x)
-        return pd.DataFrame({"seq": pdf["seq"], "track_id": pdf["track_id"], "label": labels})
-
-    return descriptors.groupBy("seq").applyInPandas(run, "seq long, track_id long, label int")
+        if mode == "outlier":
+            outside = clusters.dbscan(x, eps) < 0
+            labels = clusters.outlier_kmeans(x, inside=~outside)
+        else:
+            outside, labels = np.zeros(len(x), bool), clusters.kmeans(x)
+        return pd.DataFrame({"seq": pdf["seq"], "track_id": pdf["track_id"], "label": labels, "outlier": outside})
+
+    return descriptors.groupBy("seq").applyInPandas(run, "seq long, track_id long, label int, outlier boolean")
 
 
 def normalised_labels(labelled: DataFrame) -> DataFrame:

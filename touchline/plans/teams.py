@@ -88,7 +88,7 @@ def _(v):
     xy = F.array(F.col("track_id") * 37 % 101 / 100, F.col("track_id") * 53 % 89 / 100)
     d = vectors(v).withColumn("mean", xy)
     # 400.5 of the SQL's squares lies between whole numbers: a point at just 0.2 is near
-    return T.clustered(d.select("seq", "track_id", "mean"), "outlier", 0.2001).select("seq", "track_id", (F.col("label") == -1).alias("is_outlier"))
+    return T.clustered(d.select("seq", "track_id", "mean"), "outlier", 0.2001).select("seq", "track_id", F.col("outlier").alias("is_outlier"))
 
 
 @query("i4_nearest_centre", "WITH c AS (SELECT CAST(label AS BIGINT) AS seq, list(avg_v ORDER BY i) AS a FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS avg_v FROM embeddings CROSS JOIN range(1, 65) t(i) GROUP BY ALL) GROUP BY label), d AS (SELECT e.vec_id, list_distance(CAST(e.embedding AS DOUBLE[]), a) AS d0, list_distance(CAST(e.embedding AS DOUBLE[]), list_transform(a, lambda x: -x)) AS d1 FROM embeddings e JOIN c ON c.seq = e.label) SELECT vec_id AS track_id, CASE WHEN d0 <= d1 THEN 0 ELSE 1 END AS team, round(1 - least(d0, d1) / (d0 + d1 + 1e-9), 6) AS confidence FROM d")
