@@ -6,10 +6,16 @@ from __future__ import annotations
 import datetime as dt
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 import __spark_entry__ as entry
+from touchline.kernels import tracker as K
+from touchline.streaming import online as O
+from touchline.streaming import stateful as S
 
 #: Spark reads microseconds.
 TS = pa.timestamp("us")
@@ -57,3 +63,133 @@ def test_outliers_of_a_sequence_without_a_cluster(spark, tmp_path):
     got, want = both(spark, str(tmp_path), "i2_outlier_clusters")
     assert got == want
     assert [r for r in want if r[0] == 65] == [(65, 1950, True), (65, 1951, True), (65, 1952, True)]
+
+
+class Cells:
+    """State of one key in a dictionary, which counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def getMapState(self, *how):
+        return Cell(self)
+
+    getValueState = getMapState
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+
+class Cell:
+    def __init__(self, cells):
+        self.cells, self.held = cells, {}
+
+    def _do(self, f):
+        self.cells.calls += 1
+        return f()
+
+    def containsKey(self, k):
+        return self._do(lambda: k in self.held)
+
+    def getValue(self, k):
+        return self._do(lambda: self.held.get(k))
+
+    def updateValue(self, k, v):
+        self._do(lambda: self.held.update({k: v}))
+
+    def removeKey(self, k):
+        self._do(lambda: self.held.pop(k, None))
+
+    def iterator(self):
+        return self._do(lambda: iter(list(self.held.items())))
+
+    def keys(self):
+        return self._do(lambda: iter(list(self.held)))
+
+    def exists(self):
+        return self._do(lambda: None in self.held)
+
+    def get(self):
+        return self._do(lambda: self.held.get(None))
+
+    def update(self, v):
+        self._do(lambda: self.held.update({None: v}))
+
+
+class Clock:
+    """A watermark, and the timer that it lets expire."""
+
+    def __init__(self, ms, due=0):
+        self.ms, self.due = ms, due
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    def getExpiryTimeInMs(self):
+        return self.due
+
+
+def walked(processor, batches: list[tuple[list[tuple], int]]) -> tuple[list[tuple], int]:
+    """Rows out of batches of one key, a watermark in frames after each, and the
+    number of calls of state and timers."""
+    cells = Cells()
+    processor.init(cells)
+    out = []
+    for rows, frame in batches:
+        list(processor.handleInputRows((7,), iter([pd.DataFrame(rows, columns=["frame_id", *processor.columns])]), Clock(0)))
+        for due in sorted(t for t in cells.timers if t <= (frame + 1) * 1000):
+            cells.timers.discard(due)
+            for pdf in processor.handleExpiredTimer((7,), Clock((frame + 1) * 1000, due), Clock(0, due)):
+                out += pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None)
+    return out, cells.calls
+
+
+def crossing(frames: int, n: int = 6) -> list[tuple]:
+    """Boxes of tracks that close in on others and are missing now and then."""
+    rng = np.random.default_rng(3)
+    return [(f, t, float(15 * t + 12 * np.sin((f + 5 * t) / 9)), 0.0, 40.0, 80.0) for f in range(frames) for t in range(n) if rng.random() < 0.9]
+
+
+def in_two(rows: list[tuple], cut: int) -> list[tuple[list[tuple], int]]:
+    """Batches in which the last ten frames before the cut come in part late."""
+    late = [r for r in rows if cut - 10 <= r[0] < cut and r[1] % 2]
+    first = [r for r in rows if r[0] < cut and r not in late]
+    return [(first[::-1], cut - 11), (late + [r for r in rows if r[0] >= cut], 10**6)]
+
+
+def test_tracker_over_blocks_of_frames():
+    """As its step taken frame by frame, with few calls of state."""
+    rows = crossing(400)
+    held, next_id, want = [], 1, []
+    for f in range(400):
+        own = [r for r in rows if r[0] == f]
+        held, next_id, got = K.step(held, next_id, f, np.array([r[2:] for r in own]).reshape(-1, 4), 2, 3, 0.3)
+        want += [(7, f, r[1], *g) for r, g in zip(own, got, strict=True)]
+    got, calls = walked(S.Tracker(2, 3, 0.3), in_two(rows, 250))
+    assert got == want
+    assert calls <= 60
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_boxes_that_do_not_compete_need_no_assignment(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    held = [[float(i), *b, 0.0, 1.0] for i, b in enumerate(np.c_[np.arange(8) * 100.0, np.zeros(8), np.full((8, 2), 50.0)].tolist())]
+    boxes = np.c_[rng.permutation(10)[:6] * 100.0 + 5, np.zeros(6), np.full((6, 2), 50.0)]
+    want = [int(x // 100) if x < 800 else None for x in boxes[:, 0]]
+    monkeypatch.setattr(K, "assign", None)
+    got = K.step(held, 50, 1, boxes)[2]
+    assert [t if t < 50 else None for t, _ in got] == want
+
+
+def test_rows_of_a_replay_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for pdf in parts:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(60).selectExpr("id % 3 AS seq", "id % 2 AS track_id", "id AS frame_id", "id % 4 AS value").mapInPandas(counted, "seq long, track_id long, frame_id long, value long")
+    assert O.replayed(rows, "frame_id", lambda s: O.online_mode(s, idle_ms=None)).count() == 60
+    assert seen.value == 60

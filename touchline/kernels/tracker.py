@@ -16,10 +16,13 @@ def step(state: list[list[float]], next_id: int, frame: int, boxes: np.ndarray,
     names: list[int | None] = [None] * len(boxes)
     if alive and len(boxes):
         overlap = overlaps(boxes, np.array([t[1:5] for t in alive]))
-        cost = np.where(overlap >= least, 1 - overlap, np.inf)
-        for i, j in assign(cost):
-            if np.isfinite(cost[i, j]):
-                names[i] = j
+        near = overlap >= least
+        if near.sum(axis=0).max() <= 1 and near.sum(axis=1).max() <= 1:  # no two compete
+            pairs = np.argwhere(near).tolist()
+        else:
+            pairs = [(i, j) for i, j in assign(np.where(near, 1 - overlap, np.inf)) if near[i, j]]
+        for i, j in pairs:
+            names[i] = j
     out = []
     for box, j in zip(boxes.tolist(), names, strict=True):
         if j is None:

@@ -195,7 +195,7 @@ def replayed(rows: DataFrame, order: str, build: Callable[[DataFrame], DataFrame
     """What the stream that `build` makes gives for the rows, arriving in
     `parts` batches in order of a column, as a table.
 
-    Each part is written by as many tasks as it has, then the query runs on
+    The rows are computed once and stored. Each part is written by as many tasks as it has, then the query runs on
     from its checkpoint until it has read it. Batches are written by their
     number, so one that is run again replaces itself; in complete mode the last
     batch is the result. An empty table gives an empty one. `settings` hold
@@ -203,7 +203,10 @@ def replayed(rows: DataFrame, order: str, build: Callable[[DataFrame], DataFrame
     most those of the session.
     """
     spark: SparkSession = rows.sparkSession
-    source, path, check = (scratch_path(spark, name) for name in ("stream", "drained", "progress"))
+    stored, source, path, check = (scratch_path(spark, name) for name in ("rows", "stream", "drained", "progress"))
+    schema = rows.schema
+    rows.write.parquet(stored)
+    rows = spark.read.schema(schema).parquet(stored)
     low, high, n = rows.agg(F.min(order).cast("double"), F.max(order).cast("double"), F.count("*")).first()
     partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // STATE_ROWS) or 1)
     settings = {"spark.sql.shuffle.partitions": str(partitions), **(settings or {})}

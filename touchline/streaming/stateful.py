@@ -3,9 +3,9 @@
 A frame counts as a second of event time. Rows of one frame may arrive in any
 batch until the watermark passes it; then a timer closes the frame and its rows
 are taken together. Rows that come later still are dropped by the watermark,
-which Spark counts (numRowsDroppedByWatermark). Each track is a cell of its
-own, so a batch reads and writes the tracks it meets, not a sequence's whole
-past. These operators keep their state in RocksDB (`PROVIDER`).
+which Spark counts (numRowsDroppedByWatermark). A sequence keeps its open
+frames and the tracks seen lately, not its whole past. These operators keep
+their state in RocksDB (`PROVIDER`).
 """
 
 from __future__ import annotations
@@ -32,53 +32,93 @@ def timed(stream: DataFrame, delay: int, column: str = "frame_id") -> DataFrame:
 
 class Frames(StatefulProcessor):
     """Keeps the rows of each frame of a key until it is closed. State: a cell
-    with the rows of each open frame; timers: one for each open frame, and one
-    for the time at which tracks last seen then expire."""
+    with the rows of each block of open frames, and one with the tracks seen
+    within `ttl` frames, so that a batch reads and writes each cell of a key
+    once, not for every frame and track. Timers: one for the first frame that a
+    batch brings, then one for the next frame to close or track to expire; it
+    closes, in order, all frames that the watermark has passed."""
 
     #: Numeric columns of a row, the first being the name that orders them.
     columns: tuple[str, ...] = ()
     out: tuple[str, ...] = ()
+    #: Numbers kept of a track, the first being its last frame.
+    width = 0
     ttl = 0
+    #: Frames of a block.
+    block = 128
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "frame long", "rows binary")
-        self.tracks = handle.getMapState("tracks", "track long", "cell array<double>")
+        self.open = handle.getMapState("open", "block long", "rows binary")
+        self.tracks = handle.getValueState("tracks", "next long, cells binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for pdf in rows:
-            for frame, own in pdf.groupby("frame_id"):
-                frame = int(frame)
-                held = self.open.getValue((frame,))[0] if self.open.containsKey((frame,)) else b""
-                self.open.updateValue((frame,), (held + own[list(self.columns)].to_numpy(float).tobytes(),))
-                self.handle.registerTimer((frame + 1) * 1000)
-                self.handle.registerTimer((frame + self.ttl + 2) * 1000)
+            values = pdf[["frame_id", *self.columns]].to_numpy(float)
+            values = values[np.argsort(values[:, 0], kind="stable")]
+            names, starts = np.unique(values[:, 0] // self.block, return_index=True)
+            for name, own in zip(names.astype(int).tolist(), np.split(values, starts[1:]), strict=True):
+                held = self.open.getValue((name,))[0] if self.open.containsKey((name,)) else b""
+                self.open.updateValue((name,), (held + own.tobytes(),))
+            least = int(values[0, 0])
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer((first + 1) * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        frame = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
-        memory = {t[0]: list(c[0]) for t, c in self.tracks.iterator()}
+        until = timerValues.getCurrentWatermarkInMs() // 1000 - 1
+        self.next, cells = self.tracks.get() if self.tracks.exists() else (1, b"")
+        memory = {int(c[0]): c[1:] for c in np.frombuffer(cells).reshape(-1, self.width + 1).tolist()}
+        waits = []
+        for name in sorted(k[0] for k in self.open.keys()):
+            if name * self.block > until:
+                waits.append(name * self.block)
+                continue
+            rows = np.frombuffer(self.open.getValue((name,))[0]).reshape(-1, len(self.columns) + 1)
+            due = rows[:, 0] <= until
+            later, rows = rows[~due], rows[due]
+            if len(later):
+                self.open.updateValue((name,), (later.tobytes(),))
+                waits.append(int(later[:, 0].min()))
+            else:
+                self.open.removeKey((name,))
+            if len(rows):
+                rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+                frames, starts = np.unique(rows[:, 0], return_index=True)
+                out = []
+                for frame, own in zip(frames.astype(int).tolist(), np.split(rows[:, 1:], starts[1:]), strict=True):
+                    out += self.expired(frame, memory)
+                    out += self.closed(frame, own, memory)
+                yield self.table(key, out)
+        out = self.expired(until, memory)
+        if out:
+            yield self.table(key, out)
+        waits += [int(c[0]) + self.ttl + 1 for c in memory.values()]
+        self.tracks.update((self.next, np.array([[t, *c] for t, c in memory.items()], float).tobytes()))
+        if waits:
+            self.handle.registerTimer((min(waits) + 1) * 1000)
+
+    def table(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
+        rows = pd.DataFrame([(key[0], *r) for r in out], columns=list(self.out))
+        return rows.astype({c: "Int64" for c in self.out if c in ("took_over", "track", "box_id")})
+
+    def expired(self, frame: int, memory: dict[int, list[float]]) -> list[tuple]:
+        """Rows for the tracks that `frame` finds away for over `ttl` frames,
+        which leave memory."""
         out = []
         for track in sorted(t for t, c in memory.items() if frame - c[0] > self.ttl):
-            out += self.gone(frame, track)
-            self.tracks.removeKey((track,))
-            memory.pop(track)
-        if self.open.containsKey((frame,)):
-            rows = np.frombuffer(self.open.getValue((frame,))[0]).reshape(-1, len(self.columns))
-            self.open.removeKey((frame,))
-            found, changed = self.closed(frame, rows[np.argsort(rows[:, 0], kind="stable")], memory)
-            out += found
-            for track, cell in changed.items():
-                self.tracks.updateValue((track,), ([float(v) for v in cell],))
-        if out:
-            yield pd.DataFrame([(key[0], *r) for r in out], columns=list(self.out)).astype({c: "Int64" for c in self.out if c in ("took_over", "track", "box_id")})
+            out += self.gone(int(memory.pop(track)[0]) + self.ttl + 1, track)
+        return out
 
     def gone(self, frame: int, track: int) -> list[tuple]:
         """Rows for a track that expires."""
         return []
 
-    def closed(self, frame: int, rows: np.ndarray, memory: dict[int, list[float]]) -> tuple[list[tuple], dict[int, list[float]]]:
-        """(rows out, cells to write) of a frame whose rows are all here."""
+    def closed(self, frame: int, rows: np.ndarray, memory: dict[int, list[float]]) -> list[tuple]:
+        """Rows out of a frame whose rows are all here, in order of their names;
+        tracks seen are put into memory."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -88,6 +128,7 @@ class Frames(StatefulProcessor):
 class Lifecycle(Frames):
     columns = ("track_id", "score", "x", "y", "w", "h")
     out = ("seq", "frame_id", "track_id", "event", "took_over")
+    width = 5
 
     def __init__(self, ttl: int, least: float):
         self.ttl, self.least = ttl, least
@@ -95,22 +136,23 @@ class Lifecycle(Frames):
     def gone(self, frame: int, track: int) -> list[tuple]:
         return [(frame, track, "expired", None)]
 
-    def closed(self, frame: int, rows: np.ndarray, memory: dict[int, list[float]]) -> tuple[list[tuple], dict[int, list[float]]]:
+    def closed(self, frame: int, rows: np.ndarray, memory: dict[int, list[float]]) -> list[tuple]:
         here = set(rows[:, 0].astype(int).tolist())
-        free = {t: np.array(c[1:]) for t, c in sorted(memory.items()) if t not in here}
+        free = {t: c[1:] for t, c in sorted(memory.items()) if t not in here}
         out, cells = [], {}
-        for row in rows[np.lexsort((rows[:, 0], -rows[:, 1]))]:
+        for row in rows[np.lexsort((rows[:, 0], -rows[:, 1]))].tolist():
             track, box, took = int(row[0]), row[2:], None
             if track not in memory and free:
                 names = list(free)
-                iou = overlaps(box[None], np.stack([free[t] for t in names]))[0]
+                iou = overlaps(np.array([box]), np.array([free[t] for t in names]))[0]
                 if iou.max() >= self.least:
                     took = names[int(iou.argmax())]
                     free.pop(took)
             event = "new" if track not in memory else "seen" if memory[track][0] == frame - 1 else "back"
             out.append((frame, track, event, took))
-            cells[track] = [frame, *box]
-        return out, cells
+            cells[track] = [float(frame), *box]
+        memory |= cells
+        return out
 
 
 def lifecycle(stream: DataFrame, ttl: int = 5, least: float = 0.4, delay: int = 10) -> DataFrame:
@@ -128,28 +170,23 @@ def lifecycle(stream: DataFrame, ttl: int = 5, least: float = 0.4, delay: int =
 class Tracker(Frames):
     columns = ("box_id", "x", "y", "w", "h")
     out = ("seq", "frame_id", "box_id", "track", "confirmed")
+    width = 8
 
     def __init__(self, max_age: int, min_hits: int, least: float):
         self.ttl, self.max_age, self.min_hits, self.least = max_age, max_age, min_hits, least
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.next = handle.getValueState("next", "next long")
-
-    def closed(self, frame: int, rows: np.ndarray, memory: dict[int, list[float]]) -> tuple[list[tuple], dict[int, list[float]]]:
-        next_id = self.next.get()[0] if self.next.exists() else 1
+    def closed(self, frame: int, rows: np.ndarray, memory: dict[int, list[float]]) -> list[tuple]:
         held = [memory[t][1:] for t in sorted(memory)]
-        tracks, next_id, got = step(held, next_id, frame, rows[:, 1:], self.max_age, self.min_hits, self.least)
-        self.next.update((next_id,))
+        tracks, self.next, got = step(held, self.next, frame, rows[:, 1:], self.max_age, self.min_hits, self.least)
         seen = {int(t[0]): t for t in tracks}
-        names = {t for t, _ in got}
-        return [(frame, int(b), t, c) for b, (t, c) in zip(rows[:, 0], got, strict=True)], {t: [frame, *seen[t]] for t in names if t in seen}
+        memory |= {t: [float(frame), *seen[t]] for t, _ in got}
+        return [(frame, int(b), t, c) for b, (t, c) in zip(rows[:, 0].tolist(), got, strict=True)]
 
 
 def tracker(stream: DataFrame, max_age: int = 30, min_hits: int = 3, least: float = 0.3, delay: int = 10) -> DataFrame:
     """A track for each box, with whether it is confirmed, as frames close.
     stream: seq, frame_id, box_id, x, y, w, h, in any order within `delay`
-    frames. A sequence's tracks are cells; those away for over `max_age` frames
+    frames. A sequence keeps its tracks; those away for over `max_age` frames
     are dropped by a timer."""
     keyed = timed(stream, delay).groupBy("seq")
     return keyed.transformWithStateInPandas(Tracker(max_age, min_hits, least), "seq long, frame_id long, box_id long, track long, confirmed boolean", "append", "EventTime")
