@@ -171,6 +171,21 @@ def test_tracker_over_blocks_of_frames():
     assert calls <= 60
 
 
+def test_lifecycle_over_blocks_of_frames():
+    rows = [(f, t + 100 * (f // 50), 0.5, *box) for f, t, *box in crossing(400)]
+    assert walked(S.Lifecycle(2, 0.4), in_two(rows, 250))[0] == walked(S.Lifecycle(2, 0.4), [(rows, 10**6)])[0]
+    one = [r for r in rows if r[1] % 100 == 0]
+    got, calls = walked(S.Lifecycle(2, 0.4), in_two(one, 250))
+    assert calls <= 60
+    last: dict[int, int] = {}
+    want = []
+    for f, track, *_ in one:
+        want.append((7, f, track, "new" if f - last.get(track, -9) > 2 else "seen" if last[track] == f - 1 else "back"))
+        last[track] = f
+    ends = [(7, f + 3, t, "expired") for f, t, *_ in one if not any(t == u and f < g <= f + 2 for g, u, *_ in one)]
+    assert sorted(r[:4] for r in got) == sorted(want + ends)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_boxes_that_do_not_compete_need_no_assignment(seed, monkeypatch):
     rng = np.random.default_rng(seed)
