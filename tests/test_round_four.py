@@ -11,9 +11,12 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from touchline.kernels import tracker as K
+from touchline.sources import readers as R
+from touchline.sources import scratch
 from touchline.streaming import online as O
 from touchline.streaming import stateful as S
 
@@ -208,3 +211,27 @@ def test_rows_of_a_replay_are_computed_once(spark):
     rows = spark.range(60).selectExpr("id % 3 AS seq", "id % 2 AS track_id", "id AS frame_id", "id % 4 AS value").mapInPandas(counted, "seq long, track_id long, frame_id long, value long")
     assert O.replayed(rows, "frame_id", lambda s: O.online_mode(s, idle_ms=None)).count() == 60
     assert seen.value == 60
+
+
+def test_tracks_are_listed_by_sequence(spark, tmp_path, monkeypatch):
+    """44 tracks of 45 frames take two folders, not one each."""
+    seen = []
+    made = scratch.scratch_path
+    monkeypatch.setattr(scratch, "scratch_path", lambda *how: seen.append(made(*how)) or seen[-1])
+    rows = [(f * 50 + user, user, "error" if f % 9 == user % 9 else "click") for user in range(44) for f in range(40 + user % 12)]
+    got, want = both(spark, events(tmp_path, rows), "a13_tracklet_directories")
+    assert got == want
+    assert want
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(seen).select("path").collect()
+    assert 1 <= len(found) <= 2
+
+
+def test_listings_give_what_folders_do(spark, tmp_path):
+    rows = spark.createDataFrame([(s, t, str(f)) for s in range(4) for t in range(3) for f in range(5 + t)], "seq long, track_id long, value string")
+    rows.write.partitionBy("seq", "track_id").text(f"{tmp_path}/a")
+    rows.select("seq", F.concat_ws("/", "track_id", "value").alias("value")).write.partitionBy("seq").text(f"{tmp_path}/b")
+    numbers = spark.createDataFrame([(1, 2, -1), (3, 2, 7)], "seq long, track_id long, number int")
+    how = (6, numbers, F.col("seq") % 2 == 1)
+    found = R.tracklet_listings(spark, f"{tmp_path}/b", *how)
+    assert "PartitionFilters: [isnotnull(seq" in (plan := found._jdf.queryExecution().executedPlan().toString()) or "PartitionFilters: [((seq" in plan
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, R.tracklet_folders(spark, f"{tmp_path}/a", *how).collect())) == [(1, 1, 6), (3, 1, 6), (3, 2, 7)]

@@ -168,7 +168,19 @@ def tracklet_folders(spark: SparkSession, path: str, least: int, numbers: DataFr
     tracks that `numbers` (seq, track_id, number) marks as not visible, by -1.
     seq and track_id are partition columns: `sequences`, a condition on them,
     keeps other folders from being opened, and lines are counted unread."""
-    rows = spark.read.schema("value string, seq bigint, track_id bigint").option("basePath", path).text(path)
+    return _kept_tracks(spark.read.schema("value string, seq bigint, track_id bigint").option("basePath", path).text(path), least, numbers, sequences)
+
+
+def tracklet_listings(spark: SparkSession, path: str, least: int, numbers: DataFrame | None = None, sequences: Column | None = None) -> DataFrame:
+    """As tracklet_folders, of folders seq= whose files list the frames of all
+    tracks, a line `track_id/frame` each: a file system takes milliseconds for
+    each folder, so many short tracks are better listed by sequence."""
+    rows = spark.read.schema("value string, seq bigint").option("basePath", path).text(path)
+    track = F.split_part("value", F.lit("/"), F.lit(1)).cast("bigint")
+    return _kept_tracks(rows.withColumn("track_id", track), least, numbers, sequences)
+
+
+def _kept_tracks(rows: DataFrame, least: int, numbers: DataFrame | None, sequences: Column | None) -> DataFrame:
     rows = rows if sequences is None else rows.where(sequences)
     found = rows.groupBy("seq", "track_id").agg(F.count("*").alias("n_frames")).where(F.col("n_frames") >= least)
     return found if numbers is None else found.join(numbers.where("number = -1"), ["seq", "track_id"], "left_anti")
